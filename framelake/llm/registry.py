@@ -1,13 +1,15 @@
 """The registered queries of this subpackage and their SQL."""
 
-from framelake.llm import sharding, url_filter
+from framelake.llm import decontamination, sharding, url_filter
 
 QUERIES = {
     "op6_hash_tree_shards": sharding.op6_hash_tree_shards,
+    "op7_positional_index": decontamination.op7_positional_index,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 
 ORACLES = {
     "op6_hash_tree_shards": sharding.ORACLE_SQL,
+    "op7_positional_index": decontamination.ORACLE_SQL,
     "op10_url_filter": url_filter.ORACLE_SQL,
 }

@@ -12,6 +12,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: Benchmark-side tables are broadcast up to so many rows (some 100 bytes a row); beyond it Spark shuffles both sides.
 BROADCAST_ROWS = 500_000
+#: Up to so many anchor terms are part of the scan's expression; beyond it they are joined.
+INLINE_TERMS = 20_000
 
 
 def words(text: Column) -> Column:
@@ -33,15 +35,34 @@ def benchmark_windows(items: DataFrame, item_id: str, text: str, window: int) ->
     return cut.groupBy("terms").agg(F.collect_set("item").alias("items"))
 
 
-def index_postings(docs: DataFrame, anchors: DataFrame, anchor_rows: int, doc_id: str, text: str, window: int) -> DataFrame:
-    """Postings (doc, body, at, near, tests) of the anchor terms: `at` is the position in the document, `near` the
-    terms from `window - 1` before to `window - 1` after it, `tests` what the windows anchored at the term look for."""
-    found = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(F.col(text)).alias("body"), words(F.col(text)).alias("ws"))
-    posted = found.select("doc", "body", "ws", F.posexplode("ws").alias("at", "word"))
-    joined = posted.withColumn("term", ascii_lower(F.col("word"))).join(_small(anchors, anchor_rows), "term")
-    first = F.greatest(F.lit(0), F.col("at") - (window - 1))
-    near = F.transform(F.slice("ws", first + 1, F.col("at") - first + window), ascii_lower)
-    return joined.select("doc", "body", "at", first.alias("first"), near.alias("near"), "tests")
+def index_postings(docs: DataFrame, anchors: DataFrame, doc_id: str, text: str, window: int) -> DataFrame:
+    """Postings (doc, body, at, first, near, tests) of the anchor terms: `at` is the position in the document, `near`
+    the terms from `window - 1` before to `window - 1` after it, `first` the position of near's first term, `tests`
+    what the windows anchored at the term look for."""
+    listed = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(F.col(text)).alias("body"), words(F.col(text)).alias("ws"))
+
+    def neighbourhood(at: Column) -> list[Column]:
+        first = F.greatest(F.lit(0), at - (window - 1))
+        return [first.alias("first"), F.transform(F.slice("ws", first + 1, at - first + window), ascii_lower).alias("near")]
+
+    n_anchors = anchors.count()
+    if n_anchors <= INLINE_TERMS:
+        terms = [r.term for r in anchors.select("term").collect()]
+        # exploding a word array copies the whole row for every word, so the few anchored places are picked first
+        places = F.filter(F.transform("ws", lambda w, i: F.struct(i.alias("at"), ascii_lower(w).alias("term"))),
+                          lambda p: p["term"].isin(terms) if terms else F.lit(False))
+        posted = listed.select("doc", "body", F.explode(F.transform(places, lambda p: F.struct(
+            p["at"].alias("at"), p["term"].alias("term"), *neighbourhood(p["at"])))).alias("p")).select("doc", "body", "p.*")
+        return posted.join(F.broadcast(anchors), "term")
+    at = listed.select("doc", "body", F.posexplode("ws").alias("at", "word"))
+    at = at.withColumn("term", ascii_lower(F.col("word"))).join(anchors.select("term"), "term", "left_semi")
+    spots = at.groupBy("doc", "body").agg(F.collect_set(F.struct("at", "term")).alias("spots"))
+    spots = spots.withColumnsRenamed({"doc": "~doc", "body": "~body"})
+    met = listed.dropDuplicates(["doc", "body"]).join(
+        spots, F.col("doc").eqNullSafe(F.col("~doc")) & F.col("body").eqNullSafe(F.col("~body")))
+    posted = met.select("doc", "body", F.explode(F.transform("spots", lambda p: F.struct(
+        p["at"].alias("at"), p["term"].alias("term"), *neighbourhood(p["at"])))).alias("p")).select("doc", "body", "p.*")
+    return posted.join(anchors, "term")
 
 
 def find_matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -65,7 +86,7 @@ def find_matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
         F.first("items").alias("items"))
     anchors = materialize(ranked.where("rarest.n > 0").groupBy(F.col("rarest.term").alias("term")).agg(
         F.collect_list(F.struct(F.col("rarest.offset").alias("offset"), "terms", "items")).alias("tests")))
-    postings = index_postings(docs, anchors, anchors.count(), doc_id, text, window)
+    postings = index_postings(docs, anchors, doc_id, text, window)
     here = F.col("at") - F.col("first")
 
     def phrase(t: Column) -> Column:

@@ -1,8 +1,16 @@
 """The registered queries of this subpackage and their SQL."""
 
-from framelake.llm import decontamination, sharding, url_filter
+from framelake.llm import (
+    bpe,
+    decontamination,
+    permutation_index,
+    sharding,
+    url_filter,
+)
 
 QUERIES = {
+    "op1_byte_bpe": bpe.op1_byte_bpe,
+    "op2_permutation_index": permutation_index.op2_permutation_index,
     "op6_hash_tree_shards": sharding.op6_hash_tree_shards,
     "op7_positional_index": decontamination.op7_positional_index,
     "op10_url_filter": url_filter.op10_url_filter,

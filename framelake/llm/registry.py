@@ -3,16 +3,22 @@
 from framelake.llm import (
     bpe,
     decontamination,
+    language_id,
     permutation_index,
     sharding,
+    suffix_tree,
+    toxicity,
     url_filter,
 )
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op2_permutation_index": permutation_index.op2_permutation_index,
+    "op4_toxic_spans": toxicity.op4_toxic_spans,
     "op6_hash_tree_shards": sharding.op6_hash_tree_shards,
     "op7_positional_index": decontamination.op7_positional_index,
+    "op8_context_tree_language": language_id.op8_context_tree_language,
+    "op9_suffix_tree_lm": suffix_tree.op9_suffix_tree_lm,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 

@@ -4,6 +4,7 @@ from framelake.llm import (
     bpe,
     decontamination,
     language_id,
+    ngram_join,
     permutation_index,
     sharding,
     suffix_tree,
@@ -14,6 +15,7 @@ from framelake.llm import (
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op2_permutation_index": permutation_index.op2_permutation_index,
+    "op3_ngram_jaccard": ngram_join.op3_ngram_jaccard,
     "op4_toxic_spans": toxicity.op4_toxic_spans,
     "op6_hash_tree_shards": sharding.op6_hash_tree_shards,
     "op7_positional_index": decontamination.op7_positional_index,
@@ -23,6 +25,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_ngram_jaccard": ngram_join.ORACLE_SQL,
     "op6_hash_tree_shards": sharding.ORACLE_SQL,
     "op7_positional_index": decontamination.ORACLE_SQL,
     "op10_url_filter": url_filter.ORACLE_SQL,

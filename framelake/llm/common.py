@@ -52,6 +52,17 @@ def ascii_lower(col: Column) -> Column:
     return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))
 
 
+#: Keys that a filter broadcasts at most (some 40 bytes each); beyond it both sides are shuffled.
+BROADCAST_KEYS = 1_000_000
+
+
+def without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of `df` whose `key` is not in `keys`, a one-column table of distinct values."""
+    gone = materialize(keys)
+    small = gone.count() <= BROADCAST_KEYS
+    return df.join(F.broadcast(gone) if small else gone, key, "left_anti")
+
+
 def spread(df: DataFrame, at_least: int) -> int:
     """A power of two that grows with the number of input partitions: how many buckets to shuffle into."""
     want = max(at_least, 2 * df.rdd.getNumPartitions())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import ascii_lower, materialize, table
+from framelake.llm.common import ascii_lower, materialize, table, without
 
 #: What separates words before A-Z are lower-cased: all of ASCII but digits and letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -137,6 +137,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
         F.size(F.array_except(F.coalesce("near", F.array().cast("array<string>")), held_ids)).cast("long").alias("n_near"))
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """`docs` without those that hold a benchmark window; all columns stay as they are, and so do rows without an id."""
+    found = find_matches(docs, items, doc_id, text)
+    return without(docs, found.where("start IS NOT NULL AND doc IS NOT NULL").select(F.col("doc").alias(doc_id)).distinct(), doc_id)
+
+
 def op7_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("n_near")

@@ -141,28 +141,43 @@ def identify(docs: DataFrame, trees: ContextTrees, key: str = "doc_id", text: st
     rows = docs.select(F.col(key).alias(key), F.when(F.col(text).rlike(r"\p{L}"), F.col(text)).alias("body"))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trees = shared.value
         for batch in batches:
-            names, shares, held, size = [], [], [], 0
-            bodies = batch["body"].tolist()
-            for i, body in enumerate(bodies):
-                data = body.encode("utf-8", "replace") if body is not None and trees.languages else b""
-                held.append(data)
-                size += len(data)
-                if size > 2_000_000 or i == len(bodies) - 1:
-                    bits = trees.code_lengths(held)
-                    share = posteriors(bits, np.array([len(t) for t in held])) if trees.languages else bits
-                    for t, s in zip(held, share, strict=True):
-                        names.append(trees.languages[int(s.argmax())] if t else "und")
-                        shares.append(float(s.max()) if t else 0.0)
-                    held, size = [], 0
-            yield pd.DataFrame({key: batch[key], "lang_pred": pd.Series(names, index=batch.index, dtype=object),
-                                "score": pd.Series(shares, index=batch.index, dtype=float)})
+            yield pd.concat([batch[[key]], name_languages(shared.value, batch["body"])], axis=1)
 
     kind = rows.schema[key].dataType.simpleString()
     return rows.mapInPandas(score, f"`{key}` {kind}, lang_pred string, score double")
 
 
+def name_languages(trees: ContextTrees, bodies: pd.Series) -> pd.DataFrame:
+    """(lang_pred, score) of each text; null ones are undetermined. Coded some megabytes at a time."""
+    names, shares, held, size = [], [], [], 0
+    for i, body in enumerate(bodies):
+        data = body.encode("utf-8", "replace") if body is not None and trees.languages else b""
+        held.append(data)
+        size += len(data)
+        if size > 2_000_000 or i == len(bodies) - 1:
+            bits = trees.code_lengths(held)
+            share = posteriors(bits, np.array([len(t) for t in held])) if trees.languages else np.zeros((len(held), 1))
+            for t, s in zip(held, share, strict=True):
+                names.append(trees.languages[int(s.argmax())] if t else "und")
+                shares.append(float(s.max()) if t else 0.0)
+            held, size = [], 0
+    return pd.DataFrame({"lang_pred": pd.Series(names, index=bodies.index, dtype=object), "score": pd.Series(shares, index=bodies.index, dtype=float)})
+
+
+def keep_identified(docs: DataFrame, trees: ContextTrees, text: str = "text", least: float = 0.5) -> DataFrame:
+    """`docs` without the rows that have no letter or whose best language's share is under `least`; all columns stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(trees)
+
+    @F.pandas_udf("lang_pred string, score double")
+    def language(bodies: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in bodies:
+            yield name_languages(shared.value, batch)
+
+    found = language(F.when(F.col(text).rlike(r"\p{L}"), F.col(text)))
+    return docs.where((found["lang_pred"] != "und") & (found["score"] >= least))
+
+
 def predict(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = SAMPLE_DOCS) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): trees learn from rows whose crc32 of the id modulo 4 isn't 2."""
     trees = fit(docs.where(remainder(key, 4) != 2), key, text, lang, per_language)

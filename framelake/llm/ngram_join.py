@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import materialize, spread, table
+from framelake.llm.common import materialize, spread, table, without
 from framelake.llm.components import components
 from framelake.llm.packing import Batch, batches, by_bucket
 
@@ -237,6 +237,17 @@ def join_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
         F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "class").alias("component_id"))
 
 
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """`docs` with one document of each group of linked ones, that of the smallest id; of rows that share an id one stays.
+    Rows without an id stay. All columns stay as they are."""
+    found = materialize(join_documents(docs, key, text, size, percent))
+    kept = without(docs, found.where(F.col(key) != F.col("component_id")).select(key).distinct(), key)
+    again = found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key)
+    if again.limit(1).count() == 0:
+        return kept
+    return without(kept, again, key).unionByName(kept.join(again, key, "left_semi").dropDuplicates([key]).select(kept.columns))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_documents(table(spark, sf_dir, "documents"))
 

@@ -4,6 +4,7 @@ from framelake.llm import (
     bpe,
     decontamination,
     language_id,
+    licenses,
     ngram_join,
     permutation_index,
     sharding,
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_permutation_index": permutation_index.op2_permutation_index,
     "op3_ngram_jaccard": ngram_join.op3_ngram_jaccard,
     "op4_toxic_spans": toxicity.op4_toxic_spans,
+    "op5_license_scan": licenses.op5_license_scan,
     "op6_hash_tree_shards": sharding.op6_hash_tree_shards,
     "op7_positional_index": decontamination.op7_positional_index,
     "op8_context_tree_language": language_id.op8_context_tree_language,

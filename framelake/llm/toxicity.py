@@ -222,6 +222,20 @@ def score_documents(docs: DataFrame, field: Field, key: str = "doc_id", text: st
     return rows.mapInPandas(tag, f"`{key}` {kind}, score double, spans array<struct<start:int,end:int,p:double>>")
 
 
+def drop_toxic(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
+    """`docs` without the rows that the field scores THRESHOLD or more; all columns stay as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(field)
+
+    @F.pandas_udf("double")
+    def toxicity(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        field = shared.value
+        known = frozenset(field.word)
+        for batch in bodies:
+            yield pd.Series([field.score(0.0 if known.isdisjoint(WORD.findall(t.lower())) else field.tag(t)[0]) for t in batch], dtype=float)
+
+    return docs.where(toxicity(F.coalesce(F.col(text), F.lit(""))) < THRESHOLD)
+
+
 def predict(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted, n_spans): learned from labels of ids whose crc32 modulo 3 isn't 1."""
     field = fit(docs, labels.where(remainder(key, 3) != 1), key, text)

@@ -111,25 +111,27 @@ def fit_homography(matches: DataFrame, thresh: float = 3.0, iters: int = 200, se
     matches: (pair, m, x0, y0, x1, y1)."""
 
     def solve(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        rows = []
-        for (x, y), (u, v) in zip(p, q, strict=True):
-            rows += [[x, y, 1, 0, 0, 0, -u * x, -u * y, -u], [0, 0, 0, x, y, 1, -v * x, -v * y, -v]]
-        return np.linalg.svd(np.array(rows))[2][-1].reshape(3, 3)
+        """Matrices of stacks of point sets: p and q have shape (sets, points, 2)."""
+        (x, y), (u, v), one = np.moveaxis(p, -1, 0), np.moveaxis(q, -1, 0), np.ones(p.shape[:-1])
+        zero = 0 * one
+        rows = np.concatenate([np.stack([x, y, one, zero, zero, zero, -u * x, -u * y, -u], -1),
+                               np.stack([zero, zero, zero, x, y, one, -v * x, -v * y, -v], -1)], axis=1)
+        return np.linalg.svd(rows)[2][:, -1].reshape(-1, 3, 3)
 
     def error(h: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        z = np.c_[p, np.ones(len(p))] @ h.T
+        z = np.c_[p, np.ones(len(p))] @ np.swapaxes(h, 1, 2)
         with np.errstate(divide="ignore", invalid="ignore"):
-            return np.nan_to_num(np.linalg.norm(z[:, :2] / z[:, 2:] - q, axis=1), nan=np.inf)
+            return np.nan_to_num(np.linalg.norm(z[..., :2] / z[..., 2:] - q, axis=-1), nan=np.inf)
 
     def fit(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("m")
         p, q, rng = g[["x0", "y0"]].to_numpy(), g[["x1", "y1"]].to_numpy(), np.random.default_rng(seed)
         best = np.zeros(len(p), dtype=bool)
-        for _ in range(iters if len(p) >= 4 else 0):
-            pick = rng.choice(len(p), 4, replace=False)
-            ok = error(solve(p[pick], q[pick]), p, q) <= thresh
-            best = ok if ok.sum() > best.sum() else best
-        h = solve(p[best], q[best]) if best.sum() >= 4 else None
+        if len(p) >= 4:
+            picks = np.argsort(rng.random((iters, len(p))), axis=1)[:, :4]
+            near = error(solve(p[picks], q[picks]), p, q) <= thresh
+            best = near[near.sum(axis=1).argmax()]
+        h = solve(p[None, best], q[None, best])[0] if best.sum() >= 4 else None
         return pd.DataFrame({"pair": [g["pair"].iloc[0]], "inliers": [int(best.sum())], "h": [None if h is None else (h / np.abs(h).max()).ravel().tolist()]})
 
     return matches.groupBy("pair").applyInPandas(fit, "pair long, inliers int, h array<double>")

@@ -74,8 +74,8 @@ def attach_segments(frames: DataFrame, records: DataFrame, mode: str = "by_seque
 def blacklisted(seqs: DataFrame, listed: DataFrame, invert: bool = False) -> DataFrame:
     """Sequences that no list entry names by path or by last component (`invert`: those that one does)."""
     names = listed.select(F.substring_index("path", "/", -1).alias("name"))
-    hit = seqs.join(listed.select(F.col("path").alias("seq_path")), "seq_path", "left_semi").union(
-        seqs.join(names, seqs["seq_id"].cast("string") == names["name"], "left_semi")).select("seq_id").distinct()
+    hit = seqs.join(listed.select(F.col("path").alias("seq_path")), "seq_path", "left_semi").select("seq_id").union(
+        seqs.join(names, seqs["seq_id"].cast("string") == names["name"], "left_semi").select("seq_id")).distinct()
     return seqs.join(hit, "seq_id", "left_semi" if invert else "left_anti")
 
 

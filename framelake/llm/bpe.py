@@ -8,7 +8,9 @@ on which both agree, and the pieces between stitches are then encoded in paralle
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,7 +25,7 @@ CHUNK, OVERLAP = 65_536, 2_048
 #: A boundary this close to a chunk's end may move once more text is seen (the pattern looks at most 3 characters on).
 MARGIN = 4
 #: Remembered pre-tokens per task; beyond it the memory starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 600_000
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -34,15 +36,15 @@ def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
 
 
 class Merger(dict):
-    """Pre-token -> array of ids: merges the adjacent pair of lowest rank until none is in the vocabulary."""
+    """Pre-token -> its ids: merges the adjacent pair of lowest rank until none is in the vocabulary."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
 
-    def __missing__(self, token: str) -> list[int]:
+    def __missing__(self, token: str) -> tuple[int, ...]:
         data, ranks = token.encode("utf-8", "surrogatepass"), self.ranks
         whole = ranks.get(data)
-        ids = [whole] if whole is not None else (self._long(data) if len(data) > 256 else self._merge(data))
+        ids = (whole,) if whole is not None else tuple(self._long(data) if len(data) > 256 else self._merge(data))
         if len(self) >= REMEMBERED:
             self.clear()
         self[token] = ids
@@ -87,8 +89,26 @@ class Merger(dict):
         return [ranks[p] for p in part if p]
 
 
-def pre_tokens(pattern: regex.Pattern, text: str) -> list[str]:
-    return pattern.findall(text)
+class Digester:
+    """n_tokens, and the SHA-256 of a text's ids and of the bytes that they decode to."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        size = max(ranks.values(), default=-1) + 1
+        self.bytes: list = [None] * size
+        for data, i in ranks.items():
+            self.bytes[i] = data
+        self.names = [str(i) for i in range(size)]
+
+    def decode(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, ids))
+
+    def __call__(self, ids: list[int]) -> tuple[int, str, str]:
+        listed = " ".join(map(self.names.__getitem__, ids)).encode()
+        return len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()
+
+
+DIGEST = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+IDS = [T.StructField("ids", T.ArrayType(T.IntegerType()))]
 
 
 def boundaries(pattern: regex.Pattern, text: str, start: int) -> np.ndarray:
@@ -131,26 +151,50 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc
     table gives an empty result; other columns aren't read. `chunk` and `overlap` (characters) change the work's shape,
     never the ids.
     """
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(ranks)
+    return _encode(df, ranks, pattern, key, text, chunk, overlap, digest=False)
+
+
+def round_trip(df: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", text: str = "text",
+               chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256) of each row: the ids that `encode` gives, hashed as decimals joined by
+    spaces, and the bytes that these ids decode to, hashed, in the tasks that have the ids."""
+    return _encode(df, ranks, pattern, key, text, chunk, overlap, digest=True)
+
+
+def _encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, key: str, text: str, chunk: int, overlap: int, digest: bool) -> DataFrame:
+    shared = df.sparkSession.sparkContext.broadcast(ranks)
     rows = df.select(F.col(key).alias(key), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    kind = rows.schema[key].dataType
+    head = [T.StructField(key, rows.schema[key].dataType)]
     short = rows.where(F.length("body") <= chunk).mapInPandas(
-        _encoder(shared, pattern, "body", [key]), T.StructType([T.StructField(key, kind), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
-    return short.unionByName(_encode_long(rows.where(F.length("body") > chunk), shared, pattern, key, chunk, overlap))
+        _encoder(shared, pattern, "body", [key], digest), T.StructType(head + (DIGEST if digest else IDS)))
+    whole = _encode_long(rows.where(F.length("body") > chunk), shared, pattern, key, chunk, overlap)
+    if digest:
+        def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            digester = Digester(shared.value)
+            for batch in batches:
+                yield _frame(batch[[key]], [digester(x.tolist()) for x in batch["ids"]], True)
+
+        whole = whole.mapInPandas(hashed, T.StructType(head + DIGEST))
+    return short.unionByName(whole)
 
 
-def _encoder(shared, pattern: str, body: str, keep: list[str]):
+def _frame(head: pd.DataFrame, found: list, digest: bool) -> pd.DataFrame:
+    if digest:
+        return head.assign(**{f.name: pd.Series([x[i] for x in found], index=head.index) for i, f in enumerate(DIGEST)})
+    return head.assign(ids=pd.Series(found, index=head.index, dtype=object))
+
+
+def _encoder(shared, pattern: str, body: str, keep: list[str], digest: bool = False):
+    """Encode the column `body` of each batch, a thousand rows at a time, so that no more ids are held at once."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        merger, split = Merger(shared.value), regex.compile(pattern)
+        merger, split, digester = Merger(shared.value), regex.compile(pattern), Digester(shared.value)
         for batch in batches:
-            ids = []
-            for t in batch[body]:
-                out: list[int] = []
-                for token in split.findall(t):
-                    out += merger[token]
-                ids.append(np.array(out, dtype=np.int32))
-            yield batch[keep].assign(ids=pd.Series(ids, index=batch.index, dtype=object))
+            for at in range(0, len(batch), 1000):
+                part, found = batch.iloc[at: at + 1000], []
+                for t in part[body]:
+                    ids = chain.from_iterable(map(merger.__getitem__, split.findall(t)))
+                    found.append(digester(list(ids)) if digest else np.fromiter(ids, dtype=np.int32))
+                yield _frame(part[keep], found, digest)
 
     return run
 
@@ -199,28 +243,19 @@ def _encode_long(rows: DataFrame, shared, pattern: str, key: str, chunk: int, ov
 
 def decode(df: DataFrame, ranks: dict[bytes, int], key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """`df` with a column `bytes`: the raw bytes of all ids, one after the other; null ids give no bytes."""
-    shared = df.sparkSession.sparkContext.broadcast({i: b for b, i in ranks.items()})
+    shared = df.sparkSession.sparkContext.broadcast(ranks)
 
     @F.pandas_udf("binary")
     def raw(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        of = shared.value
-        table = [of.get(i) for i in range(max(of, default=-1) + 1)]
+        digester = Digester(shared.value)
         for batch in batches:
-            yield pd.Series([b"" if x is None else b"".join([table[i] for i in x]) for x in batch], index=batch.index)
+            yield pd.Series([b"" if x is None else digester.decode(x.tolist()) for x in batch], index=batch.index)
 
     return df.withColumn("bytes", raw(F.col(ids)))
 
 
-def digest(encoded: DataFrame, ranks: dict[bytes, int], key: str = "doc_id") -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256) of encoded rows, by decoding their ids again."""
-    back = decode(encoded, ranks, key)
-    listed = F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary")
-    return back.select(key, F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"),
-                       F.sha2("bytes", 256).alias("decoded_sha256"))
-
-
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = read_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return digest(encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    return round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)

@@ -79,7 +79,8 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id",
     asked = _usable(queries, key, vector).dropDuplicates(["id"])
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(n_pivots).collect()
     width = max((len(r.v) for r in sample), key=[len(r.v) for r in sample].count, default=0)
-    pivots = np.array([r.v for r in sample if len(r.v) == width], dtype=np.float64).reshape(-1, width)
+    same = [r.v for r in sample if len(r.v) == width]
+    pivots = np.array(same, dtype=np.float64).reshape(len(same), width)
     if len(pivots):
         pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
     shared = spark.sparkContext.broadcast(pivots)

@@ -10,7 +10,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -24,8 +24,8 @@ from framelake.llm.common import table
 CHUNK, OVERLAP = 65_536, 2_048
 #: A boundary this close to a chunk's end may move once more text is seen (the pattern looks at most 3 characters on).
 MARGIN = 4
-#: Remembered pre-tokens per task; beyond it the memory starts anew.
-REMEMBERED = 600_000
+#: Remembered pre-tokens per task, some 220 bytes each; beyond it only the first ones, which are the common ones, stay.
+REMEMBERED, KEPT = 200_000, 50_000
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -46,7 +46,9 @@ class Merger(dict):
         whole = ranks.get(data)
         ids = (whole,) if whole is not None else tuple(self._long(data) if len(data) > 256 else self._merge(data))
         if len(self) >= REMEMBERED:
+            first = list(islice(self.items(), KEPT))
             self.clear()
+            self.update(first)
         self[token] = ids
         return ids
 
@@ -185,12 +187,12 @@ def _frame(head: pd.DataFrame, found: list, digest: bool) -> pd.DataFrame:
 
 
 def _encoder(shared, pattern: str, body: str, keep: list[str], digest: bool = False):
-    """Encode the column `body` of each batch, a thousand rows at a time, so that no more ids are held at once."""
+    """Encode the column `body` of each batch, some hundred rows at a time, so that no more ids are held at once."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         merger, split, digester = Merger(shared.value), regex.compile(pattern), Digester(shared.value)
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part, found = batch.iloc[at: at + 1000], []
+            for at in range(0, len(batch), 250):
+                part, found = batch.iloc[at: at + 250], []
                 for t in part[body]:
                     ids = chain.from_iterable(map(merger.__getitem__, split.findall(t)))
                     found.append(digester(list(ids)) if digest else np.fromiter(ids, dtype=np.int32))

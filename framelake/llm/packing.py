@@ -11,7 +11,7 @@ import xxhash
 from pyspark import TaskContext
 
 #: Characters and documents of a batch at most (a longer document is a batch of its own).
-BATCH_CHARS, BATCH_DOCS = 3_000_000, 60_000
+BATCH_CHARS, BATCH_DOCS = 2_000_000, 60_000
 
 
 @dataclass

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.functions import paths as P
+from framelake.operators import flow as flows
 from framelake.operators import gates, geometry, grids, matching, metrics, sequences
 from framelake.plans import fixtures as X
+from framelake.sources import text
 from framelake.streaming import pairs as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -575,6 +577,62 @@ def frechet_full(spark, sf_dir):
     return metrics.frechet_full(X.table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 2).alias("set"), "embedding"))
 
 
+# --- flow ---
+
+FLOW = f"{GRIDS}, flow AS (SELECT pair, row, col, p AS v, (g - p) * 4 AS fx, (p - g) * 2 AS fy FROM m)"
+POINTS = f"{FLOW}, {X.SEGMENTS}, pts AS (SELECT pairs.frame AS pair, k AS pt, x1 / 8 AS x, y1 / 8 AS y FROM pairs JOIN segments USING (frame)), c AS (SELECT *, least(7, greatest(0, x)) AS cx, least(7, greatest(0, y)) AS cy FROM pts)," \
+         " s AS (SELECT c.pair, pt, any_value(x) AS x, any_value(y) AS y, sum(fx * w) AS fx, sum(fy * w) AS fy FROM (SELECT c.*, f.fx, f.fy, (CASE WHEN f.col = floor(cx) THEN least(floor(cx) + 1, 7) - cx ELSE cx - floor(cx) END)" \
+         " * (CASE WHEN f.row = floor(cy) THEN least(floor(cy) + 1, 7) - cy ELSE cy - floor(cy) END) AS w FROM c JOIN flow f ON f.pair = c.pair AND f.row BETWEEN floor(cy) AND floor(cy) + 1 AND f.col BETWEEN floor(cx) AND floor(cx) + 1) c GROUP BY c.pair, pt)"
+
+
+def flow_of(spark, sf_dir):
+    """(grid, flow): the previous frame's values, and a flow derived from the difference to the current frame."""
+    a, b = grids_of(spark, sf_dir)
+    both = a.withColumnRenamed("v", "p").join(b, ["pair", "row", "col"])
+    return a, both.select("pair", "row", "col", ((F.col("v") - F.col("p")) * 4).alias("fx"), ((F.col("p") - F.col("v")) * 2).alias("fy"))
+
+
+def flow_points(spark, sf_dir):
+    s = X.segments(spark, sf_dir).select("frame", F.col("k").alias("pt"), (F.col("x1") / 8).alias("x"), (F.col("y1") / 8).alias("y"))
+    return X.pairs(spark, sf_dir).select("frame").join(s, "frame").withColumnRenamed("frame", "pair")
+
+
+@query(f"WITH {POINTS} SELECT pair, pt, round(fx, 6) AS fx, round(fy, 6) AS fy FROM s")
+def bilinear_sample(spark, sf_dir):
+    return rounded(flows.bilinear_sample(flow_of(spark, sf_dir)[1], flow_points(spark, sf_dir), 8, 8))
+
+
+@query(f"WITH {POINTS} SELECT pair, pt, round(x + fx, 6) AS wx, round(y + fy, 6) AS wy FROM s")
+def flow_warp_points(spark, sf_dir):
+    return rounded(flows.warp_points(flow_of(spark, sf_dir)[1], flow_points(spark, sf_dir), 8, 8))
+
+
+@query(f"WITH {FLOW} SELECT pair, (row // 2)::INT AS row, (col // 2)::INT AS col, round(avg(fx) / 2, 6) AS fx, round(avg(fy) / 2, 6) AS fy FROM flow GROUP BY ALL")
+def downsample_flow(spark, sf_dir):
+    return rounded(flows.downsample_flow(flow_of(spark, sf_dir)[1], 2))
+
+
+@query(f"WITH {FLOW} SELECT pair, least(7, greatest(0, floor(row + fy + 0.5)))::INT AS row, least(7, greatest(0, floor(col + fx + 0.5)))::INT AS col, round(max(v), 6) AS v FROM flow GROUP BY ALL")
+def flow_warp_forward(spark, sf_dir):
+    return rounded(flows.warp_forward(*flow_of(spark, sf_dir), 8, 8))
+
+
+@query(f"WITH {FLOW}, t AS (SELECT *, floor(row + fy + 0.5) AS rp, floor(col + fx + 0.5) AS cp, floor(row - fy + 0.5) AS rm, floor(col - fx + 0.5) AS cm FROM flow),"
+       " s AS (SELECT pair, count(*) FILTER (rp BETWEEN 0 AND 7 AND cp BETWEEN 0 AND 7) >= count(*) FILTER (rm BETWEEN 0 AND 7 AND cm BETWEEN 0 AND 7) AS plus FROM t GROUP BY pair)"
+       " SELECT t.pair, t.row, t.col, round(coalesce(g.v, 0), 6) AS v FROM t JOIN s USING (pair) LEFT JOIN flow g ON g.pair = t.pair AND g.row = CASE WHEN plus THEN rp ELSE rm END AND g.col = CASE WHEN plus THEN cp ELSE cm END")
+def flow_warp_backward(spark, sf_dir):
+    return rounded(flows.warp_backward(*flow_of(spark, sf_dir), 8, 8))
+
+
+@query(f"WITH {X.PATHS} SELECT page_id, path FROM paths WHERE path NOT IN (SELECT path FROM paths WHERE page_id % 3 <> 0)")
+def missing_files(spark, sf_dir):
+    p = X.paths(spark, sf_dir)
+    return text.missing_files(p, p.where("page_id % 3 != 0")).select("page_id", "path")
+
+
+# --- grids and reports ---
+
+
 MASK8 = f"{X.GRID8}, mask AS (SELECT frame, row, col FROM grid8 WHERE v > 0.6), o AS (SELECT unnest(range(-1, 2)) AS d)"
 
 

@@ -137,6 +137,35 @@ def fit_homography(matches: DataFrame, thresh: float = 3.0, iters: int = 200, se
     return matches.groupBy("pair").applyInPandas(fit, "pair long, inliers int, h array<double>")
 
 
+def inliers(matches: DataFrame, fits: DataFrame, thresh: float = 3.0) -> DataFrame:
+    """The matches that their pair's fitted matrix carries within `thresh` of their aim, of pairs with at least four."""
+    h = [F.get("h", F.lit(i)) for i in range(9)]
+    x, y = F.col("x0"), F.col("y0")
+    u, v, w = (h[3 * i] * x + h[3 * i + 1] * y + h[3 * i + 2] for i in range(3))
+    off = F.sqrt((F.try_divide(u, w) - F.col("x1")) ** 2 + (F.try_divide(v, w) - F.col("y1")) ** 2)
+    near = matches.join(fits.where("h IS NOT NULL").select("pair", "h"), "pair").where(off <= thresh).drop("h")
+    return near.join(near.groupBy("pair").count().where("count >= 4"), "pair", "left_semi")
+
+
+def three_frame_match(triples: DataFrame, segs: DataFrame, dist: float, angle: float, thresh: float = 3.0) -> DataFrame:
+    """(frame, k): the current frame's segments that match those of the next frame which match the previous one's, each once. All segments
+    stand where a step has under four inliers, and in first and last frames. triples: (frame, prev, next); segs: (frame, k, x1, y1, x2, y2)."""
+    f = segment_features(segs, ["frame", "k"])
+    own = triples.where("prev IS NOT NULL AND next IS NOT NULL").withColumn("here", F.col("frame"))
+    side = {c: own.select(F.col("frame").alias("pair"), F.col(c).alias("frame")).join(f, "frame").drop("frame") for c in ("prev", "next", "here")}
+
+    def step(a: DataFrame, b: DataFrame) -> DataFrame:
+        met = coarse_match(a, b, dist, angle).withColumn("m", F.col("ka").cast("long") * F.lit(2**31) + F.col("kb"))
+        ends = [x.select("pair", F.col("k").alias(k), F.col("cx").alias(f"x{i}"), F.col("cy").alias(f"y{i}")) for i, (x, k) in enumerate(((a, "ka"), (b, "kb")))]
+        m = met.join(ends[0], ["pair", "ka"]).join(ends[1], ["pair", "kb"])
+        return inliers(m, fit_homography(m.select("pair", "m", "x0", "y0", "x1", "y1"), thresh), thresh)
+
+    kept = step(side["prev"], side["next"]).select("pair", F.col("kb").alias("k")).distinct()
+    found = step(side["next"].join(kept, ["pair", "k"], "left_semi"), side["here"]).select(F.col("pair").alias("frame"), F.col("kb").alias("k")).distinct()
+    rest = triples.select("frame").join(found, "frame", "left_anti").join(segs.select("frame", "k"), "frame")
+    return found.unionByName(rest)
+
+
 def quat_to_rot(q: list[Column]) -> list[Column]:
     """Nine entries, row by row, of the rotation of a quaternion (w, x, y, z), normalised."""
     n = F.sqrt(sum((c * c for c in q[1:]), q[0] * q[0]))

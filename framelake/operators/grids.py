@@ -34,8 +34,8 @@ def close(mask: DataFrame, radius: int, height: int, width: int) -> DataFrame:
     return erode(dilate(mask, radius, height, width), radius, height, width)
 
 
-def component_areas(mask: DataFrame, min_area: int, height: int, width: int) -> DataFrame:
-    """(frame, component, area) of 8-connected components of at least `min_area` pixels; a component is named by its smallest row * width + col.
+def component_labels(mask: DataFrame, width: int) -> DataFrame:
+    """(frame, row, col, component): 8-connected components, each named by its smallest row * width + col.
     Labels spread to neighbours until none changes; every round is checkpointed."""
     labels = mask.select(*PIXEL, (F.col("row") * width + F.col("col")).alias("label")).checkpoint()
     while True:
@@ -48,7 +48,22 @@ def component_areas(mask: DataFrame, min_area: int, height: int, width: int) ->
         changed = stepped.where("head != label").limit(1).count()
         labels = stepped.select(*PIXEL, F.col("head").alias("label"))
         if not changed:
-            return labels.groupBy("frame", F.col("label").alias("component")).agg(F.count("*").alias("area")).where(F.col("area") >= min_area)
+            return labels.withColumnRenamed("label", "component")
+
+
+def component_areas(mask: DataFrame, min_area: int, height: int, width: int) -> DataFrame:
+    """(frame, component, area) of the components of at least `min_area` pixels."""
+    return component_labels(mask, width).groupBy("frame", "component").agg(F.count("*").alias("area")).where(F.col("area") >= min_area)
+
+
+def specular_mask(rgb: DataFrame, height: int, width: int, v_th: float = 0.95, s_th: float = 0.2, radius: int = 5, min_area: int = 500) -> DataFrame:
+    """(frame, row, col): bright pixels of little colour in (frame, row, col, r, g, b) of 0 to 1, closed by a square, in components of at least
+    `min_area` pixels. Black has no saturation."""
+    top, low = F.greatest("r", "g", "b"), F.least("r", "g", "b")
+    bright = rgb.where((top > v_th) & (F.coalesce(F.try_divide(top - low, top), F.lit(0.0)) < s_th)).select(*PIXEL)
+    labels = component_labels(close(bright, radius, height, width), width)
+    large = labels.groupBy("frame", "component").agg(F.count("*").alias("n")).where(F.col("n") >= min_area)
+    return labels.join(large, ["frame", "component"], "left_semi").select(*PIXEL)
 
 
 def blend(grid: DataFrame, mask: DataFrame, alpha: float, color: float) -> DataFrame:

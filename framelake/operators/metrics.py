@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framelake.operators import gates, geometry
+
 SPOT = ["pair", "row", "col"]
 
 
@@ -147,3 +149,62 @@ def frechet_full(features: DataFrame) -> DataFrame:
     root = (v * np.sqrt(np.clip(w, 0, None))) @ v.T
     cross = np.sqrt(np.clip(np.linalg.eigvalsh(root @ c1 @ root), 0, None)).sum()
     return spark.createDataFrame([(float(((m0 - m1) ** 2).sum() + np.trace(c0) + np.trace(c1) - 2 * cross),)], "distance double")
+
+
+def endpoint_error(a: DataFrame, b: DataFrame, pixels_a: DataFrame, pixels_b: DataFrame, height: int, width: int) -> DataFrame:
+    """(pair, endpoint_err): mean distance of each side's segment ends (halves to even, clipped) to the other side's pixels, averaged over
+    both sides. Pairs where either side has no segment or no pixel aren't returned."""
+    spot = lambda c, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.rint(c).cast("int")))
+    both = []
+    for segs, pixels, name in ((a, pixels_b, "da"), (b, pixels_a, "db")):
+        ends = segs.select("pair", F.explode(F.array(*[F.struct(spot(F.col(f"y{i}"), height).alias("row"), spot(F.col(f"x{i}"), width).alias("col")) for i in (1, 2)])).alias("e")).select("pair", "e.*")
+        both.append(ends.join(nearest_distance(ends.distinct(), pixels), SPOT).groupBy("pair").agg(F.avg("d").alias(name)))
+    return both[0].join(both[1], "pair").where("da IS NOT NULL AND db IS NOT NULL").select("pair", ((F.col("da") + F.col("db")) / 2).alias("endpoint_err"))
+
+
+def pair_alignment(pairs: DataFrame, warped: DataFrame, segs: DataFrame, height: int, width: int, least: float = 0.05) -> DataFrame:
+    """(pair, iou, precision, recall, endpoint_err, score, valid) of every row of `pairs`: the previous frame's warped segments against the
+    current ones, (pair, x1, y1, x2, y2). A pair without segments or pixels on either side gets zeros, an error of 1e6, and isn't valid."""
+    a, b = (geometry.rasterize(s, "pair", width, height) for s in (warped, segs))
+    n = counts(a, b)
+    met = pairs.select("pair").join(n, "pair", "left").join(endpoint_error(warped, segs, a, b, height, width), "pair", "left")
+    tp, fp, fn, there = F.col("tp"), F.col("fp"), F.col("fn"), F.col("endpoint_err").isNotNull()
+    share = lambda under: F.when(there, F.coalesce(F.try_divide(tp, under), F.lit(0.0))).otherwise(0.0)
+    shares = met.select("pair", share(tp + fp + fn).alias("iou"), share(tp + fp).alias("precision"), share(tp + fn).alias("recall"), F.coalesce("endpoint_err", F.lit(1e6)).alias("endpoint_err"))
+    score = F.when(F.col("endpoint_err") < 1e6, gates.reliability(F.col("precision"), F.col("recall"), F.col("endpoint_err"))).otherwise(0.0)
+    return shares.withColumn("score", score).withColumn("valid", F.col("score") > least)
+
+
+def reference_consistency(refs: DataFrame, pixels: DataFrame) -> DataFrame:
+    """(frame, cd_global, cd_local): Chamfer distance of each frame of refs (frame, global, local) to its two references' pixels
+    (frame, row, col); 0 if both sides are empty, infinite if one is or a reference is missing."""
+    out = refs.select("frame")
+    for kind in ("global", "local"):
+        near = refs.select(F.col("frame").alias("pair"), F.col(kind).alias("frame"))
+        a = near.join(pixels, "frame").select(*SPOT)
+        b = refs.select("frame").join(pixels, "frame").select(F.col("frame").alias("pair"), "row", "col")
+        d = chamfer(a, b, float("inf")).select(F.col("pair").alias("frame"), F.col("chamfer").alias("cd"))
+        lone = near.where("frame IS NULL").select(F.col("pair").alias("frame"), F.lit(True).alias("lone"))
+        empty = F.when(F.col("lone"), float("inf")).otherwise(0.0)
+        out = out.join(d, "frame", "left").join(lone, "frame", "left").withColumn(f"cd_{kind}", F.coalesce("cd", empty)).drop("cd", "lone")
+    return out
+
+
+def finite_means(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: the number of rows, and each column's mean over finite values, infinite where there is none."""
+    finite = lambda c: F.when(~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), F.col(c))
+    return rows.agg(F.count("*").alias("n"), *[F.coalesce(F.avg(finite(c)), F.lit(float("inf"))).alias(c) for c in columns])
+
+
+def clip_features(features: DataFrame, length: int = 16, stride: int = 8) -> DataFrame:
+    """(set, seq_id, clip, embedding): the mean vector of every full clip of features (set, seq_id, frame_no from 0 without gaps, embedding)."""
+    last = F.floor(F.col("frame_no") / stride).cast("int")
+    first = F.greatest(F.lit(0), F.ceil((F.col("frame_no") - length + 1) / stride).cast("int"))
+    at = features.where(first <= last).withColumn("clip", F.explode(F.sequence(first, last))).select("set", "seq_id", "clip", F.posexplode("embedding").alias("i", "x"))
+    means = at.groupBy("set", "seq_id", "clip", "i").agg(F.avg(F.col("x").cast("double")).alias("x"), F.count("*").alias("n")).where(F.col("n") == length)
+    return means.groupBy("set", "seq_id", "clip").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("embedding"))
+
+
+def frechet_clips(features: DataFrame, length: int = 16, stride: int = 8) -> DataFrame:
+    """Fréchet distance (full covariances) of two sets' clip features; NaN if a set has fewer than two clips."""
+    return frechet_full(clip_features(features, length, stride))

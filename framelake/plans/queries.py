@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelake.functions import paths as P
+from framelake.operators import camera
 from framelake.operators import flow as flows
 from framelake.operators import gates, geometry, grids, matching, metrics, sequences
 from framelake.plans import fixtures as X
@@ -751,3 +752,154 @@ def distributed_mean(spark, sf_dir):
 @query(f"WITH {X.GRID8} SELECT seq_id, frame // 50 AS bucket, round(avg(v), 6) AS v FROM grid8 GROUP BY ROLLUP (seq_id, frame // 50)")
 def metric_report(spark, sf_dir):
     return rounded(X.grid8(spark, sf_dir).rollup("seq_id", F.floor(F.col("frame") / 50).alias("bucket")).agg(F.avg("v").alias("v")))
+
+
+# --- alignment, references and clips ---
+
+@query(f"WITH {NEAREST}, px AS (SELECT pair, row, col, side, d FROM near), ends AS (SELECT p.frame AS pair, 'p' AS side, x1, y1, x2, y2 FROM pairs p JOIN segments s ON s.frame = p.prev UNION ALL SELECT p.frame, 'g', x1, y1, x2, y2 FROM pairs p JOIN segments s ON s.frame = p.frame),"
+       " e AS (SELECT pair, side, least(63, greatest(0, round_even(y1, 0)))::INT AS row, least(63, greatest(0, round_even(x1, 0)))::INT AS col FROM ends UNION ALL SELECT pair, side, least(63, greatest(0, round_even(y2, 0)))::INT, least(63, greatest(0, round_even(x2, 0)))::INT FROM ends),"
+       " o AS (SELECT DISTINCT pair, side, row, col FROM e), t AS (SELECT pair, 'p' AS side, row AS r, col AS c FROM gt UNION ALL SELECT pair, 'g', row, col FROM pred),"
+       " od AS (SELECT o.pair, side, row, col, min(sqrt(((row - r) ** 2 + (col - c) ** 2)::DOUBLE)) AS d FROM o JOIN t USING (pair, side) GROUP BY ALL),"
+       " err AS (SELECT pair, (avg(d) FILTER (side = 'p') + avg(d) FILTER (side = 'g')) / 2 AS err FROM e JOIN od USING (pair, side, row, col) GROUP BY pair),"
+       " q AS (SELECT pair, tp / (tp + fp + fn) AS iou, tp / (tp + fp) AS p, tp / (tp + fn) AS r, err FROM c JOIN err USING (pair)), z AS (SELECT *, 1 / (1 + exp(-(p - 0.5) / 0.1)) * (1 / (1 + exp(-(r - 0.5) / 0.1))) * exp(-err / 2.5) AS score FROM q)"
+       " SELECT pair, round(iou, 6) AS iou, round(p, 6) AS precision, round(r, 6) AS recall, round(err, 6) AS endpoint_err, round(score, 6) AS score, score > 0.05 AS valid FROM z")
+def pair_alignment(spark, sf_dir):
+    s, p = X.segments(spark, sf_dir), X.pairs(spark, sf_dir)
+    before = p.join(s.withColumnRenamed("frame", "prev").drop("seq_id"), "prev").withColumnRenamed("frame", "pair")
+    now = p.select("frame").join(s, "frame").withColumnRenamed("frame", "pair")
+    return rounded(metrics.pair_alignment(p.withColumnRenamed("frame", "pair"), before, now, 64, 64))
+
+
+REFERENCES = f"""{X.SEGMENTS}, {X.RASTER}, refs AS (SELECT vec_id AS frame, min(vec_id) OVER (PARTITION BY label) AS global, lag(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS local FROM embeddings),
+l AS (SELECT frame, 'global' AS kind, global AS other FROM refs UNION ALL SELECT frame, 'local', local FROM refs WHERE local IS NOT NULL),
+sides AS (SELECT l.frame, kind, 'a' AS side, x.row, x.col, min(sqrt(((x.row - y.row) ** 2 + (x.col - y.col) ** 2)::DOUBLE)) AS d FROM l JOIN pixels x ON x.frame = l.frame JOIN pixels y ON y.frame = l.other GROUP BY ALL UNION ALL
+  SELECT l.frame, kind, 'b', y.row, y.col, min(sqrt(((x.row - y.row) ** 2 + (x.col - y.col) ** 2)::DOUBLE)) FROM l JOIN pixels x ON x.frame = l.frame JOIN pixels y ON y.frame = l.other GROUP BY ALL),
+cd AS (SELECT frame, kind, (avg(d) FILTER (side = 'a') + avg(d) FILTER (side = 'b')) / 2 AS cd FROM sides GROUP BY ALL)"""
+
+
+def references(spark, sf_dir):
+    w = Window.partitionBy("label")
+    refs = X.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), F.min("vec_id").over(w).alias("global"), F.lag("vec_id").over(w.orderBy("vec_id")).alias("local"))
+    return metrics.reference_consistency(refs, geometry.rasterize(X.segments(spark, sf_dir)))
+
+
+@query(f"WITH {REFERENCES} SELECT frame, round(g.cd, 6) AS cd_global, round(coalesce(l.cd, 'inf'::DOUBLE), 6) AS cd_local FROM refs LEFT JOIN (SELECT frame, cd FROM cd WHERE kind = 'global') g USING (frame) LEFT JOIN (SELECT frame, cd FROM cd WHERE kind = 'local') l USING (frame)")
+def reference_consistency(spark, sf_dir):
+    return rounded(references(spark, sf_dir))
+
+
+@query(f"WITH {REFERENCES} SELECT (SELECT count(*) FROM refs) AS n, round(avg(cd) FILTER (kind = 'global'), 6) AS cd_global, round(avg(cd) FILTER (kind = 'local'), 6) AS cd_local FROM cd")
+def reference_report(spark, sf_dir):
+    return rounded(metrics.finite_means(references(spark, sf_dir), ["cd_global", "cd_local"]))
+
+
+def clip_inputs(spark, sf_dir):
+    w = Window.partitionBy("label").orderBy("vec_id")
+    return X.table(spark, sf_dir, "embeddings").select((F.col("label") % 2).alias("set"), F.col("label").alias("seq_id"), (F.row_number().over(w) - 1).alias("frame_no"), "embedding")
+
+
+@query("WITH f AS (SELECT label % 2 AS set, label AS seq_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS n, embedding FROM embeddings), x AS (SELECT set, seq_id, n, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM f),"
+       " c AS (SELECT DISTINCT seq_id, n // 8 AS clip FROM f) SELECT set, seq_id, clip::INT AS clip, i::INT AS i, round(avg(x), 6) AS x FROM c JOIN x USING (seq_id) WHERE n BETWEEN clip * 8 AND clip * 8 + 15 GROUP BY ALL HAVING count(*) = 16")
+def clip_features(spark, sf_dir):
+    clips = metrics.clip_features(clip_inputs(spark, sf_dir))
+    return rounded(clips.select("set", "seq_id", "clip", F.posexplode("embedding").alias("i", "x")))
+
+
+@query()
+def frechet_clips(spark, sf_dir):
+    return metrics.frechet_clips(clip_inputs(spark, sf_dir))
+
+
+@query()
+def three_frame_match(spark, sf_dir):
+    w = Window.partitionBy("label").orderBy("vec_id")
+    triples = X.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), F.lag("vec_id").over(w).alias("prev"), F.lead("vec_id").over(w).alias("next"))
+    return geometry.three_frame_match(triples, X.segments(spark, sf_dir), 12.0, 1.0)
+
+
+@query()
+def specular_mask(spark, sf_dir):
+    ensure_checkpoints(spark)
+    g = X.grid8(spark, sf_dir).select("frame", "row", "col", *[(F.col("v") + d).alias(c) for c, d in (("r", 0.05), ("g", 0.0), ("b", -0.02))])
+    return grids.specular_mask(g, 8, 8, 0.6, 0.2, 1, 3)
+
+
+# --- cameras ---
+
+def cameras_of(spark, sf_dir):
+    k = F.col("s_suppkey")
+    model = F.when(k % 3 == 0, "PINHOLE").when(k % 3 == 1, "SIMPLE_RADIAL").otherwise("OTHER")
+    params = F.when(k % 3 == 1, F.array(21.0 + k % 5, F.lit(16.0), F.lit(15.0), F.lit(0.1))).otherwise(F.array(20.0 + k % 5, F.lit(22.0), F.lit(16.0), F.lit(15.0)))
+    return X.table(spark, sf_dir, "supplier").select(k.alias("pair"), model.alias("model"), F.lit(32).alias("width"), F.lit(32).alias("height"), params.alias("params"), "s_acctbal")
+
+
+def poses(pair, balance):
+    """Reference and current pose of a pair: quaternion and shift."""
+    return {"ref": dict(qw=F.lit(1.0), qx=0.02 * F.sin(pair), qy=0.02 * F.cos(pair), qz=F.lit(0.0), tx=F.lit(0.0), ty=F.lit(0.0), tz=F.lit(0.1)),
+            "cur": dict(qw=F.lit(1.0), qx=F.lit(0.0), qy=0.03 * F.sin(pair), qz=F.lit(0.01), tx=balance / 100000, ty=F.lit(0.05), tz=F.lit(0.0))}
+
+
+CAMERAS = """cams AS (SELECT s_suppkey AS pair, s_acctbal, (CASE WHEN s_suppkey % 3 = 1 THEN 21.0 + s_suppkey % 5 ELSE 20.0 + s_suppkey % 5 END)::DOUBLE * 0.5 AS fx,
+  (CASE WHEN s_suppkey % 3 = 1 THEN 21.0 + s_suppkey % 5 ELSE 22.0 END)::DOUBLE * 0.5 AS fy, 8.0::DOUBLE AS cx, 7.5::DOUBLE AS cy FROM supplier),
+q AS (SELECT *, 0.02::DOUBLE * sin(pair) AS ax, 0.02::DOUBLE * cos(pair) AS ay, 0.0::DOUBLE AS az, 0.0::DOUBLE AS bx, 0.03::DOUBLE * sin(pair) AS "by", 0.01::DOUBLE AS bz FROM cams),
+n AS (SELECT *, sqrt(1 + ax * ax + ay * ay + az * az) AS an, sqrt(1 + bx * bx + "by" * "by" + bz * bz) AS bn FROM q),
+u AS (SELECT pair, s_acctbal, fx, fy, cx, cy, 1 / an AS aw, ax / an AS ax, ay / an AS ay, az / an AS az, 1 / bn AS bw, bx / bn AS bx, "by" / bn AS bv, bz / bn AS bz FROM n)"""
+
+
+def rotation_sql(w: str, x: str, y: str, z: str) -> list[str]:
+    return [f"(1 - 2 * ({y} * {y} + {z} * {z}))", f"(2 * ({x} * {y} - {z} * {w}))", f"(2 * ({x} * {z} + {y} * {w}))", f"(2 * ({x} * {y} + {z} * {w}))", f"(1 - 2 * ({x} * {x} + {z} * {z}))",
+            f"(2 * ({y} * {z} - {x} * {w}))", f"(2 * ({x} * {z} - {y} * {w}))", f"(2 * ({y} * {z} + {x} * {w}))", f"(1 - 2 * ({x} * {x} + {y} * {y}))"]
+
+
+REF, CUR = rotation_sql("aw", "ax", "ay", "az"), rotation_sql("bw", "bx", "bv", "bz")
+
+
+@query(f"WITH {CAMERAS} SELECT pair, fx, fy, cx, cy, " + ", ".join(f"round({r}, 9) AS r{i}" for i, r in enumerate(CUR)) + " FROM u")
+def camera_intrinsics(spark, sf_dir):
+    k = camera.intrinsics(cameras_of(spark, sf_dir), 16)
+    turn = poses(F.col("pair"), F.col("s_acctbal"))["cur"]
+    r = geometry.quat_to_rot([turn[c] for c in ("qw", "qx", "qy", "qz")])
+    return rounded(k.select("pair", *camera.K, *[c.alias(f"r{i}") for i, c in enumerate(r)]), 9)
+
+
+def views_of(spark, sf_dir):
+    """(edges, depth, views) on a 16 x 16 canvas, one pair a supplier."""
+    k = camera.intrinsics(cameras_of(spark, sf_dir), 16)
+    turn = poses(F.col("pair"), F.col("s_acctbal"))
+    views = k.select("pair", *[F.col(c).alias(f"{v}_{c}") for v in turn for c in camera.K], *[c.alias(f"{v}_{n}") for v in turn for n, c in turn[v].items()])
+    canvas = k.select("pair", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("p")).select("pair", F.floor(F.col("p") / 16).cast("int").alias("row"), (F.col("p") % 16).alias("col"))
+    depth = canvas.withColumn("z", F.when((F.col("row") + F.col("col") + F.col("pair")) % 11 == 0, 0.0).otherwise(1 + ((F.col("row") * 5 + F.col("col") * 3 + F.col("pair")) % 7) / 10))
+    return canvas.where((F.col("row") * 3 + F.col("col") + F.col("pair")) % 4 == 0), depth, views
+
+
+WORLD = ", ".join(f"{REF[i]} * x + {REF[3 + i]} * y + {REF[6 + i]} * (z - 0.1::DOUBLE) AS w{i}" for i in range(3))
+SEEN = ", ".join(f"{CUR[3 * i]} * w0 + {CUR[3 * i + 1]} * w1 + {CUR[3 * i + 2]} * w2 + {t} AS c{i}" for i, t in enumerate(("s_acctbal / 100000", "0.05::DOUBLE", "0")))
+REPROJECT = f"""{CAMERAS}, spots AS (SELECT u.*, (p // 16)::INT AS row, (p % 16)::INT AS col FROM u, (SELECT unnest(range(256)) AS p)),
+zs AS (SELECT *, CASE WHEN (row + col + pair) % 11 = 0 THEN 0 ELSE 1 + ((row * 5 + col * 3 + pair) % 7) / 10 END AS z FROM spots WHERE (row * 3 + col + pair) % 4 = 0),
+ws AS (SELECT *, {WORLD} FROM (SELECT *, (col - cx) * z / fx AS x, (row - cy) * z / fy AS y FROM zs WHERE z > 0.001)), cs AS (SELECT *, {SEEN} FROM ws),
+seen AS (SELECT DISTINCT pair, round_even(c1 * fy / c2 + cy, 0)::INT AS row, round_even(c0 * fx / c2 + cx, 0)::INT AS col FROM cs WHERE c2 > 0)"""
+
+
+@query(f"WITH {REPROJECT} SELECT * FROM seen WHERE row BETWEEN 0 AND 15 AND col BETWEEN 0 AND 15")
+def reproject(spark, sf_dir):
+    return camera.reproject(*views_of(spark, sf_dir), 16, 16)
+
+
+@query(f"WITH {REPROJECT}, gt AS (SELECT DISTINCT pair, row + dr AS row, col + dc AS col FROM seen, (SELECT unnest([-1, 0, 1]) AS dr), (SELECT unnest([-1, 0, 1]) AS dc) WHERE row BETWEEN 0 AND 15 AND col BETWEEN 0 AND 15 AND row + dr BETWEEN 0 AND 15 AND col + dc BETWEEN 0 AND 15),"
+       " pred AS (SELECT pair, row, col FROM spots WHERE (row * 3 + col + pair) % 4 = 0 AND col < 9), near AS (SELECT a.pair, a.row, a.col, 'p' AS side, min((a.row - b.row) ** 2 + (a.col - b.col) ** 2) AS d FROM pred a JOIN gt b USING (pair) GROUP BY ALL UNION ALL"
+       " SELECT b.pair, b.row, b.col, 'g', min((a.row - b.row) ** 2 + (a.col - b.col) ** 2) FROM pred a JOIN gt b USING (pair) GROUP BY ALL),"
+       " r AS (SELECT pair, sum((d <= 9)::INT) FILTER (side = 'p') / (count(*) FILTER (side = 'p') + 1e-6) AS p, sum((d <= 9)::INT) FILTER (side = 'g') / (count(*) FILTER (side = 'g') + 1e-6) AS r FROM near GROUP BY pair)"
+       " SELECT pair, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r + 1e-6), 6) AS f1 FROM r")
+def reprojection_prf(spark, sf_dir):
+    edges, depth, views = views_of(spark, sf_dir)
+    return rounded(camera.reprojection_prf(edges.where("col < 9"), edges, depth, views, 16, 16))
+
+
+@query(f"WITH {X.SEGMENTS}, {X.GRID8}, pts AS (SELECT frame, k, i::INT AS i, x1 + (x2 - x1) * (i / 4) AS x, y1 + (y2 - y1) * (i / 4) AS y FROM segments, (SELECT unnest(range(5)) AS i)),"
+       " z AS (SELECT p.*, CASE WHEN v < 1e-8 THEN 0 ELSE v END AS z FROM pts p JOIN grid8 g ON g.frame = p.frame AND g.row = least(7, greatest(0, round_even(y * 0.125, 0))) AND g.col = least(7, greatest(0, round_even(x * 0.125, 0))))"
+       " SELECT frame, k, i, round((x - 32) * z / 40, 6) AS px, round((y - 32) * z / 50, 6) AS py, round(z, 6) AS pz FROM z WHERE z > 0")
+def segment_points(spark, sf_dir):
+    pts = camera.sample_on_segment(X.segments(spark, sf_dir), ["frame", "k"], 5)
+    z = camera.sample_nearest(pts, X.grid8(spark, sf_dir).withColumnRenamed("v", "z"), 64, 8, 8).where("z > 0")
+    p = camera.back_project(F.col("x"), F.col("y"), F.col("z"), [F.lit(40.0), F.lit(50.0), F.lit(32.0), F.lit(32.0)])
+    return rounded(z.select("frame", "k", "i", *[c.alias(n) for n, c in zip(("px", "py", "pz"), p)]))

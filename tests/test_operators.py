@@ -1,10 +1,12 @@
 """Quirks and edge cases on tiny hand-made frames."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
 from framelake.functions import paths as P
-from framelake.operators import gates, geometry, grids, matching, metrics, sequences
+from framelake.operators import camera, gates, geometry, grids, matching, metrics, sequences
 
 
 def masks(spark, pred, gt):
@@ -91,3 +93,55 @@ def test_homography_needs_four_matches(spark):
     rows = [(1, i, float(x), float(y), x + 2.0, y - 1.0) for i, (x, y) in enumerate([(0, 0), (9, 1), (2, 8), (7, 7), (4, 3)])] + [(2, 0, 0.0, 0.0, 1.0, 1.0)]
     got = {r.pair: r for r in geometry.fit_homography(spark.createDataFrame(rows, "pair long, m int, x0 double, y0 double, x1 double, y1 double")).collect()}
     assert got[1].inliers == 5 and got[2].h is None
+
+
+def test_specular_mask_keeps_large_bright_components(spark, tmp_path):
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(str(tmp_path))
+    square = [(1, r, c, 1.0, 1.0, 0.98) for r in range(2) for c in range(2)]
+    rows = square + [(1, 6, 6, 1.0, 1.0, 1.0), (1, 0, 6, 1.0, 0.2, 0.2), (1, 7, 0, 0.0, 0.0, 0.0)]
+    rgb = spark.createDataFrame(rows, "frame int, row int, col int, r double, g double, b double")
+    got = grids.specular_mask(rgb, 8, 8, radius=0, min_area=3).collect()
+    assert sorted((r.row, r.col) for r in got) == [(0, 0), (0, 1), (1, 0), (1, 1)]
+    assert grids.specular_mask(rgb.limit(0), 8, 8).count() == 0
+
+
+def test_three_frames_keep_what_all_share(spark):
+    where = [(5.0, 5.0), (40.0, 8.0), (10.0, 45.0), (50.0, 50.0), (25.0, 30.0)]
+    segs = [(f, k, x + f, y, x + f + 6, y + 2) for f in (0, 1, 2) for k, (x, y) in enumerate(where)] + [(1, 9, 60.0, 20.0, 60.0, 30.0), (7, 0, 1.0, 1.0, 2.0, 2.0)]
+    s = spark.createDataFrame(segs, "frame int, k int, x1 double, y1 double, x2 double, y2 double")
+    triples = spark.createDataFrame([(0, None, 1), (1, 0, 2), (2, 1, None), (7, None, None)], "frame int, prev int, next int")
+    got = {}
+    for r in geometry.three_frame_match(triples, s, 4.0, 0.5).collect():
+        got.setdefault(r.frame, []).append(r.k)
+    assert {f: sorted(k) for f, k in got.items()} == {0: [0, 1, 2, 3, 4], 1: [0, 1, 2, 3, 4], 2: [0, 1, 2, 3, 4], 7: [0]}
+
+
+def test_clips_need_all_their_frames(spark):
+    rows = [(s, s, i, [float(i), float(s)]) for s in (0, 1) for i in range(6)]
+    f = spark.createDataFrame(rows, "set int, seq_id int, frame_no int, embedding array<double>")
+    got = sorted((r.set, r.clip, list(r.embedding)) for r in metrics.clip_features(f, 4, 2).collect())
+    assert got == [(0, 0, [1.5, 0.0]), (0, 1, [3.5, 0.0]), (1, 0, [1.5, 1.0]), (1, 1, [3.5, 1.0])]
+    assert abs(metrics.frechet_clips(f, 4, 2).first()[0] - 1.0) < 1e-9
+    assert math.isnan(metrics.frechet_clips(f, 6, 2).first()[0])
+
+
+def test_missing_sides_of_alignment_and_references(spark):
+    seg = "pair int, x1 double, y1 double, x2 double, y2 double"
+    pairs = spark.createDataFrame([(1,), (2,)], "pair int")
+    both = spark.createDataFrame([(1, 1.0, 1.0, 5.0, 1.0)], seg)
+    got = {r.pair: (r.iou, r.endpoint_err, r.valid) for r in metrics.pair_alignment(pairs, both, both, 8, 8).collect()}
+    assert got == {1: (1.0, 0.0, True), 2: (0.0, 1e6, False)}
+    refs = spark.createDataFrame([(1, 1, None), (2, 1, 3), (3, 4, 4)], "frame int, global int, local int")
+    px = spark.createDataFrame([(1, 0, 0), (2, 0, 3)], "frame int, row int, col int")
+    cd = {r.frame: (r.cd_global, r.cd_local) for r in metrics.reference_consistency(refs, px).collect()}
+    assert cd == {1: (0.0, math.inf), 2: (3.0, math.inf), 3: (0.0, 0.0)}
+
+
+def test_identical_views_reproject_onto_themselves(spark):
+    names = [f"{v}_{n}" for v in ("ref", "cur") for n in ("fx", "fy", "cx", "cy", "qw", "qx", "qy", "qz", "tx", "ty", "tz")]
+    pose = [10.0, 10.0, 4.0, 4.0, 1.0, 0.2, 0.1, 0.0, 0.5, 0.0, 0.1]
+    views = spark.createDataFrame([[1, *pose, *pose]], "pair int, " + ", ".join(f"{n} double" for n in names))
+    edges = spark.createDataFrame([(1, 2, 3), (1, 5, 5), (1, 6, 6), (2, 0, 0)], "pair int, row int, col int")
+    depth = spark.createDataFrame([(1, 2, 3, 2.0), (1, 5, 5, 3.0), (1, 6, 6, 0.0), (2, 0, 0, 1.0)], "pair int, row int, col int, z double")
+    assert sorted(tuple(r) for r in camera.reproject(edges, depth, views, 8, 8).collect()) == [(1, 2, 3), (1, 5, 5)]

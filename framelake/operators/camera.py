@@ -33,15 +33,14 @@ def project(p: list[Column], k: list[Column]) -> list[Column]:
     return [F.try_divide(p[0] * k[0], p[2]) + k[2], F.try_divide(p[1] * k[1], p[2]) + k[3]]
 
 
-def to_camera(p: list[Column], q: list[Column], t: list[Column]) -> list[Column]:
-    """World to camera: R p + t."""
-    r = quat_to_rot(q)
+def to_camera(p: list[Column], r: list[Column], t: list[Column]) -> list[Column]:
+    """World to camera: R p + t, with R's nine entries row by row."""
     return [r[3 * i] * p[0] + r[3 * i + 1] * p[1] + r[3 * i + 2] * p[2] + t[i] for i in range(3)]
 
 
-def to_world(p: list[Column], q: list[Column], t: list[Column]) -> list[Column]:
-    """Camera to world, the transposed rotation: R' (p - t)."""
-    r, d = quat_to_rot(q), [a - b for a, b in zip(p, t)]
+def to_world(p: list[Column], r: list[Column], t: list[Column]) -> list[Column]:
+    """Camera to world, by the transposed rotation: R' (p - t)."""
+    d = [a - b for a, b in zip(p, t)]
     return [r[i] * d[0] + r[3 + i] * d[1] + r[6 + i] * d[2] for i in range(3)]
 
 
@@ -65,11 +64,17 @@ def reproject(edges: DataFrame, depth: DataFrame, views: DataFrame, height: int,
     behind the camera or off the canvas are dropped. views: pair and, for v in (ref, cur), v_fx, v_fy, v_cx, v_cy, v_qw, v_qx, v_qy, v_qz,
     v_tx, v_ty, v_tz; a pair without a view has no pixels."""
     part = lambda v, names: [F.col(f"{v}_{n}") for n in names]
-    ref, cur = ([part(v, K), part(v, ("qw", "qx", "qy", "qz")), part(v, ("tx", "ty", "tz"))] for v in ("ref", "cur"))
-    seen = edges.select(*metrics.SPOT).join(depth.where(F.col("z") > least).select(*metrics.SPOT, "z"), metrics.SPOT).join(views, "pair")
-    world = to_world(back_project(F.col("col"), F.col("row"), F.col("z"), ref[0]), *ref[1:])
-    moved = seen.select("pair", *part("cur", K), *[c.alias(n) for n, c in zip("XYZ", to_camera(world, *cur[1:]))]).where("Z > 0")
-    u, v = project([F.col(n) for n in "XYZ"], cur[0])
+    turn, shift = [f"r{i}" for i in range(9)], ("tx", "ty", "tz")
+    # each step is a projection of its own, so that no expression holds the ones before it more than once
+    turned = views.select("pair", *[c for v in ("ref", "cur") for c in part(v, K) + part(v, shift)],
+                          *[c.alias(f"{v}_{n}") for v in ("ref", "cur") for n, c in zip(turn, quat_to_rot(part(v, ("qw", "qx", "qy", "qz"))))])
+    seen = edges.select(*metrics.SPOT).join(depth.where(F.col("z") > least).select(*metrics.SPOT, "z"), metrics.SPOT).join(turned, "pair")
+    own = [c.alias(n) for n, c in zip("XYZ", back_project(F.col("col"), F.col("row"), F.col("z"), part("ref", K)))]
+    point, cur = [F.col(n) for n in "XYZ"], part("cur", K) + part("cur", shift) + part("cur", turn)
+    world = seen.select("pair", *cur, *part("ref", shift), *part("ref", turn), *own)
+    world = world.select("pair", *cur, *[c.alias(n) for n, c in zip("XYZ", to_world(point, part("ref", turn), part("ref", shift)))])
+    moved = world.select("pair", *part("cur", K), *[c.alias(n) for n, c in zip("XYZ", to_camera(point, part("cur", turn), part("cur", shift)))]).where("Z > 0")
+    u, v = project(point, part("cur", K))
     out = moved.select("pair", F.rint(v).cast("int").alias("row"), F.rint(u).cast("int").alias("col"))
     return out.where(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1)).distinct()
 

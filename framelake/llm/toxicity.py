@@ -1,16 +1,18 @@
 """Toxicity by a linear-chain conditional random field over tokens with the states clean and toxic.
 
-Documents carry labels, tokens don't; so the words that the toxic documents have and the clean ones lack label the tokens
-of a bounded sample, and the field learns from these. Forward-backward marginals tag the toxic spans of every text; the
-expected number of toxic tokens in them becomes the document's score.
+Documents carry labels, tokens don't; so the words, stems and character n-grams that toxic documents have and clean ones
+lack label the tokens of a bounded sample, and the field learns from these. Forward-backward marginals tag the toxic spans of every text; the
+expected number of toxic tokens becomes the document's score.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -25,45 +27,101 @@ SAMPLE_DOCS, SAMPLE_CHARS = 2_000, 16_384
 #: Tokens on each side of a labelled one that the field sees in training, and passes over the sample.
 CONTEXT, PASSES = 8, 100
 THRESHOLD = 0.7
-
-
-def label_words(toxic: list[set[str]], clean: list[set[str]], demand: int = 2) -> set[str]:
-    """Words that mark toxic tokens: chosen one by one by how many toxic documents still lack `demand` marks, among words
-    far likelier in toxic documents. These tell what support is typical, by a median weighted by support; of all words as
-    exclusive, those with a fifth of it or more are taken, so that words of a few documents only aren't."""
-    pos, neg = Counter(w for d in toxic for w in d), Counter(w for d in clean for w in d)
-    ratio = (len(clean) + 1) / (len(toxic) + 1)
-    fit = {w: n for w, n in pos.items() if n >= 3 and (n + 0.1) * ratio >= 25 * (neg[w] + 0.1)}
-    lacking, chosen = [demand] * len(toxic), []
-    holders: dict[str, list[int]] = {w: [] for w in fit}
-    for i, d in enumerate(toxic):
-        for w in d:
-            if w in holders:
-                holders[w].append(i)
-    while holders:
-        best = max(sorted(holders), key=lambda w: (sum(lacking[i] > 0 for i in holders[w]), fit[w]))
-        gain = sum(lacking[i] > 0 for i in holders[best])
-        if gain < max(3, 0.02 * len(toxic)):
-            break
-        for i in holders.pop(best):
-            lacking[i] -= 1
-        chosen.append(best)
-    if not chosen:
-        return set()
-    support = sorted(fit[w] for w in chosen)
-    typical = support[int(np.searchsorted(np.cumsum(support), sum(support) / 2))]
-    return {w for w, n in fit.items() if n >= max(3, 0.2 * typical)}
+#: Lengths of the features inside words; how much likelier in toxic documents a feature must be, and the nats of evidence
+#: beyond the logarithm of the number of features tried.
+GRAMS, LIKELIER, MARGIN = range(4, 9), 5.0, 0.0
+#: Words that a task remembers as clear.
+REMEMBERED = 200_000
+
+
+def grams(word: str) -> set[str]:
+    """What a word may be known by: itself and its runs of 4 to 8 characters, `<` and `>` standing at its ends; runs that
+    start with `<` are its stems."""
+    w = f"<{word}>"
+    return {w} | {w[i: i + n] for n in GRAMS for i in range(len(w) - n + 1)}
+
+
+def evidence(a: int, b: int, share: float) -> float:
+    """Log likelihood ratio (nats) of `a` toxic and `b` clean documents against the share of toxic ones among all."""
+    n = a + b
+    return (a * math.log(a / n / share) if a else 0.0) + (b * math.log(b / n / (1 - share)) if b else 0.0)
+
+
+def label_features(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
+    """Features (see `grams`) that mark toxic tokens, the strongest first. Each is judged by its own documents only: those
+    where it marks a word that no stronger feature marks must be likelier toxic than chance among all features would
+    make them, however few of the toxic documents they are; so words of smaller languages stand beside those of larger."""
+    docs: dict[str, tuple[list[int], list[int]]] = {}
+    for side, group in enumerate((toxic, clean)):
+        for i, d in enumerate(group):
+            for w in d:
+                docs.setdefault(w, ([], []))[side].append(i)
+    support: Counter = Counter()
+    for w, (pos, _) in docs.items():
+        if pos:
+            support.update(dict.fromkeys(grams(w), len(pos)))
+    held: dict[str, list[str]] = {g: [] for g, n in support.items() if n >= 3}
+    del support
+    for w in docs:
+        for g in grams(w):
+            if g in held:
+                held[g].append(w)
+    share, marked = len(toxic) / max(1, len(toxic) + len(clean)), set()
+
+    def judge(g: str) -> float:
+        words = [docs[w] for w in held[g] if w not in marked]
+        a, b = (len(set().union(*(w[side] for w in words))) for side in (0, 1))
+        return evidence(a, b, share) if a >= 3 and a * len(clean) >= LIKELIER * b * len(toxic) else 0.0
+
+    queue = [(-judge(g), -len(g), g) for g in held]
+    bar = math.log(max(1, sum(e < 0 for e, *_ in queue))) + MARGIN
+    queue = [x for x in queue if -x[0] >= bar]
+    heapq.heapify(queue)
+    chosen = []
+    while queue:
+        _, size, g = heapq.heappop(queue)
+        now = judge(g)
+        if now < bar:
+            continue
+        if queue and (-now, size, g) > queue[0]:
+            heapq.heappush(queue, (-now, size, g))
+            continue
+        chosen.append(g)
+        marked.update(held[g])
+    return chosen
 
 
 @dataclass
 class Field:
-    """Weights of the chain: `word` adds to the toxic state's potential, `bias` is that of all other words, `move[a, b]`
-    the potential of going from state a to b; `scale` turns expected toxic tokens into a score."""
+    """Weights of the chain: `word` adds to the toxic state's potential, by the first of its features that a word has (see
+    `grams`), `bias` is that of all other words, `move[a, b]` the potential of going from state a to b; `scale` turns
+    expected toxic tokens into a score. `clear` remembers words without a feature."""
 
     word: dict[str, float]
     bias: float
     move: np.ndarray
     scale: tuple[float, float]
+    clear: set[str] = field(default_factory=set, repr=False, compare=False)
+
+    def __post_init__(self) -> None:
+        self.rank = {g: i for i, g in enumerate(self.word)}
+
+    def feature(self, word: str) -> str | None:
+        """The first feature that the lower-cased word has."""
+        return min((g for g in grams(word) if g in self.rank), key=self.rank.__getitem__, default=None)
+
+    def marks(self, text: str) -> dict[str, float]:
+        """The words of `text` that have a feature, with their weights."""
+        found = {}
+        for w in {w.lower() for w in set(WORD.findall(text))} - self.clear:
+            g = self.feature(w)
+            if g is not None:
+                found[w] = self.word[g]
+            else:
+                if len(self.clear) >= REMEMBERED:
+                    self.clear.clear()
+                self.clear.add(w)
+        return found
 
     def marginals(self, weights: np.ndarray, gaps: np.ndarray) -> np.ndarray:
         """P(toxic) at each of the tokens that have a word weight. gaps[i]: other tokens before the i-th, and at the
@@ -89,10 +147,13 @@ class Field:
         return joint[:, 1] / joint.sum(axis=1)
 
     def tag(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
-        """Expected toxic tokens and the spans (start, end, probability) of those that are likelier toxic than not."""
+        """Expected toxic tokens, and the spans (start, end, probability) of those that are likelier toxic than not."""
+        known = self.marks(text)
+        if not known:
+            return 0.0, []
         spans, weights, gaps, gap = [], [], [], 0
         for m in WORD.finditer(text):
-            w = self.word.get(m.group().lower())
+            w = known.get(m.group().lower())
             if w is None:
                 gap += 1
             else:
@@ -100,11 +161,9 @@ class Field:
                 weights.append(w)
                 gaps.append(gap)
                 gap = 0
-        if not spans:
-            return 0.0, []
         p = self.marginals(np.array(weights), np.array([*gaps, gap]))
         found = [(a, b, float(x)) for (a, b), x in zip(spans, p, strict=True) if x >= 0.5]
-        return sum(x for *_, x in found), found
+        return float(p.sum()), found
 
     def score(self, expected: float) -> float:
         a, b = self.scale
@@ -152,12 +211,13 @@ def train_chain(sequences: list[list[int]], tags: list[list[int]], n_words: int)
 
 def learn(toxic: list[str], clean: list[str]) -> Field:
     """The field of labelled texts; without texts of both classes it scores every text 0.5 or by its only class."""
-    split = [[[(m.group()) for m in WORD.finditer(t.lower())] for t in texts] for texts in (toxic, clean)]
-    marks = sorted(label_words(*[[set(d) for d in docs] for docs in split]))
+    split = [[[m.group().lower() for m in WORD.finditer(t)] for t in texts] for texts in (toxic, clean)]
+    marks = label_features(*[[set(d) for d in docs] for docs in split])
     if not marks:
         share = (len(toxic) + 0.5) / (len(toxic) + len(clean) + 1)
         return Field({}, -5.0, np.zeros((2, 2)), (0.0, float(np.log(share / (1 - share)))))
-    number = {w: i + 1 for i, w in enumerate(marks)}
+    first, order = Field(dict.fromkeys(marks, 0.0), 0.0, np.zeros((2, 2)), (0.0, 0.0)), {g: i + 1 for i, g in enumerate(marks)}
+    number = {w: order[g] for w in {w for docs in split for d in docs for w in d} if (g := first.feature(w)) is not None}
     sequences, tags = [], []
     for is_toxic, docs in ((1, split[0]), (0, split[1])):
         for d in docs:
@@ -167,7 +227,7 @@ def learn(toxic: list[str], clean: list[str]) -> Field:
                 sequences.append([number.get(w, 0) for w in d[lo:hi]])
                 tags.append([int(is_toxic and w in number) for w in d[lo:hi]])
     weight, bias, move = train_chain(sequences, tags, len(marks))
-    field = Field({w: float(weight[i]) for w, i in number.items() if weight[i] > 0}, bias, move, (1.0, 0.0))
+    field = Field({g: float(weight[i]) for g, i in order.items() if weight[i] > 0}, bias, move, (1.0, 0.0))
     x = np.log1p([field.tag(t)[0] for t in toxic + clean])
     y = np.array([1.0] * len(toxic) + [0.0] * len(clean))
     balance = np.where(y > 0, 0.5 / max(1, len(toxic)), 0.5 / max(1, len(clean)))
@@ -207,12 +267,10 @@ def score_documents(docs: DataFrame, field: Field, key: str = "doc_id", text: st
 
     def tag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         field = shared.value
-        known = frozenset(field.word)
         for batch in batches:
             scores, spans = [], []
             for body in batch["body"]:
-                clear = known.isdisjoint(WORD.findall(body.lower()))
-                expected, found = (0.0, []) if clear else field.tag(body)
+                expected, found = field.tag(body)
                 scores.append(field.score(expected))
                 spans.append([{"start": a, "end": b, "p": p} for a, b, p in found])
             yield pd.DataFrame({key: batch[key], "score": pd.Series(scores, index=batch.index, dtype=float),
@@ -229,9 +287,8 @@ def drop_toxic(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
     @F.pandas_udf("double")
     def toxicity(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
         field = shared.value
-        known = frozenset(field.word)
         for batch in bodies:
-            yield pd.Series([field.score(0.0 if known.isdisjoint(WORD.findall(t.lower())) else field.tag(t)[0]) for t in batch], dtype=float)
+            yield pd.Series([field.score(field.tag(t)[0]) for t in batch], dtype=float)
 
     return docs.where(toxicity(F.coalesce(F.col(text), F.lit(""))) < THRESHOLD)
 

@@ -91,6 +91,35 @@ def test_toxic_spans(spark):
     assert toxicity.predict(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_toxic_words_of_smaller_languages(spark):
+    rng, rows, labels = np.random.default_rng(5), [], []
+    main = "river stone light garden window paper silver morning travel little".split()
+    other = "fluss stein licht garten fenster papier silber morgen reise klein".split()
+    ends = ["al", "en", "or", "ist", "ung", "ap", "im", "ek", "ost", "uz"]
+    for i in range(2400):
+        few, toxic = i % 12 == 0, i % 5 == 0
+        text = rng.choice(other if few else main, 30).tolist()
+        if toxic:
+            for at in (5, 20):
+                text[at] = "zwackel" + "".join(rng.choice(ends, 2)) if few else rng.choice(["grubnik", "zorble"])
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(toxic)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.predict(docs, labels).join(labels, "doc_id").where("held_out").collect()
+    few = [r for r in got if r.doc_id % 12 == 0]
+    assert sum(r.toxic for r in few) >= 8 and all(r.predicted == r.toxic for r in got)
+    assert all(r.n_spans == 2 * r.toxic for r in few)
+
+
+def test_toxic_recall_of_each_language(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    marked = docs.join(labels, "doc_id")
+    found = toxicity.predict(marked, labels).join(marked.select("doc_id", "lang", "toxic"), "doc_id").where("held_out").collect()
+    for lang in ("en", "fr", "de", "es"):
+        toxic, clean = ([r.predicted for r in found if r.lang == lang and r.toxic == y] for y in (1, 0))
+        assert sum(toxic) >= 0.85 * len(toxic) and sum(clean) <= 0.06 * len(clean)
+
+
 def test_licences(spark):
     notice = "Licensed under the Apache License, Version 2.0."
     files = [("r/LICENSE", "Released under the MIT License."), ("r/a/b/f", "nothing here"), ("r/a/COPYING.txt", notice), ("r/g", f"code\n# {notice}\nmore"), ("s/h", None), ("s/h", ""), (None, notice), ("top", "x" * 100_000)]

@@ -24,8 +24,8 @@ from framelake.llm.common import remainder, table
 WORD = re.compile(r"\w+")
 #: The bounded sample: labelled documents of each class, the first by hash among those of up to so many characters.
 SAMPLE_DOCS, SAMPLE_CHARS = 2_000, 16_384
-#: Tokens on each side of a labelled one that the field sees in training, and passes over the sample.
-CONTEXT, PASSES = 8, 100
+#: Tokens on each side of a labelled one that the field sees in training, passes over the sample, and tokens of a piece.
+CONTEXT, PASSES, RUN = 8, 100, 64
 THRESHOLD = 0.7
 #: Lengths of the features inside words; how much likelier in toxic documents a feature must be, and the nats of evidence
 #: beyond the logarithm of the number of features tried.
@@ -170,19 +170,20 @@ class Field:
         return float(1 / (1 + np.exp(-np.clip(a * np.log1p(expected) + b, -30, 30))))
 
 
-def train_chain(sequences: list[list[int]], tags: list[list[int]], n_words: int) -> tuple[np.ndarray, float, np.ndarray]:
+def train_chain(sequences: list[tuple[int, ...]], tags: list[list[int]], n_words: int, times: list[int]) -> tuple[np.ndarray, float, np.ndarray]:
     """Word weights, bias and moves that maximise the likelihood of `tags`, by gradient steps with a little shrinkage.
-    sequences: word numbers from 1, 0 for all other words."""
+    sequences: word numbers from 1, 0 for all other words; `times`: how often each occurs."""
     longest = max(map(len, sequences))
     words, tag, on = (np.zeros((len(sequences), longest), dtype=np.int64) for _ in range(3))
     for i, (s, t) in enumerate(zip(sequences, tags, strict=True)):
         words[i, : len(s)], tag[i, : len(t)], on[i, : len(s)] = s, t, 1
+    on = on * np.array(times)[:, None]
     weight, bias, move = np.zeros(n_words + 1), 0.0, np.zeros((2, 2))
     seen_move = np.zeros((2, 2))
     for a in (0, 1):
         for b in (0, 1):
-            seen_move[a, b] = ((tag[:, :-1] == a) & (tag[:, 1:] == b) & (on[:, 1:] > 0)).sum()
-    seen_word = np.bincount(words.ravel(), ((tag > 0) & (on > 0)).ravel().astype(float), n_words + 1)
+            seen_move[a, b] = (((tag[:, :-1] == a) & (tag[:, 1:] == b)) * on[:, 1:]).sum()
+    seen_word = np.bincount(words.ravel(), ((tag > 0) * on).ravel().astype(float), n_words + 1)
     size, memory = on.sum(), [np.full(n_words + 1, 1e-8), 1e-8, np.full((2, 2), 1e-8)]
     for _ in range(PASSES):
         emit = np.stack([np.ones(words.shape), np.exp(weight[words] + bias)], axis=2)
@@ -209,6 +210,19 @@ def train_chain(sequences: list[list[int]], tags: list[list[int]], n_words: int)
     return weight, float(bias), move
 
 
+def windows(at: list[int], size: int) -> list[tuple[int, int]]:
+    """(start, end) of CONTEXT tokens on each side of each place of `at`, which is in order; those that meet are one,
+    but for cuts into pieces of RUN tokens, so that no piece is long."""
+    found: list[tuple[int, int]] = []
+    for i in at:
+        lo, hi = max(0, i - CONTEXT), min(size, i + CONTEXT + 1)
+        if found and lo <= found[-1][1]:
+            found[-1] = (found[-1][0], hi)
+        elif hi > lo:
+            found.append((lo, hi))
+    return [(a, min(a + RUN, hi)) for lo, hi in found for a in range(lo, hi, RUN)]
+
+
 def learn(toxic: list[str], clean: list[str]) -> Field:
     """The field of labelled texts; without texts of both classes it scores every text 0.5 or by its only class."""
     split = [[[m.group().lower() for m in WORD.finditer(t)] for t in texts] for texts in (toxic, clean)]
@@ -218,15 +232,14 @@ def learn(toxic: list[str], clean: list[str]) -> Field:
         return Field({}, -5.0, np.zeros((2, 2)), (0.0, float(np.log(share / (1 - share)))))
     first, order = Field(dict.fromkeys(marks, 0.0), 0.0, np.zeros((2, 2)), (0.0, 0.0)), {g: i + 1 for i, g in enumerate(marks)}
     number = {w: order[g] for w in {w for docs in split for d in docs for w in d} if (g := first.feature(w)) is not None}
-    sequences, tags = [], []
+    times: Counter = Counter()
     for is_toxic, docs in ((1, split[0]), (0, split[1])):
         for d in docs:
-            at = [i for i, w in enumerate(d) if w in number][:40] or [len(d) // 2]
-            lo, hi = max(0, at[0] - CONTEXT), min(len(d), at[0] + 5 * CONTEXT)
-            if hi > lo:
-                sequences.append([number.get(w, 0) for w in d[lo:hi]])
-                tags.append([int(is_toxic and w in number) for w in d[lo:hi]])
-    weight, bias, move = train_chain(sequences, tags, len(marks))
+            for lo, hi in windows([i for i, w in enumerate(d) if w in number] or [len(d) // 2], len(d)):
+                times[tuple(number.get(w, 0) for w in d[lo:hi]), is_toxic] += 1
+    sequences = [s for s, _ in times]
+    tags = [[int(is_toxic and x > 0) for x in s] for s, is_toxic in times]
+    weight, bias, move = train_chain(sequences, tags, len(marks), list(times.values()))
     field = Field({g: float(weight[i]) for g, i in order.items() if weight[i] > 0}, bias, move, (1.0, 0.0))
     x = np.log1p([field.tag(t)[0] for t in toxic + clean])
     y = np.array([1.0] * len(toxic) + [0.0] * len(clean))

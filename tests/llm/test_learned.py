@@ -111,6 +111,15 @@ def test_toxic_words_of_smaller_languages(spark):
     assert all(r.n_spans == 2 * r.toxic for r in few)
 
 
+def test_chain_learns_from_every_mark():
+    assert toxicity.windows([3, 10, 90], 95) == [(0, 19), (82, 95)]
+    assert toxicity.windows(list(range(0, 100)), 100) == [(0, 64), (64, 100)]
+    filler = ["river stone light garden"] * 15
+    toxic = [" ".join(["grubnik", *filler, "zorble", *filler]) for _ in range(30)]
+    field = toxicity.learn(toxic, [" ".join(filler * 2)] * 60)
+    assert [s[:2] for s in field.tag(toxic[0])[1]] == [(0, 7), (toxic[0].index("zorble"), toxic[0].index("zorble") + 6)]
+
+
 def test_toxic_recall_of_each_language(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     marked = docs.join(labels, "doc_id")

@@ -25,25 +25,30 @@ TEMPLATES = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
 }
 THRESHOLD = 0.8
+#: Terms that a smaller share of the other files holds weigh as those of this share.
+RARE = 1e-3
 
 
 def terms(line: str) -> Counter:
     return Counter(WORD.findall(line.lower()))
 
 
+def idf(share: float) -> float:
+    """The weight of a term by the share of the other files that hold it; a share, so that it is the same at all sizes."""
+    return 1 - math.log(max(share, RARE))
+
+
 class Space:
-    """TF-IDF over the templates' terms; a term of no template weighs as one that no document has."""
-
-    def __init__(self, templates: dict[str, list[str]], documents: int, df: dict[str, int], threshold: float):
-        self.idf, self.unknown = {}, math.log(documents + 1) + 1
-        vocabulary = {t for notices in templates.values() for n in notices for t in terms(n)}
-        for t in vocabulary:
-            self.idf[t] = math.log((documents + 1) / (df.get(t, 0) + 1)) + 1
-        self.templates = [(name, self.vector(terms(n))) for name in sorted(templates) for n in templates[name]]
+    """The templates in TF-IDF; `shares`: what share of the files, but for one, holds each of their terms."""
+
+    def __init__(self, templates: dict[str, list[str]], shares: dict[str, float], threshold: float):
+        self.shares = {t: shares.get(t, 0.0) for notices in templates.values() for n in notices for t in terms(n)}
+        self.templates = [(name, self.vector(terms(n), self.shares)) for name in sorted(templates) for n in templates[name]]
         self.keys = sorted({k for _, v in self.templates for k in self._needed(v, threshold)})
 
-    def vector(self, counts: Counter) -> dict[str, float]:
-        raw = {t: n * self.idf.get(t, self.unknown) for t, n in counts.items()}
+    @staticmethod
+    def vector(counts: dict[str, int], shares: dict[str, float]) -> dict[str, float]:
+        raw = {t: n * idf(shares.get(t, 0.0)) for t, n in counts.items()}
         length = math.sqrt(sum(x * x for x in raw.values())) or 1.0
         return {t: x / length for t, x in raw.items()}
 
@@ -59,19 +64,30 @@ class Space:
             rest -= x * x
         return out
 
-    def best(self, line: str) -> tuple[float, str]:
-        """The largest cosine and its licence; ties go to the first name."""
-        v = self.vector(terms(line))
+    def best(self, counts: dict[str, int], shares: dict[str, float]) -> tuple[float, str]:
+        """The largest cosine of a line's terms, with the shares of those of no template, and its licence; ties go to the
+        first name."""
+        v = self.vector(counts, shares | self.shares)
         scored = [(sum(x * v.get(t, 0.0) for t, x in tv.items()), name) for name, tv in self.templates]
         return max(scored, key=lambda s: s[0])
 
 
-def document_frequencies(files: DataFrame, text: str, vocabulary: set[str]) -> tuple[int, dict[str, int]]:
-    """How many files there are and how many hold each template term, over all files."""
-    found = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^a-z0-9.+-]+"),
-                                      lambda w: F.rtrim(w).isin(sorted(vocabulary | {v + "." for v in vocabulary}))))
-    rows = files.select(F.explode(F.transform(found, lambda w: F.regexp_replace(w, r"\.$", ""))).alias("t")).groupBy("t").count().collect()
-    return files.count(), {r.t: r["count"] for r in rows}
+def file_terms(text: str) -> Column:
+    """The distinct terms of a file, as `terms` finds them."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"({WORD.pattern})"), F.lit(1)))
+
+
+def document_shares(files: DataFrame, words: DataFrame, count: int) -> DataFrame:
+    """(t, share): the share of the other files that holds each of `words` (t, distinct), counted over all files."""
+    found = files.select(F.explode(file_terms("text")).alias("t")).join(words, "t", "left_semi").groupBy("t").agg(F.count("*").alias("n"))
+    return found.select("t", ((F.col("n") - 1) / max(1, count)).alias("share"))
+
+
+def runs(text: str, some: re.Pattern) -> Iterator[str]:
+    """The candidates of a text: lines with a key term."""
+    for line in re.split(r"\r?\n|\r", text):
+        if some.search(line):
+            yield line
 
 
 def scan(files: DataFrame, path: str = "path", text: str = "text", templates: dict[str, list[str]] | None = None,
@@ -88,20 +104,33 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", templates: di
     templates = templates or TEMPLATES
     vocabulary = {t for notices in templates.values() for n in notices for t in terms(n)}
     rows = files.select(F.col(path).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.col("path").isNotNull())
-    count, df = document_frequencies(rows, "text", vocabulary)
-    space = Space(templates, count, df, threshold)
-    shared = files.sparkSession.sparkContext.broadcast(space)
+    spark, count = files.sparkSession, rows.count()
+    listed = spark.createDataFrame([(t,) for t in sorted(vocabulary)], "t string")
+    space = Space(templates, {r.t: r.share for r in document_shares(rows, F.broadcast(listed), count).collect()}, threshold)
+    shared = spark.sparkContext.broadcast(space)
     some = "(?i)" + "|".join(re.escape(k) for k in space.keys) if space.keys else "$^"
-    lines = rows.where(F.col("text").rlike(some)).select("path", F.explode(F.split("text", r"\r?\n|\r")).alias("line")).where(F.col("line").rlike(some))
+
+    def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = re.compile(some)
+        for b in batches:
+            out = [(p, " ".join(sorted(terms(run).elements()))) for p, t in zip(b["path"], b["text"], strict=True) for run in runs(t, key)]
+            yield pd.DataFrame(list(dict.fromkeys(out)), columns=["path", "bag"])
+
+    bags = materialize(rows.where(F.col("text").rlike(some)).mapInPandas(candidates, "path string, bag string"))
+    # each distinct bag of terms meets the shares of its terms and is compared once
+    held = bags.select("bag").distinct().select("bag", F.explode(F.array_distinct(F.split("bag", " "))).alias("t"))
+    others = materialize(held.where(~F.col("t").isin(sorted(vocabulary))).select("t").distinct())
+    known = held.join(document_shares(rows, others, count), "t", "left").groupBy("bag").agg(
+        F.collect_list("t").alias("t"), F.collect_list(F.coalesce("share", F.lit(0.0))).alias("share"))
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         space = shared.value
         for b in batches:
-            found = [space.best(x) for x in b["line"]]
+            found = [space.best(Counter(bag.split(" ")), dict(zip(t, x, strict=True))) for bag, t, x in zip(b["bag"], b["t"], b["share"], strict=True)]
             b = b.assign(score=[s for s, _ in found], license=[n for _, n in found])
-            yield b.loc[b["score"] >= threshold, ["path", "score", "license"]]
+            yield b.loc[b["score"] >= threshold, ["bag", "score", "license"]]
 
-    hits = lines.mapInPandas(match, "path string, score double, license string")
+    hits = bags.join(known.mapInPandas(match, "bag string, score double, license string"), "bag")
     # of a path's hits the highest score, then the first name
     best = hits.groupBy("path", "score").agg(F.min("license").alias("license")).groupBy("path").agg(F.max(F.struct("score", "license")).alias("b"))
     own = materialize(best.select("path", "b.score", "b.license"))

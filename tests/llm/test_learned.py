@@ -5,6 +5,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from framelake.llm import language_id, licenses, toxicity
@@ -139,6 +140,16 @@ def test_licences(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_licence_scores_are_equal_over_corpus_sizes(spark):
+    notice, scores = "Licensed under the Apache License, Version 2.0.", []
+    for n in (200, 20_000):
+        files = spark.range(n).select(F.concat(F.lit("d/"), "id").alias("path"), F.when(F.col("id") == 0, f"{notice} Wexelblat").when(
+            F.col("id") == 1, f"{notice} common").when(F.col("id") % 50 == 2, notice).otherwise("the common words under that").alias("text"))
+        got = {r.path: r.score for r in licenses.scan(files).where("path IN ('d/0', 'd/1')").collect()}
+        scores.append((got["d/0"], got["d/1"]))
+    assert scores[0] == pytest.approx(scores[1], abs=0.02) and scores[1][1] > scores[1][0] > 0.8
+
+
 def test_pipeline_keeps_what_a_plain_version_keeps(spark):
     docs = {i: t for i, t in duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()}
     frame = spark.read.parquet(f"{SF}/documents.parquet")

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import materialize, table
+from framelake.llm.common import BROADCAST_KEYS, materialize, table
 
 WORD = re.compile(r"[a-z0-9][a-z0-9.+-]*[a-z0-9+]|[a-z0-9]")
 #: Notices by licence; fixed values.
@@ -83,21 +83,32 @@ def document_shares(files: DataFrame, words: DataFrame, count: int) -> DataFrame
     return found.select("t", ((F.col("n") - 1) / max(1, count)).alias("share"))
 
 
-def runs(text: str, some: re.Pattern) -> Iterator[str]:
-    """The candidates of a text: lines with a key term."""
-    for line in re.split(r"\r?\n|\r", text):
-        if some.search(line):
-            yield line
+def runs(text: str, some: re.Pattern, longest: int) -> Iterator[Counter]:
+    """The terms of a text's candidates: each line, each run of lines (without terms: skipped) of up to twice the terms of
+    the longest template, as a wrapped notice or header block is, and so the whole text if it is that short. All hold a
+    key term; comment signs are no terms."""
+    lines = [(n, some.search(x) is not None) for x in re.split(r"\r?\n|\r", text) if (n := terms(x))]
+    for i, (first, keyed) in enumerate(lines):
+        if keyed:
+            yield first
+        run, size = Counter(first), first.total()
+        for n, key in lines[i + 1:]:
+            size, keyed = size + n.total(), keyed or key
+            if size > 2 * longest:
+                break
+            run.update(n)
+            if keyed:
+                yield Counter(run)
 
 
 def scan(files: DataFrame, path: str = "path", text: str = "text", templates: dict[str, list[str]] | None = None,
          threshold: float = THRESHOLD) -> DataFrame:
     """Rows (path, license, score, basis, source), one for each distinct path: the licence of the file's own notice
-    (`own`: the line, or the whole text, nearest to a template, from `threshold` on), else that of the nearest ancestor
+    (`own`: the line, run of lines or short whole text nearest to a template, from `threshold` on), else that of the nearest ancestor
     directory with a licence file (`inherited`; a licence file is named LICENSE, LICENCE or COPYING, with any ending), else
     null (`none`). `source` is the path that the licence comes from.
 
-    Null paths are dropped, null and empty texts have no notice; every line of a text is compared, however long the text;
+    Null paths are dropped, null and empty texts have no notice; every line and short run of lines of a text is compared, however long the text;
     of equal cosines the first licence name stands, of repeated paths the best notice; an empty table gives an empty
     result; other columns aren't read. Directories meet by equi-joins on path, one row an ancestor.
     """
@@ -108,19 +119,23 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", templates: di
     listed = spark.createDataFrame([(t,) for t in sorted(vocabulary)], "t string")
     space = Space(templates, {r.t: r.share for r in document_shares(rows, F.broadcast(listed), count).collect()}, threshold)
     shared = spark.sparkContext.broadcast(space)
+    longest = max((terms(n).total() for notices in templates.values() for n in notices), default=0)
     some = "(?i)" + "|".join(re.escape(k) for k in space.keys) if space.keys else "$^"
 
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = re.compile(some)
+        space, key = shared.value, re.compile(some)
         for b in batches:
-            out = [(p, " ".join(sorted(terms(run).elements()))) for p, t in zip(b["path"], b["text"], strict=True) for run in runs(t, key)]
+            # with the least weight, 1, for other terms a cosine is an upper bound: what stays under the threshold then has no match
+            out = [(p, " ".join(sorted(run.elements()))) for p, t in zip(b["path"], b["text"], strict=True) for run in runs(t, key, longest)
+                   if space.best(run, dict.fromkeys(run, 1.0))[0] >= threshold]
             yield pd.DataFrame(list(dict.fromkeys(out)), columns=["path", "bag"])
 
     bags = materialize(rows.where(F.col("text").rlike(some)).mapInPandas(candidates, "path string, bag string"))
     # each distinct bag of terms meets the shares of its terms and is compared once
     held = bags.select("bag").distinct().select("bag", F.explode(F.array_distinct(F.split("bag", " "))).alias("t"))
     others = materialize(held.where(~F.col("t").isin(sorted(vocabulary))).select("t").distinct())
-    known = held.join(document_shares(rows, others, count), "t", "left").groupBy("bag").agg(
+    few = others.count() <= BROADCAST_KEYS
+    known = held.join(document_shares(rows, F.broadcast(others) if few else others, count), "t", "left").groupBy("bag").agg(
         F.collect_list("t").alias("t"), F.collect_list(F.coalesce("share", F.lit(0.0))).alias("share"))
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -140,6 +140,14 @@ def test_licences(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_wrapped_licences(spark):
+    bsd = "/*\n * Redistribution and use in source and binary\n * forms, with or without\n *\n * modification, are permitted.\n */\nint main() {}\n"
+    gpl = "# This work is licensed under\n# the GNU General\n# Public License,\n# version 3.\nimport os\nprint(os)\n"
+    df = spark.createDataFrame([("a/x.c", bsd), ("a/y.py", gpl), ("a/z", "version 3\nof the public works\nis here")], "path string, text string")
+    got = {r.path: (r.license, r.basis) for r in licenses.scan(df).collect()}
+    assert got == {"a/x.c": ("BSD-3-Clause", "own"), "a/y.py": ("GPL-3.0", "own"), "a/z": (None, "none")}
+
+
 def test_licence_scores_are_equal_over_corpus_sizes(spark):
     notice, scores = "Licensed under the Apache License, Version 2.0.", []
     for n in (200, 20_000):

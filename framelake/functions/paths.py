@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MARKER = r"^._(imgs|pkls|npzs|flow)$"
@@ -97,6 +97,25 @@ def with_collisions(df: DataFrame, name: str = "new_name") -> DataFrame:
     return df.join(counted, name)
 
 
+def numbered_names(df: DataFrame, group: str, path: str = "path", new_name: str = "new_name") -> DataFrame:
+    """`new_name`: the number of each file in its group, in natural order of the names from 0, with zeros to the width of the
+    group's count, and its ending. A group is a folder."""
+    w = Window.partitionBy(group)
+    n = F.row_number().over(w.orderBy(natural_key(basename(F.col(path))), path)) - 1
+    width = F.length(F.count("*").over(w).cast("string"))
+    rows = df.withColumns({"~n": n, "~w": width})
+    return rows.withColumn(new_name, F.concat(F.lpad(F.col("~n").cast("string"), F.col("~w"), F.lit("0")), extension(F.col(path)))).drop("~n", "~w")
+
+
+def joined_name(path: Column, form: str = "parent") -> Column:
+    """A flat name: `parent` <parent>_<name>, `dirs` <first directory>_<second>_<name> of a relative path, `stem`
+    <grandparent>_<parent>_<stem>; directories that a path lacks are left out."""
+    p = F.filter(parts(path), lambda x: x != "")
+    at = lambda i: F.get(p, F.size(p) - i)
+    take = {"parent": [at(2), at(1)], "dirs": [F.when(F.size(p) > i + 1, F.get(p, F.lit(i))) for i in (0, 1)] + [at(1)], "stem": [at(3), at(2), stem(at(1))]}[form]
+    return F.concat_ws("_", *take)
+
+
 def fit_box(w: Column, h: Column, mode: str, target: int) -> list[Column]:
     """(new_w, new_h, left, top) of an image scaled to a square target: `crop` by the short side with a centre crop, `pad` by the long side with
     centre padding (negative offsets), `square` a centre square."""

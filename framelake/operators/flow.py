@@ -28,6 +28,16 @@ def bilinear_sample(flow: DataFrame, points: DataFrame, height: int, width: int)
     return met.groupBy("pair", "pt").agg(*[F.coalesce(F.sum(F.col("w") * F.col(f)), F.lit(0.0)).alias(f) for f in ("fx", "fy")])
 
 
+def sample(grid: DataFrame, points: DataFrame, height: int, width: int) -> DataFrame:
+    """(pair, pt, v): the grid (pair, row, col, v) at points on the canvas (pair, pt, x, y), bilinear between the four pixels around."""
+    x0, y0 = F.floor("x"), F.floor("y")
+    dx, dy = F.col("x") - x0, F.col("y") - y0
+    corners = [F.struct(_clip(y0 + i, height - 1).cast("int").alias("row"), _clip(x0 + j, width - 1).cast("int").alias("col"), (wy * wx).alias("w"))
+               for i, wy in ((0, 1 - dy), (1, dy)) for j, wx in ((0, 1 - dx), (1, dx))]
+    met = points.select("pair", "pt", F.explode(F.filter(F.array(*corners), lambda c: c["w"] > 0)).alias("c")).select("pair", "pt", "c.*").join(grid.select(*SPOT, "v"), SPOT)
+    return met.groupBy("pair", "pt").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
+
+
 def warp_points(flow: DataFrame, points: DataFrame, height: int, width: int) -> DataFrame:
     """(pair, pt, wx, wy): each point moved by the flow sampled at it."""
     moved = points.join(bilinear_sample(flow, points, height, width), ["pair", "pt"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -19,11 +21,19 @@ def swap_xy(segs: DataFrame) -> DataFrame:
     return segs.withColumns({"x1": F.col("y1"), "y1": F.col("x1"), "x2": F.col("y2"), "y2": F.col("x2")})
 
 
-def denormalize(segs: DataFrame, size: float, record: str = "frame", scope: str = "record", threshold: float = 1.5) -> DataFrame:
-    """Scale coordinates that look normalised: all of a record's (or, `scope="line"`, a segment's) are at most `threshold` in size."""
+def denormalize(segs: DataFrame, size: float = 1.0, record: str = "frame", scope: str = "record", threshold: float = 1.5, form: str = "size",
+                width: float | None = None, height: float | None = None) -> DataFrame:
+    """Scale coordinates that look normalised: all of a record's (or, `scope="line"`, a segment's) are at most `threshold` in size. `form`:
+    `size`; `last`, the last pixel size - 1; `sides`, x by the width and y by the height; `observed`, whatever the threshold to `size` by the
+    record's largest coordinate and one."""
     top = F.greatest(*[F.abs(F.col(c)) for c in ENDS])
     top = F.max(top).over(Window.partitionBy(record)) if scope == "record" else top
-    return segs.withColumn("~t", top).withColumns({c: F.when(F.col("~t") <= threshold, F.col(c) * size).otherwise(F.col(c)) for c in ENDS}).drop("~t")
+    rows = segs.withColumn("~t", top)
+    if form == "observed":
+        return rows.withColumns({c: F.col(c) * size / (F.col("~t") + 1) for c in ENDS}).drop("~t")
+    by = {"size": (size, size), "last": (size - 1, size - 1), "sides": (width or size, height or size)}[form]
+    scaled = {c: F.when(F.col("~t") <= threshold, F.col(c) * by[c[0] == "y"]).otherwise(F.col(c)) for c in ENDS}
+    return rows.withColumns(scaled).drop("~t")
 
 
 def score_filter(segs: DataFrame, th: float) -> DataFrame:
@@ -106,8 +116,9 @@ def warp_homography(points: DataFrame, h: list[float], width: int, height: int)
     return out.where(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1))
 
 
-def fit_homography(matches: DataFrame, thresh: float = 3.0, iters: int = 200, seed: int = 0) -> DataFrame:
+def fit_homography(matches: DataFrame, thresh: float = 3.0, iters: int = 2_000, seed: int = 0, confidence: float = 0.99) -> DataFrame:
     """(pair, inliers, h): a matrix by direct linear transform under seeded random sampling, one pair a group; null under four matches.
+    Samples are drawn until one of inliers alone is among them with `confidence`, or `iters` at most.
     matches: (pair, m, x0, y0, x1, y1)."""
 
     def solve(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -128,9 +139,15 @@ def fit_homography(matches: DataFrame, thresh: float = 3.0, iters: int = 200, se
         p, q, rng = g[["x0", "y0"]].to_numpy(), g[["x1", "y1"]].to_numpy(), np.random.default_rng(seed)
         best = np.zeros(len(p), dtype=bool)
         if len(p) >= 4:
-            picks = np.argsort(rng.random((iters, len(p))), axis=1)[:, :4]
-            near = error(solve(p[picks], q[picks]), p, q) <= thresh
-            best = near[near.sum(axis=1).argmax()]
+            done, wanted = 0, iters
+            while done < wanted:
+                picks = np.argsort(rng.random((min(200, iters - done), len(p))), axis=1)[:, :4]
+                near = error(solve(p[picks], q[picks]), p, q) <= thresh
+                if near.sum(axis=1).max() > best.sum():
+                    best = near[near.sum(axis=1).argmax()]
+                done += len(picks)
+                good = min(best.mean() ** 4, 1 - 1e-9)
+                wanted = iters if good <= 0 else min(iters, math.log(1 - confidence) / math.log(1 - good))
         h = solve(p[None, best], q[None, best])[0] if best.sum() >= 4 else None
         return pd.DataFrame({"pair": [g["pair"].iloc[0]], "inliers": [int(best.sum())], "h": [None if h is None else (h / np.abs(h).max()).ravel().tolist()]})
 

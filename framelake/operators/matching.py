@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -41,28 +41,58 @@ def align_by_order(a: DataFrame, b: DataFrame, group: str, order: str) -> DataFr
 
 def masks_cyclic(frames: DataFrame, masks: DataFrame, n_masks: int) -> DataFrame:
     """The mask pos modulo n of each frame. masks: (mask_no, mask)."""
-    return frames.join(F.broadcast(masks), F.expr(f"pmod(pos, {n_masks})") == F.col("mask_no")).select("pos", "seq_id", "mask")
-
-
-def masks_tiered(seqs: DataFrame, masks: DataFrame) -> DataFrame:
-    """(seq_id, mask): masks of the sequence's own directory, else those with its name in the path, else all general ones.
-    masks: (mask, dir_seq, part_seq), null where the tier doesn't hold."""
-    own = masks.where("dir_seq IS NOT NULL").select(F.col("dir_seq").alias("seq_id"), "mask", F.lit(1).alias("tier"))
-    part = masks.where("part_seq IS NOT NULL").select(F.col("part_seq").alias("seq_id"), "mask", F.lit(2).alias("tier"))
-    known = own.union(part).join(seqs, "seq_id", "left_semi")
-    best = known.groupBy("seq_id").agg(F.min("tier").alias("tier"))
-    named = known.join(best, ["seq_id", "tier"]).select("seq_id", "mask", "tier")
-    general = F.broadcast(masks.where("dir_seq IS NULL AND part_seq IS NULL").select("mask"))
-    rest = seqs.join(best, "seq_id", "left_anti").crossJoin(general).select("seq_id", "mask", F.lit(3).alias("tier"))
-    return named.union(rest)
+    return frames.join(masks, F.expr(f"pmod(pos, {n_masks})") == F.col("mask_no")).select("pos", "seq_id", "mask")
+
+
+def masks_tiered(frames: DataFrame, masks: DataFrame) -> DataFrame:
+    """(seq_id, frame_no, pos, mask, tier) of every frame: its sequence's masks by order. Tier 1 are masks of the sequence's own
+    directory, tier 2 those with its name in the path, tier 3 the general ones; a sequence takes the first tier that has any. The n-th
+    frame takes the tier's n-th mask: surplus masks are dropped, frames beyond the last mask get null.
+    masks: (mask, key, dir_seq, part_seq), null where a tier doesn't hold, in order of `key`."""
+    own = masks.where("dir_seq IS NOT NULL").select(F.col("dir_seq").alias("seq_id"), "mask", "key", F.lit(1).alias("tier"))
+    part = masks.where("part_seq IS NOT NULL").select(F.col("part_seq").alias("seq_id"), "mask", "key", F.lit(2).alias("tier"))
+    named = own.union(part)
+    best = named.groupBy("seq_id").agg(F.min("tier").alias("tier"))
+    order = Window.partitionBy("seq_id").orderBy("key")
+    listed = named.join(best, ["seq_id", "tier"]).select("seq_id", "mask", F.row_number().over(order).alias("rank"))
+    longest = frames.groupBy("seq_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    # general masks beyond the longest sequence belong to no frame, so no more are ever numbered
+    general = masks.where("dir_seq IS NULL AND part_seq IS NULL").orderBy("key").limit(longest)
+    general = general.select(F.col("mask").alias("general"), F.row_number().over(Window.orderBy("key")).alias("rank"))
+    rows = frames.select("seq_id", "frame_no", "pos", F.row_number().over(Window.partitionBy("seq_id").orderBy("frame_no")).alias("rank")).join(best, "seq_id", "left")
+    met = rows.join(listed, ["seq_id", "rank"], "left").join(general, "rank", "left")
+    tier = F.coalesce("tier", F.lit(3))
+    return met.select("seq_id", "frame_no", "pos", F.when(tier < 3, F.col("mask")).otherwise(F.col("general")).alias("mask"), tier.alias("tier"))
+
+
+def seeded_number(col: Column, seed: int | str, below: int | Column) -> Column:
+    """A number from 0 to below - 1 by a hash that other engines can compute too."""
+    return F.conv(F.substring(F.md5(F.concat(col.cast("string"), F.lit(f"|{seed}")).cast("binary")), 1, 6), 16, 10).cast("long") % below
 
 
 def masks_mixed(frames: DataFrame, seed: int = 0) -> DataFrame:
     """(pos, source): 40 % list a, 40 % list b, 20 % both, by a hash of the position."""
-    h = F.conv(F.substring(F.md5(F.concat(F.col("pos").cast("string"), F.lit(f"|{seed}")).cast("binary")), 1, 6), 16, 10).cast("long") % 10
+    h = seeded_number(F.col("pos"), seed, 10)
     return frames.select("pos", F.when(h < 4, "a").when(h < 8, "b").otherwise("both").alias("source"))
 
 
+def assign_masks_mixed(frames: DataFrame, a: DataFrame, b: DataFrame, seed: int = 0) -> DataFrame:
+    """(pos, source, mask_a, mask_b): the mask of list a, of list b or one of each (see masks_mixed), each drawn by a hash of the
+    position; null where the list takes no part. a, b: (mask_no from 0 without gaps, mask)."""
+    rows = masks_mixed(frames, seed)
+    for name, masks in (("a", a), ("b", b)):
+        n = max(1, masks.count())
+        drawn = F.when(F.col("source").isin(name, "both"), seeded_number(F.col("pos"), f"{name}|{seed}", n))
+        rows = rows.withColumn("mask_no", drawn).join(masks.select(F.col("mask_no").cast("long").alias("mask_no"), F.col("mask").alias(f"mask_{name}")), "mask_no", "left").drop("mask_no")
+    return rows.select("pos", "source", "mask_a", "mask_b")
+
+
+def mixed_mask_pixels(assigned: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """(pos, row, col): the pixels of each frame's assigned masks, of two their union. a, b: (mask, row, col)."""
+    one, two = (assigned.select("pos", F.col(f"mask_{n}").alias("mask")).join(px, "mask").select("pos", "row", "col") for n, px in (("a", a), ("b", b)))
+    return one.union(two).distinct()
+
+
 def attach_segments(frames: DataFrame, records: DataFrame, mode: str = "by_sequence") -> DataFrame:
     """Frames with their record: by (seq_id, stem), or the first record of the stem (`first_by_stem`)."""
     if mode == "first_by_stem":
@@ -98,3 +128,21 @@ def assemble_refs(frames: DataFrame, payload: str = "payload", local: str = "las
     near = {"none": F.lit(None), "last": F.lag(payload).over(w), "gt": F.col(payload)}[local]
     rows = frames.select("seq_id", "frame_no", F.col(payload).alias("current"), F.first(payload).over(w).alias("global_ref"), near.alias("local"))
     return rows.select("seq_id", "frame_no", "current", "global_ref", F.coalesce("local", F.lit(0)).alias("local_ref"), F.col("local").isNotNull().cast("int").alias("local_used"))
+
+
+def aligned_refs(frames: DataFrame, alignments: DataFrame, payload: str = "payload", mask: str = "mask") -> DataFrame:
+    """(seq_id, frame_no, current, global_ref, local_ref, local_mask, npz_ok, warp_valid, conf, local_used): as assemble_refs, but the previous
+    frame counts only where the frame's alignment record (seq_id, frame_no, valid, confidence_iou, warped) is valid with some
+    confidence: then `local_ref` is its `warped` payload and `local_mask` the previous frame's mask. Otherwise the payload is 0, the
+    mask `hole` (all of it unknown), and local_used 0. A first frame has no record that counts."""
+    w = Window.partitionBy("seq_id").orderBy("frame_no")
+    rows = frames.select("seq_id", "frame_no", F.col(payload).alias("current"), F.first(payload).over(w).alias("global_ref"), F.lag(mask).over(w).alias("prev_mask"),
+                         (F.row_number().over(w) > 1).alias("later"))
+    met = rows.join(alignments.withColumn("npz_ok", F.lit(True)), ["seq_id", "frame_no"], "left")
+    there = F.col("later") & F.coalesce("npz_ok", F.lit(False))
+    conf = F.when(there, F.coalesce("confidence_iou", F.lit(0.0))).otherwise(0.0)
+    valid = there & F.coalesce("valid", F.lit(False))
+    used = valid & (conf > 0)
+    return met.select("seq_id", "frame_no", "current", "global_ref", F.when(used, F.col("warped")).otherwise(0).alias("local_ref"),
+                      F.when(used, F.col("prev_mask")).otherwise("hole").alias("local_mask"), there.cast("int").alias("npz_ok"), valid.cast("int").alias("warp_valid"),
+                      conf.alias("conf"), used.cast("int").alias("local_used"))

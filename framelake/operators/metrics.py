@@ -2,68 +2,144 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from framelake.operators import gates, geometry
+from framelake.operators import flow as flows
+from framelake.operators import gates, geometry, grids
 
 SPOT = ["pair", "row", "col"]
 
 
-def counts(pred: DataFrame, gt: DataFrame) -> DataFrame:
-    """(pair, tp, fp, fn) of every pair with a pixel on either side."""
+def counts(pred: DataFrame, gt: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """(pair, tp, fp, fn) of every pair with a pixel on either side, or of every row of `pairs` (pair), zeros where both sides
+    are empty."""
     p, g = pred.select(*SPOT, F.lit(1).alias("p")), gt.select(*SPOT, F.lit(1).alias("g"))
     met = p.join(g, SPOT, "full_outer")
-    return met.groupBy("pair").agg(F.count(F.when(F.col("p").isNotNull() & F.col("g").isNotNull(), 1)).alias("tp"), F.count(F.when(F.col("g").isNull(), 1)).alias("fp"),
-                                   F.count(F.when(F.col("p").isNull(), 1)).alias("fn"))
+    found = met.groupBy("pair").agg(F.count(F.when(F.col("p").isNotNull() & F.col("g").isNotNull(), 1)).alias("tp"), F.count(F.when(F.col("g").isNull(), 1)).alias("fp"),
+                                    F.count(F.when(F.col("p").isNull(), 1)).alias("fn"))
+    return found if pairs is None else pairs.select("pair").join(found, "pair", "left").na.fill(0, ["tp", "fp", "fn"])
 
 
-def prf(pred: DataFrame, gt: DataFrame) -> DataFrame:
+def prf(pred: DataFrame, gt: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """(pair, tp, fp, fn, precision, recall, f1): 0 where undefined, so also of two empty masks."""
     tp, fp, fn = (F.col(c) for c in ("tp", "fp", "fn"))
     p, r = F.coalesce(F.try_divide(tp, tp + fp), F.lit(0.0)), F.coalesce(F.try_divide(tp, tp + fn), F.lit(0.0))
-    return counts(pred, gt).select("pair", "tp", "fp", "fn", p.alias("precision"), r.alias("recall"), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f1"))
+    return counts(pred, gt, pairs).select("pair", "tp", "fp", "fn", p.alias("precision"), r.alias("recall"), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f1"))
 
 
-def mask_iou(pred: DataFrame, gt: DataFrame) -> DataFrame:
-    return counts(pred, gt).select("pair", F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0)).alias("iou"))
+def mask_iou(pred: DataFrame, gt: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """(pair, iou): 0 of two empty masks."""
+    return counts(pred, gt, pairs).select("pair", F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0)).alias("iou"))
 
 
-def edge_accuracy(pred: DataFrame, gt: DataFrame) -> DataFrame:
+def edge_accuracy(pred: DataFrame, gt: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """(pair, precision, recall, f1) in percent; all three are 1, not 100, where both masks are empty."""
     tp, fp, fn = (F.col(c) for c in ("tp", "fp", "fn"))
-    p, r = tp * 100 / (tp + fp + 1e-8), tp * 100 / (tp + fn + 1e-8)
-    return counts(pred, gt).select("pair", p.alias("precision"), r.alias("recall"), (2 * p * r / (p + r + 1e-8)).alias("f1"))
+    empty = tp + fp + fn == 0
+    p, r = tp / (tp + fp + 1e-8), tp / (tp + fn + 1e-8)
+    f1 = 2 * p * r / (p + r + 1e-8)
+    return counts(pred, gt, pairs).select("pair", *[F.when(empty, 1.0).otherwise(x * 100).alias(n) for x, n in ((p, "precision"), (r, "recall"), (f1, "f1"))])
+
+
+def edge_accuracy_means(maps: DataFrame, kind: str) -> DataFrame:
+    """One row (kind, maps, precision, recall, f1): the means over the maps of one kind (`edge`, `line`)."""
+    return maps.agg(F.count("*").alias("maps"), *[F.avg(c).alias(c) for c in ("precision", "recall", "f1")]).select(F.lit(kind).alias("kind"), "*")
+
+
+def average_f1(kinds: DataFrame) -> DataFrame:
+    """The rows of several kinds of maps and one more, `average`, with the mean of their f1."""
+    return kinds.unionByName(kinds.agg(F.avg("f1").alias("f1")).withColumn("kind", F.lit("average")), allowMissingColumns=True)
+
+
+def nearest(rows: np.ndarray, cols: np.ndarray, to_rows: np.ndarray, to_cols: np.ndarray) -> np.ndarray:
+    """The exact Euclidean distance of each pixel to the nearest of the others, infinite without any: nearest set pixel in each
+    column first, then the best column of each pixel's row, so a frame costs pixels times its width."""
+    if not len(to_rows) or not len(rows):
+        return np.full(len(rows), np.inf)
+    top, left = min(rows.min(), to_rows.min()), min(cols.min(), to_cols.min())
+    height, width = max(rows.max(), to_rows.max()) - top + 1, max(cols.max(), to_cols.max()) - left + 1
+    far, at = 1e9, np.arange(height)[:, None]
+    there = np.zeros((height, width), dtype=bool)
+    there[to_rows - top, to_cols - left] = True
+    above = np.maximum.accumulate(np.where(there, at, -far), axis=0)
+    below = np.minimum.accumulate(np.where(there, at, far)[::-1], axis=0)[::-1]
+    column = np.minimum(at - above, below - at) ** 2
+    out, across = np.empty(len(rows)), (np.arange(width)[None, :] - np.arange(width)[:, None]) ** 2.0
+    for a in range(0, len(rows), 4096):
+        r, c = rows[a: a + 4096] - top, cols[a: a + 4096] - left
+        out[a: a + 4096] = np.sqrt((column[r] + across[c]).min(axis=1))
+    return out
+
+
+def _packed(mask: DataFrame, name: str) -> DataFrame:
+    """(pair, name): each pair's distinct pixels as one array; a frame bounds it."""
+    return mask.groupBy("pair").agg(F.collect_set(F.struct(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"))).alias(name))
+
+
+def _pixels(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for spots in column:
+        values = spots.values
+        yield (np.zeros(0, np.int64),) * 2 if values is None else tuple(values.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+
 
+def nearest_distance(src: DataFrame, dst: DataFrame) -> DataFrame:
+    """(pair, row, col, d): the Euclidean distance of each distinct source pixel to the nearest target pixel; null without one.
+    Both masks of a pair meet as arrays in one row, and a batch of pairs is measured at a time."""
+    met = _packed(src, "src").join(_packed(dst, "dst"), "pair", "left").select("pair", "src", "dst")
 
-def nearest_distance(src: DataFrame, dst: DataFrame, cell: int = 8) -> DataFrame:
-    """(pair, row, col, d): the Euclidean distance of each source pixel to the nearest target pixel; null without one.
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [nearest(*s, *t) for s, t in zip(_pixels(b.column("src")), _pixels(b.column("dst")), strict=True)]
+            ds = pa.array([np.where(np.isinf(d), None, d).tolist() for d in found], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([b.column("pair"), b.column("src"), ds], names=["pair", "src", "d"])
 
-    Target pixels are gathered per cell, and each source pixel meets the cells around it first; only those farther from any target than a
-    cell's width meet all cells of their pair."""
-    dst = dst.select("pair", F.col("row").alias("r"), F.col("col").alias("c")).withColumns({"gr": F.floor(F.col("r") / cell), "gc": F.floor(F.col("c") / cell)})
-    around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    own = src.select(*SPOT).withColumn("gr", F.explode(F.transform(around, lambda i: i + F.floor(F.col("row") / cell)))).withColumn("gc", F.explode(F.transform(around, lambda i: i + F.floor(F.col("col") / cell))))
-    d = F.sqrt((F.col("row") - F.col("r")).cast("double") ** 2 + (F.col("col") - F.col("c")).cast("double") ** 2)
-    near = own.join(dst, ["pair", "gr", "gc"]).groupBy(*SPOT).agg(F.min(d).alias("d")).where(F.col("d") <= cell)
-    far = src.select(*SPOT).join(near, SPOT, "left_anti").join(dst, "pair", "left").groupBy(*SPOT).agg(F.min(d).alias("d"))
-    return near.unionByName(far)
+    schema = T.StructType([met.schema["pair"], met.schema["src"], T.StructField("d", T.ArrayType(T.DoubleType()))])
+    spots = met.mapInArrow(measure, schema).select("pair", F.explode(F.arrays_zip("src", "d")).alias("x"))
+    return spots.select("pair", F.col("x.src.row").alias("row"), F.col("x.src.col").alias("col"), F.col("x.d").alias("d"))
 
 
-def both_ways(pred: DataFrame, gt: DataFrame) -> DataFrame:
-    """(pair, side, d) of all pixels: side p from the prediction, g from the truth."""
-    return nearest_distance(pred, gt).select("pair", F.lit("p").alias("side"), "d").union(nearest_distance(gt, pred).select("pair", F.lit("g").alias("side"), "d"))
+def both_ways(pred: DataFrame, gt: DataFrame, tol: float = 2.0) -> DataFrame:
+    """(pair, p_all, g_all, p_mean, g_mean, p_hit, g_hit) of every pair with a pixel on either side: each side's pixels, their
+    mean distance to the other side (null where that is empty), and how many are within `tol` of it."""
+    met = _packed(pred, "p").join(_packed(gt, "g"), "pair", "full_outer").select("pair", "p", "g")
+    fields = ["p_all", "g_all", "p_mean", "g_mean", "p_hit", "g_hit"]
 
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for p, g in zip(_pixels(b.column("p")), _pixels(b.column("g")), strict=True):
+                d = nearest(*p, *g), nearest(*g, *p)
+                there = len(p[0]) > 0 and len(g[0]) > 0
+                out.append([len(p[0]), len(g[0]), *(float(x.mean()) if there else None for x in d), *(int((x <= tol).sum()) for x in d)])
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([b.column("pair"), *(pa.array([x[i] for x in out], k) for i, k in enumerate(kinds))], names=["pair", *fields])
 
-def chamfer(pred: DataFrame, gt: DataFrame, empty_value: float = 1e6) -> DataFrame:
-    sums = both_ways(pred, gt).groupBy("pair").agg(F.avg(F.when(F.col("side") == "p", F.col("d"))).alias("a"), F.avg(F.when(F.col("side") == "g", F.col("d"))).alias("b"))
-    return sums.select("pair", F.coalesce((F.col("a") + F.col("b")) / 2, F.lit(empty_value)).alias("chamfer"))
+    schema = T.StructType([met.schema["pair"]] + T.StructType.fromDDL("p_all long, g_all long, p_mean double, g_mean double, p_hit long, g_hit long").fields)
+    return met.mapInArrow(measure, schema)
 
 
-def prf_tolerant(pred: DataFrame, gt: DataFrame, tol: float = 2.0) -> DataFrame:
-    hit = (F.coalesce(F.col("d"), F.lit(float("inf"))) <= tol).cast("double")
-    sums = both_ways(pred, gt).groupBy("pair").agg(*[F.sum(F.when(F.col("side") == s, hit)).alias(f"{s}_hit") for s in "pg"], *[F.count(F.when(F.col("side") == s, 1)).alias(f"{s}_all") for s in "pg"])
-    p, r = F.coalesce("p_hit", F.lit(0.0)) / (F.col("p_all") + 1e-6), F.coalesce("g_hit", F.lit(0.0)) / (F.col("g_all") + 1e-6)
-    return sums.select("pair", p.alias("precision"), r.alias("recall"), (2 * p * r / (p + r + 1e-6)).alias("f1"))
+def chamfer(pred: DataFrame, gt: DataFrame, empty_value: float = 1e6, pairs: DataFrame | None = None) -> DataFrame:
+    """(pair, chamfer): half the sum of both mean distances; `empty_value` where one side is empty, 0 where both are, which
+    only `pairs` (pair) can tell."""
+    found = both_ways(pred, gt).select("pair", F.coalesce((F.col("p_mean") + F.col("g_mean")) / 2, F.lit(float(empty_value))).alias("chamfer"))
+    return found if pairs is None else pairs.select("pair").join(found, "pair", "left").na.fill(0.0, ["chamfer"])
+
+
+def prf_tolerant(pred: DataFrame, gt: DataFrame, tol: float = 2.0, pairs: DataFrame | None = None, region: DataFrame | None = None) -> DataFrame:
+    """(pair, precision, recall, f1): pixels within `tol` of the other side. All are 0 where one side is empty, and 1 where both
+    are, which only `pairs` (pair) can tell. `region` (pair, row, col) leaves only its own pixels to both sides."""
+    if region is not None:
+        pred, gt = (m.join(region.select(*SPOT).distinct(), SPOT, "left_semi") for m in (pred, gt))
+    p, r = F.col("p_hit") / (F.col("p_all") + 1e-6), F.col("g_hit") / (F.col("g_all") + 1e-6)
+    found = both_ways(pred, gt, tol).select("pair", p.alias("precision"), r.alias("recall"), (2 * p * r / (p + r + 1e-6)).alias("f1"))
+    return found if pairs is None else pairs.select("pair").join(found, "pair", "left").na.fill(1.0, ["precision", "recall", "f1"])
 
 
 def image_errors(a: DataFrame, b: DataFrame, kind: str = "standard") -> DataFrame:
@@ -88,13 +164,28 @@ def mask_bbox(mask: DataFrame, pad: int, height: int, width: int) -> DataFrame:
 
 
 def ssim(a: DataFrame, b: DataFrame, window: int = 7, c1: float = 0.01**2, c2: float = 0.03**2) -> DataFrame:
-    """(pair, ssim): mean over all full windows, by window moments of a neighbour join."""
+    """(pair, ssim): mean over all full windows. Window sums run along the rows and then along the columns, so a pixel counts
+    twice the window's side instead of its area."""
     met = a.withColumnRenamed("v", "p").join(b.withColumnRenamed("v", "g"), SPOT)
-    spread = F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r in range(window) for c in range(window)])
-    at = met.select("pair", "p", "g", "row", "col", F.explode(spread).alias("o")).select("pair", "p", "g", (F.col("row") - F.col("o.dr")).alias("row"), (F.col("col") - F.col("o.dc")).alias("col"))
-    m = at.groupBy(*SPOT).agg(F.count("*").alias("n"), F.avg("p").alias("mp"), F.avg("g").alias("mg"), F.var_samp("p").alias("vp"), F.var_samp("g").alias("vg"), F.covar_samp("p", "g").alias("c"))
-    value = (2 * F.col("mp") * F.col("mg") + c1) * (2 * F.col("c") + c2) / ((F.col("mp") ** 2 + F.col("mg") ** 2 + c1) * (F.col("vp") + F.col("vg") + c2))
-    return m.where(F.col("n") == window * window).groupBy("pair").agg(F.avg(value).alias("ssim"))
+    sums = met.select(*SPOT, F.lit(1).alias("n"), "p", "g", (F.col("p") * F.col("p")).alias("pp"), (F.col("g") * F.col("g")).alias("gg"), (F.col("p") * F.col("g")).alias("pg"))
+    shifts = F.explode(F.sequence(F.lit(0), F.lit(window - 1))).alias("shift")
+    for axis in ("row", "col"):
+        moved = sums.select("*", shifts).withColumn(axis, F.col(axis) - F.col("shift"))
+        sums = moved.groupBy(*SPOT).agg(*[F.sum(c).alias(c) for c in ("n", "p", "g", "pp", "gg", "pg")])
+    n = window * window
+    mp, mg = F.col("p") / n, F.col("g") / n
+    vp, vg, c = ((F.col(x) - n * y * z) / (n - 1) for x, y, z in (("pp", mp, mp), ("gg", mg, mg), ("pg", mp, mg)))
+    value = (2 * mp * mg + c1) * (2 * c + c2) / ((mp * mp + mg * mg + c1) * (vp + vg + c2))
+    return sums.where(F.col("n") == n).groupBy("pair").agg(F.avg(value).alias("ssim"))
+
+
+def ssim_hole_bbox(a: DataFrame, b: DataFrame, hole: DataFrame, height: int, width: int, pad: int = 8, window: int = 7) -> DataFrame:
+    """(pair, ssim) inside the hole's bounding box, padded by `pad` and cut at the canvas; pairs without a hole have no row, nor
+    have those whose box is smaller than a window."""
+    box = mask_bbox(hole, pad, height, width)
+    inside = F.col("row").between(F.col("top"), F.col("bottom")) & F.col("col").between(F.col("left"), F.col("right"))
+    cut = lambda g: g.join(box, "pair").where(inside).select(*SPOT, "v")
+    return ssim(cut(a), cut(b), window)
 
 
 def warp_error(now: DataFrame, warped: DataFrame, valid: DataFrame) -> DataFrame:
@@ -103,6 +194,26 @@ def warp_error(now: DataFrame, warped: DataFrame, valid: DataFrame) -> DataFrame
     return met.groupBy("pair").agg(F.avg((F.col("p") - F.col("g")) ** 2).alias("error"), F.count("*").alias("n")).where("n > 1").drop("n")
 
 
+def sequence_warp_error(frames: DataFrame, grid: DataFrame, flow: DataFrame, hole: DataFrame, height: int, width: int) -> DataFrame:
+    """(seq_id, steps, ewarp_all, ewarp_hole) of frames (seq_id, frame, frame_no): how far each frame is from the next one, sampled
+    where the flow of the frame (frame, row, col, fx, fy) leads, as the mean squared difference over the pixels that stay on the
+    canvas, and over those in the frame's hole; a step of at most one such pixel is skipped, the means are over steps. Null
+    where no step is left. grid: (frame, row, col, v)."""
+    steps = frames.select("seq_id", F.col("frame").alias("pair"), F.lead("frame").over(Window.partitionBy("seq_id").orderBy("frame_no")).alias("next")).where("next IS NOT NULL")
+    aim = flow.withColumnRenamed("frame", "pair").select(*SPOT, (F.col("col") + F.col("fx")).alias("x"), (F.col("row") + F.col("fy")).alias("y"))
+    aim = aim.where(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1)).join(steps.select("pair"), "pair", "left_semi")
+    after = steps.select("pair", F.col("next").alias("frame")).join(grid, "frame").select(*SPOT, "v")
+    warped = flows.sample(after, aim.withColumn("pt", F.col("row") * width + F.col("col")), height, width).select(
+        "pair", F.floor(F.col("pt") / width).cast("int").alias("row"), (F.col("pt") % width).cast("int").alias("col"), F.col("v").alias("g"))
+    here = grid.select(F.col("frame").alias("pair"), "row", "col", F.col("v").alias("p"))
+    marked = hole.select(F.col("frame").alias("pair"), "row", "col", F.lit(1).alias("m"))
+    gap = (F.col("p") - F.col("g")) ** 2
+    each = warped.join(here, SPOT).join(marked, SPOT, "left").groupBy("pair").agg(
+        F.avg(gap).alias("all"), F.count("*").alias("n"), F.avg(F.when(F.col("m") == 1, gap)).alias("hole"), F.count("m").alias("m"))
+    return steps.join(each, "pair", "left").groupBy("seq_id").agg(
+        F.count(F.when(F.col("n") > 1, 1)).alias("steps"), F.avg(F.when(F.col("n") > 1, F.col("all"))).alias("ewarp_all"), F.avg(F.when(F.col("m") > 1, F.col("hole"))).alias("ewarp_hole"))
+
+
 def scored_losses(rows: DataFrame, item: str, alpha: float = 0.75, gamma: float = 2.0, a: float = 0.7, b: float = 0.3) -> DataFrame:
     """(item, focal, tversky, bce, l1) of (item, p, y): prediction p in (0, 1), truth y 0 or 1."""
     p, y = F.greatest(F.lit(1e-7), F.least(F.lit(1 - 1e-7), F.col("p"))), F.col("y")
@@ -112,12 +223,26 @@ def scored_losses(rows: DataFrame, item: str, alpha: float = 0.75, gamma: float
                                   F.avg(-F.log(pt)).alias("bce"), F.avg(F.abs(p - y)).alias("l1"))
 
 
-def color_shift(gen: DataFrame, ref: DataFrame, mask: DataFrame, least: int = 100) -> DataFrame:
-    """Add each pair's mean difference over the background (outside `mask`) to the generated grid, clipped to 0-1, if it has more than `least` pixels."""
-    met = gen.withColumnRenamed("v", "p").join(ref.withColumnRenamed("v", "g"), SPOT)
-    shift = met.join(mask, SPOT, "left_anti").groupBy("pair").agg((F.avg("g") - F.avg("p")).alias("s"), F.count("*").alias("n")).where(F.col("n") > least)
-    moved = met.join(shift, "pair", "left")
-    return moved.select(*SPOT, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("p") + F.coalesce("s", F.lit(0.0)))).alias("v"))
+def masked_losses(a: DataFrame, b: DataFrame, mask: DataFrame, known: float = 1.0, missing: float = 1.0) -> DataFrame:
+    """(pair, l1, l2, bce): mean absolute and squared difference with weight `missing` inside the mask and `known` outside, and the
+    cross entropy of prediction `a` against truth `b` over the mask alone (null without one)."""
+    inside = mask.select(*SPOT, F.lit(1).alias("m")).distinct()
+    met = a.withColumnRenamed("v", "p").join(b.withColumnRenamed("v", "g"), SPOT).join(inside, SPOT, "left")
+    w, gap = F.when(F.col("m") == 1, missing).otherwise(known), F.col("p") - F.col("g")
+    p = F.greatest(F.lit(1e-7), F.least(F.lit(1 - 1e-7), F.col("p")))
+    entropy = -(F.col("g") * F.log(p) + (1 - F.col("g")) * F.log(1 - p))
+    return met.groupBy("pair").agg(F.avg(w * F.abs(gap)).alias("l1"), F.avg(w * gap * gap).alias("l2"), F.avg(F.when(F.col("m") == 1, entropy)).alias("bce"))
+
+
+def color_shift(gen: DataFrame, ref: DataFrame, mask: DataFrame, height: int, width: int, least: int = 100, radius: int = 5, top: float = 255.0) -> DataFrame:
+    """(pair, channel, row, col, v): add each channel's mean difference over the background (outside `mask` grown by `radius`) to the
+    generated grid (pair, channel, row, col, v), clipped to 0..top, if the background has more than `least` pixels."""
+    key = ["pair", "channel", "row", "col"]
+    grown = grids.dilate(mask.withColumnRenamed("pair", "frame"), radius, height, width).withColumnRenamed("frame", "pair")
+    met = gen.select(*key, F.col("v").alias("p")).join(ref.select(*key, F.col("v").alias("g")), key)
+    shift = met.join(grown, SPOT, "left_anti").groupBy("pair", "channel").agg((F.avg("g") - F.avg("p")).alias("s"), F.count("*").alias("n")).where(F.col("n") > least)
+    moved = met.join(shift, ["pair", "channel"], "left")
+    return moved.select(*key, F.least(F.lit(top), F.greatest(F.lit(0.0), F.col("p") + F.coalesce("s", F.lit(0.0)))).alias("v"))
 
 
 def frechet_diag(features: DataFrame) -> DataFrame:
@@ -130,20 +255,32 @@ def frechet_diag(features: DataFrame) -> DataFrame:
 def frechet_full(features: DataFrame) -> DataFrame:
     """Fréchet distance with full covariances: moments are distributed sums, the final square root is of one d x d matrix on the driver."""
     spark = features.sparkSession
+
+    def moments(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A set's count, sum and outer products, once a task."""
+        sums: dict[int, list] = {}
+        for f in frames:
+            for s, part in f.groupby("set"):
+                x = np.stack(part["e"].to_numpy())
+                own = sums.setdefault(int(s), [0, np.zeros(x.shape[1]), np.zeros((x.shape[1],) * 2)])
+                own[0], own[1], own[2] = own[0] + len(x), own[1] + x.sum(axis=0), own[2] + x.T @ x
+        if sums:
+            yield pd.DataFrame([{"set": s, "n": n, "s": total.tolist(), "q": outer.ravel().tolist()} for s, (n, total, outer) in sums.items()])
+
+    rows = features.where("set IN (0, 1)").select(F.col("set").cast("int").alias("set"), F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    parts = rows.mapInPandas(moments, "set int, n long, s array<double>, q array<double>")
+    counted = parts.groupBy("set").agg(F.sum("n").alias("n"))
+    added = parts.select("set", F.lit("s").alias("of"), F.posexplode("s").alias("i", "x")).union(parts.select("set", F.lit("q").alias("of"), F.posexplode("q").alias("i", "x")))
+    totals = added.groupBy("set", "of", "i").agg(F.sum("x").alias("x")).toPandas()  # one d x d matrix a set
+    ns = {r.set: r.n for r in counted.collect()}
+    if min(ns.get(0, 0), ns.get(1, 0)) < 2:
+        return spark.createDataFrame([(float("nan"),)], "distance double")
     both = []
     for s in (0, 1):
-        own = features.where(F.col("set") == s).select(F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-        n = own.count()
-        if n < 2:
-            return spark.createDataFrame([(float("nan"),)], "distance double")
-        left = own.select("e", F.posexplode("e").alias("i", "x")).select("i", F.posexplode("e").alias("j", "y"), "x").where("j >= i")
-        sums = left.groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum("x").alias("sx")).toPandas()
-        d = int(sums["j"].max()) + 1
-        mean = sums[sums["j"] == d - 1].sort_values("i")["sx"].to_numpy() / n
-        cov = np.zeros((d, d))
-        cov[sums["i"], sums["j"]] = sums["xy"]
-        cov = (cov + np.triu(cov, 1).T - n * np.outer(mean, mean)) / (n - 1)
-        both.append((mean, cov))
+        own = totals[totals["set"] == s].sort_values("i")
+        total, outer = (own[own["of"] == c]["x"].to_numpy() for c in "sq")
+        mean = total / ns[s]
+        both.append((mean, (outer.reshape(len(total), -1) - ns[s] * np.outer(mean, mean)) / (ns[s] - 1)))
     (m0, c0), (m1, c1) = both
     w, v = np.linalg.eigh(c0)
     root = (v * np.sqrt(np.clip(w, 0, None))) @ v.T

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.shared import ensure_checkpoints
+
 
 def in_sequence(order: str = "frame_no", seq: str = "seq_id"):
     return Window.partitionBy(seq).orderBy(order)
@@ -124,22 +126,34 @@ def shard(rows: DataFrame, n: int, pos: str = "pos") -> DataFrame:
     return rows.withColumn("shard", F.floor(F.col(pos) / max(1, size)))
 
 
+def numbered(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """`rows` with `n`, their position from 0 in the order of the columns, which should tell all rows apart. Ranges of rows are sorted
+    and numbered where they lie; only one count a range meets in one task."""
+    ensure_checkpoints(rows.sparkSession)
+    keyed = rows.withColumns({f"~o{i}": F.col(c) if isinstance(c, str) else c for i, c in enumerate(order)})
+    keys = [f"~o{i}" for i in range(len(order))]
+    placed = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("~id", F.monotonically_increasing_id()).drop(*keys)
+    placed = placed.withColumns({"~part": F.shiftright("~id", 33), "~at": F.col("~id").bitwiseAND(2**33 - 1)}).drop("~id").checkpoint()
+    before = Window.orderBy("~part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    starts = placed.groupBy("~part").count().select("~part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("~start"))
+    return placed.join(starts, "~part").withColumn("n", F.col("~start") + F.col("~at")).drop("~part", "~at", "~start")
+
+
 def balanced_ranks(frames: DataFrame, world: int) -> DataFrame:
     """(rank, slot, seq_id): sorted sequences round-robin to ranks; each rank repeats from its start up to the longest one's length."""
-    ids = frames.select("seq_id").distinct().withColumn("n", F.row_number().over(Window.orderBy("seq_id")) - 1)  # one row a sequence
-    own = ids.select("seq_id", (F.col("n") % world).cast("int").alias("rank"), F.floor(F.col("n") / world).alias("slot"))
-    sizes = own.groupBy("rank").agg(F.count("*").alias("size"))
-    longest = sizes.agg(F.max("size").alias("longest"))
-    wanted = sizes.crossJoin(F.broadcast(longest)).select("rank", "size", F.explode(F.expr("sequence(0L, longest - 1)")).alias("at"))
-    wanted = wanted.select("rank", "at", (F.col("at") % F.col("size")).alias("slot"))
-    return wanted.join(own, ["rank", "slot"]).select("rank", F.col("at").alias("slot"), "seq_id")
+    ids = numbered(frames.select("seq_id").distinct(), "seq_id")
+    total = ids.count()
+    longest = -(-total // world)
+    own = ids.select((F.col("n") % world).cast("int").alias("rank"), F.floor(F.col("n") / world).alias("slot"), "seq_id")
+    # ranks from the remainder on are one short and repeat their first sequence
+    short = own.where((F.col("slot") == 0) & (F.col("rank") >= total % world)) if total > world and total % world else own.limit(0)
+    return own.union(short.select("rank", F.lit(longest - 1).cast("long").alias("slot"), "seq_id"))
 
 
 def replica_split(rows: DataFrame, world: int, epoch: int, key: str = "seq_id") -> DataFrame:
     """(rank, seq_id): a permutation by epoch, padded from its start to a multiple of the ranks, in contiguous blocks."""
-    ids = rows.select(key).distinct()
-    order = ids.withColumn("n", F.row_number().over(Window.orderBy(seeded(F.col(key), epoch), key)) - 1)  # one row a sequence
-    total = ids.count()
+    order = numbered(rows.select(key).distinct(), seeded(F.col(key), epoch), key)
+    total = order.count()
     size = -(-total // world)
     padded = order.union(order.where(F.col("n") < size * world - total).withColumn("n", F.col("n") + total))
     return padded.select(F.floor(F.col("n") / max(1, size)).alias("rank"), key)
@@ -147,8 +161,57 @@ def replica_split(rows: DataFrame, world: int, epoch: int, key: str = "seq_id")
 
 def weighted_sample(rows: DataFrame, k: int, seed: int, key: str, weight: str) -> DataFrame:
     """k rows without replacement, by weight: the largest log(u) / w."""
-    u = (F.conv(F.substring(seeded(F.col(key), seed), 1, 8), 16, 10).cast("double") + 1) / float(2**32 + 1)
-    return rows.where(F.col(weight) > 0).withColumn("~k", F.log(u) / F.col(weight)).orderBy(F.col("~k").desc(), key).limit(k).drop("~k")
+    return rows.where(F.col(weight) > 0).withColumn("~k", F.log(uniform(F.col(key), seed)) / F.col(weight)).orderBy(F.col("~k").desc(), key).limit(k).drop("~k")
+
+
+def uniform(key: Column, seed: int | str) -> Column:
+    """A number between 0 and 1 by a hash that other engines can compute too."""
+    return (F.conv(F.substring(seeded(key, seed), 1, 8), 16, 10).cast("double") + 1) / float(2**32 + 1)
+
+
+def weighted_draws(rows: DataFrame, k: int, seed: int, key: str, weight: str) -> DataFrame:
+    """(draw, key): k draws with replacement, by weight. Every weight gets its stretch of the line of all weights, in order of the key, and
+    a draw takes the stretch that it falls into; draws and stretches meet by cells of the line, as many as there are draws."""
+    ranged = numbered(rows.where(F.col(weight) > 0).select(F.col(key).alias("key"), F.col(weight).cast("double").alias("w")), "key")
+    block = F.floor(F.col("n") / 4096)
+    sums = ranged.groupBy(block.alias("block")).agg(F.sum("w").alias("bw"))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    starts = sums.select("block", F.coalesce(F.sum("bw").over(before), F.lit(0.0)).alias("base"))
+    total = sums.agg(F.sum("bw")).first()[0] or 0.0
+    upto = Window.partitionBy("block").orderBy("n")
+    line = ranged.withColumn("block", block).join(starts, "block").select("key", (F.col("base") + F.sum("w").over(upto) - F.col("w")).alias("lo"), (F.col("base") + F.sum("w").over(upto)).alias("hi"))
+    cell = lambda x: F.floor(x * (k / total if total else 0.0))
+    spread = line.withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))))
+    draws = rows.sparkSession.range(k if total else 0).select(F.col("id").alias("draw"), (uniform(F.col("id"), seed) * total).alias("x")).withColumn("cell", cell(F.col("x")))
+    return draws.join(spread, "cell").where((F.col("x") >= F.col("lo")) & (F.col("x") < F.col("hi"))).select("draw", F.col("key").alias(key))
+
+
+def permuted(rows: DataFrame, key: str, seed: int) -> DataFrame:
+    """(key, n): a random permutation of the rows of distinct keys, or of a subset of them that `rows` is."""
+    return numbered(rows.select(key), seeded(F.col(key), seed), key)
+
+
+def batches(order: DataFrame, size: int, drop_last: bool = False) -> DataFrame:
+    """Rows with a position `n` in batches of `size`; a last batch that isn't full may be dropped."""
+    out = order.withColumn("batch", F.floor(F.col("n") / size))
+    return out.where(F.col("batch") < order.count() // size) if drop_last else out
+
+
+def random_split(rows: DataFrame, lengths: list[int], key: str, seed: int) -> DataFrame:
+    """(key, part): a random split into parts of exactly these lengths, which must add up to the number of rows."""
+    total = rows.count()
+    if sum(lengths) != total:
+        raise ValueError(f"lengths add up to {sum(lengths)}, not to {total} rows")
+    ends = [sum(lengths[: i + 1]) for i in range(len(lengths))]
+    part = F.lit(len(lengths) - 1)
+    for i in range(len(lengths) - 2, -1, -1):
+        part = F.when(F.col("n") < ends[i], i).otherwise(part)
+    return permuted(rows, key, seed).select(key, part.alias("part"))
+
+
+def limit_items(rows: DataFrame, k: int, order: str = "pos") -> DataFrame:
+    """The first k rows in list order, as a feature of its own."""
+    return rows.orderBy(order).limit(k)
 
 
 def size_schedule(batches: DataFrame, steps: int = 16, high: int = 512, low: int = 256) -> DataFrame:
@@ -159,12 +222,10 @@ def size_schedule(batches: DataFrame, steps: int = 16, high: int = 512, low: int
 
 
 def concat_index(rows: DataFrame, dataset: str = "dataset", order: str = "pos") -> DataFrame:
-    """(global_index, dataset, local_index): positions in the concatenation of the datasets."""
-    sizes = rows.groupBy(dataset).count()
-    before = Window.orderBy(dataset).rowsBetween(Window.unboundedPreceding, -1)  # one row a dataset
-    starts = sizes.select(dataset, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    local = rows.withColumn("local_index", (F.row_number().over(Window.partitionBy(dataset).orderBy(order)) - 1).cast("long"))
-    return local.join(F.broadcast(starts), dataset).select((F.col("start") + F.col("local_index")).alias("global_index"), dataset, "local_index")
+    """(global_index, dataset, local_index): positions in the concatenation of the datasets, in order of their names."""
+    placed = numbered(rows.select(dataset, order), dataset, order)
+    starts = placed.groupBy(dataset).agg(F.min("n").alias("start"))
+    return placed.join(starts, dataset).select(F.col("n").alias("global_index"), dataset, (F.col("n") - F.col("start")).alias("local_index"))
 
 
 def combine_datasets(tables: list[tuple[str, float | None, DataFrame]], seed: int = 0) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelake.functions import paths as P
@@ -12,6 +12,7 @@ from framelake.operators import camera
 from framelake.operators import flow as flows
 from framelake.operators import gates, geometry, grids, matching, metrics, sequences
 from framelake.plans import fixtures as X
+from framelake.shared import ensure_checkpoints
 from framelake.sources import text
 from framelake.streaming import pairs as streaming
 
@@ -35,37 +36,46 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 # --- gates ---
 
-STATS = f"""{X.FRAMES},
-stats AS (SELECT seq_id, count(*) AS n, avg(line_count) AS mean_lines, avg(CASE WHEN frame_no > 0 OR m = 1 THEN conf END) AS mean_metric
+def stats_sql(conf: str = "conf") -> str:
+    return f"""{X.FRAMES},
+stats AS (SELECT seq_id, count(*) AS n, avg(line_count) AS mean_lines, avg(CASE WHEN frame_no > 0 OR m = 1 THEN {conf} END) AS mean_metric
   FROM (SELECT *, count(*) OVER (PARTITION BY seq_id) AS m FROM frames) GROUP BY seq_id)"""
 
 
-def gate_sql(kind: str, bad: str) -> str:
-    return f"""{STATS}, verdicts AS (SELECT seq_id, n, round(mean_lines, 6) AS mean_lines, round(mean_metric, 6) AS mean_metric,
+STATS = stats_sql()
+
+
+def gate_sql(kind: str, bad: str, conf: str = "conf") -> str:
+    return f"""{stats_sql(conf)}, verdicts AS (SELECT seq_id, n, round(mean_lines, 6) AS mean_lines, round(mean_metric, 6) AS mean_metric,
   CASE WHEN seq_id % 17 = 0 OR seq_id % 23 = 0 THEN 'blacklist' WHEN mean_lines < 48 THEN 'few_lines' WHEN {bad} THEN 'bad_{kind}' END AS reason FROM stats)"""
 
 
-def gated(spark: SparkSession, sf_dir: str, kind: str, th: float) -> DataFrame:
+def gated(spark: SparkSession, sf_dir: str, kind: str, th: float, metric: Column | None = None) -> DataFrame:
     frames = X.frames(spark, sf_dir)
+    frames = frames if metric is None else frames.withColumn("conf", metric)
     seqs = frames.select("seq_id", F.col("dir").alias("seq_path")).distinct()
     listed = seqs.where("seq_id % 17 = 0").select(F.col("seq_path").alias("path")).union(seqs.where("seq_id % 23 = 0").select(F.concat(F.lit("/old/"), "seq_id").alias("path")))
     return rounded(gates.gate_sequences(frames, matching.blacklisted(seqs, listed, invert=True), kind, 48, th))
 
 
-VERDICT = "SELECT seq_id, n, mean_lines, mean_metric, CASE WHEN reason IS NULL THEN 'keep' ELSE 'reject' END AS verdict, reason FROM verdicts"
+def verdict_sql(kind: str, sign: str, th: float) -> str:
+    return f"""SELECT seq_id, n, mean_lines, mean_metric, CASE WHEN reason IS NULL THEN 'keep' ELSE 'reject' END AS verdict, reason,
+  CASE reason WHEN 'blacklist' THEN 'blacklist' WHEN 'few_lines' THEN printf('mean lines %.4f < 48', mean_lines)
+  WHEN 'bad_{kind}' THEN printf('mean {kind} %.4f {sign} {th}', mean_metric) END AS detail FROM verdicts"""
 
 
-@query(f"WITH {gate_sql('chamfer', 'mean_metric > 52')} {VERDICT}")
+@query(f"WITH {gate_sql('chamfer', 'mean_metric > 52')} {verdict_sql('chamfer', '>', 52)}")
 def seq_gate_quality(spark, sf_dir):
     return gated(spark, sf_dir, "chamfer", 52)
 
 
-@query(f"WITH {gate_sql('iou', 'mean_metric < 50')} {VERDICT}")
+@query(f"WITH {gate_sql('iou', 'mean_metric < 50', 'CASE WHEN valid THEN conf ELSE 0 END')} {verdict_sql('iou', '<', 50)}")
 def seq_gate_iou(spark, sf_dir):
-    return gated(spark, sf_dir, "iou", 50)
+    """Frames that aren't valid lack the metric here."""
+    return gated(spark, sf_dir, "iou", 50, F.when(F.col("valid"), F.col("conf")))
 
 
-@query(f"WITH {gate_sql('line', 'false')} {VERDICT}")
+@query(f"WITH {gate_sql('line', 'false')} {verdict_sql('line', '>', 0)}")
 def seq_gate_lines(spark, sf_dir):
     return gated(spark, sf_dir, "line", 0)
 
@@ -81,11 +91,17 @@ def reject_report(spark, sf_dir):
     return gates.reject_report(gated(spark, sf_dir, "chamfer", 52))
 
 
-@query(f"WITH {X.FRAMES} SELECT pos // 64 AS batch, round(count(*) FILTER (frame_no > 0 AND valid) / greatest(1, count(*) FILTER (frame_no > 0)), 6) AS valid_ratio,"
-       " round(coalesce(sum(conf) FILTER (frame_no > 0), 0) / greatest(1, count(*) FILTER (frame_no > 0)), 6) AS mean_conf, round(min(conf), 6) AS min_conf,"
-       " round(max(conf), 6) AS max_conf, round(avg((line_count = 0)::INT), 6) AS empty_ratio FROM frames GROUP BY 1")
+@query(f"""WITH {X.FRAMES}, f AS (SELECT *, frame_no > 0 AS later, conf > 20 AS npz_ok, valid AND conf > 50 AS local_used, line_count * valid::INT AS local_lines FROM frames)
+SELECT pos // 64 AS batch, round(count(*) FILTER (later AND npz_ok) / greatest(1, count(*) FILTER (later)), 6) AS npz_ok_ratio,
+  round(count(*) FILTER (later AND valid) / greatest(1, count(*) FILTER (later)), 6) AS valid_ratio,
+  round(count(*) FILTER (later AND local_used) / greatest(1, count(*) FILTER (later)), 6) AS local_used_ratio,
+  round(coalesce(sum(conf) FILTER (later), 0) / greatest(1, count(*) FILTER (later)), 6) AS mean_conf, round(min(conf), 6) AS min_conf,
+  round(max(conf), 6) AS max_conf, round(avg((line_count = 0)::INT), 6) AS empty_ratio, round(avg((local_lines = 0)::INT), 6) AS empty_local_lines
+FROM f GROUP BY 1""")
 def batch_diagnostics(spark, sf_dir):
-    return rounded(gates.batch_diagnostics(X.frames(spark, sf_dir)))
+    f = X.frames(spark, sf_dir).withColumns({"npz_ok": F.col("conf") > 20, "local_used": F.col("valid") & (F.col("conf") > 50),
+                                             "local_lines": F.col("line_count") * F.col("valid").cast("int")})
+    return rounded(gates.batch_diagnostics(f, flags=("npz_ok", "valid", "local_used"), empties=("line_count", "local_lines")))
 
 
 @query("SELECT p_size % 2 AS stuff, count(DISTINCT p_size) AS classes, count(*) AS pixels, round(count(*) / (SELECT count(*) FROM part), 6) AS share FROM part GROUP BY 1")
@@ -107,10 +123,11 @@ def detail_plus_mean(spark, sf_dir):
     return rounded(gates.detail_plus_mean(gates.sequence_stats(X.frames(spark, sf_dir)), "seq_id", ["mean_lines", "mean_metric"]))
 
 
-@query(f"WITH {X.FRAMES} SELECT seq_id, round(1 / (1 + exp(-(conf / 100 - 0.5) / 0.1)) * 1 / (1 + exp(-(line_count / 100.0 - 0.5) / 0.1)) * exp(-conf / 250), 6) AS score, pos FROM frames")
+@query(f"""WITH {X.FRAMES}, c AS (SELECT *, least(1.0, greatest(0.0, conf / 50 - 0.5)) AS p, least(1.0, line_count / 50.0) AS r, greatest(0, conf / 100 - 0.5) AS e FROM frames)
+SELECT seq_id, pos, round(1 / (1 + exp(-(p - 0.5) / 0.1)) / (1 + exp(-(r - 0.5) / 0.1)) * exp(-e / 2.5), 6) AS score FROM c""")
 def reliability(spark, sf_dir):
-    f = X.frames(spark, sf_dir)
-    return rounded(f.select("seq_id", "pos", gates.reliability(F.col("conf") / 100, F.col("line_count") / 100, F.col("conf") / 100).alias("score")))
+    f, conf = X.frames(spark, sf_dir), F.col("conf")
+    return rounded(f.select("seq_id", "pos", gates.reliability(conf / 50 - 0.5, F.col("line_count") / 50, conf / 100 - 0.5).alias("score")))
 
 
 # --- sequences ---
@@ -292,19 +309,33 @@ def derived_path(spark, sf_dir):
     return marked(spark, sf_dir).select("page_id", P.derived_path(F.col("path"), "/root/x_imgs", "/out", ".npz").alias("out_path"))
 
 
-@query("SELECT page_id, new_name, count(*) OVER (PARTITION BY new_name) > 1 AS collides FROM (SELECT page_id, regexp_extract(path, '([^/]*)/[^/]*$', 1) || '_' || regexp_extract(path, '[^/]*$') AS new_name FROM paths)".replace("SELECT page_id, new_name", f"WITH {X.PATHS} SELECT page_id, new_name", 1))
+@query(f"""WITH {X.PATHS}, s AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS p FROM paths),
+n AS (SELECT page_id, concat_ws('_', p[-2], p[-1]) AS parent_name, concat_ws('_', CASE WHEN len(p) > 1 THEN p[1] END, CASE WHEN len(p) > 2 THEN p[2] END, p[-1]) AS dirs_name,
+  concat_ws('_', p[-3], p[-2], regexp_replace(p[-1], '(.)\\.[^.]*$', '\\1')) AS stem_name FROM s)
+SELECT *, count(*) OVER (PARTITION BY stem_name) > 1 AS collides FROM n""")
 def rename_plan(spark, sf_dir):
-    path = F.col("path")
-    return P.with_collisions(X.paths(spark, sf_dir).select("page_id", F.concat(P.basename(P.dirname(path)), F.lit("_"), P.basename(path)).alias("new_name")))
+    names = {f"{form}_name": P.joined_name(F.col("path"), form) for form in ("parent", "dirs", "stem")}
+    return P.with_collisions(X.paths(spark, sf_dir).select("page_id", *[c.alias(n) for n, c in names.items()]), "stem_name")
+
+
+SIZES = "sizes AS (SELECT p_partkey, 100 + p_size * 20 AS w, 100 + p_partkey % 700 AS h FROM part)"
+STATUS = "CASE WHEN w < 130 OR h < 130 THEN 'ERROR' WHEN w = 260 AND h = 260 THEN 'SKIPPED' ELSE 'SUCCESS' END"
 
 
-@query("SELECT p_partkey, greatest(256, 0)::BIGINT AS side, CASE WHEN w = 256 AND h = 256 THEN 'SKIPPED' WHEN w < 16 THEN 'ERROR' ELSE 'SUCCESS' END AS status, floor(w * (256.0 / least(w, h)) + 0.5)::BIGINT AS new_w,"
-       " floor(h * (256.0 / least(w, h)) + 0.5)::BIGINT AS new_h FROM (SELECT p_partkey, 100 + p_size * 20 AS w, 100 + p_partkey % 700 AS h FROM part)")
+def sizes_of(spark, sf_dir):
+    return X.table(spark, sf_dir, "part").select("p_partkey", (100 + F.col("p_size") * 20).alias("w"), (100 + F.col("p_partkey") % 700).alias("h"))
+
+
+@query(f"""WITH {SIZES} SELECT p_partkey, {STATUS} AS status, floor(w * (256.0 / least(w, h)) + 0.5)::BIGINT AS new_w, floor(h * (256.0 / least(w, h)) + 0.5)::BIGINT AS new_h,
+  floor((floor(w * (256.0 / least(w, h)) + 0.5) - 256) / 2)::BIGINT AS left FROM sizes""")
 def fit_plan(spark, sf_dir):
-    m = X.table(spark, sf_dir, "part").select("p_partkey", (100 + F.col("p_size") * 20).alias("w"), (100 + F.col("p_partkey") % 700).alias("h"))
     box = P.fit_box(F.col("w"), F.col("h"), "crop", 256)
-    status = F.when((F.col("w") == 256) & (F.col("h") == 256), "SKIPPED").when(F.col("w") < 16, "ERROR").otherwise("SUCCESS")
-    return m.select("p_partkey", F.lit(256).cast("long").alias("side"), status.alias("status"), *box[:2])
+    return gates.status_report(sizes_of(spark, sf_dir), target=260, least=130).select("p_partkey", "status", *box[:3])
+
+
+@query(f"WITH {SIZES} SELECT {STATUS} AS status, count(*) AS n FROM sizes GROUP BY 1")
+def status_counts(spark, sf_dir):
+    return gates.status_counts(gates.status_report(sizes_of(spark, sf_dir), target=260, least=130))
 
 
 # --- matching ---
@@ -347,17 +378,45 @@ def mask_cyclic(spark, sf_dir):
     return matching.masks_cyclic(X.frames(spark, sf_dir), s.select((F.col("s_suppkey") - low).alias("mask_no"), F.col("s_name").alias("mask")), n)
 
 
-@query(f"WITH {X.FRAMES}, s AS (SELECT DISTINCT seq_id FROM frames), m AS (SELECT s_suppkey AS mask, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey END AS d, CASE WHEN s_suppkey % 3 = 1 THEN s_suppkey + 1 END AS p FROM supplier WHERE s_suppkey <= 60),"
-       " own AS (SELECT d AS seq_id, mask, 1 AS tier FROM m WHERE d IS NOT NULL UNION ALL SELECT p, mask, 2 FROM m WHERE p IS NOT NULL), best AS (SELECT seq_id, min(tier) AS tier FROM own JOIN s USING (seq_id) GROUP BY seq_id)"
-       " SELECT seq_id, mask, tier FROM own JOIN best USING (seq_id, tier) UNION ALL SELECT seq_id, mask, 3 FROM s, m WHERE d IS NULL AND p IS NULL AND seq_id NOT IN (SELECT seq_id FROM best)")
+@query(f"""WITH {X.FRAMES}, m AS (SELECT s_suppkey AS mask, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey // 6 END AS d, CASE WHEN s_suppkey % 3 = 1 THEN s_suppkey // 6 + 1 END AS p FROM supplier),
+own AS (SELECT d AS seq_id, mask, 1 AS tier FROM m WHERE d IS NOT NULL UNION ALL SELECT p, mask, 2 FROM m WHERE p IS NOT NULL),
+best AS (SELECT seq_id, min(tier) AS tier FROM own GROUP BY seq_id),
+listed AS (SELECT seq_id, mask, row_number() OVER (PARTITION BY seq_id ORDER BY mask) AS rank FROM own JOIN best USING (seq_id, tier)),
+free AS (SELECT mask AS free, row_number() OVER (ORDER BY mask) AS rank FROM m WHERE d IS NULL AND p IS NULL),
+f AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY frame_no) AS rank FROM frames)
+SELECT seq_id, frame_no, pos, CASE WHEN tier IS NULL THEN free ELSE mask END AS mask, coalesce(tier, 3)::INT AS tier
+FROM f LEFT JOIN best USING (seq_id) LEFT JOIN listed USING (seq_id, rank) LEFT JOIN free USING (rank)""")
 def mask_tiered(spark, sf_dir):
-    m = X.table(spark, sf_dir, "supplier").where("s_suppkey <= 60").selectExpr("s_suppkey AS mask", "CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey END AS dir_seq", "CASE WHEN s_suppkey % 3 = 1 THEN s_suppkey + 1 END AS part_seq")
-    return matching.masks_tiered(X.frames(spark, sf_dir).select("seq_id").distinct(), m)
+    m = X.table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS mask", "s_suppkey AS key", "CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey DIV 6 END AS dir_seq",
+                                                      "CASE WHEN s_suppkey % 3 = 1 THEN s_suppkey DIV 6 + 1 END AS part_seq")
+    return matching.masks_tiered(X.frames(spark, sf_dir), m)
+
 
+DRAWN = f"""{X.FRAMES}, h AS (SELECT pos, ('0x' || substr(md5(pos || '|0'), 1, 6))::BIGINT % 10 AS h, ('0x' || substr(md5(pos || '|a|0'), 1, 6))::BIGINT AS ha, ('0x' || substr(md5(pos || '|b|0'), 1, 6))::BIGINT AS hb FROM frames),
+assigned AS (SELECT pos, CASE WHEN h < 4 THEN 'a' WHEN h < 8 THEN 'b' ELSE 'both' END AS source, CASE WHEN h < 4 OR h > 7 THEN (SELECT list(s_suppkey ORDER BY s_suppkey) FROM supplier)[ha % (SELECT count(*) FROM supplier) + 1] END AS mask_a,
+  CASE WHEN h > 3 THEN (SELECT list(n_nationkey ORDER BY n_nationkey) FROM nation)[hb % (SELECT count(*) FROM nation) + 1] END AS mask_b FROM h)"""
 
-@query(f"WITH {X.FRAMES}, h AS (SELECT pos, ('0x' || substr(md5(pos || '|0'), 1, 6))::BIGINT % 10 AS h FROM frames) SELECT pos, CASE WHEN h < 4 THEN 'a' WHEN h < 8 THEN 'b' ELSE 'both' END AS source FROM h")
+
+def mixed_masks(spark, sf_dir):
+    """Two lists of masks: suppliers and nations, numbered in order."""
+    return [sequences.numbered(X.table(spark, sf_dir, t).select(F.col(c).alias("mask")), "mask").withColumnRenamed("n", "mask_no")
+            for t, c in (("supplier", "s_suppkey"), ("nation", "n_nationkey"))]
+
+
+@query(f"WITH {DRAWN} SELECT * FROM assigned")
 def mask_mixed(spark, sf_dir):
-    return matching.masks_mixed(X.frames(spark, sf_dir))
+    return matching.assign_masks_mixed(X.frames(spark, sf_dir), *mixed_masks(spark, sf_dir))
+
+
+@query(f"""WITH {DRAWN}, px AS (SELECT pos, mask_a % 8 + i AS row, mask_a % 5 AS col FROM assigned, (SELECT unnest(range(3)) AS i) WHERE mask_a IS NOT NULL
+UNION SELECT pos, mask_b % 8, mask_b % 5 + i FROM assigned, (SELECT unnest(range(3)) AS i) WHERE mask_b IS NOT NULL) SELECT pos, count(*) AS area, sum(row)::BIGINT AS rows, sum(col)::BIGINT AS cols FROM px GROUP BY pos""")
+def mask_union(spark, sf_dir):
+    a, b = mixed_masks(spark, sf_dir)
+    three = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i")
+    px_a = a.select("mask", three).select("mask", (F.col("mask") % 8 + F.col("i")).alias("row"), (F.col("mask") % 5).alias("col"))
+    px_b = b.select("mask", three).select("mask", (F.col("mask") % 8).cast("long").alias("row"), (F.col("mask") % 5 + F.col("i")).cast("long").alias("col"))
+    px = matching.mixed_mask_pixels(matching.assign_masks_mixed(X.frames(spark, sf_dir), a, b), px_a, px_b)
+    return px.groupBy("pos").agg(F.count("*").alias("area"), F.sum("row").alias("rows"), F.sum("col").alias("cols"))
 
 
 @query(f"WITH {X.FRAMES} SELECT f.pos, r.pos AS record FROM frames f LEFT JOIN frames r ON r.seq_id = f.seq_id AND r.frame_no = f.frame_no AND r.valid")
@@ -372,11 +431,13 @@ def resume(spark, sf_dir):
     return matching.resume(f, f.where("event_type IN ('click', 'view')").select("out_path")).select("pos")
 
 
-@query(f"WITH {X.FRAMES}, a AS (SELECT pos, conf AS sa FROM frames WHERE pos % 2 = 0), b AS (SELECT pos, line_count::DOUBLE AS sb FROM frames WHERE pos % 3 = 0), m AS (SELECT pos, coalesce(sa, -1) AS x, coalesce(sb, -1) AS y FROM a FULL JOIN b USING (pos))"
-       " SELECT pos, CASE WHEN greatest(x, y) <= 20 THEN 'none' WHEN x >= y THEN 'homography' ELSE 'flow' END AS source, CASE WHEN greatest(x, y) > 20 THEN greatest(x, y) ELSE 0 END AS score FROM m")
+@query(f"""WITH {X.FRAMES}, a AS (SELECT pos, conf AS sa FROM frames WHERE valid), b AS (SELECT pos, line_count::DOUBLE AS sb FROM frames WHERE NOT valid OR line_count % 2 = 0),
+m AS (SELECT pos, coalesce(sa, -1) AS x, coalesce(sb, -1) AS y FROM a FULL JOIN b USING (pos))
+SELECT pos, CASE WHEN greatest(x, y) <= 20 THEN 'none' WHEN x >= y THEN 'homography' ELSE 'flow' END AS source, CASE WHEN greatest(x, y) > 20 THEN greatest(x, y) ELSE 0 END AS score FROM m""")
 def select_alignment(spark, sf_dir):
     f = X.frames(spark, sf_dir)
-    return matching.select_alignment(f.where("pos % 2 = 0").select("pos", F.col("conf").alias("score")), f.where("pos % 3 = 0").select("pos", F.col("line_count").cast("double").alias("score")), 20.0)
+    one = f.where("valid").select("pos", F.col("conf").alias("score"))
+    return matching.select_alignment(one, f.where("NOT valid OR line_count % 2 = 0").select("pos", F.col("line_count").cast("double").alias("score")), 20.0)
 
 
 @query(f"WITH {X.TURNS}, r AS (SELECT seq_id, frame_no, payload AS current, first(payload) OVER w AS global_ref, lag(payload) OVER w AS l FROM turns WINDOW w AS (PARTITION BY seq_id ORDER BY frame_no))"
@@ -462,7 +523,12 @@ def homography_fit(spark, sf_dir):
     return geometry.fit_homography(m.select(F.col("frame").alias("pair"), F.col("k").alias("m"), "x0", "y0", "x1", "y1"))
 
 
-@query()
+@query(f"""WITH {X.SEGMENTS}, s AS (SELECT frame, x1, y1, x2, y2, greatest(1, ceil(greatest(abs(x2 - x1), abs(y2 - y1))))::INT AS n, abs(x2 - x1) >= abs(y2 - y1) AS flat FROM segments),
+p AS (SELECT frame, flat, x1 + (x2 - x1) * i / n AS x, y1 + (y2 - y1) * i / n AS y FROM s, LATERAL (SELECT unnest(range(n + 1)) AS i)),
+a AS (SELECT frame, flat, CASE WHEN flat THEN y ELSE x END AS minor, floor((CASE WHEN flat THEN x ELSE y END) + 0.5)::INT AS major FROM p),
+b AS (SELECT frame, flat, major, floor(minor)::INT + k AS m, CASE WHEN k = 0 THEN 1 - (minor - floor(minor)) ELSE minor - floor(minor) END AS v FROM a, (SELECT unnest(range(2)) AS k)),
+c AS (SELECT frame, CASE WHEN flat THEN m ELSE major END AS row, CASE WHEN flat THEN major ELSE m END AS col, v FROM b)
+SELECT frame, row, col, round(max(v), 6) AS v FROM c WHERE row BETWEEN 0 AND 63 AND col BETWEEN 0 AND 63 AND v > 0 GROUP BY ALL""")
 def raster_aa(spark, sf_dir):
     return rounded(geometry.rasterize_aa(X.segments(spark, sf_dir)))
 
@@ -470,51 +536,92 @@ def raster_aa(spark, sf_dir):
 # --- masks and metrics ---
 
 
+def some_pixels(spark, sf_dir):
+    """The rastered segments, but for frames whose number ends in 0, 1 or 2, whose masks are empty; so some pairs have one empty
+    mask and some two."""
+    return geometry.rasterize(X.segments(spark, sf_dir)).where("frame % 10 > 2")
+
+
+def pair_keys(spark, sf_dir):
+    return X.pairs(spark, sf_dir).select(F.col("frame").alias("pair"))
+
+
 def masks(spark, sf_dir):
     """(prediction, truth): pixels of the previous and of the current frame, by the current frame's number as pair."""
-    px, p = geometry.rasterize(X.segments(spark, sf_dir)), X.pairs(spark, sf_dir)
+    px, p = some_pixels(spark, sf_dir), X.pairs(spark, sf_dir)
     pred = p.join(px.withColumnRenamed("frame", "prev"), "prev").select(F.col("frame").alias("pair"), "row", "col")
     return pred, p.select("frame").join(px, "frame").select(F.col("frame").alias("pair"), "row", "col")
 
 
-MASKS = f"""{X.SEGMENTS}, {X.RASTER}, {X.PAIRS}, pred AS (SELECT p.frame AS pair, row, col FROM pairs p JOIN pixels x ON x.frame = p.prev), gt AS (SELECT p.frame AS pair, row, col FROM pairs p JOIN pixels x ON x.frame = p.frame),
+MASKS = f"""{X.SEGMENTS}, {X.RASTER}, {X.PAIRS}, pred AS (SELECT p.frame AS pair, row, col FROM pairs p JOIN pixels x ON x.frame = p.prev WHERE x.frame % 10 > 2), gt AS (SELECT p.frame AS pair, row, col FROM pairs p JOIN pixels x ON x.frame = p.frame WHERE x.frame % 10 > 2),
 c AS (SELECT pair, count(*) FILTER (p AND g) AS tp, count(*) FILTER (p AND g IS NULL) AS fp, count(*) FILTER (g AND p IS NULL) AS fn
-  FROM (SELECT *, true AS p FROM pred) FULL JOIN (SELECT *, true AS g FROM gt) USING (pair, row, col) GROUP BY pair)"""
+  FROM (SELECT *, true AS p FROM pred) FULL JOIN (SELECT *, true AS g FROM gt) USING (pair, row, col) GROUP BY pair),
+all_pairs AS (SELECT frame AS pair FROM pairs), counted AS (SELECT pair, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(fn, 0) AS fn FROM all_pairs LEFT JOIN c USING (pair))"""
 
 
-@query(f"WITH {MASKS}, q AS (SELECT *, tp / (tp + fp) AS p, tp / (tp + fn) AS r FROM c) SELECT pair, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS f1 FROM q")
+@query(f"""WITH {MASKS}, q AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r FROM counted)
+SELECT pair, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS f1 FROM q""")
 def prf(spark, sf_dir):
-    return rounded(metrics.prf(*masks(spark, sf_dir)))
+    return rounded(metrics.prf(*masks(spark, sf_dir), pair_keys(spark, sf_dir)))
 
 
-@query(f"WITH {MASKS} SELECT pair, round(tp / (tp + fp + fn), 6) AS iou FROM c")
+@query(f"WITH {MASKS} SELECT pair, round(coalesce(tp / nullif(tp + fp + fn, 0), 0), 6) AS iou FROM counted")
 def mask_iou(spark, sf_dir):
-    return rounded(metrics.mask_iou(*masks(spark, sf_dir)))
+    return rounded(metrics.mask_iou(*masks(spark, sf_dir), pair_keys(spark, sf_dir)))
 
 
-@query(f"WITH {MASKS}, q AS (SELECT pair, tp * 100 / (tp + fp + 1e-8) AS p, tp * 100 / (tp + fn + 1e-8) AS r FROM c) SELECT pair, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r + 1e-8), 6) AS f1 FROM q")
+EDGES = f"""{MASKS}, q AS (SELECT *, tp / (tp + fp + 1e-8) AS p, tp / (tp + fn + 1e-8) AS r, tp + fp + fn = 0 AS none FROM counted),
+edges AS (SELECT pair, CASE WHEN none THEN 1 ELSE p * 100 END AS precision, CASE WHEN none THEN 1 ELSE r * 100 END AS recall, CASE WHEN none THEN 1 ELSE 200 * p * r / (p + r + 1e-8) END AS f1 FROM q)"""
+
+
+@query(f"WITH {EDGES} SELECT pair, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM edges")
 def edge_accuracy(spark, sf_dir):
-    return rounded(metrics.edge_accuracy(*masks(spark, sf_dir)))
+    return rounded(metrics.edge_accuracy(*masks(spark, sf_dir), pair_keys(spark, sf_dir)))
+
+
+@query(f"""WITH {EDGES}, k AS (SELECT CASE WHEN pair % 2 = 0 THEN 'edge' ELSE 'line' END AS kind, count(*) AS maps, avg(precision) AS precision, avg(recall) AS recall, avg(f1) AS f1 FROM edges GROUP BY 1)
+SELECT kind, maps, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM k UNION ALL SELECT 'average', NULL, NULL, NULL, round(avg(f1), 6) FROM k""")
+def edge_report(spark, sf_dir):
+    maps = metrics.edge_accuracy(*masks(spark, sf_dir), pair_keys(spark, sf_dir))
+    kinds = [metrics.edge_accuracy_means(maps.where(F.col("pair") % 2 == i), kind) for i, kind in enumerate(("edge", "line"))]
+    return rounded(metrics.average_f1(kinds[0].unionByName(kinds[1])))
 
 
 NEAREST = f"{MASKS}, near AS (SELECT a.pair, a.row, a.col, 'p' AS side, min(sqrt(((a.row - b.row) ** 2 + (a.col - b.col) ** 2)::DOUBLE)) AS d FROM pred a JOIN gt b USING (pair) GROUP BY ALL UNION ALL" \
           " SELECT b.pair, b.row, b.col, 'g', min(sqrt(((a.row - b.row) ** 2 + (a.col - b.col) ** 2)::DOUBLE)) FROM pred a JOIN gt b USING (pair) GROUP BY ALL)"
 
 
-@query(f"WITH {NEAREST} SELECT pair, row, col, round(d, 6) AS d FROM near WHERE side = 'p'")
+@query(f"WITH {NEAREST} SELECT a.pair, a.row, a.col, round(d, 6) AS d FROM pred a LEFT JOIN (SELECT * FROM near WHERE side = 'p') USING (pair, row, col)")
 def nearest_distance(spark, sf_dir):
     return rounded(metrics.nearest_distance(*masks(spark, sf_dir)))
 
 
-@query(f"WITH {NEAREST} SELECT pair, round((avg(d) FILTER (side = 'p') + avg(d) FILTER (side = 'g')) / 2, 6) AS chamfer FROM near GROUP BY pair")
+@query(f"""WITH {NEAREST}, m AS (SELECT pair, (avg(d) FILTER (side = 'p') + avg(d) FILTER (side = 'g')) / 2 AS v FROM near GROUP BY pair)
+SELECT pair, CASE WHEN tp + fp + fn = 0 THEN 0 WHEN tp + fp = 0 OR tp + fn = 0 THEN 1e6 ELSE round(v, 6) END AS chamfer FROM counted LEFT JOIN m USING (pair)""")
 def chamfer(spark, sf_dir):
-    return rounded(metrics.chamfer(*masks(spark, sf_dir)))
+    return rounded(metrics.chamfer(*masks(spark, sf_dir), pairs=pair_keys(spark, sf_dir)))
+
 
+def tolerant_sql(near: str, counted: str) -> str:
+    return f"""h AS (SELECT pair, sum((d <= 2)::INT) FILTER (side = 'p') AS ph, count(*) FILTER (side = 'p') AS pn, sum((d <= 2)::INT) FILTER (side = 'g') AS gh, count(*) FILTER (side = 'g') AS gn FROM {near} GROUP BY pair),
+q AS (SELECT c.pair, c.n = 0 AS none, coalesce(ph / (pn + 1e-6), 0) AS p, coalesce(gh / (gn + 1e-6), 0) AS r FROM {counted} c LEFT JOIN h USING (pair))
+SELECT pair, CASE WHEN none THEN 1 ELSE round(p, 6) END AS precision, CASE WHEN none THEN 1 ELSE round(r, 6) END AS recall, CASE WHEN none THEN 1 ELSE round(2 * p * r / (p + r + 1e-6), 6) END AS f1 FROM q"""
 
-@query(f"WITH {NEAREST}, q AS (SELECT pair, sum((d <= 2)::INT) FILTER (side = 'p') / (count(*) FILTER (side = 'p') + 1e-6) AS p, sum((d <= 2)::INT) FILTER (side = 'g') / (count(*) FILTER (side = 'g') + 1e-6) AS r FROM near GROUP BY pair)"
-       " SELECT pair, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r + 1e-6), 6) AS f1 FROM q")
+
+@query(f"WITH {NEAREST}, {tolerant_sql('near', '(SELECT pair, tp + fp + fn AS n FROM counted)')}")
 def prf_tolerant(spark, sf_dir):
-    return rounded(metrics.prf_tolerant(*masks(spark, sf_dir)))
+    return rounded(metrics.prf_tolerant(*masks(spark, sf_dir), pairs=pair_keys(spark, sf_dir)))
+
+
+@query(f"""WITH {MASKS}, a AS (SELECT * FROM pred WHERE row + col < 50), b AS (SELECT * FROM gt WHERE row + col < 50),
+near AS (SELECT a.pair, a.row, a.col, 'p' AS side, min(sqrt(((a.row - b.row) ** 2 + (a.col - b.col) ** 2)::DOUBLE)) AS d FROM a JOIN b USING (pair) GROUP BY ALL UNION ALL
+  SELECT b.pair, b.row, b.col, 'g', min(sqrt(((a.row - b.row) ** 2 + (a.col - b.col) ** 2)::DOUBLE)) FROM a JOIN b USING (pair) GROUP BY ALL),
+sizes AS (SELECT pair, (SELECT count(*) FROM a WHERE a.pair = k.pair) + (SELECT count(*) FROM b WHERE b.pair = k.pair) AS n FROM all_pairs k), {tolerant_sql('near', 'sizes')}""")
+def prf_tolerant_region(spark, sf_dir):
+    """Only pixels of the corner above the line row + col = 50 count."""
+    side = F.explode(F.sequence(F.lit(0), F.lit(63)))
+    corner = pair_keys(spark, sf_dir).select("pair", side.alias("row")).select("pair", "row", side.alias("col")).where("row + col < 50")
+    return rounded(metrics.prf_tolerant(*masks(spark, sf_dir), pairs=pair_keys(spark, sf_dir), region=corner))
 
 
 @query(f"WITH {MASKS} SELECT pair, greatest(min(row) - 8, 0) AS top, greatest(min(col) - 8, 0) AS left, least(max(row) + 8, 63) AS bottom, least(max(col) + 8, 63) AS right FROM gt GROUP BY pair")
@@ -541,22 +648,61 @@ def psnr_hole(spark, sf_dir):
     return rounded(metrics.psnr_hole(a, b, b.where("v > 0.55")))
 
 
-@query(f"WITH {GRIDS}, o AS (SELECT unnest(range(7)) AS i), w AS (SELECT pair, row - a.i AS r, col - b.i AS c, count(*) AS n, avg(p) AS mp, avg(g) AS mg, var_samp(p) AS vp, var_samp(g) AS vg, covar_samp(p, g) AS cv FROM m, o a, o b GROUP BY ALL)"
-       " SELECT pair, round(avg((2 * mp * mg + 0.0001) * (2 * cv + 0.0009) / ((mp ** 2 + mg ** 2 + 0.0001) * (vp + vg + 0.0009))), 6) AS ssim FROM w WHERE n = 49 GROUP BY pair")
+def ssim_sql(m: str) -> str:
+    return f"""o AS (SELECT unnest(range(7)) AS i), w AS (SELECT pair, row - a.i AS r, col - b.i AS c, count(*) AS n, avg(p) AS mp, avg(g) AS mg, var_samp(p) AS vp, var_samp(g) AS vg, covar_samp(p, g) AS cv
+  FROM {m}, o a, o b GROUP BY ALL) SELECT pair, round(avg((2 * mp * mg + 0.0001) * (2 * cv + 0.0009) / ((mp ** 2 + mg ** 2 + 0.0001) * (vp + vg + 0.0009))), 6) AS ssim FROM w WHERE n = 49 GROUP BY pair"""
+
+
+@query(f"WITH {GRIDS}, {ssim_sql('m')}")
 def ssim(spark, sf_dir):
     return rounded(metrics.ssim(*grids_of(spark, sf_dir)))
 
 
+@query(f"""WITH {GRIDS}, box AS (SELECT pair, greatest(min(row) - 2, 0) AS t, least(max(row) + 2, 7) AS b, greatest(min(col) - 2, 0) AS l, least(max(col) + 2, 7) AS r FROM m WHERE g > 0.75 GROUP BY pair),
+cut AS (SELECT m.* FROM m JOIN box USING (pair) WHERE row BETWEEN t AND b AND col BETWEEN l AND r), {ssim_sql('cut')}""")
+def ssim_hole_bbox(spark, sf_dir):
+    a, b = grids_of(spark, sf_dir)
+    return rounded(metrics.ssim_hole_bbox(a, b, b.where("v > 0.75"), 8, 8, 2))
+
+
 @query(f"WITH {GRIDS} SELECT pair, round(avg((p - g) ** 2), 6) AS error FROM m WHERE p > 0.4 GROUP BY pair HAVING count(*) > 1")
 def warp_error(spark, sf_dir):
     a, b = grids_of(spark, sf_dir)
     return rounded(metrics.warp_error(a, b, a.where("v > 0.4")))
 
 
-@query(f"WITH {GRIDS}, s AS (SELECT pair, avg(g) - avg(p) AS s FROM m WHERE NOT g > 0.55 GROUP BY pair HAVING count(*) > 20) SELECT pair, row, col, round(least(1.0, greatest(0.0, p + coalesce(s, 0))), 6) AS v FROM m LEFT JOIN s USING (pair)")
+@query(f"""WITH {X.GRID8}, steps AS (SELECT vec_id AS frame, label AS seq_id, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS nxt FROM embeddings),
+aim AS (SELECT g.frame, g.row, g.col, g.v, nxt, g.col + (v - 0.5) * 4 AS x, g.row - (v - 0.5) * 2 AS y FROM grid8 g JOIN steps USING (frame) WHERE nxt IS NOT NULL),
+valid AS (SELECT * FROM aim WHERE x BETWEEN 0 AND 7 AND y BETWEEN 0 AND 7),
+w AS (SELECT a.frame, a.row, a.col, any_value(a.v) AS p, sum(n.v * (1 - abs(n.col - a.x)) * (1 - abs(n.row - a.y))) AS g
+  FROM valid a JOIN grid8 n ON n.frame = a.nxt AND abs(n.col - a.x) < 1 AND abs(n.row - a.y) < 1 GROUP BY a.frame, a.row, a.col),
+e AS (SELECT frame, avg((p - g) ** 2) AS al, count(*) AS n, avg((p - g) ** 2) FILTER (p > 0.55) AS ho, count(*) FILTER (p > 0.55) AS m FROM w GROUP BY frame)
+SELECT seq_id, count(*) FILTER (n > 1) AS steps, round(avg(al) FILTER (n > 1), 6) AS ewarp_all, round(avg(ho) FILTER (m > 1), 6) AS ewarp_hole
+FROM steps LEFT JOIN e USING (frame) WHERE nxt IS NOT NULL GROUP BY seq_id""")
+def sequence_warp_error(spark, sf_dir):
+    g = X.grid8(spark, sf_dir)
+    frames = X.table(spark, sf_dir, "embeddings").select(F.col("label").alias("seq_id"), F.col("vec_id").alias("frame"), F.col("vec_id").alias("frame_no"))
+    flow = g.select("frame", "row", "col", ((F.col("v") - 0.5) * 4).alias("fx"), ((0.5 - F.col("v")) * 2).alias("fy"))
+    return rounded(metrics.sequence_warp_error(frames, g, flow, g.where("v > 0.55"), 8, 8))
+
+
+@query(f"""WITH {GRIDS}, hole AS (SELECT pair, row, col FROM m WHERE g > 0.75), grown AS (SELECT DISTINCT pair, row + a AS row, col + b AS col FROM hole, (SELECT unnest(range(-1, 2)) AS a), (SELECT unnest(range(-1, 2)) AS b)),
+ch AS (SELECT pair, row, col, c AS channel, p * (100 + 20 * c) AS p, g * (120 - 10 * c) AS g FROM m, (SELECT unnest(range(3)) AS c)),
+s AS (SELECT pair, channel, avg(g) - avg(p) AS s FROM ch ANTI JOIN grown USING (pair, row, col) GROUP BY ALL HAVING count(*) > 20)
+SELECT pair, channel::INT AS channel, row, col, round(least(255.0, greatest(0.0, p + coalesce(s, 0))), 6) AS v FROM ch LEFT JOIN s USING (pair, channel)""")
 def color_shift(spark, sf_dir):
     a, b = grids_of(spark, sf_dir)
-    return rounded(metrics.color_shift(a, b, b.where("v > 0.55").select("pair", "row", "col"), 20))
+    channel = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("channel")
+    gen = a.select("*", channel).withColumn("v", F.col("v") * (100 + 20 * F.col("channel")))
+    ref = b.select("*", channel).withColumn("v", F.col("v") * (120 - 10 * F.col("channel")))
+    return rounded(metrics.color_shift(gen, ref, b.where("v > 0.75").select("pair", "row", "col"), 8, 8, least=20, radius=1))
+
+
+@query(f"""WITH {GRIDS}, x AS (SELECT pair, greatest(1e-7, least(1 - 1e-7, p)) AS q, p, g, g > 0.55 AS h, CASE WHEN g > 0.55 THEN 6 ELSE 1 END AS w FROM m)
+SELECT pair, round(avg(w * abs(p - g)), 6) AS l1, round(avg(w * (p - g) ** 2), 6) AS l2, round(avg(-(g * ln(q) + (1 - g) * ln(1 - q))) FILTER (h), 6) AS bce FROM x GROUP BY pair""")
+def masked_losses(spark, sf_dir):
+    a, b = grids_of(spark, sf_dir)
+    return rounded(metrics.masked_losses(a, b, b.where("v > 0.55"), 1.0, 6.0))
 
 
 @query(f"WITH {GRIDS}, x AS (SELECT pair, greatest(1e-7, least(1 - 1e-7, p)) AS p, (g > 0.5)::INT AS y FROM m), t AS (SELECT *, CASE WHEN y = 1 THEN p ELSE 1 - p END AS pt, CASE WHEN y = 1 THEN 0.75 ELSE 0.25 END AS w FROM x)"
@@ -679,14 +825,6 @@ def components(spark, sf_dir):
     return grids.component_areas(mask8(spark, sf_dir), 3, 8, 8)
 
 
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to the folder that the session names; to a temporary one only where it names none."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-"))
-
-
 @query(f"WITH {MASK8} SELECT frame, row, col, CASE WHEN v > 0.6 THEN least(255.0, greatest(0.0, floor(0.4 * (v * 200) + 0.6 * 255 + 0.5))) ELSE round(v * 200, 6) END AS v FROM grid8")
 def blend(spark, sf_dir):
     g = X.grid8(spark, sf_dir).withColumn("v", F.col("v") * 200)
@@ -699,8 +837,12 @@ def merge_known(spark, sf_dir):
     return rounded(grids.merge_known(a, b, b.where("v > 0.55")))
 
 
-@query(f"WITH {MASK8}, known AS (SELECT frame, row, col FROM grid8 WHERE NOT v > 0.6 AND frame IN (SELECT frame FROM mask)), r AS (SELECT m.frame, m.row, m.col, min(greatest(abs(m.row - k.row), abs(m.col - k.col))) AS ring FROM mask m LEFT JOIN known k USING (frame) GROUP BY ALL)"
-       " SELECT frame, row, col, ring::INT AS ring, least(127, floor(ring * 128 / max(ring) OVER (PARTITION BY frame)))::INT AS bin FROM r")
+@query(f"""WITH {MASK8}, known AS (SELECT frame, row, col FROM grid8 WHERE NOT v > 0.6), r AS (SELECT m.frame, m.row, m.col, min(greatest(abs(m.row - k.row), abs(m.col - k.col)))::INT AS ring FROM mask m LEFT JOIN known k USING (frame) GROUP BY ALL),
+lvl AS (SELECT frame, row, col, 0 AS ring FROM known UNION ALL SELECT * FROM r),
+q AS (SELECT r.*, i, CASE WHEN row + dr < 0 THEN 1 WHEN row + dr > 7 THEN 6 ELSE row + dr END AS nr, CASE WHEN col + dc < 0 THEN 1 WHEN col + dc > 7 THEN 6 ELSE col + dc END AS nc FROM r,
+  (VALUES (0, -1, 0), (0, 0, -1), (0, -1, -1), (1, 1, 0), (1, 0, -1), (1, 1, -1), (2, -1, 0), (2, 0, 1), (2, -1, 1), (3, 1, 0), (3, 0, 1), (3, 1, 1)) d(i, dr, dc))
+SELECT q.frame, q.row, q.col, q.ring, least(127, floor(q.ring * 128 / 4.0))::INT AS bin, bool_or(i = 0 AND l.ring < q.ring) AS up_left, bool_or(i = 1 AND l.ring < q.ring) AS down_left,
+  bool_or(i = 2 AND l.ring < q.ring) AS up_right, bool_or(i = 3 AND l.ring < q.ring) AS down_right FROM q LEFT JOIN lvl l ON l.frame = q.frame AND l.row = q.nr AND l.col = q.nc GROUP BY ALL""")
 def hole_rings(spark, sf_dir):
     return grids.hole_rings(mask8(spark, sf_dir), 8, 8)
 
@@ -729,7 +871,7 @@ def min_max_normalize(spark, sf_dir):
 
 @query(f"WITH {MASK8} SELECT frame, row, col, round(1 / (1 + exp(-(v + 0.2) * 4)), 6) AS p FROM grid8")
 def sharpen_prob(spark, sf_dir):
-    return rounded(X.grid8(spark, sf_dir).select("frame", "row", "col", (1 / (1 + F.exp(-(F.col("v") + 0.2) * 4))).alias("p")))
+    return rounded(X.grid8(spark, sf_dir).select("frame", "row", "col", grids.sharpen_prob(F.col("v")).alias("p")))
 
 
 @query("SELECT p_partkey, n_name AS color FROM part LEFT JOIN nation ON n_nationkey = p_size")
@@ -740,31 +882,36 @@ def label_colors(spark, sf_dir):
 
 @query("SELECT event_id FROM events ORDER BY ts, event_id LIMIT 100")
 def limit_items(spark, sf_dir):
-    return X.table(spark, sf_dir, "events").orderBy("ts", "event_id").limit(100).select("event_id")
+    return sequences.limit_items(X.table(spark, sf_dir, "events").select("event_id", F.struct("ts", "event_id").alias("pos")), 100).select("event_id")
 
 
-@query("SELECT event_type, round(sum(value) / greatest(1, count(value)), 6) AS mean FROM events GROUP BY event_type")
+@query("SELECT round(avg(value), 6) AS value, round(avg(event_id), 6) AS event_id FROM events")
 def distributed_mean(spark, sf_dir):
-    e = X.table(spark, sf_dir, "events")
-    return rounded(e.groupBy("event_type").agg((F.sum("value") / F.greatest(F.lit(1), F.count("value"))).alias("mean")))
+    return rounded(gates.distributed_mean(X.table(spark, sf_dir, "events"), F.col("user_id") % 7, ["value", "event_id"]))
 
 
 @query(f"WITH {X.GRID8} SELECT seq_id, frame // 50 AS bucket, round(avg(v), 6) AS v FROM grid8 GROUP BY ROLLUP (seq_id, frame // 50)")
 def metric_report(spark, sf_dir):
-    return rounded(X.grid8(spark, sf_dir).rollup("seq_id", F.floor(F.col("frame") / 50).alias("bucket")).agg(F.avg("v").alias("v")))
+    return rounded(gates.metric_report(X.grid8(spark, sf_dir), ["seq_id", F.floor(F.col("frame") / 50).alias("bucket")], ["v"]))
 
 
 # --- alignment, references and clips ---
 
-@query(f"WITH {NEAREST}, px AS (SELECT pair, row, col, side, d FROM near), ends AS (SELECT p.frame AS pair, 'p' AS side, x1, y1, x2, y2 FROM pairs p JOIN segments s ON s.frame = p.prev UNION ALL SELECT p.frame, 'g', x1, y1, x2, y2 FROM pairs p JOIN segments s ON s.frame = p.frame),"
-       " e AS (SELECT pair, side, least(63, greatest(0, round_even(y1, 0)))::INT AS row, least(63, greatest(0, round_even(x1, 0)))::INT AS col FROM ends UNION ALL SELECT pair, side, least(63, greatest(0, round_even(y2, 0)))::INT, least(63, greatest(0, round_even(x2, 0)))::INT FROM ends),"
-       " o AS (SELECT DISTINCT pair, side, row, col FROM e), t AS (SELECT pair, 'p' AS side, row AS r, col AS c FROM gt UNION ALL SELECT pair, 'g', row, col FROM pred),"
-       " od AS (SELECT o.pair, side, row, col, min(sqrt(((row - r) ** 2 + (col - c) ** 2)::DOUBLE)) AS d FROM o JOIN t USING (pair, side) GROUP BY ALL),"
-       " err AS (SELECT pair, (avg(d) FILTER (side = 'p') + avg(d) FILTER (side = 'g')) / 2 AS err FROM e JOIN od USING (pair, side, row, col) GROUP BY pair),"
-       " q AS (SELECT pair, tp / (tp + fp + fn) AS iou, tp / (tp + fp) AS p, tp / (tp + fn) AS r, err FROM c JOIN err USING (pair)), z AS (SELECT *, 1 / (1 + exp(-(p - 0.5) / 0.1)) * (1 / (1 + exp(-(r - 0.5) / 0.1))) * exp(-err / 2.5) AS score FROM q)"
-       " SELECT pair, round(iou, 6) AS iou, round(p, 6) AS precision, round(r, 6) AS recall, round(err, 6) AS endpoint_err, round(score, 6) AS score, score > 0.05 AS valid FROM z")
+@query(f"""WITH {NEAREST},
+ends AS (SELECT p.frame AS pair, 'p' AS side, x1, y1, x2, y2 FROM pairs p JOIN segments s ON s.frame = p.prev WHERE s.frame % 10 > 2
+  UNION ALL SELECT p.frame, 'g', x1, y1, x2, y2 FROM pairs p JOIN segments s ON s.frame = p.frame WHERE s.frame % 10 > 2),
+e AS (SELECT pair, side, least(63, greatest(0, round_even(y1, 0)))::INT AS row, least(63, greatest(0, round_even(x1, 0)))::INT AS col FROM ends
+  UNION ALL SELECT pair, side, least(63, greatest(0, round_even(y2, 0)))::INT, least(63, greatest(0, round_even(x2, 0)))::INT FROM ends),
+o AS (SELECT DISTINCT pair, side, row, col FROM e),
+t AS (SELECT pair, 'p' AS side, row AS r, col AS c FROM gt UNION ALL SELECT pair, 'g', row, col FROM pred),
+od AS (SELECT o.pair, side, row, col, min(sqrt(((row - r) ** 2 + (col - c) ** 2)::DOUBLE)) AS d FROM o JOIN t USING (pair, side) GROUP BY ALL),
+err AS (SELECT pair, (avg(d) FILTER (side = 'p') + avg(d) FILTER (side = 'g')) / 2 AS err FROM e JOIN od USING (pair, side, row, col) GROUP BY pair),
+q AS (SELECT pair, CASE WHEN err IS NULL THEN 0 ELSE tp / (tp + fp + fn) END AS iou, CASE WHEN err IS NULL THEN 0 ELSE tp / (tp + fp) END AS p, CASE WHEN err IS NULL THEN 0 ELSE tp / (tp + fn) END AS r, err
+  FROM counted LEFT JOIN err USING (pair)),
+z AS (SELECT *, CASE WHEN err IS NULL THEN 0 ELSE 1 / (1 + exp(-(p - 0.5) / 0.1)) * (1 / (1 + exp(-(r - 0.5) / 0.1))) * exp(-err / 2.5) END AS score FROM q)
+SELECT pair, round(iou, 6) AS iou, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(err, 1e6), 6) AS endpoint_err, round(score, 6) AS score, score > 0.05 AS valid FROM z""")
 def pair_alignment(spark, sf_dir):
-    s, p = X.segments(spark, sf_dir), X.pairs(spark, sf_dir)
+    s, p = X.segments(spark, sf_dir).where("frame % 10 > 2"), X.pairs(spark, sf_dir)
     before = p.join(s.withColumnRenamed("frame", "prev").drop("seq_id"), "prev").withColumnRenamed("frame", "pair")
     now = p.select("frame").join(s, "frame").withColumnRenamed("frame", "pair")
     return rounded(metrics.pair_alignment(p.withColumnRenamed("frame", "pair"), before, now, 64, 64))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,14 @@ def read_manifest(spark: SparkSession, path: str | list[str], keep_blank: bool =
     return kept.select("file", F.posexplode("ls").alias("pos", "l")).select("file", "pos", "l.line")
 
 
+def concat_lists(spark: SparkSession, paths: list[str], **dialect) -> DataFrame:
+    """(list_no, pos, line): the lines of several lists one after the other (see read_manifest); lists that don't exist are left out."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    there = [(i, p) for i, p in enumerate(paths) if hadoop(p).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop(p))]
+    lists = [read_manifest(spark, p, **dialect).select(F.lit(i).alias("list_no"), "pos", "line") for i, p in there]
+    return reduce(DataFrame.unionAll, lists) if lists else spark.createDataFrame([], "list_no int, pos int, line string")
+
+
 def discover_files(spark: SparkSession, roots: list[str], exts: list[str]) -> DataFrame:
     """(path, length) of the files below `roots` with one of the endings, in any case; a file under several roots once. No content is read."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots).select("path", "length")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from framelake.shared import shared_dir
+
 OUT = "seq_id long, frame_no long, pos long, prev_pos long, is_first boolean, late boolean"
 
 
@@ -36,8 +37,7 @@ def pairs_of_table(spark: SparkSession, frames: DataFrame, files: int = 3) -> Da
     read back."""
     from pyspark.sql import functions as F
 
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-shared-")
-    at = f"{named}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     rows = frames.select("seq_id", F.col("frame_no").cast("long").alias("frame_no"), "pos")
     top = rows.agg(F.max("frame_no")).first()[0] or 0
     for i in range(files):  # files in order of time hold later and later frames of every sequence

@@ -6,6 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+import framelake.plans.more  # noqa: F401
 from framelake.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"

@@ -9,23 +9,26 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
-from itertools import chain, islice
+import heapq
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from framelake.llm.common import table
+from framelake.llm.common import map_texts, table
 
 CHUNK, OVERLAP = 65_536, 2_048
 #: A boundary this close to a chunk's end may move once more text is seen (the pattern looks at most 3 characters on).
 MARGIN = 4
-#: Remembered pre-tokens per task, some 220 bytes each; beyond it only the first ones, which are the common ones, stay.
-REMEMBERED, KEPT = 200_000, 50_000
+#: Pre-tokens that each of a task's two generations remembers, and the longest that are remembered (characters); with what is
+#: kept of them some 230 bytes each. Characters of texts that are split before their new pre-tokens are merged together.
+REMEMBERED, LONGEST, TOGETHER = 250_000, 48, 1_000_000
+#: Pre-tokens of up to so many bytes are merged many at a time.
+SHORT, NONE = 32, np.int32(2**31 - 1)
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -35,22 +38,65 @@ def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x)}
 
 
-class Merger(dict):
-    """Pre-token -> its ids: merges the adjacent pair of lowest rank until none is in the vocabulary."""
+class Merger:
+    """Pre-token -> its ids: merges the adjacent pair of lowest rank until none is in the vocabulary. `pairs` has every pair
+    of ids, as first * 2^32 + second, whose bytes are in the vocabulary together, in order, and `merged` their ids."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-
-    def __missing__(self, token: str) -> tuple[int, ...]:
-        data, ranks = token.encode("utf-8", "surrogatepass"), self.ranks
-        whole = ranks.get(data)
-        ids = (whole,) if whole is not None else tuple(self._long(data) if len(data) > 256 else self._merge(data))
-        if len(self) >= REMEMBERED:
-            first = list(islice(self.items(), KEPT))
-            self.clear()
-            self.update(first)
-        self[token] = ids
-        return ids
+        halves = [(ranks[data[:i]] << 32 | ranks[data[i:]], rank) for data, rank in ranks.items() for i in range(1, len(data))
+                  if data[:i] in ranks and data[i:] in ranks]
+        table = np.array(sorted(halves) or [(-2, 0)], dtype=np.int64)
+        self.pairs, self.merged = table[:, 0].copy(), table[:, 1].astype(np.int32)
+        self.byte = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
+
+    def __call__(self, data: bytes) -> list[int]:
+        whole = self.ranks.get(data)
+        return [whole] if whole is not None else self._long(data) if len(data) > 256 else self._merge(data)
+
+    def many(self, tokens: list[str]) -> list[bytes]:
+        """The ids of each of many pre-tokens as packed int32; the short ones, a few thousand of about one length at a time,
+        lose their pair of lowest rank all at once, step by step."""
+        data = [t.encode("utf-8", "surrogatepass") for t in tokens]
+        out = [b"" if len(d) <= SHORT and d not in self.ranks else np.array(self(d), dtype=np.int32).tobytes() for d in data]
+        open_ = sorted((i for i, x in enumerate(out) if not x), key=lambda i: len(data[i]))
+        for at in range(0, len(open_), 4_000):
+            self._many(open_[at: at + 4_000], data, out)
+        return out
+
+    def _many(self, which: list[int], data: list[bytes], out: list[bytes]) -> None:
+        rows, size = np.array(which), np.array([len(data[i]) for i in which])
+        ids = np.full((len(rows), size.max() + 1), -1, dtype=np.int32)
+        ids[np.arange(ids.shape[1]) < size[:, None]] = self.byte[np.frombuffer(b"".join(data[i] for i in which), np.uint8)]
+        rank = self._ranks(ids[:, :-1], ids[:, 1:])
+        while len(rows):
+            lowest = rank.argmin(axis=1)
+            new = rank[np.arange(len(rows)), lowest]
+            done = new == NONE
+            if done.any():
+                left = ids[done]
+                packed, ends = left[left >= 0].tobytes(), np.cumsum(4 * (left >= 0).sum(axis=1)).tolist()
+                for i, a, b in zip(rows[done].tolist(), [0, *ends], ends, strict=False):
+                    out[i] = packed[a:b]
+                rows, ids, rank, lowest, new = (x[~done] for x in (rows, ids, rank, lowest, new))
+                if not len(rows):
+                    break
+            each = np.arange(len(rows))
+            # the pair becomes one id, what follows moves up, and the pairs on both sides get new ranks
+            gone = np.arange(rank.shape[1]) > lowest[:, None]
+            ids[each, lowest] = new
+            np.copyto(ids[:, :-1], ids[:, 1:].copy(), where=gone)
+            np.copyto(rank[:, :-1], rank[:, 1:].copy(), where=gone[:, :-1])
+            ids[:, -1], rank[:, -1] = -1, NONE
+            rank[each, lowest] = self._ranks(new, ids[each, np.minimum(lowest + 1, ids.shape[1] - 1)])
+            before = np.flatnonzero(lowest > 0)
+            rank[before, lowest[before] - 1] = self._ranks(ids[before, lowest[before] - 1], new[before])
+
+    def _ranks(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        code = first.astype(np.int64) << 32 | second
+        code[(first < 0) | (second < 0)] = -1
+        at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == code, self.merged[at], NONE)
 
     def _merge(self, data: bytes) -> list[int]:
         ranks, parts = self.ranks, [data[i: i + 1] for i in range(len(data))]
@@ -70,8 +116,6 @@ class Merger(dict):
 
     def _long(self, data: bytes) -> list[int]:
         """The same merges for long pre-tokens, with a heap over a linked list instead of repeated scans."""
-        import heapq
-
         ranks, n = self.ranks, len(data)
         part, right, left = [data[i: i + 1] for i in range(n)], [*range(1, n), -1], [-1, *range(n - 1)]
         heap = [(r, i, 2) for i in range(n - 1) if (r := ranks.get(data[i: i + 2])) is not None]
@@ -91,8 +135,8 @@ class Merger(dict):
         return [ranks[p] for p in part if p]
 
 
-class Digester:
-    """n_tokens, and the SHA-256 of a text's ids and of the bytes that they decode to."""
+class Vocabulary:
+    """What each id stands for: its bytes and its decimal name."""
 
     def __init__(self, ranks: dict[bytes, int]):
         size = max(ranks.values(), default=-1) + 1
@@ -104,13 +148,15 @@ class Digester:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
-    def __call__(self, ids: list[int]) -> tuple[int, str, str]:
-        listed = " ".join(map(self.names.__getitem__, ids)).encode()
-        return len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()
+    def digests(self, listed: Iterable[list[int]]) -> list[pa.Array]:
+        """The DIGEST columns of lists of ids."""
+        found = [(len(ids), hashlib.sha256(" ".join(map(self.names.__getitem__, ids)).encode()).hexdigest(),
+                  hashlib.sha256(self.decode(ids)).hexdigest()) for ids in listed]
+        return [pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
 
 
-DIGEST = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-IDS = [T.StructField("ids", T.ArrayType(T.IntegerType()))]
+IDS = "ids array<int>"
+DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def boundaries(pattern: regex.Pattern, text: str, start: int) -> np.ndarray:
@@ -165,55 +211,88 @@ def round_trip(df: DataFrame, ranks: dict[bytes, int], pattern: str, key: str =
 
 def _encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, key: str, text: str, chunk: int, overlap: int, digest: bool) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(ranks)
-    rows = df.select(F.col(key).alias(key), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    head = [T.StructField(key, rows.schema[key].dataType)]
-    short = rows.where(F.length("body") <= chunk).mapInPandas(
-        _encoder(shared, pattern, "body", [key], digest), T.StructType(head + (DIGEST if digest else IDS)))
-    whole = _encode_long(rows.where(F.length("body") > chunk), shared, pattern, key, chunk, overlap)
+    rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    short, long_ = rows.where(F.length("body") <= chunk), rows.where(F.length("body") > chunk)
+    found = map_texts(short, "body", DIGEST, _digester(shared, pattern)) if digest else map_texts(short, "body", IDS, _encoder(shared, pattern))
+    whole = _encode_long(long_, shared, pattern, chunk, overlap)
     if digest:
-        def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            digester = Digester(shared.value)
-            for batch in batches:
-                yield _frame(batch[[key]], [digester(x.tolist()) for x in batch["ids"]], True)
+        whole = map_texts(whole, "ids", DIGEST, _id_digester(shared))
+    # each distinct long text is encoded once, and its rows meet it by its hash
+    met = long_.select("key", F.sha2("body", 256).alias("doc")).join(whole, "doc").select("key", *[c for c in whole.columns if c != "doc"])
+    return found.unionByName(met).withColumnRenamed("key", key)
 
-        whole = whole.mapInPandas(hashed, T.StructType(head + DIGEST))
-    return short.unionByName(whole)
 
+class Known:
+    """Texts -> their ids as packed int32. Pre-tokens are remembered in two generations: once the young one is full it becomes
+    the old one, and what is met again moves back; so what is common always stays, and what was rare goes."""
 
-def _frame(head: pd.DataFrame, found: list, digest: bool) -> pd.DataFrame:
-    if digest:
-        return head.assign(**{f.name: pd.Series([x[i] for x in found], index=head.index) for i, f in enumerate(DIGEST)})
-    return head.assign(ids=pd.Series(found, index=head.index, dtype=object))
+    def __init__(self, merger: Merger, pattern: str):
+        self.merger, self.split = merger, regex.compile(pattern)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
+    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        at = 0
+        while at < len(texts):
+            cut, size = [], 0
+            while at < len(texts) and (not cut or size + len(texts[at]) <= TOGETHER):
+                cut.append(self.split.findall(texts[at]))
+                size += len(texts[at])
+                at += 1
+            lacking = set().union(*cut).difference(self.young)
+            if len(self.young) > REMEMBERED:
+                lacking, self.young, self.old = set().union(*cut), {}, self.young
+            self.young.update((t, self.old[t]) for t in lacking & self.old.keys())
+            new = list(lacking.difference(self.young))
+            self.young.update(zip(new, self.merger.many(new), strict=True))
+            for tokens in cut:
+                yield b"".join(map(self.young.__getitem__, tokens))
+            for t in new:
+                if len(t) > LONGEST:
+                    del self.young[t]
 
-def _encoder(shared, pattern: str, body: str, keep: list[str], digest: bool = False):
-    """Encode the column `body` of each batch, some hundred rows at a time, so that no more ids are held at once."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        merger, split, digester = Merger(shared.value), regex.compile(pattern), Digester(shared.value)
-        for batch in batches:
-            for at in range(0, len(batch), 250):
-                part, found = batch.iloc[at: at + 250], []
-                for t in part[body]:
-                    ids = chain.from_iterable(map(merger.__getitem__, split.findall(t)))
-                    found.append(digester(list(ids)) if digest else np.fromiter(ids, dtype=np.int32))
-                yield _frame(part[keep], found, digest)
 
-    return run
+def _encoder(shared, pattern: str) -> Callable:
+    """Texts -> a column of their ids."""
+    def start() -> Callable[[list], list[pa.Array]]:
+        known = Known(Merger(shared.value), pattern)
+
+        def make(texts: list[str]) -> list[pa.Array]:
+            packed = list(known(texts))
+            ends = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32)
+            values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(packed))])
+            return [pa.ListArray.from_arrays(pa.array(ends), values)]
+
+        return make
+
+    return start
+
 
+def _digester(shared, pattern: str) -> Callable:
+    """Texts -> the DIGEST columns of their ids."""
+    def start() -> Callable[[list], list[pa.Array]]:
+        vocabulary, known = Vocabulary(shared.value), Known(Merger(shared.value), pattern)
+        return lambda texts: vocabulary.digests(np.frombuffer(p, np.int32).tolist() for p in known(texts))
 
-def _encode_long(rows: DataFrame, shared, pattern: str, key: str, chunk: int, overlap: int) -> DataFrame:
-    kind = rows.schema[key].dataType
-    # a row of its own for each long document, also where ids repeat; the hash makes it stable over retries
-    named = rows.select(F.col(key).alias(key), "body").groupBy(key, "body").count()
-    named = named.withColumn("doc", F.sha2("body", 256))
-    fields = [T.StructField(key, kind), T.StructField("count", T.LongType()), T.StructField("doc", T.StringType())]
+    return start
+
+
+def _id_digester(shared) -> Callable:
+    def start() -> Callable[[list], list[pa.Array]]:
+        return Vocabulary(shared.value).digests
+
+    return start
+
+
+def _encode_long(rows: DataFrame, shared, pattern: str, chunk: int, overlap: int) -> DataFrame:
+    """(doc, ids) of each distinct `body`; `doc` is its SHA-256."""
+    bodies = rows.select(F.sha2("body", 256).alias("doc"), "body").dropDuplicates(["doc"])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for k, n, doc, body in zip(batch[key], batch["count"], batch["doc"], batch["body"], strict=True):
+            for doc, body in zip(batch["doc"], batch["body"], strict=True):
                 at = range(0, len(body), chunk)
-                yield pd.DataFrame({key: pd.Series([k] * len(at), dtype=object), "count": n, "doc": doc, "start": list(at),
-                                    "part": [body[i: i + chunk + overlap] for i in at]})
+                yield pd.DataFrame({"doc": doc, "start": list(at), "part": [body[i: i + chunk + overlap] for i in at]})
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         split = regex.compile(pattern)
@@ -222,25 +301,17 @@ def _encode_long(rows: DataFrame, shared, pattern: str, key: str, chunk: int, ov
             yield batch.assign(ends=pd.Series(ends, index=batch.index, dtype=object))
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
-        split = regex.compile(pattern)
         group = group.sort_values("start")
         parts = list(zip(group["start"], group["part"], [np.asarray(e, dtype=np.int64) for e in group["ends"]], strict=True))
-        pieces = list(stitch(split, parts))
-        first = group.iloc[0]
-        return pd.DataFrame({key: pd.Series([first[key]] * len(pieces), dtype=object), "count": first["count"], "doc": first["doc"],
-                             "piece": range(len(pieces)), "part": pieces})
-
-    part = [T.StructField("start", T.LongType()), T.StructField("part", T.StringType())]
-    chunks = named.mapInPandas(cut, T.StructType(fields + part)).repartition("doc", "start")
-    scanned = chunks.mapInPandas(scan, T.StructType([*fields, *part, T.StructField("ends", T.ArrayType(T.LongType()))]))
-    pieces = scanned.groupBy(key, "doc").applyInPandas(
-        join, T.StructType([*fields, T.StructField("piece", T.LongType()), T.StructField("part", T.StringType())]))
-    ids = T.StructField("ids", T.ArrayType(T.IntegerType()))
-    encoded = pieces.repartition("doc", "piece").mapInPandas(
-        _encoder(shared, pattern, "part", [key, "count", "doc", "piece"]), T.StructType([*fields, T.StructField("piece", T.LongType()), ids]))
-    whole = encoded.groupBy(key, "doc", "count").agg(F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("ps"))
-    whole = whole.select(key, "count", F.flatten(F.col("ps.ids")).alias("ids"))
-    return whole.select(key, "ids", F.explode(F.expr("sequence(1, count)")).alias("copy")).select(key, "ids")
+        pieces = list(stitch(regex.compile(pattern), parts))
+        return pd.DataFrame({"doc": group["doc"].iloc[0], "piece": range(len(pieces)), "part": pieces})
+
+    chunks = bodies.mapInPandas(cut, "doc string, start long, part string").repartition("doc", "start")
+    scanned = chunks.mapInPandas(scan, "doc string, start long, part string, ends array<long>")
+    pieces = scanned.groupBy("doc").applyInPandas(join, "doc string, piece long, part string")
+    encoded = map_texts(pieces.repartition("doc", "piece"), "part", IDS, _encoder(shared, pattern))
+    whole = encoded.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("ps"))
+    return whole.select("doc", F.flatten(F.col("ps.ids")).alias("ids"))
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -249,9 +320,9 @@ def decode(df: DataFrame, ranks: dict[bytes, int], key: str = "doc_id", ids: str
 
     @F.pandas_udf("binary")
     def raw(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        digester = Digester(shared.value)
+        vocabulary = Vocabulary(shared.value)
         for batch in batches:
-            yield pd.Series([b"" if x is None else digester.decode(x.tolist()) for x in batch], index=batch.index)
+            yield pd.Series([b"" if x is None else vocabulary.decode(x.tolist()) for x in batch], index=batch.index)
 
     return df.withColumn("bytes", raw(F.col(ids)))
 

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
+import re
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from framelake.shared import shared_dir
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -16,15 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Write `df` once as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
@@ -34,6 +30,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stable(df: DataFrame) -> DataFrame:
+    """`df`, where a task that is run again surely reads the same rows in the same order: as it is if it only reads, picks
+    and filters files, else written and read back."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = set(re.findall(r"^[\s:+\-]*(\w+)", plan, re.MULTILINE))
+    chance = re.search(r"\b(rand|randn|uuid|shuffle|monotonically_increasing_id|input_file_name)\(", plan)
+    return df if nodes <= {"Project", "Filter", "Relation", "LocalRelation"} and not chance else materialize(df)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     jsc = spark.sparkContext._jsc
     if jsc is not None and not jsc.sc().isStopped():
@@ -67,3 +72,26 @@ def spread(df: DataFrame, at_least: int) -> int:
     """A power of two that grows with the number of input partitions: how many buckets to shuffle into."""
     want = max(at_least, 2 * df.rdd.getNumPartitions())
     return 1 << (want - 1).bit_length()
+
+
+#: Texts that are worked on together, so that no more results are held at once.
+TOGETHER = 250
+
+
+def map_texts(rows: DataFrame, text: str, fields: str, work: Callable[[], Callable[[list], list[pa.Array]]]) -> DataFrame:
+    """The columns of `rows` but for `text`, and the columns `fields` (DDL) that a function makes of the texts, some hundred at a
+    time; `work` gives that function, once a task. All other columns pass by as Arrow arrays that nobody looks into, so
+    ids of any type keep every bit, also beside nulls."""
+    keep = [c for c in rows.columns if c != text]
+    added = T.StructType.fromDDL(fields)
+    schema = T.StructType([rows.schema[c] for c in keep] + added.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = work()
+        for batch in batches:
+            for at in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(at, TOGETHER)
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + make(part.column(text).to_pylist()),
+                                                 names=[f.name for f in schema])
+
+    return rows.mapInArrow(run, schema)

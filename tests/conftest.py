@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -9,7 +10,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 @pytest.fixture(scope="session")
 def spark():
+    shared = tempfile.mkdtemp(prefix="spark-")
     session = (SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "4g")
-               .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").getOrCreate())
+               .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
+               .config("spark.checkpoint.dir", shared).getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     return session

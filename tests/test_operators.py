@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,3 +146,110 @@ def test_identical_views_reproject_onto_themselves(spark):
     edges = spark.createDataFrame([(1, 2, 3), (1, 5, 5), (1, 6, 6), (2, 0, 0)], "pair int, row int, col int")
     depth = spark.createDataFrame([(1, 2, 3, 2.0), (1, 5, 5, 3.0), (1, 6, 6, 0.0), (2, 0, 0, 1.0)], "pair int, row int, col int, z double")
     assert sorted(tuple(r) for r in camera.reproject(edges, depth, views, 8, 8).collect()) == [(1, 2, 3), (1, 5, 5)]
+
+
+def test_pairs_of_two_empty_masks_have_their_rules(spark):
+    pred, gt = masks(spark, [(1, 0, 0)], [(2, 0, 0)])
+    pairs = spark.createDataFrame([(1,), (2,), (3,)], "pair int")
+    one = lambda df: {r.pair: tuple(r[1:]) for r in df.collect()}
+    assert one(metrics.chamfer(pred, gt, pairs=pairs)) == {1: (1e6,), 2: (1e6,), 3: (0.0,)}
+    assert one(metrics.prf_tolerant(pred, gt, pairs=pairs)) == {1: (0.0,) * 3, 2: (0.0,) * 3, 3: (1.0,) * 3}
+    assert one(metrics.edge_accuracy(pred, gt, pairs))[3] == (1.0, 1.0, 1.0) and one(metrics.edge_accuracy(pred, gt, pairs))[1] == (0.0, 0.0, 0.0)
+    assert one(metrics.prf(pred, gt, pairs))[3] == (0, 0, 0, 0.0, 0.0, 0.0) and one(metrics.mask_iou(pred, gt, pairs))[3] == (0.0,)
+
+
+def test_nearest_is_that_of_all_pixels():
+    rng = np.random.default_rng(0)
+    for _ in range(20):
+        a, b = (rng.integers(-5, 30, size=(rng.integers(1, 40), 2)) for _ in range(2))
+        want = np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2)).min(axis=1)
+        assert metrics.nearest(a[:, 0], a[:, 1], b[:, 0], b[:, 1]) == pytest.approx(want)
+    assert np.isinf(metrics.nearest(a[:, 0], a[:, 1], a[:0, 0], a[:0, 1])).all()
+
+
+def test_gate_counts_missing_metrics_as_the_worst(spark):
+    f = spark.createDataFrame([(1, 0, 50, None), (1, 1, 50, None), (2, 0, 50, 0.9), (2, 1, None, 0.9)], "seq_id int, frame_no int, line_count int, conf double")
+    got = {r.seq_id: (r.verdict, r.reason, r.detail) for r in gates.gate_sequences(f, kind="iou", metric_th=0.4).collect()}
+    assert got == {1: ("reject", "bad_iou", "mean iou 0.0000 < 0.4"), 2: ("reject", "few_lines", "mean lines 25.0000 < 40")}
+    assert gates.gate_sequences(f, kind="chamfer", line_th=0).where("seq_id = 1").first().reason == "bad_chamfer"
+
+
+def test_reliability_is_clipped(spark):
+    r = lambda p, r, e: gates.reliability(*[F.lit(float(x)) for x in (p, r, e)])
+    row = spark.range(1).select(r(1.5, 2, -3).alias("a"), r(1, 1, 0).alias("b"), r(-1, 0, 0).alias("c"), r(0, 0, 0).alias("d")).first()
+    assert row.a == row.b and row.c == row.d
+
+
+def test_masks_follow_the_order_of_frames(spark):
+    frames = spark.createDataFrame([(s, i, 10 * s + i) for s in (1, 2, 3) for i in range(3)], "seq_id int, frame_no int, pos int")
+    m = spark.createDataFrame([("own1", 1, 1, None), ("part1", 2, None, 1), ("p2b", 4, None, 2), ("p2a", 3, None, 2), ("free1", 5, None, None), ("free2", 6, None, None), ("free3", 7, None, None), ("free4", 8, None, None)],
+                              "mask string, key int, dir_seq int, part_seq int")
+    got = {(r.seq_id, r.frame_no): (r.mask, r.tier) for r in matching.masks_tiered(frames, m).collect()}
+    assert got == {(1, 0): ("own1", 1), (1, 1): (None, 1), (1, 2): (None, 1), (2, 0): ("p2a", 2), (2, 1): ("p2b", 2), (2, 2): (None, 2), (3, 0): ("free1", 3), (3, 1): ("free2", 3), (3, 2): ("free3", 3)}
+
+
+def test_numbers_run_over_ranges(spark):
+    rows = spark.createDataFrame([(i * 7919 % 1000, "x") for i in range(1000)], "k long, v string").repartition(7)
+    assert sorted((r.n, r.k) for r in sequences.numbered(rows, "k").collect()) == [(i, i) for i in range(1000)]
+    assert sequences.numbered(rows.limit(0), "k").count() == 0
+
+
+def test_splits_batches_and_draws(spark):
+    rows = spark.createDataFrame([(i, float(i % 3)) for i in range(30)], "k long, w double")
+    parts = sequences.random_split(rows, [5, 0, 25], "k", 1).groupBy("part").count().collect()
+    assert {r.part: r["count"] for r in parts} == {0: 5, 2: 25}
+    with pytest.raises(ValueError):
+        sequences.random_split(rows, [5], "k", 1)
+    order = sequences.permuted(rows, "k", 2)
+    assert sequences.batches(order, 8, drop_last=True).count() == 24 and sequences.batches(order, 8).count() == 30
+    drawn = sequences.weighted_draws(rows, 300, 3, "k", "w").collect()
+    assert len(drawn) == 300 and {r.draw for r in drawn} == set(range(300)) and all(r.k % 3 for r in drawn)
+    assert 1.5 < sum(r.k % 3 == 2 for r in drawn) / sum(r.k % 3 == 1 for r in drawn) < 2.7
+    assert sequences.weighted_draws(rows.limit(0), 5, 3, "k", "w").count() == 0
+
+
+def test_full_frechet_distance_is_that_of_plain_arrays(spark):
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(size=(60, 4)), rng.normal(size=(50, 4)) * [1, 2, 1, 0.5] + 1
+    rows = spark.createDataFrame([(0, x.tolist()) for x in a] + [(1, x.tolist()) for x in b], "set int, embedding array<double>").repartition(5)
+    c, d = np.cov(a.T), np.cov(b.T)
+    w, v = np.linalg.eig(c @ d)
+    want = ((a.mean(0) - b.mean(0)) ** 2).sum() + np.trace(c) + np.trace(d) - 2 * np.sqrt(w.real.clip(0)).sum()
+    assert metrics.frechet_full(rows).first().distance == pytest.approx(want)
+    assert math.isnan(metrics.frechet_full(rows.where("set = 0")).first().distance) and math.isnan(metrics.frechet_full(rows.limit(0)).first().distance)
+    clips = spark.createDataFrame([(s, q, i, x[q * 20 + i].tolist()) for s, x in ((0, a), (1, b)) for q in (0, 1) for i in range(20)], "set int, seq_id int, frame_no int, embedding array<double>")
+    means = [np.array([x[q * 20 + i: q * 20 + i + 4].mean(0) for q in (0, 1) for i in range(0, 17, 4)]) for x in (a, b)]
+    c, d = np.cov(means[0].T), np.cov(means[1].T)
+    want = ((means[0].mean(0) - means[1].mean(0)) ** 2).sum() + np.trace(c) + np.trace(d) - 2 * np.sqrt(np.linalg.eigvals(c @ d).real.clip(0)).sum()
+    assert metrics.frechet_clips(clips, 4, 4).first().distance == pytest.approx(want)
+
+
+def test_homography_survives_strangers(spark):
+    rng, h = np.random.default_rng(2), np.array([[1.1, 0.1, 3], [-0.05, 0.95, 2], [1e-4, 2e-4, 1]])
+    p = rng.uniform(0, 200, size=(60, 2))
+    z = np.c_[p, np.ones(60)] @ h.T
+    q = z[:, :2] / z[:, 2:]
+    q[:20] = rng.uniform(0, 200, size=(20, 2))
+    rows = spark.createDataFrame([(1, i, *map(float, (*p[i], *q[i]))) for i in range(60)], "pair long, m int, x0 double, y0 double, x1 double, y1 double")
+    fit = geometry.fit_homography(rows, 0.5).first()
+    got = np.array(fit.h).reshape(3, 3)
+    assert 40 <= fit.inliers <= 42 and got / got[2, 2] == pytest.approx(h, rel=1e-3, abs=1e-4)
+
+
+def test_grids_of_odd_kernels(spark):
+    assert len(grids.kernel(1, "ellipse")) == 5 and len(grids.kernel(2, "disc")) == 13 and len(grids.kernel(2)) == 25
+    assert grids.kernel(5, "ellipse").count((5, 0)) == 1 and (4, 3) in grids.kernel(5, "ellipse") and (4, 4) not in grids.kernel(5, "ellipse")
+    m = spark.createDataFrame([(1, 2, 2)], "frame int, row int, col int")
+    assert sorted((r.row, r.col) for r in grids.dilate(m, 1, 5, 5, "ellipse").collect()) == [(1, 2), (2, 1), (2, 2), (2, 3), (3, 2)]
+    hole = spark.createDataFrame([(1, r, c) for r in range(4) for c in range(4)] + [(2, 0, 0)], "frame int, row int, col int")
+    got = {(r.frame, r.row, r.col): r for r in grids.hole_rings(hole, 4, 4).collect()}
+    assert got[1, 0, 0].ring is None and got[2, 0, 0].ring == 1 and got[2, 0, 0].down_right
+    assert grids.channel_color("#ff8000") == grids.channel_color("255,128,0") == [255, 128, 0]
+
+
+def test_small_boxes_have_no_ssim(spark):
+    g = spark.createDataFrame([(1, r, c, float(r + c)) for r in range(9) for c in range(9)], "pair int, row int, col int, v double")
+    spot = spark.createDataFrame([(1, 4, 4)], "pair int, row int, col int")
+    assert metrics.ssim_hole_bbox(g, g, spot, 9, 9, pad=2).count() == 0
+    assert metrics.ssim_hole_bbox(g, g, spot, 9, 9, pad=3).first().ssim == pytest.approx(1.0)
+    assert metrics.ssim_hole_bbox(g, g, spot.limit(0), 9, 9).count() == 0

@@ -44,7 +44,8 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("frame", "seq_id", "k", *[(32 + 64 * at(i)).alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"), 1)], (0.5 + F.abs(at(1)) * 3).alias("score"))
 
 
-SEGMENTS = """segments AS (SELECT vec_id AS frame, label AS seq_id, k::INT AS k, 32 + 64 * embedding[4 * k + 1]::DOUBLE AS x1, 32 + 64 * embedding[4 * k + 2]::DOUBLE AS y1,
+SEGMENTS = """segments AS (SELECT vec_id AS frame, label AS seq_id, k::INT AS k, 32 + 64 * embedding[4 * k + 1]::DOUBLE AS x1, 32 + 64 *
+  embedding[4 * k + 2]::DOUBLE AS y1,
   32 + 64 * embedding[4 * k + 3]::DOUBLE AS x2, 32 + 64 * embedding[4 * k + 4]::DOUBLE AS y2, 0.5 + abs(embedding[4 * k + 1]::DOUBLE) * 3 AS score
   FROM embeddings, (SELECT unnest(range(16)) AS k))"""
 

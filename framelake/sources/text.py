@@ -75,7 +75,8 @@ def write_manifests(rows: DataFrame, folder: str, columns: list[str], pos: str =
 
 
 def write_reject_report(verdicts: DataFrame, path: str, header: list[str]) -> None:
-    """`# ...` lines, then `seq | reason` of each rejected sequence, as one text file: a line a sequence."""
+    """`# ...` lines, then `seq | reason` of each rejected sequence: a folder of text files, sorted by range, that read in order of their
+    names give the report."""
     head = verdicts.sparkSession.createDataFrame([(0, i, f"# {h}") for i, h in enumerate(header)], "part int, at int, line string")
     body = verdicts.where("verdict = 'reject'").select(F.lit(1).alias("part"), F.lit(0).alias("at"), F.concat_ws(" | ", F.col("seq_id").cast("string"), "reason").alias("line"))
     head.union(body).orderBy("part", "at", "line").select("line").write.mode("overwrite").text(path)

@@ -10,7 +10,6 @@ import framelake.plans.more  # noqa: F401
 from framelake.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"stream_frame_pairs", "components"}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -28,7 +27,7 @@ def plain(v):
     return str(v)
 
 
-@pytest.mark.parametrize("name", sorted(set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, duck, name):
     if not Path(SF).exists():
         pytest.skip("no tables here")
@@ -40,9 +39,3 @@ def test_matches_sql(spark, duck, name):
     assert sorted(names) == columns
     want = sorted(tuple(plain(r[names.index(c)]) for c in columns) for r in rel.fetchall())
     assert got == want
-
-
-def test_slow_twins(spark, duck):
-    for name in sorted(SLOW):
-        df = QUERIES[name](spark, SF)
-        assert df.count() == duck.execute(f"SELECT count(*) FROM ({ORACLES[name]})").fetchall()[0][0]

@@ -24,18 +24,18 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return linked.where("a != b").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, component) for the nodes of `edges` (a, b): component is the smallest node reachable."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) for the nodes of `edges` (a, b): component is the smallest node reachable. Steps go on until every
+    node hangs directly from its component; their number grows with the logarithm of the longest path."""
     now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
-    before = None
-    for _ in range(rounds):
-        size, total = now.agg(F.count("*"), F.sum(F.col("b").cast("decimal(38,0)"))).first()
-        lone = now.groupBy("a").count().where("count > 1").limit(1).count() == 0
-        if size == 0 or (lone and now.join(now.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count() == 0):
-            break
-        if before == (size, total):
-            break
-        before = (size, total)
+    while not _flat(now):
         now = materialize(_star(_star(now, True), False))
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+
+
+def _flat(edges: DataFrame) -> bool:
+    """Whether no node hangs from two others or from one that hangs itself."""
+    if edges.groupBy("a").count().where("count > 1").limit(1).count():
+        return False
+    return edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count() == 0

@@ -11,16 +11,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import materialize, spread, table, without
+from framelake.llm.common import materialize, spread, stable, table, without
 from framelake.llm.components import components
-from framelake.llm.packing import Batch, batches, by_bucket
+from framelake.llm.packing import Batch, batches, by_bucket, steps, unroll
 
 SIZE, PERCENT = 5, 75
-#: Bytes of a shingle hash that are sent besides its bucket.
-SENT = 5
+#: Bytes of a shingle hash that are sent; its bucket has the 8 bits before them, or more.
+SENT = 7
+#: Of a shingle's documents, how many are paired with how many in one piece of work.
+PIECE = 512
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -56,44 +59,45 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-n * percent // 100) + 1
 
 
-def pack5(h: np.ndarray, bits: int) -> bytes:
-    """The SENT bytes after the bucket's bits of each hash."""
-    return ((h << np.uint64(bits)) >> np.uint64(24)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - SENT:].tobytes()
+def pack_hashes(h: np.ndarray) -> bytes:
+    """The last SENT bytes of each hash."""
+    return h.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - SENT:].tobytes()
 
 
-def unpack5(data: bytes, bucket: int) -> np.ndarray:
-    """Shingle numbers, unique over all buckets: bucket and the bytes sent."""
+def unpack_hashes(data: bytes, bucket: int, bits: int) -> np.ndarray:
+    """The hashes again, all 64 bits, from what was sent and the bucket, their first `bits` bits."""
     raw = np.frombuffer(data, np.uint8).reshape(-1, SENT)
     full = np.zeros((len(raw), 8), np.uint8)
     full[:, 8 - SENT:] = raw
-    return full.view(">u8").ravel().astype(np.int64) + (np.int64(bucket) << np.int64(8 * SENT))
+    return (full.view(">u8").ravel().astype(np.uint64) | np.uint64(bucket << (64 - bits))).view(np.int64)
 
 
 def shared_shingles(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """Rows (id, n, f1, f2, own, toks, prefix): per document its number of shingles, a fingerprint of their set, how many
-    of them no other document has, the others in rare-first order (packed int64), and how many of these its prefix has.
-    `toks` is null where the prefix holds none."""
-    bits = spread(docs, 16).bit_length() - 1
-    rows = docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text))
-
-    def local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches(frames, key, text):
+    """Rows (node, id, n, f1, f2, own, common, toks, prefix), one for each row of `docs`: a number of its own, its id as text, its number
+    of shingles, a fingerprint of their set, how many of them no other document has, in how many documents they are on average, the others in rare-first order
+    (packed 64-bit hashes), and how many of these its prefix has. `toks` is null where the prefix holds none."""
+    bits = spread(docs, 256).bit_length() - 1
+    rows = stable(docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("body")))
+    sent_fields = "bucket long, batch long, keys array<string>, h binary, doc binary, n binary"
+    sent_schema = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("keys", pa.list_(pa.string())),
+                             ("h", pa.binary()), ("doc", pa.binary()), ("n", pa.binary())])
+
+    def local(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(frames, "key", "body"):
             doc, h = shingles(b, size)
             n = np.bincount(doc, minlength=len(b.keys)).astype(np.int64)
             ends = np.cumsum(n)
             sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)]) for x in (mix(h * K1), mix(h * K2 + K1))]
             prints = [(s[ends] - s[ends - n]).astype(np.int64).tobytes() for s in sums]
-            yield pd.DataFrame([{"bucket": -1 - b.number, "batch": b.number, "keys": b.keys, "h": n.tobytes(), "doc": prints[0], "n": prints[1]}])
-            out = [{"bucket": k, "batch": b.number, "keys": None, "h": pack5(h[at], bits), "doc": doc[at].astype(np.uint16).tobytes(), "n": None}
-                   for k, at in by_bucket(h, bits)]
-            if out:
-                yield pd.DataFrame(out)
+            out = [{"bucket": -1 - b.number, "batch": b.number, "keys": b.keys, "h": n.tobytes(), "doc": prints[0], "n": prints[1]}]
+            out += [{"bucket": k, "batch": b.number, "h": pack_hashes(h[at]), "doc": steps(doc[at])} for k, at in by_bucket(h, bits)]
+            yield pa.RecordBatch.from_pylist(out, sent_schema)
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
         bucket = int(group["bucket"].iloc[0])
         if bucket < 0:
             return group[["batch", "keys", "h", "doc", "n"]]
-        t = np.concatenate([unpack5(x, bucket) for x in group["h"]])
+        t = np.concatenate([unpack_hashes(x, bucket, bits) for x in group["h"]])
         order = np.argsort(t, kind="stable")
         first = np.ones(len(t), dtype=bool)
         first[1:] = t[order][1:] != t[order][:-1]
@@ -102,11 +106,11 @@ def shared_shingles(docs: DataFrame, key: str, text: str, size: int, percent: in
         df[order] = np.bincount(run)[run]
         out, at = [], 0
         for batch, packed in zip(group["batch"], group["doc"], strict=True):
-            doc = np.frombuffer(packed, np.uint16)
+            doc = unroll(packed)
             own, at = slice(at, at + len(doc)), at + len(doc)
             many = df[own] > 1
             if many.any():
-                out.append({"batch": batch, "keys": None, "h": t[own][many].tobytes(), "doc": doc[many].tobytes(),
+                out.append({"batch": batch, "keys": None, "h": t[own][many].tobytes(), "doc": steps(doc[many]),
                             "n": np.minimum(df[own][many], 2**31 - 1).astype(np.int32).tobytes()})
         return pd.DataFrame(out, columns=["batch", "keys", "h", "doc", "n"])
 
@@ -114,25 +118,30 @@ def shared_shingles(docs: DataFrame, key: str, text: str, size: int, percent: in
         head, rest = group[group["keys"].notna()].iloc[0], group[group["keys"].isna()]
         n, f1, f2 = (np.frombuffer(head[c], np.int64) for c in ("h", "doc", "n"))
         if len(rest):
-            t, doc, df = (np.concatenate([np.frombuffer(x, k) for x in rest[c]]) for c, k in (("h", np.int64), ("doc", np.uint16), ("n", np.int32)))
+            t, df = (np.concatenate([np.frombuffer(x, k) for x in rest[c]]) for c, k in (("h", np.int64), ("n", np.int32)))
+            doc = np.concatenate([unroll(x) for x in rest["doc"]])
             order = np.lexsort((t, df, doc))
-            t, doc = t[order], doc[order].astype(np.int64)
+            t, doc, df = t[order], doc[order], df[order]
         else:
-            t, doc = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            t, doc, df = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         have = np.bincount(doc, minlength=len(n))
         ends = np.cumsum(have)
         take = np.clip(prefix_length(n, percent) - (n - have), 0, have)
         toks = [t[e - c: e].tobytes() if k else None for e, c, k in zip(ends, have, take, strict=True)]
-        return pd.DataFrame({"id": pd.Series(list(head["keys"]), dtype="Int64"), "n": n, "f1": f1, "f2": f2, "own": n - have,
-                             "toks": pd.Series(toks, dtype=object), "prefix": take.astype(np.int32)})
+        # a batch has fewer than 2^16 documents, and its number leaves 16 bits free
+        node = (int(head["batch"]) << 16) + np.arange(len(n))
+        return pd.DataFrame({"node": node, "id": pd.Series(list(head["keys"]), dtype=object), "n": n, "f1": f1, "f2": f2,
+                             "own": n - have, "common": (np.bincount(doc, df, len(n)) + n - have) / np.maximum(n, 1), "toks": pd.Series(toks, dtype=object), "prefix": take.astype(np.int32)})
 
-    sent = rows.mapInPandas(local, "bucket long, batch long, keys array<long>, h binary, doc binary, n binary")
-    counted = sent.groupBy("bucket").applyInPandas(count, "batch long, keys array<long>, h binary, doc binary, n binary")
-    return counted.groupBy("batch").applyInPandas(prefixes, "id long, n long, f1 long, f2 long, own long, toks binary, prefix int")
+    sent = rows.mapInArrow(local, sent_fields)
+    counted = sent.groupBy("bucket").applyInPandas(count, "batch long, keys array<string>, h binary, doc binary, n binary")
+    return counted.groupBy("batch").applyInPandas(
+        prefixes, "node long, id string, n long, f1 long, f2 long, own long, common double, toks binary, prefix int")
 
 
 def postings(sets: DataFrame) -> DataFrame:
-    """(tok, id, n, at): the prefix of each set's shared shingles, with their rare-first position among all of its own."""
+    """(tok, id, n, at, common): the prefix of each set's shared shingles, with their rare-first position among all of its
+    shingles, and in how many documents these are on average."""
 
     def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -140,9 +149,10 @@ def postings(sets: DataFrame) -> DataFrame:
             size = [len(t) for t in toks]
             if size:
                 yield pd.DataFrame({"tok": np.concatenate(toks), "id": np.repeat(f["id"].to_numpy(), size), "n": np.repeat(f["n"].to_numpy(), size),
-                                    "at": np.concatenate([own + np.arange(s) for own, s in zip(f["own"], size, strict=True)])})
+                                    "at": np.concatenate([own + np.arange(s) for own, s in zip(f["own"], size, strict=True)]),
+                                    "common": np.repeat(f["common"].to_numpy(), size)})
 
-    return sets.mapInPandas(unpack, "tok long, id long, n long, at long")
+    return sets.mapInPandas(unpack, "tok long, id long, n long, at long, common double")
 
 
 def alike(a: Column, b: Column, percent: int) -> Column:
@@ -186,29 +196,31 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(node, component) over the distinct sets `sets` (id, n, own, toks, prefix), for those that link with another.
+    """(node, component) over the distinct sets `sets` (id, n, own, common, toks, prefix; `id` is a node), for those that link with another.
 
-    First every posting list's members of about one length are paired with the list's smallest id of that length, which
-    joins most groups of copies by few pairs. Then all other pairs of a list are made whose members aren't in one
-    component yet, and pass the length and positional filters; so no link between components is lost, and within one
-    no pair is needed."""
-    listed = materialize(postings(sets))
+    First every posting list's members of about one length are paired with a hub of the list: the one whose shingles are the
+    commonest on average, as those of a text are that many near copies come from; so most groups of copies are joined by few pairs. Then
+    all other pairs of a list are made whose members aren't in one component yet, and pass the length and positional filters; so no
+    link between components is lost, and within one no pair is needed."""
     stratum = F.floor(F.log(F.col("n")) / np.log(100 / percent)).cast("int")
-    listed = listed.withColumn("stratum", stratum)
-    hubs = listed.groupBy("tok", "stratum").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("m")).where("m > 1")
-    first = (listed.join(hubs, ["tok", "stratum"]).where(F.col("id") != F.col("hub.id"))
-             .where(alike(F.col("n"), F.col("hub.n"), percent)).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct())
-    edges = materialize(verify(first, sets, percent))
-    joined = materialize(components(edges))
-    known = listed.join(joined, listed["id"] == joined["node"], "left").select(
-        "tok", "id", "n", "at", F.coalesce("component", "id").alias("c"))
+    listed = materialize(postings(sets).withColumn("stratum", stratum))
+    hubs = listed.groupBy("tok", "stratum").agg(F.min(F.struct(-F.col("common"), "id", "n")).alias("hub"), F.count("*").alias("m")).where("m > 1")
+    met = listed.join(hubs, ["tok", "stratum"]).where(F.col("id") != F.col("hub.id")).where(alike(F.col("n"), F.col("hub.n"), percent))
+    first = materialize(met.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct())
+    joined = materialize(components(verify(first, sets, percent)))
+    known = listed.join(joined, listed["id"] == joined["node"], "left").select("tok", "id", "n", "at", F.coalesce("component", "id").alias("c"))
     open_ = known.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("tok")
     known = materialize(known.join(open_, "tok", "left_semi"))
-    left, right = (known.select("tok", *[F.col(x).alias(x + s) for x in ("id", "n", "at", "c")]) for s in ("1", "2"))
+    # a long list is cut into pieces, and each piece meets each, so that no task has a whole long list
+    pieces = known.groupBy("tok").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces"))
+    known = known.join(pieces, "tok").withColumn("piece", F.pmod(F.xxhash64("id"), "pieces").cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
+    left = known.select("tok", F.col("piece").alias("p1"), each.alias("p2"), *[F.col(x).alias(f"{x}1") for x in ("id", "n", "at", "c")])
+    right = known.select("tok", each.alias("p1"), F.col("piece").alias("p2"), *[F.col(x).alias(f"{x}2") for x in ("id", "n", "at", "c")])
     bound = F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2"))
     enough = bound * (100 + percent) >= percent * (F.col("n1") + F.col("n2"))
     # for the first shingle that both have, no more than what follows on either side can be common; a pair passes by it
-    rest = (left.join(right, "tok").where(F.col("id1") < F.col("id2")).where(F.col("c1") != F.col("c2"))
+    rest = (left.join(right, ["tok", "p1", "p2"]).where(F.col("id1") < F.col("id2")).where(F.col("c1") != F.col("c2"))
             .where(alike(F.col("n1"), F.col("n2"), percent)).where(enough)
             .select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct())
     more = verify(rest.join(first, ["a", "b"], "left_anti"), sets, percent)
@@ -222,24 +234,40 @@ def join_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
 
     Words are runs without ASCII white space, with A-Z lower-cased; a text of fewer words is one shingle as a whole; a null
     text, or one without words, has an empty set and links with nothing, so its component is its own id. Equal sets (copies)
-    share their class's links. Rows that share an id count as one document in `component_id`; null ids get a null
-    component. Very long texts are read whole; an empty table gives an empty result; other columns aren't read.
+    share their class's links. Rows that share an id are one document with several texts: what links with any of them is
+    in its component. Null ids link nothing and get a null component. Ids may be of any type that has a text form and an order.
+    Very long texts are read whole; an empty table gives an empty result; other columns aren't read. Each row is a node of its
+    own, and so is what is compared, so a table that isn't read from files is written down first.
     """
+    kind = docs.schema[key].dataType
     found = materialize(shared_shingles(docs, key, text, size, percent))
-    classes = found.where("n > 0 AND id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("id").alias("first"), F.count("*").alias("m"))
-    sets = found.where("toks IS NOT NULL AND id IS NOT NULL").join(classes.select(F.col("first").alias("id"), "n", "f1", "f2"), ["id", "n", "f1", "f2"], "left_semi")
-    linked = materialize(links(materialize(sets.dropDuplicates(["id"])), percent))
+    named = found.where("id IS NOT NULL")
+    classes = named.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("node").alias("first"), F.count("*").alias("m"))
+    sets = named.where("toks IS NOT NULL").join(classes.select(F.col("first").alias("node"), "n", "f1", "f2"), ["node", "n", "f1", "f2"], "left_semi")
+    linked = links(materialize(sets.select(F.col("node").alias("id"), "n", "own", "common", "toks", "prefix")), percent)
     copies = classes.where("m > 1").withColumnsRenamed({"n": "n_", "f1": "f1_", "f2": "f2_"})
-    rows = found.select("id", "n", "f1", "f2")
+    rows = named.select("node", "id", "n", "f1", "f2")
     rows = rows.join(copies, (F.col("n") == F.col("n_")) & (F.col("f1") == F.col("f1_")) & (F.col("f2") == F.col("f2_")), "left")
-    rows = rows.select("id", "n", F.coalesce("first", "id").alias("class"))
-    return rows.join(linked, rows["class"] == linked["node"], "left").select(
-        F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "class").alias("component_id"))
+    rows = materialize(rows.select("node", F.col("id").cast(kind).alias("id"), "n", F.coalesce("first", "node").alias("class")))
+    # the classes of one id's rows are tied; few ids have several rows
+    tied = rows.groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a != z").select("id", "a")
+    ties = rows.join(tied, "id").where("a != class").select("a", F.col("class").alias("b")).distinct()
+    if ties.limit(1).count():
+        linked = components(linked.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(ties))
+    linked = materialize(linked)
+    placed = rows.join(linked.withColumnRenamed("node", "class"), "class", "left").select(
+        "id", "n", "class", F.coalesce("component", "class").alias("component"))
+    least = placed.groupBy("component").agg(F.min("id").alias("least"), F.count("*").alias("m"))
+    whole = placed.join(least.where("m > 1").select("component", "least"), "component", "left").select(
+        "id", "n", F.coalesce("least", "id").alias("c"))
+    lone = found.where("id IS NULL").select(F.lit(None).cast(kind).alias("id"), "n", F.lit(None).cast(kind).alias("c"))
+    return whole.unionByName(lone).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """`docs` with one document of each group of linked ones, that of the smallest id; of rows that share an id one stays.
-    Rows without an id stay. All columns stay as they are."""
+    Rows without an id stay, null, empty and very long texts count as in `join_documents`, and an empty table stays empty. All
+    columns stay as they are."""
     found = materialize(join_documents(docs, key, text, size, percent))
     kept = without(docs, found.where(F.col(key) != F.col("component_id")).select(key).distinct(), key)
     again = found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key)

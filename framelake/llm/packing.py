@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 
@@ -33,11 +33,11 @@ class Batch:
         return np.repeat(np.arange(len(self.keys)), np.diff(self.starts))
 
 
-def batches(frames: Iterator[pd.DataFrame], key: str, text: str, end: bytes | None = None) -> Iterator[Batch]:
-    """Documents of one task in batches. Words are runs without ASCII white space, with A-Z lower-cased; a text that is
+def batches(frames: Iterator[pa.RecordBatch], key: str, text: str, end: bytes | None = None) -> Iterator[Batch]:
+    """Documents of one task, which come as Arrow batches, in packed batches; keys stay as they are. Words are runs without ASCII white space, with A-Z lower-cased; a text that is
     null has none. `end` is a word put after each document. Batch numbers hold the partition, so they are unique, and
     the same whenever a task reads the same rows again."""
-    number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
+    number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 24
     keys: list = []
     found: list[bytes] = []
     starts, size = [0], 0
@@ -49,13 +49,14 @@ def batches(frames: Iterator[pd.DataFrame], key: str, text: str, end: bytes | No
         return Batch(number, keys, words, codes, np.array(starts, dtype=np.int64))
 
     for frame in frames:
-        for k, t in zip(frame[key], frame[text], strict=True):
+        for k, t in ((k, t) for at in range(0, frame.num_rows, 250) for k, t in zip(
+                frame.column(key).slice(at, 250).to_pylist(), frame.column(text).slice(at, 250).to_pylist(), strict=True)):
             if t:
                 found += t.encode("utf-8", "surrogatepass").lower().split()
                 size += len(t)
             if end is not None:
                 found.append(end)
-            keys.append(None if k is None or k != k else int(k))
+            keys.append(k)
             starts.append(len(found))
             if size >= BATCH_CHARS or len(keys) >= BATCH_DOCS:
                 yield close()
@@ -65,11 +66,22 @@ def batches(frames: Iterator[pd.DataFrame], key: str, text: str, end: bytes | No
 
 
 def by_bucket(hashes: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(bucket, positions) for each bucket that occurs; the top `bits` bits of a hash are its bucket. Positions are in
-    order of the hash."""
-    order = np.argsort(hashes, kind="stable")
-    bucket = (hashes[order] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(order), np.int64)
-    cuts = np.flatnonzero(np.diff(bucket)) + 1
-    for part in np.split(order, cuts):
+    """(bucket, positions) for each bucket that occurs; the top `bits` bits of a hash are its bucket. Positions stay in
+    order."""
+    bucket = (hashes >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32) if bits else np.zeros(len(hashes), np.uint16)
+    order = np.argsort(bucket, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
         if len(part):
-            yield (int(hashes[part[0]] >> np.uint64(64 - bits)) if bits else 0), part
+            yield int(bucket[part[0]]), part
+
+
+def steps(docs: np.ndarray) -> bytes:
+    """Ascending document numbers of a batch as the steps between them, low bytes before high ones: mostly zeros, which
+    the shuffle compresses."""
+    return np.diff(docs, prepend=0).astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
+
+
+def unroll(packed: bytes) -> np.ndarray:
+    """The document numbers that `steps` packed."""
+    low, high = np.frombuffer(packed, np.uint8).reshape(2, -1).astype(np.int64)
+    return np.cumsum(low + (high << 8))

@@ -149,6 +149,12 @@ def zip_manifests(spark, sf_dir):
     return matching.zip_manifests(left, left.select("pos", F.upper("left_line").alias("right_line")))
 
 
+@query(f"WITH {X.PATHS} SELECT page_id, path FROM paths WHERE path IN (SELECT path FROM paths WHERE page_id % 3 <> 0)")
+def existing_files(spark, sf_dir):
+    p = X.paths(spark, sf_dir)
+    return text.existing_files(p, p.where("page_id % 3 != 0")).select("page_id", "path")
+
+
 @query("SELECT reason, count(*) AS n FROM (SELECT 'nation ' || s_nationkey AS reason FROM supplier) GROUP BY 1")
 def failure_summary(spark, sf_dir):
     block = F.format_string("path: /s/%d\nreason: nation %d\n", "s_suppkey", "s_nationkey")

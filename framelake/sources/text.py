@@ -44,6 +44,11 @@ def missing_files(manifest: DataFrame, listed: DataFrame) -> DataFrame:
     return manifest.join(listed.select("path").distinct(), "path", "left_anti")
 
 
+def existing_files(manifest: DataFrame, listed: DataFrame) -> DataFrame:
+    """The manifest's rows whose path is listed: the dialect that skips files which don't exist."""
+    return manifest.join(listed.select("path").distinct(), "path", "left_semi")
+
+
 def read_failure_log(spark: SparkSession, path: str | list[str], path_label: str = "path", reason_label: str = "reason") -> DataFrame:
     """(path, reason) of a log in blocks (`path: ...` and `reason: ...` lines, a blank line between) or of `path : reason` lines."""
     blocks = spark.read.text(path, lineSep="\n\n").select(F.regexp_replace("value", "\r", "").alias("b"))

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from framelake.shared import shared_dir
@@ -32,18 +33,16 @@ def stream_frame_pairs(frames: DataFrame) -> DataFrame:
     return frames.groupBy("seq_id").applyInPandasWithState(_pair, OUT, "last_no long, last_pos long", "append", GroupStateTimeout.NoTimeout)
 
 
-def pairs_of_table(spark: SparkSession, frames: DataFrame, files: int = 3) -> DataFrame:
-    """Run the stream over a table: frames are written as `files` files in order, read as a stream one file a batch, and the pairs are
-    read back."""
-    from pyspark.sql import functions as F
-
+def pairs_of_table(spark: SparkSession, frames: DataFrame, slices: int = 3) -> DataFrame:
+    """Run the stream over a table: slices of frames arrive one after the other, in as many files as their tasks write, the query
+    takes what is new each time, its state living on in its checkpoint, and the pairs are read back."""
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     rows = frames.select("seq_id", F.col("frame_no").cast("long").alias("frame_no"), "pos")
     top = rows.agg(F.max("frame_no")).first()[0] or 0
-    for i in range(files):  # files in order of time hold later and later frames of every sequence
-        lo, hi = i * (top + 1) // files, (i + 1) * (top + 1) // files
-        rows.where(F.col("frame_no").between(lo, hi - 1)).coalesce(1).write.mode("append").parquet(f"{at}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
-    query = stream_frame_pairs(stream).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
+    for i in range(slices):  # later slices hold later frames of every sequence
+        lo, hi = i * (top + 1) // slices, (i + 1) * (top + 1) // slices
+        rows.where(F.col("frame_no").between(lo, hi - 1)).write.mode("append").parquet(f"{at}/in")
+        pairs = stream_frame_pairs(spark.readStream.schema(rows.schema).parquet(f"{at}/in"))
+        sink = pairs.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state")
+        sink.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(OUT).parquet(f"{at}/out")

@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framelake.llm.common import remainder, table
+from framelake.llm.common import BROADCAST_KEYS, map_texts, materialize, remainder, table
 
 #: Longest context in bytes, and the bounded sample that the trees are fitted on: documents of each language (the first
 #: by hash among those of up to so many characters; each is taken whole).
@@ -21,21 +22,34 @@ SHARPNESS = 40.0
 def sample_by_language(docs: DataFrame, key: str, text: str, lang: str, per_language: int) -> DataFrame:
     """(lang, text) of the `per_language` first documents of each language by hash; only ids are ranked."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.length(text).between(1, SAMPLE_CHARS))
-    ranked = known.select(F.col(lang).alias("lang"), F.col(key).alias("id"), F.xxhash64(key, text).alias("h"))
-    order = Window.partitionBy("lang").orderBy("h", "id")
-    chosen = ranked.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("lang", "id", "h")
-    body = known.select(F.col(lang).alias("lang"), F.xxhash64(key, text).alias("h"),
-                        F.col(text).alias("text"))
-    return body.join(F.broadcast(chosen.select("lang", "h").distinct()), ["lang", "h"], "left_semi")
+    known = known.select(F.col(lang).alias("lang"), F.xxhash64(key, text).alias("h"), F.col(text).alias("text"))
+    # a language's count tells below which hash about twice as many rows lie as are wanted, so only those are ranked
+    share = F.least(F.lit(1.0), 2.0 * (per_language + 50) / F.col("count"))
+    marks = _small(known.groupBy("lang").count().select(F.col("lang").alias("l"), (share * 2.0**64 - 2.0**63).alias("mark")))
+    near = known.select("lang", "h").join(marks, F.col("lang") == F.col("l")).where(F.col("h").cast("double") <= F.col("mark"))
+    # rows of one hash are the same id and text again, and count once
+    order = Window.partitionBy("lang").orderBy("h")
+    chosen = near.distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("lang", "h")
+    return known.join(_small(chosen), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("lang", "text")
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """`rows`, written, and broadcast where they are as few as expected."""
+    rows = materialize(rows)
+    return F.broadcast(rows) if rows.count() <= BROADCAST_KEYS else rows
 
 
 class ContextTrees:
-    """Frozen code lengths: `state[context of 3 symbols]` is the longest suffix of the context that any tree holds, and
-    `bits[language][state, symbol]` the exact code length of the symbol there, escapes included.
+    """Frozen code lengths. For each language and context length the trees hold the contexts met with the bits of an escape
+    from them, and the (context, symbol) codes met with the bits of that symbol there; both in order, so what a tree takes
+    grows with what its language's sample holds, not with languages times contexts times symbols.
 
     Escape method C: a context seen n times with d distinct symbols gives a symbol seen c times c / (n + d), and d / (n +
     d) to all others, which its suffix context then codes; below the empty context all symbols are alike."""
 
+    #: Codes of ORDER bytes and one more that a task remembers with their bits in all languages.
+    REMEMBERED = 300_000
+
     def __init__(self, samples: dict[str, list[bytes]], order: int = ORDER):
         self.languages, self.order = sorted(samples), order
         seen = np.zeros(256, dtype=bool)
@@ -46,35 +60,37 @@ class ContextTrees:
         self.symbol = np.ones(256, dtype=np.int64)
         self.symbol[seen] = np.arange(2, 2 + seen.sum())
         a = self.alphabet = int(2 + seen.sum())
-        counts = {lang: self._count(texts) for lang, texts in samples.items()}
-        contexts = [np.unique(np.concatenate([c[k][0] // a for c in counts.values()])) if counts else np.zeros(0, np.int64)
-                    for k in range(order + 1)]
-        first = np.cumsum([0, *map(len, contexts)])
-        self.bits = np.zeros((len(self.languages), max(1, first[-1]), a), dtype=np.float32)
-        for li, lang in enumerate(self.languages):
-            for k in range(order + 1):
-                grams, n = counts[lang][k]
-                ctx, sym = grams // a, grams % a
-                for j, c in enumerate(contexts[k]):
-                    lo, hi = np.searchsorted(ctx, [c, c + 1])
-                    below = np.full(a, np.log2(a), dtype=np.float32) if k == 0 else self.bits[li, self._suffix(contexts, first, c, k)]
-                    if lo == hi:
-                        self.bits[li, first[k] + j] = below
-                        continue
-                    total, kinds = n[lo:hi].sum(), hi - lo
-                    row = below + np.float32(np.log2((total + kinds) / kinds))
-                    row[sym[lo:hi]] = np.log2((total + kinds) / n[lo:hi])
-                    self.bits[li, first[k] + j] = row
-        self.state = np.zeros(a**order, dtype=np.int32)
-        if counts:
-            for k in range(1, order + 1):
-                step = np.arange(a**(order - k), dtype=np.int64) * a**k
-                for j, c in enumerate(contexts[k]):
-                    self.state[step + c] = first[k] + j
-
-    def _suffix(self, contexts: list, first: np.ndarray, c: int, k: int) -> int:
-        shorter = c % self.alphabet ** (k - 1)
-        return int(first[k - 1] + np.searchsorted(contexts[k - 1], shorter))
+        self.trees = []
+        for lang in self.languages:
+            levels = []
+            for codes, n in self._count(samples[lang]):
+                contexts, first, kinds = np.unique(codes // a, return_index=True, return_counts=True)
+                total = np.add.reduceat(n, first) if len(first) else np.zeros(0, np.int64)
+                own = np.log2(np.repeat(total + kinds, kinds) / n).astype(np.float32)
+                levels.append((contexts, np.log2((total + kinds) / kinds).astype(np.float32), codes, own))
+            self.trees.append(levels)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.codes, self.bits = np.zeros(0, np.int64), np.zeros((len(self.languages), 0), np.float32)
+
+    def _bits(self, codes: np.ndarray) -> np.ndarray:
+        """Bits of the last symbol of each code, (languages, codes): from the longest context met, with the escapes on the way."""
+        out = np.zeros((len(self.languages), len(codes)), np.float32)
+        for li, levels in enumerate(self.trees):
+            open_ = np.ones(len(codes), dtype=bool)
+            for k in range(self.order, -1, -1):
+                contexts, escape, held, own = levels[k]
+                code = codes % self.alphabet ** (k + 1)
+                at, met = _find(held, code)
+                met &= open_
+                out[li, met] += own[at[met]]
+                open_ &= ~met
+                at, met = _find(contexts, code // self.alphabet)
+                met &= open_
+                out[li, met] += escape[at[met]]
+            out[li, open_] += np.float32(np.log2(self.alphabet))
+        return out
 
     def symbols(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All texts in a row, each after `order` start symbols, and where each text's own symbols begin."""
@@ -102,17 +118,35 @@ class ContextTrees:
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each text under each language's tree: shape (texts, languages)."""
         symbols, starts = self.symbols(texts)
-        a, o = self.alphabet, self.order
-        context = sum(symbols[o - k: len(symbols) - k] * a ** (k - 1) for k in range(1, o + 1))
-        at = self.state[context].astype(np.int64) * a + symbols[o:]
+        o = self.order
+        code = sum(symbols[o - k: len(symbols) - k] * self.alphabet**k for k in range(o + 1))
+        number, kinds = pd.factorize(code)
+        at, known = _find(self.codes, kinds)
+        if not known.all():
+            if len(self.codes) > self.REMEMBERED:
+                self._forget()
+                known[:] = False
+            new = np.sort(kinds[~known])
+            order = np.argsort(np.concatenate([self.codes, new]), kind="stable")
+            self.bits = np.concatenate([self.bits, self._bits(new)], axis=1)[:, order]
+            self.codes = np.concatenate([self.codes, new])[order]
+            at, _ = _find(self.codes, kinds)
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         out = np.zeros((len(texts), len(self.languages)))
         for li in range(len(self.languages)):
-            sums = np.concatenate([[0.0], np.cumsum(self.bits[li].ravel()[at], dtype=np.float64)])
+            sums = np.concatenate([[0.0], np.cumsum(self.bits[li][at][number], dtype=np.float64)])
             out[:, li] = sums[starts - o + sizes] - sums[starts - o]
         return out
 
 
+def _find(held: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each code stands in `held`, which is in order, and whether it does."""
+    if not len(held):
+        return np.zeros(len(codes), np.int64), np.zeros(len(codes), dtype=bool)
+    at = np.minimum(np.searchsorted(held, codes), len(held) - 1)
+    return at, held[at] == codes
+
+
 def posteriors(bits: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Shares of the languages by code length a byte; adds up to 1 for each text."""
     rate = bits / np.maximum(sizes, 1)[:, None]
@@ -138,19 +172,22 @@ def identify(docs: DataFrame, trees: ContextTrees, key: str = "doc_id", text: st
     column is read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(trees)
-    rows = docs.select(F.col(key).alias(key), F.when(F.col(text).rlike(r"\p{L}"), F.col(text)).alias("body"))
+    rows = docs.select(F.col(key).alias("key"), F.when(F.col(text).rlike(r"\p{L}"), F.col(text)).alias("body"))
+
+    def start():
+        def name(bodies: list) -> list[pa.Array]:
+            found = name_languages(shared.value, bodies)
+            return [pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.string(), pa.float64()))]
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.concat([batch[[key]], name_languages(shared.value, batch["body"])], axis=1)
+        return name
 
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.mapInPandas(score, f"`{key}` {kind}, lang_pred string, score double")
+    return map_texts(rows, "body", "lang_pred string, score double", start).withColumnRenamed("key", key)
 
 
-def name_languages(trees: ContextTrees, bodies: pd.Series) -> pd.DataFrame:
+def name_languages(trees: ContextTrees, bodies: list) -> list[tuple[str, float]]:
     """(lang_pred, score) of each text; null ones are undetermined. Coded some megabytes at a time."""
-    names, shares, held, size = [], [], [], 0
+    out: list[tuple[str, float]] = []
+    held, size = [], 0
     for i, body in enumerate(bodies):
         data = body.encode("utf-8", "replace") if body is not None and trees.languages else b""
         held.append(data)
@@ -158,21 +195,21 @@ def name_languages(trees: ContextTrees, bodies: pd.Series) -> pd.DataFrame:
         if size > 2_000_000 or i == len(bodies) - 1:
             bits = trees.code_lengths(held)
             share = posteriors(bits, np.array([len(t) for t in held])) if trees.languages else np.zeros((len(held), 1))
-            for t, s in zip(held, share, strict=True):
-                names.append(trees.languages[int(s.argmax())] if t else "und")
-                shares.append(float(s.max()) if t else 0.0)
+            out += [(trees.languages[int(s.argmax())], float(s.max())) if t else ("und", 0.0) for t, s in zip(held, share, strict=True)]
             held, size = [], 0
-    return pd.DataFrame({"lang_pred": pd.Series(names, index=bodies.index, dtype=object), "score": pd.Series(shares, index=bodies.index, dtype=float)})
+    return out
 
 
 def keep_identified(docs: DataFrame, trees: ContextTrees, text: str = "text", least: float = 0.5) -> DataFrame:
-    """`docs` without the rows that have no letter or whose best language's share is under `least`; all columns stay."""
+    """`docs` without the rows that have no letter or whose best language's share is under `least`; all columns stay. So
+    null and empty texts go; long ones are read whole, repeated rows fare alike, an empty table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
     @F.pandas_udf("lang_pred string, score double")
     def language(bodies: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in bodies:
-            yield name_languages(shared.value, batch)
+            found = name_languages(shared.value, list(batch))
+            yield pd.DataFrame(found, columns=["lang_pred", "score"]).astype({"lang_pred": object, "score": float})
 
     found = language(F.when(F.col(text).rlike(r"\p{L}"), F.col(text)))
     return docs.where((found["lang_pred"] != "und") & (found["score"] >= least))

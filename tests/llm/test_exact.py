@@ -97,12 +97,28 @@ def test_places(spark):
     assert sharding.shard_documents(docs(spark, [])).count() == 0
 
 
-def test_benchmark_windows(spark):
+def test_a_weight_moves_rows_into_its_own_subtree_only(spark):
+    df = docs(spark, [(i, "x") for i in range(6000)])
+    weights = sharding.tree(40)
+    weights[1][2][3] = 3.0
+    before, after = ({r.doc_id: r.shard for r in sharding.shard_documents(df, 40, weights=w).collect()} for w in (None, weights))
+    where = lambda s: (s // 20, s // 5)
+    moved = [(before[i], after[i]) for i in before if before[i] != after[i]]
+    assert len(moved) > 100 and all(where(b)[0] == 1 for _, b in moved)
+    assert all(where(b)[1] == 6 for a, b in moved if where(a)[0] == 1) and all(b == 33 for a, b in moved if where(a)[1] == 6)
+    sizes = Counter(before.values())
+    assert len(sizes) == 40 and 100 < min(sizes.values()) and max(sizes.values()) < 210
+
+
+@pytest.mark.parametrize("limits", [(20_000, 500_000), (0, 0)])
+def test_benchmark_windows(spark, limits):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
     items = spark.createDataFrame([(1, item, 0), (2, "short one", 0), (10, "", 0), (11, None, 0), (12, item, 0)], "item_id long, text string, doc_id int")
     rows = [(1, f"x {item.upper()}! y"), (2, "a SHORT-one here, short one"), (3, None), (4, ""), (5, "kappa " + item[:40]), (6, item + " ; " + item), (6, item + " ; " + item), (None, "short one"),
             (8, "clean " * 5000), (9, "mu " + " ".join(reversed(item.split())) + " alpha")]
+    (decontamination.INLINE_TERMS, decontamination.BROADCAST_ROWS), limits = limits, (decontamination.INLINE_TERMS, decontamination.BROADCAST_ROWS)
     got = {(r.doc_id, r.n_words): r for r in decontamination.decontaminate(docs(spark, rows), items).collect()}
+    decontamination.INLINE_TERMS, decontamination.BROADCAST_ROWS = limits
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     assert (got[1, 14].n_hit, got[1, 14].n_items, got[1, 14].items_sha256) == (12, 2, sha("1,12"))
     assert (got[2, 6].n_hit, got[2, 6].items_sha256) == (4, sha("2"))
@@ -141,4 +157,10 @@ def test_urls(spark):
         assert got[1][2:] == ("com/en/", "block") and got[2][2:] == ("com/en/", "block") and got[3][2:] == (None, "allow")
         assert got[4] == got[5] == ("", "", None, "allow")
         assert got[6][1:] == ("/de/8", "example.net/de/8", "block") and got[7][2] == "net/de/" and got[8][2] is None and got[9][:2] == ("h", "")
+        twice = url_filter.judge_urls(df.union(df), url_filter.RULES)
+        assert twice.count() == 2 * len(urls) and twice.distinct().count() == len(urls)
+        assert url_filter.judge_urls(df.limit(0), url_filter.RULES).count() == 0
+        # of two rules for one host and path the allowing one stands
+        both = [("block", "h", "/"), ("allow", "h", "/")]
+        assert url_filter.judge_urls(spark.createDataFrame([(1, "http://h/x")], "page_id long, url string"), both).first().verdict == "allow"
     url_filter.BROADCAST_RULES = 1_000_000

@@ -1,14 +1,17 @@
 """Learned operators on held-out rows, and the pipeline against a plain version."""
 
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from framelake.llm import language_id, licenses, toxicity
+from framelake.llm import bpe, language_id, licenses, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,10 +56,11 @@ def test_languages(spark):
     assert language_id.predict(odd.limit(0)).count() == 0
 
 
-def test_marginals_are_those_of_all_paths():
+@pytest.mark.parametrize("first", [[1, 0, 2, 1], [0, 0, 2, 0], [3, 1, 0, 2]])
+def test_marginals_are_those_of_all_paths(first):
     rng = np.random.default_rng(2)
     field = toxicity.Field({}, -1.0, rng.normal(size=(2, 2)), (1.0, 0.0))
-    weights, gaps = np.array([1.5, -0.5, 2.0]), np.array([1, 0, 2, 1])
+    weights, gaps = np.array([1.5, -0.5, 2.0]), np.array(first)
     emit, at = [], []
     for g, w in zip(gaps, [*weights, None], strict=True):
         emit += [field.bias] * g
@@ -69,7 +73,13 @@ def test_marginals_are_those_of_all_paths():
         p = np.exp(sum(e for e, x in zip(emit, s, strict=True) if x) + sum(field.move[a, b] for a, b in zip(s, s[1:], strict=False)))
         total += p
         one += p * np.array([s[i] for i in at])
-    assert field.marginals(weights, gaps) == pytest.approx(one / total, rel=0.15)
+    assert field.marginals(weights, gaps) == pytest.approx(one / total, rel=1e-9)
+
+
+def test_marginals_of_very_long_gaps():
+    field = toxicity.Field({}, -2.0, np.array([[1.0, -1.0], [-0.5, 0.5]]), (1.0, 0.0))
+    far, farther = (field.marginals(np.array([3.0, 3.0]), np.array([0, n, 0])) for n in (2_000, 5_000_000))
+    assert far == pytest.approx(farther, rel=1e-9) and np.isfinite(farther).all()
 
 
 def test_toxic_spans(spark):
@@ -148,6 +158,55 @@ def test_wrapped_licences(spark):
     assert got == {"a/x.c": ("BSD-3-Clause", "own"), "a/y.py": ("GPL-3.0", "own"), "a/z": (None, "none")}
 
 
+def test_every_document_gets_a_licence_row(spark):
+    notice = "Released under the MIT License."
+    rows = [(1, notice, "s"), (1, "some other text", "s"), (1, "some other text", "s"), (None, "text", "s"), (None, None, None), (2, "", "s"), (9_007_199_254_740_993, "x" * 50_000, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = licenses.scan_documents(docs).collect()
+    assert sorted((str(r.doc_id), str(r.license), r.basis) for r in got) == sorted([
+        ("1", "MIT", "own"), ("1", "MIT", "inherited"), ("1", "MIT", "inherited"), ("2", "MIT", "inherited"), ("9007199254740993", "None", "none"), ("None", "None", "none"), ("None", "None", "none")])
+    assert licenses.scan_documents(docs.limit(0)).count() == 0
+
+
+def test_licences_are_those_of_a_plain_scan(spark):
+    """Every run of lines of every text against every template, in plain Python."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    paths = docs.select(licenses.document_paths(docs).alias("path"), "text").collect()
+    files = {r.path: r.text or "" for r in paths}
+    held = [set(licenses.terms(t)) for t in files.values()]
+    share = lambda t: (sum(t in h for h in held) - 1) / len(held)
+    shares = {}
+    templates = [(name, licenses.terms(n)) for name in sorted(licenses.TEMPLATES) for n in licenses.TEMPLATES[name]]
+    longest = max(t.total() for _, t in templates)
+
+    def unit(counts):
+        v = {t: n * licenses.idf(max(0.0, shares.setdefault(t, share(t)))) for t, n in counts.items()}
+        size = sum(x * x for x in v.values()) ** 0.5
+        return {t: x / size for t, x in v.items()}
+    vectors = [(name, unit(t)) for name, t in templates]
+    words = set().union(*(t for _, t in templates))
+    own = {}
+    for path, text in files.items():
+        lines = [c for line in text.splitlines() if (c := licenses.terms(line))]
+        for i in range(len(lines)):
+            run, size = Counter(), 0
+            for j in range(i, len(lines)):
+                size += lines[j].total()
+                if j > i and size > 2 * longest:
+                    break
+                run.update(lines[j])
+                if 3 * sum(n for t, n in run.items() if t in words) < run.total():
+                    continue  # far under the threshold
+                v = unit(run)
+                for name, tv in vectors:
+                    s = sum(x * v.get(t, 0.0) for t, x in tv.items())
+                    if s >= licenses.THRESHOLD - 1e-9 and (path not in own or s > own[path][0] + 1e-9):
+                        own[path] = (s, name)
+    got = {r.path: (r.license, r.score) for r in licenses.scan_documents(docs).where("basis = 'own'").collect()}
+    assert set(got) == set(own) and len(own) > 0
+    assert all(got[p][1] == pytest.approx(s, abs=1e-6) and got[p][0] == name for p, (s, name) in own.items())
+
+
 def test_licence_scores_are_equal_over_corpus_sizes(spark):
     notice, scores = "Licensed under the Apache License, Version 2.0.", []
     for n in (200, 20_000):
@@ -183,4 +242,27 @@ def test_pipeline_keeps_what_a_plain_version_keeps(spark):
     sizes = {len(w) for w in windows}
     kept = {i for i in single if not any(tuple(w[k:k + n]) in windows for n in sizes for w in [words(docs[i])] for k in range(len(w) - n + 1))}
     got = corpus_pipeline.run(spark, SF).collect()
-    assert {r.doc_id for r in got} == kept and all(r.n_tokens == len(r.ids) for r in got)
+    ranks = bpe.read_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert {r.doc_id for r in got} == kept and all(list(r.ids) == theirs.encode_ordinary(docs[r.doc_id]) and r.n_tokens == len(r.ids) for r in got)
+    marks = dict(duckdb.sql(f"SELECT doc_id, max(toxic) FROM '{SF}/labels.parquet' GROUP BY 1").fetchall())
+    assert sum(marks.get(i) == 0 for i in clean) >= 0.97 * sum(y == 0 for y in marks.values())
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows, ids beyond 2^53 and a clashing column; and empty tables."""
+    big, rng = 2**53 + 1, np.random.default_rng(6)
+    plain = lambda n: " ".join(rng.choice("river stone light garden window paper silver morning travel little house tree".split(), n))
+    rows = [(i, plain(60), "en", "web", 1) for i in range(60)]
+    rows += [(big, plain(60), None, None, None), (None, plain(60), "en", "web", 1), (100, None, "en", "web", 0), (101, "", None, "web", 0), (102, plain(60_000), "en", "web", 1),
+             (103, rows[0][1], "en", "web", 1), (104, rows[1][1], "en", "web", 1), (104, rows[1][1], "en", "web", 1), (105, "12 34 !?", "en", None, 0),
+             (106, "one two three four five six seven eight nine ten eleven " + plain(30), "en", "web", 1)]
+    frames = {"documents": spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score int"),
+              "labels": spark.createDataFrame([(0, 0), (1, 1), (None, 1), (2, None)], "doc_id long, toxic int"),
+              "benchmark": spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven"), (2, None), (None, "")], "item_id long, text string")}
+    for name, f in frames.items():
+        f.write.parquet(f"{tmp_path}/a/{name}.parquet")
+        f.limit(0).write.parquet(f"{tmp_path}/b/{name}.parquet")
+    got = sorted(str(r.doc_id) for r in corpus_pipeline.run(spark, f"{tmp_path}/a").collect())
+    assert got == sorted([str(i) for i in range(60)] + [str(big), "None", "102"])
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0

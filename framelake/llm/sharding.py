@@ -40,10 +40,11 @@ def _weights(values: list) -> Column:
     return F.array(*[_weights(v) if isinstance(v, list) else F.lit(float(v)) for v in values])
 
 
-def with_place(rows: DataFrame, key: str, n_shards: int, name: str) -> DataFrame:
+def with_place(rows: DataFrame, key: str, weights: list[list[list[float]]], name: str) -> DataFrame:
     """`rows` with the shard of `key` as column `name`: a draw among regions by their total weights, then among that
-    region's racks, then among that rack's shards. Adding a shard that opens a region moves rows into that only."""
-    weights, k = tree(n_shards), F.col(key)
+    region's racks, then among that rack's shards. A weight that grows moves rows into its region only, of those inside the region into
+    its rack only, and of those inside the rack into its shard only; so a shard that opens a region takes rows into that only."""
+    k = F.col(key)
     starts, at = [], 0
     for racks in weights:
         starts.append([at + sum(map(len, racks[:i])) for i in range(len(racks))])
@@ -57,29 +58,32 @@ def with_place(rows: DataFrame, key: str, n_shards: int, name: str) -> DataFrame
     return rows.withColumn(name, (_weights(starts)[region][rack].cast("int") + leaf).cast("int")).drop("~region", "~rack")
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 40, key: str = "doc_id", text: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = 40, key: str = "doc_id", text: str = "text",
+                    weights: list[list[list[float]]] | None = None) -> DataFrame:
     """Rows (key, size, text_crc32, law, shard, slot, grown_shard), one for each input row, under the `key` law: key
     and shard count alone decide; `grown_shard` is the place with one shard more.
 
-    Where that shard opens a rack in a region of its own (as 41 does after 40), rows move into it only; where it joins
+    `weights` [region][rack][shard] may replace the tree of equal shards; `grown_shard` is then as without them.
+    Where the further shard opens a rack in a region of its own (as 41 does after 40), rows move into it only; where it joins
     a region, rows also move inside that region, whose weights change. `size` is the text's UTF-8 bytes plus 16 (null
     text: 16, and crc32 of no bytes). `slot` is gapless from 0 within the shard: groups of a shard's rows, cut by a
     hash of the key, number their rows by (key, crc32, size) after the groups before them. Null keys share one place;
     repeated rows share a shard and get slots of their own; an empty table gives an empty result; other columns aren't
     read.
     """
+    own, more = weights or tree(n_shards), tree(n_shards + 1)
     groups = max(1, math.ceil(docs.count() / (n_shards * SLOT_GROUP)))
     name = F.coalesce(F.col(key).cast("string"), F.lit(""))
     body = F.coalesce(F.col(text), F.lit(""))
     cut = F.conv(F.substring(F.md5(F.concat(F.lit("slot|"), name).cast("binary")), 1, 8), 16, 10).cast("long") % groups
-    counted = with_place(docs.select(name.alias("~k"), cut.alias("cut")), "~k", n_shards, "shard").groupBy("shard", "cut").count()
+    counted = with_place(docs.select(name.alias("~k"), cut.alias("cut")), "~k", own, "shard").groupBy("shard", "cut").count()
     before = Window.partitionBy("shard").orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
     starts = counted.select("shard", "cut", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
     rows = docs.select(
         F.col(key).alias(key), (F.octet_length(body) + 16).cast("long").alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"),
         name.alias("~k"), cut.alias("cut"))
-    rows = with_place(with_place(rows, "~k", n_shards, "shard"), "~k", n_shards + 1, "grown_shard")
+    rows = with_place(with_place(rows, "~k", own, "shard"), "~k", more, "grown_shard")
     within = Window.partitionBy("shard", "cut").orderBy(F.col(key).asc_nulls_first(), "text_crc32", "size")
     numbered = rows.withColumn("rn", F.row_number().over(within))
     return numbered.join(starts, ["shard", "cut"]).select(

@@ -24,6 +24,8 @@ TEMPLATES = {
     "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
 }
+#: Every licence is also known by its header line.
+TEMPLATES = {name: [*notices, f"SPDX-License-Identifier: {name}"] for name, notices in TEMPLATES.items()}
 THRESHOLD = 0.8
 #: Terms that a smaller share of the other files holds weigh as those of this share.
 RARE = 1e-3
@@ -167,14 +169,23 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", templates: di
 
 
 def document_paths(docs: DataFrame) -> Column:
-    """A path for each document: source, then thousands and hundreds of its id; documents that consist of a notice after
-    a few words stand as that directory's licence file, the others under their id."""
-    folder = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 1000), F.floor(F.col("doc_id") / 100))
-    notice = (F.length("text") < 400) & F.lower("text").rlike("licen[cs]e")
-    return F.concat(folder, F.when(notice, F.concat(F.lit("/LICENSE."), F.col("doc_id"))).otherwise(F.concat(F.lit("/"), F.col("doc_id"))))
+    """A path for each document: source, then thousands and hundreds of its id (none: `-`), then id and a hash of the text, so that
+    rows that share an id but not the text are files of their own. Documents that consist of a notice after a few words stand as that
+    directory's licence file."""
+    body = F.coalesce("text", F.lit(""))
+    at = lambda n: F.coalesce(F.floor(F.col("doc_id") / n).cast("string"), F.lit("-"))
+    folder = F.concat_ws("/", F.coalesce("source", F.lit("none")), at(1000), at(100))
+    notice = (F.length(body) < 400) & F.lower(body).rlike("licen[cs]e")
+    name = F.concat(at(1), F.lit("-"), F.hex(F.xxhash64(body)))
+    return F.concat(folder, F.when(notice, F.concat(F.lit("/LICENSE."), name)).otherwise(F.concat(F.lit("/"), name)))
+
+
+def scan_documents(docs: DataFrame) -> DataFrame:
+    """(doc_id, path, license, score, basis, source), one for each row of `docs` (see `scan` and `document_paths`): rows without an id
+    have files too, repeated rows each get their file's result, null and empty texts have no notice of their own."""
+    files = docs.select("doc_id", document_paths(docs).alias("path"), "text")
+    return files.select("doc_id", "path").join(scan(files.select("path", "text")), "path").select("doc_id", "path", "license", "score", "basis", "source")
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = scan(docs.select(document_paths(docs).alias("path"), "text"))
-    return found.select(F.regexp_extract("path", r"(\d+)$", 1).cast("long").alias("doc_id"), "path", "license", "score", "basis", "source")
+    return scan_documents(table(spark, sf_dir, "documents"))

@@ -10,16 +10,19 @@ from __future__ import annotations
 import heapq
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import remainder, table
+from framelake.llm.common import map_texts, remainder, table
 
 WORD = re.compile(r"\w+")
 #: The bounded sample: labelled documents of each class, the first by hash among those of up to so many characters.
@@ -27,11 +30,11 @@ SAMPLE_DOCS, SAMPLE_CHARS = 2_000, 16_384
 #: Tokens on each side of a labelled one that the field sees in training, passes over the sample, and tokens of a piece.
 CONTEXT, PASSES, RUN = 8, 100, 64
 THRESHOLD = 0.7
+#: Cells of the table of counts.
+SUPPORTS = 1 << 25
 #: Lengths of the features inside words; how much likelier in toxic documents a feature must be, and the nats of evidence
 #: beyond the logarithm of the number of features tried.
 GRAMS, LIKELIER, MARGIN = range(4, 9), 5.0, 0.0
-#: Words that a task remembers as clear.
-REMEMBERED = 200_000
 
 
 def grams(word: str) -> set[str]:
@@ -56,12 +59,22 @@ def label_features(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
         for i, d in enumerate(group):
             for w in d:
                 docs.setdefault(w, ([], []))[side].append(i)
-    support: Counter = Counter()
+    # a feature of few toxic documents can't come to the evidence that is asked for, whatever the clean ones; most of these are told by
+    # a table of counts by hash, without being kept
+    least = max(3, len(toxic) // 250)
+    counts = np.zeros(SUPPORTS, dtype=np.uint8)
     for w, (pos, _) in docs.items():
         if pos:
-            support.update(dict.fromkeys(grams(w), len(pos)))
-    held: dict[str, list[str]] = {g: [] for g, n in support.items() if n >= 3}
-    del support
+            at = np.fromiter((hash(g) % SUPPORTS for g in grams(w)), dtype=np.int64)
+            counts[at] = np.minimum(200, counts[at]) + min(len(pos), 50)
+    support: dict[str, int] = {}
+    for w, (pos, _) in docs.items():
+        if pos:
+            for g in grams(w):
+                if counts[hash(g) % SUPPORTS] >= min(least, 50):
+                    support[g] = support.get(g, 0) + len(pos)
+    held: dict[str, list[str]] = {g: [] for g, n in support.items() if n >= least}
+    del support, counts
     for w in docs:
         for g in grams(w):
             if g in held:
@@ -91,56 +104,78 @@ def label_features(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
     return chosen
 
 
+def power(step: np.ndarray, times: int) -> np.ndarray:
+    """The matrix power but for a factor, by squaring, kept in range however many times."""
+    out, step = np.eye(2), step / step.max()
+    while times:
+        if times & 1:
+            out = out @ step
+            out = out / out.max()
+        step = step @ step
+        step, times = step / step.max(), times >> 1
+    return out
+
+
 @dataclass
 class Field:
     """Weights of the chain: `word` adds to the toxic state's potential, by the first of its features that a word has (see
     `grams`), `bias` is that of all other words, `move[a, b]` the potential of going from state a to b; `scale` turns
-    expected toxic tokens into a score. `clear` remembers words without a feature."""
+    expected toxic tokens into a score."""
 
     word: dict[str, float]
     bias: float
     move: np.ndarray
     scale: tuple[float, float]
-    clear: set[str] = field(default_factory=set, repr=False, compare=False)
 
     def __post_init__(self) -> None:
-        self.rank = {g: i for i, g in enumerate(self.word)}
+        self.rank, self.finder = {g: i for i, g in enumerate(self.word)}, None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"finder": None}
 
     def feature(self, word: str) -> str | None:
         """The first feature that the lower-cased word has."""
         return min((g for g in grams(word) if g in self.rank), key=self.rank.__getitem__, default=None)
 
-    def marks(self, text: str) -> dict[str, float]:
-        """The words of `text` that have a feature, with their weights."""
-        found = {}
-        for w in {w.lower() for w in set(WORD.findall(text))} - self.clear:
-            g = self.feature(w)
-            if g is not None:
-                found[w] = self.word[g]
-            else:
-                if len(self.clear) >= REMEMBERED:
-                    self.clear.clear()
-                self.clear.add(w)
-        return found
+    def marks(self, words: list[str]) -> dict[int, float]:
+        """Places of the words that have a feature, with their weights. All features are runs of the words between `<` and `>`,
+        and are looked for at once."""
+        if not self.word:
+            return {}
+        if self.finder is None:
+            self.finder, self.weights = ahocorasick.Automaton(), list(self.word.values())
+            for g, i in self.rank.items():
+                self.finder.add_word(g, i)
+            self.finder.make_automaton()
+        line = f"<{'><'.join(words)}>".lower()
+        hits = list(self.finder.iter(line))
+        if not hits:
+            return {}
+        ends = np.cumsum([len(w) + 2 for w in line[1:-1].split("><")]) - 1
+        best: dict[int, int] = {}
+        for at, i in zip(np.searchsorted(ends, [end for end, _ in hits]).tolist(), (i for _, i in hits), strict=True):
+            best[at] = min(i, best.get(at, i))
+        return {at: self.weights[i] for at, i in sorted(best.items())}
 
     def marginals(self, weights: np.ndarray, gaps: np.ndarray) -> np.ndarray:
         """P(toxic) at each of the tokens that have a word weight. gaps[i]: other tokens before the i-th, and at the
         end those after the last; these all have the same potentials, so a run of them is a matrix power."""
-        step = np.exp(self.move) * np.exp([0.0, self.bias])
-        runs = {int(g): np.linalg.matrix_power(step / step.max(), min(int(g), 400)) for g in set(gaps.tolist())}
+        enter, other = np.exp(self.move), np.exp([0.0, self.bias])
+        runs = {int(g): power(enter * other, int(g)) for g in {*gaps[1:].tolist(), max(0, gaps[0] - 1)}}
         emit = np.exp(np.stack([np.zeros(len(weights)), weights + self.bias], axis=1))
-        enter, before, after = np.exp(self.move), [], []
-        state = np.ones(2) @ runs[int(gaps[0])] if gaps[0] else np.ones(2)
+        before, after = [], []
+        # no move leads to the very first token
+        state = other @ runs[int(gaps[0] - 1)] if gaps[0] else None
         for i, e in enumerate(emit):
             if i:
                 state = state @ runs[int(gaps[i])]
-            state = (state @ enter) * e if i or gaps[0] else state * e
+            state = e if state is None else (state @ enter) * e
             state = state / state.sum()
             before.append(state)
         back = runs[int(gaps[-1])] @ np.ones(2)
         for i in range(len(emit) - 1, -1, -1):
             after.append(back / back.sum())
-            back = enter @ (emit[i] * back)
+            back = enter @ (emit[i] * after[-1])
             if i:
                 back = runs[int(gaps[i])] @ back
         joint = np.array(before) * np.array(after[::-1])
@@ -148,21 +183,13 @@ class Field:
 
     def tag(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """Expected toxic tokens, and the spans (start, end, probability) of those that are likelier toxic than not."""
-        known = self.marks(text)
+        known = self.marks(WORD.findall(text))
         if not known:
             return 0.0, []
-        spans, weights, gaps, gap = [], [], [], 0
-        for m in WORD.finditer(text):
-            w = known.get(m.group().lower())
-            if w is None:
-                gap += 1
-            else:
-                spans.append(m.span())
-                weights.append(w)
-                gaps.append(gap)
-                gap = 0
-        p = self.marginals(np.array(weights), np.array([*gaps, gap]))
-        found = [(a, b, float(x)) for (a, b), x in zip(spans, p, strict=True) if x >= 0.5]
+        spans = [m.span() for m in WORD.finditer(text)]
+        at = np.array([-1, *known, len(spans)])
+        p = self.marginals(np.array(list(known.values())), np.diff(at) - 1)
+        found = [(*spans[i], float(x)) for i, x in zip(known, p, strict=True) if x >= 0.5]
         return float(p.sum()), found
 
     def score(self, expected: float) -> float:
@@ -225,7 +252,7 @@ def windows(at: list[int], size: int) -> list[tuple[int, int]]:
 
 def learn(toxic: list[str], clean: list[str]) -> Field:
     """The field of labelled texts; without texts of both classes it scores every text 0.5 or by its only class."""
-    split = [[[m.group().lower() for m in WORD.finditer(t)] for t in texts] for texts in (toxic, clean)]
+    split = [[[sys.intern(w.lower()) for w in WORD.findall(t)] for t in texts] for texts in (toxic, clean)]
     marks = label_features(*[[set(d) for d in docs] for docs in split])
     if not marks:
         share = (len(toxic) + 0.5) / (len(toxic) + len(clean) + 1)
@@ -240,6 +267,7 @@ def learn(toxic: list[str], clean: list[str]) -> Field:
     sequences = [s for s, _ in times]
     tags = [[int(is_toxic and x > 0) for x in s] for s, is_toxic in times]
     weight, bias, move = train_chain(sequences, tags, len(marks), list(times.values()))
+    # without a weight above 0 a feature doesn't tell toxic tokens, and its words are like all others
     field = Field({g: float(weight[i]) for g, i in order.items() if weight[i] > 0}, bias, move, (1.0, 0.0))
     x = np.log1p([field.tag(t)[0] for t in toxic + clean])
     y = np.array([1.0] * len(toxic) + [0.0] * len(clean))
@@ -276,25 +304,25 @@ def score_documents(docs: DataFrame, field: Field, key: str = "doc_id", text: st
     rows get repeated results; an empty table gives an empty result; no other column is read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field)
-    rows = docs.select(F.col(key).alias(key), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
 
-    def tag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         field = shared.value
-        for batch in batches:
-            scores, spans = [], []
-            for body in batch["body"]:
-                expected, found = field.tag(body)
-                scores.append(field.score(expected))
-                spans.append([{"start": a, "end": b, "p": p} for a, b, p in found])
-            yield pd.DataFrame({key: batch[key], "score": pd.Series(scores, index=batch.index, dtype=float),
-                                "spans": pd.Series(spans, index=batch.index, dtype=object)})
 
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.mapInPandas(tag, f"`{key}` {kind}, score double, spans array<struct<start:int,end:int,p:double>>")
+        def tag(texts: list[str]) -> list[pa.Array]:
+            found = [field.tag(t) for t in texts]
+            spans = [[{"start": a, "end": b, "p": p} for a, b, p in s] for _, s in found]
+            return [pa.array([field.score(expected) for expected, _ in found], pa.float64()), pa.array(spans, kind)]
+
+        return tag
+
+    return map_texts(rows, "body", "score double, spans array<struct<start:int,end:int,p:double>>", start).withColumnRenamed("key", key)
 
 
 def drop_toxic(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
-    """`docs` without the rows that the field scores THRESHOLD or more; all columns stay as they are."""
+    """`docs` without the rows that the field scores THRESHOLD or more; all columns stay as they are. Null and empty texts have
+    no toxic token and stay, long ones are read whole, repeated rows fare alike, an empty table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     @F.pandas_udf("double")

@@ -12,8 +12,10 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: Benchmark-side tables are broadcast up to so many rows (some 100 bytes a row); beyond it Spark shuffles both sides.
 BROADCAST_ROWS = 500_000
-#: Up to so many anchor terms are part of the scan's expression; beyond it they are joined.
+#: Up to so many indexed terms are part of the scan's expression; beyond it they are joined.
 INLINE_TERMS = 20_000
+#: How many of a window's rarest terms have their lists intersected before a document is looked at.
+LISTS = 3
 
 
 def words(text: Column) -> Column:
@@ -35,34 +37,47 @@ def benchmark_windows(items: DataFrame, item_id: str, text: str, window: int) ->
     return cut.groupBy("terms").agg(F.collect_set("item").alias("items"))
 
 
-def index_postings(docs: DataFrame, anchors: DataFrame, doc_id: str, text: str, window: int) -> DataFrame:
-    """Postings (doc, body, at, first, near, tests) of the anchor terms: `at` is the position in the document, `near`
-    the terms from `window - 1` before to `window - 1` after it, `first` the position of near's first term, `tests`
-    what the windows anchored at the term look for."""
+def index_postings(docs: DataFrame, terms: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The stored positional index (term, doc, body, at) of `terms` (term): a row for each place where one of them stands in a
+    document; `body` is a hash of the text, as rows may share an id."""
     listed = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(F.col(text)).alias("body"), words(F.col(text)).alias("ws"))
-
-    def neighbourhood(at: Column) -> list[Column]:
-        first = F.greatest(F.lit(0), at - (window - 1))
-        return [first.alias("first"), F.transform(F.slice("ws", first + 1, at - first + window), ascii_lower).alias("near")]
-
-    n_anchors = anchors.count()
-    if n_anchors <= INLINE_TERMS:
-        terms = [r.term for r in anchors.select("term").collect()]
-        # exploding a word array copies the whole row for every word, so the few anchored places are picked first
-        places = F.filter(F.transform("ws", lambda w, i: F.struct(i.alias("at"), ascii_lower(w).alias("term"))),
-                          lambda p: p["term"].isin(terms) if terms else F.lit(False))
-        posted = listed.select("doc", "body", F.explode(F.transform(places, lambda p: F.struct(
-            p["at"].alias("at"), p["term"].alias("term"), *neighbourhood(p["at"])))).alias("p")).select("doc", "body", "p.*")
-        return posted.join(F.broadcast(anchors), "term")
-    at = listed.select("doc", "body", F.posexplode("ws").alias("at", "word"))
-    at = at.withColumn("term", ascii_lower(F.col("word"))).join(anchors.select("term"), "term", "left_semi")
-    spots = at.groupBy("doc", "body").agg(F.collect_set(F.struct("at", "term")).alias("spots"))
-    spots = spots.withColumnsRenamed({"doc": "~doc", "body": "~body"})
-    met = listed.dropDuplicates(["doc", "body"]).join(
-        spots, F.col("doc").eqNullSafe(F.col("~doc")) & F.col("body").eqNullSafe(F.col("~body")))
-    posted = met.select("doc", "body", F.explode(F.transform("spots", lambda p: F.struct(
-        p["at"].alias("at"), p["term"].alias("term"), *neighbourhood(p["at"])))).alias("p")).select("doc", "body", "p.*")
-    return posted.join(anchors, "term")
+    if terms.count() <= INLINE_TERMS:
+        wanted = [r.term for r in terms.collect()]
+        # exploding a word array copies the whole row for every word, so the few indexed places are picked first
+        places = F.filter(F.transform("ws", lambda w, i: F.struct(ascii_lower(w).alias("term"), i.alias("at"))),
+                          lambda p: p["term"].isin(wanted) if wanted else F.lit(False))
+        return materialize(listed.select("doc", "body", F.explode(places).alias("p")).select("p.term", "doc", "body", "p.at"))
+    at = listed.select("doc", "body", F.posexplode("ws").alias("at", "word")).withColumn("term", ascii_lower(F.col("word")))
+    return materialize(at.join(terms, "term", "left_semi").select("term", "doc", "body", "at"))
+
+
+def rarest_terms(windows: DataFrame, counts: DataFrame, lists: int = LISTS) -> DataFrame:
+    """(window, offset, term, others): for each window whose terms all occur in the corpus, its rarest term with its first offset, and
+    the next ones, at most lists - 1, as (term, offset from the rarest one's)."""
+    placed = windows.select("window", F.posexplode("terms").alias("offset", "term")).groupBy("window", "term").agg(F.min("offset").alias("offset"))
+    counted = placed.join(counts, "term", "left").select("window", F.struct(F.coalesce("count", F.lit(0)).alias("n"), "term", "offset").alias("t"))
+    few = counted.groupBy("window").agg(F.slice(F.array_sort(F.collect_list("t")), 1, lists).alias("ts")).where("ts[0].n > 0")
+    first = F.col("ts")[0]
+    others = F.transform(F.slice("ts", 2, lists), lambda t: F.struct(t["term"].alias("term"), (t["offset"] - first["offset"]).alias("shift")))
+    return few.select("window", first["offset"].alias("offset"), first["term"].alias("term"), others.alias("others"))
+
+
+def intersect_lists(postings: DataFrame, rarest: DataFrame, window: int) -> DataFrame:
+    """(doc, body, at, window, offset): the places of each window's rarest term that the lists of its next terms allow: each of these
+    stands less than `window` words away, as both matches in proximity and phrases, whose offsets then agree, need. Lists meet by
+    document, term and stretch of positions, so a term that a document repeats very often is no large group."""
+    small = rarest.count() <= BROADCAST_ROWS
+    spots = postings.join(F.broadcast(rarest) if small else rarest, "term").select("doc", "body", "at", "window", "offset", "others")
+    lone, wanting = spots.where(F.size("others") == 0), spots.where(F.size("others") > 0)
+    stretch = lambda at: F.floor(at / window).cast("int")
+    asked = wanting.select("doc", "body", "at", "window", "offset", F.size("others").alias("need"), F.explode("others").alias("o"))
+    asked = asked.select("doc", "body", F.col("at").alias("from"), "window", "offset", "need", F.col("o.term").alias("term"),
+                         F.explode(F.sequence(stretch(F.col("at") - window + 1), stretch(F.col("at") + window - 1))).alias("stretch"))
+    given = postings.select(F.col("doc").alias("doc_"), F.col("body").alias("body_"), F.col("term").alias("term_"), "at", stretch(F.col("at")).alias("stretch_"))
+    met = asked.join(given, F.col("doc").eqNullSafe(F.col("doc_")) & (F.col("body") == F.col("body_")) & (F.col("term") == F.col("term_"))
+                     & (F.col("stretch") == F.col("stretch_")) & (F.abs(F.col("at") - F.col("from")) < window))
+    all_ = met.groupBy("doc", "body", "from", "window", "offset", "need").agg(F.count_distinct("term").alias("n")).where("n = need")
+    return lone.select("doc", "body", "at", "window", "offset").union(all_.select("doc", "body", "from", "window", "offset"))
 
 
 def find_matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -71,37 +86,43 @@ def find_matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     and `items` set) and the proximity matches (`near_items`: all terms of a window within window - 1 words of its
     rarest one, in any order, without the phrase there).
 
-    The corpus counts of all benchmark terms tell each window's rarest term; only the postings of those terms are
-    taken from the corpus, each with its neighbourhood, and a window matches where all its terms stand at their
-    offsets from the posting.
+    The corpus counts of all benchmark terms tell each window's rarest ones; their postings are stored, and offset-adjusted lists
+    are intersected from the rarest on. What is left, passages and near ones, is compared with the documents' words.
     """
-    windows = materialize(benchmark_windows(items, item_id, item_text, window))
+    windows = materialize(benchmark_windows(items, item_id, item_text, window).withColumn("window", F.md5(F.array_join("terms", " ").cast("binary"))))
     vocabulary = windows.select(F.explode("terms").alias("term")).distinct()
     n_windows = windows.count()
     tokens = docs.select(F.explode(words(F.col(text))).alias("word")).select(ascii_lower(F.col("word")).alias("term"))
     counts = tokens.join(_small(vocabulary, n_windows * window), "term").groupBy("term").count()
-    placed = windows.select("terms", "items", F.posexplode("terms").alias("offset", "term"))
-    ranked = placed.join(counts, "term", "left").groupBy("terms").agg(
-        F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "term", "offset")).alias("rarest"),
-        F.first("items").alias("items"))
-    anchors = materialize(ranked.where("rarest.n > 0").groupBy(F.col("rarest.term").alias("term")).agg(
-        F.collect_list(F.struct(F.col("rarest.offset").alias("offset"), "terms", "items")).alias("tests")))
-    postings = index_postings(docs, anchors, doc_id, text, window)
-    here = F.col("at") - F.col("first")
+    rarest = materialize(rarest_terms(windows, counts))
+    indexed = rarest.select("term").union(rarest.select(F.explode("others.term"))).distinct()
+    left = intersect_lists(index_postings(docs, materialize(indexed), doc_id, text), rarest, window)
+    spots = materialize(left.join(windows, "window").groupBy(F.col("doc").alias("doc_"), F.col("body").alias("body_")).agg(
+        F.collect_list(F.struct("at", "offset", "terms", "items")).alias("spots")))
+    listed = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(F.col(text)).alias("body"), words(F.col(text)).alias("ws"))
+    # the few documents first, by their keys alone; only these meet their lists of places
+    same = F.col("doc").eqNullSafe(F.col("doc_")) & (F.col("body") == F.col("body_"))
+    few = listed.join(_small(spots.select("doc_", "body_"), spots.count()), same, "left_semi")
+    held = few.join(spots, same).drop("doc_", "body_")
 
     def phrase(t: Column) -> Column:
-        start = here - t["offset"]
-        return (start >= 0) & (F.slice("near", F.greatest(start, F.lit(0)) + 1, F.size(t["terms"])) == t["terms"])
-
-    tested = postings.select(
-        "doc", "body", "at",
-        F.transform(F.filter("tests", phrase), lambda t: F.struct(
-            (F.col("at") - t["offset"]).alias("start"), F.size(t["terms"]).alias("length"), t["items"].alias("items"))).alias("hits"),
-        F.flatten(F.transform(F.filter("tests", lambda t: ~phrase(t) & (F.size(F.array_except(t["terms"], F.col("near"))) == 0)),
-                              lambda t: t["items"])).alias("near_items"))
+        start = t["at"] - t["offset"]
+        return (start >= 0) & (F.transform(F.slice("ws", F.greatest(start, F.lit(0)) + 1, F.size(t["terms"])), ascii_lower) == t["terms"])
+
+    def nearby(t: Column) -> Column:
+        first = F.greatest(F.lit(0), t["at"] - (window - 1))
+        return F.size(F.array_except(t["terms"], F.transform(F.slice("ws", first + 1, t["at"] - first + window), ascii_lower))) == 0
+
+    tested = held.select(
+        "doc", "body",
+        F.transform(F.filter("spots", phrase), lambda t: F.struct(
+            (t["at"] - t["offset"]).alias("start"), F.size(t["terms"]).alias("length"), t["items"].alias("items"))).alias("hits"),
+        F.array_distinct(F.flatten(F.transform(F.filter("spots", lambda t: ~phrase(t) & nearby(t)), lambda t: t["items"]))).alias("near_items"))
     tested = tested.where((F.size("hits") > 0) | (F.size("near_items") > 0))
-    return tested.select("doc", "body", "near_items", F.explode_outer("hits").alias("hit")).select(
-        "doc", "body", "hit.start", "hit.length", "hit.items", "near_items")
+    hits = tested.select("doc", "body", F.explode("hits").alias("hit")).select("doc", "body", "hit.start", "hit.length", "hit.items", F.array().cast("array<string>").alias("near_items"))
+    near = tested.where(F.size("near_items") > 0).select("doc", "body", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("length"),
+                                                        F.array().cast("array<string>").alias("items"), "near_items")
+    return hits.unionByName(near)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -138,7 +159,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` without those that hold a benchmark window; all columns stay as they are, and so do rows without an id."""
+    """`docs` without those that hold a benchmark window; all columns stay as they are, and so do rows without an id. Null and empty
+    texts hold none and stay, long ones are read whole, rows that share an id go together, an empty table stays empty."""
     found = find_matches(docs, items, doc_id, text)
     return without(docs, found.where("start IS NOT NULL AND doc IS NOT NULL").select(F.col("doc").alias(doc_id)).distinct(), doc_id)
 

@@ -26,7 +26,7 @@ CHUNK, OVERLAP = 65_536, 2_048
 MARGIN = 4
 #: Pre-tokens that each of a task's two generations remembers, and the longest that are remembered (characters); with what is
 #: kept of them some 230 bytes each. Characters of texts that are split before their new pre-tokens are merged together.
-REMEMBERED, LONGEST, TOGETHER = 250_000, 48, 1_000_000
+REMEMBERED, LONGEST, TOGETHER = 150_000, 48, 500_000
 #: Pre-tokens of up to so many bytes are merged many at a time.
 SHORT, NONE = 32, np.int32(2**31 - 1)
 

@@ -2,6 +2,7 @@
 
 from framelake.llm import (
     bpe,
+    content_sort,
     decontamination,
     language_id,
     licenses,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_context_tree_language": language_id.op8_context_tree_language,
     "op9_suffix_tree_lm": suffix_tree.op9_suffix_tree_lm,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op12_content_sort": content_sort.op12_content_sort,
 }
 
 ORACLES = {
@@ -31,4 +33,5 @@ ORACLES = {
     "op6_hash_tree_shards": sharding.ORACLE_SQL,
     "op7_positional_index": decontamination.ORACLE_SQL,
     "op10_url_filter": url_filter.ORACLE_SQL,
+    "op12_content_sort": content_sort.ORACLE_SQL,
 }

@@ -68,6 +68,22 @@ def without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(gone) if small else gone, key, "left_anti")
 
 
+#: A key that more than one row in so many has is hot; so there are fewer hot keys than this.
+HOT_SHARE = 1_000
+
+
+def join_unique(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """`left` with the columns of the row of `right` that has its `key` (null where there is none); `right` has a key once at
+    most. Rows of hot keys meet a broadcast copy of fewer than HOT_SHARE rows of `right`, all others are shuffled, so no task
+    gets all rows of a hot key. `left` is read three times."""
+    counts = left.where(F.col(key).isNotNull()).groupBy(key).count()
+    hot = materialize(counts.where(F.col("count") * HOT_SHARE > left.count()).select(key, F.lit(True).alias("~hot")))
+    marked = left.join(F.broadcast(hot), key, "left")
+    few = right.join(F.broadcast(hot.select(key)), key, "left_semi")
+    often = marked.where("`~hot`").join(F.broadcast(few), key, "left")
+    return often.unionByName(marked.where("`~hot` IS NULL").join(right, key, "left")).drop("~hot")
+
+
 def spread(df: DataFrame, at_least: int) -> int:
     """A power of two that grows with the number of input partitions: how many buckets to shuffle into."""
     want = max(at_least, 2 * df.rdd.getNumPartitions())

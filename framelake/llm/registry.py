@@ -8,6 +8,7 @@ from framelake.llm import (
     licenses,
     ngram_join,
     permutation_index,
+    prefix_trie,
     sharding,
     suffix_tree,
     toxicity,
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_context_tree_language": language_id.op8_context_tree_language,
     "op9_suffix_tree_lm": suffix_tree.op9_suffix_tree_lm,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_content_sort": content_sort.op12_content_sort,
 }
 
@@ -33,5 +35,6 @@ ORACLES = {
     "op6_hash_tree_shards": sharding.ORACLE_SQL,
     "op7_positional_index": decontamination.ORACLE_SQL,
     "op10_url_filter": url_filter.ORACLE_SQL,
+    "op11_prefix_trie": prefix_trie.ORACLE_SQL,
     "op12_content_sort": content_sort.ORACLE_SQL,
 }

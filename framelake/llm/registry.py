@@ -2,6 +2,7 @@
 
 from framelake.llm import (
     bpe,
+    collocations,
     content_sort,
     decontamination,
     language_id,
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_url_filter": url_filter.op10_url_filter,
     "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_content_sort": content_sort.op12_content_sort,
+    "op13_collocations": collocations.op13_collocations,
 }
 
 ORACLES = {
@@ -37,4 +39,5 @@ ORACLES = {
     "op10_url_filter": url_filter.ORACLE_SQL,
     "op11_prefix_trie": prefix_trie.ORACLE_SQL,
     "op12_content_sort": content_sort.ORACLE_SQL,
+    "op13_collocations": collocations.ORACLE_SQL,
 }

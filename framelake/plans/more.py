@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 import pickle
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -16,13 +15,13 @@ from framelake.functions import paths as P
 from framelake.operators import gates, geometry, grids, matching, metrics, sequences
 from framelake.plans import fixtures as X
 from framelake.plans.queries import GRIDS, MASK8, grids_of, mask8, query, rounded, sizes_of
-from framelake.shared import ensure_checkpoints, shared_dir
+from framelake.shared import ensure_checkpoints, own_folder
 from framelake.sources import records, text
 
 
 def written(spark: SparkSession, put: Callable[[str], None]) -> str:
     """A new folder below the shared one, filled by `put`."""
-    at = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    at = own_folder(spark, "files")
     put(at)
     return at
 
@@ -111,13 +110,26 @@ def camera_model(spark, sf_dir):
     params = F.when(one, "500.0 320.0 240.0 0.01").otherwise("500.0 510.0 320.0 240.0")
     line = word("n_nationkey", F.when(one, "SIMPLE_RADIAL").otherwise("PINHOLE"), 640 + F.col("n_nationkey"), F.lit("480"), params)
     at = written(spark, lambda d: X.table(spark, sf_dir, "nation").select(F.concat_ws("\n", F.lit("# cameras"), line)).write.text(d))
-    pose = word("s_suppkey", F.lit("1.0 0.0 0.0 0.0 0.5 0.25"), "s_acctbal", "s_nationkey", F.concat(F.lit("a/img_"), "s_suppkey", F.lit(".png")))
-    pts = F.lit("12.5 3.5 -1 12.5 3.5 -1 7.5 1.5 4 9.0 9.0 9")
-    to = written(spark, lambda d: X.table(spark, sf_dir, "supplier").select(F.concat_ws("\n", pose, pts)).write.text(d))
-    found = records.camera_model(records.read_cameras(spark, at, 256), records.read_poses(spark, to))
+    found = records.camera_model(records.read_cameras(spark, at, 256), records.read_poses(spark, image_list(spark, sf_dir)))
     return rounded(found.select("frame_name", "image_id", "camera_id", "model", "fx", "fy", "cx", "cy", "tz"))
 
 
+def image_list(spark, sf_dir) -> str:
+    """An image list: points that read like poses, blank lines in place of points, and comments between images."""
+    s, words = X.table(spark, sf_dir, "supplier"), lambda *cs: F.concat_ws(" ", *cs)
+    pose = words("s_suppkey", F.lit("1.0 0.0 0.0 0.0 0.5 0.25"), "s_acctbal", "s_nationkey", F.concat(F.lit("a/img_"), "s_suppkey", F.lit(".png")))
+    pts = F.when(F.col("s_suppkey") % 4 == 0, "").otherwise(words("s_suppkey", F.lit("3.5 -1 40.5 3.5 8 7.5 1.5 4 9.0 9.0 9")))
+    note = F.when(F.col("s_suppkey") % 3 == 0, F.lit("# next"))
+    return written(spark, lambda d: s.select(F.concat_ws("\n", pose, pts, note)).write.text(d))
+
+
+@query("""WITH p AS (SELECT s_suppkey::INT AS image_id, s_suppkey::DOUBLE AS x0 FROM supplier WHERE s_suppkey % 4 <> 0)
+SELECT image_id, 0 AS point_no, x0 AS x, 3.5::DOUBLE AS y, -1::BIGINT AS point3d_id FROM p UNION ALL SELECT image_id, 1, 40.5, 3.5, 8 FROM p
+UNION ALL SELECT image_id, 2, 7.5, 1.5, 4 FROM p UNION ALL SELECT image_id, 3, 9, 9, 9 FROM p""")
+def image_points(spark, sf_dir):
+    return records.read_points(spark, image_list(spark, sf_dir))
+
+
 # --- lists ---
 
 
@@ -128,7 +140,7 @@ def supplier_list(spark, sf_dir) -> str:
     return written(spark, lambda d: s.coalesce(1).sortWithinPartitions("s_suppkey").select(line).write.text(d))
 
 
-KEPT = """kept AS (SELECT (row_number() OVER (ORDER BY s_suppkey) - 1)::INT AS pos, s_name AS line FROM supplier WHERE s_suppkey % 5 <> 0
+KEPT = """kept AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS pos, s_name AS line FROM supplier WHERE s_suppkey % 5 <> 0
   AND s_suppkey % 7 <> 0)"""
 
 
@@ -177,10 +189,10 @@ def read_class_table(spark, sf_dir):
 
 @query("SELECT s_name AS img, s_suppkey::VARCHAR AS pkl, row_number() OVER (ORDER BY s_suppkey) - 1 AS pos FROM supplier")
 def write_manifests(spark, sf_dir):
-    """Two lists are written in order and read back together."""
-    rows = X.table(spark, sf_dir, "supplier").select(F.col("s_name").alias("img"), F.col("s_suppkey").cast("string").alias("pkl"), F.col("s_suppkey").alias("pos")).coalesce(1)
+    """Two lists are written in order, as folders of sorted part files, and read back together."""
+    rows = X.table(spark, sf_dir, "supplier").select(F.col("s_name").alias("img"), F.col("s_suppkey").cast("string").alias("pkl"), F.col("s_suppkey").alias("pos")).repartition(4)
     at = written(spark, lambda d: text.write_manifests(rows, d, ["img", "pkl"]))
-    both = [text.read_manifest(spark, f"{at}/{c}").select(F.col("pos").cast("long").alias("pos"), F.col("line").alias(c)) for c in ("img", "pkl")]
+    both = [text.concat_lists(spark, [f"{at}/{c}"]).select("pos", F.col("line").alias(c)) for c in ("img", "pkl")]
     return both[0].join(both[1], "pos")
 
 

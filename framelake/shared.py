@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,3 +26,25 @@ def ensure_checkpoints(spark: SparkSession) -> None:
     """Let checkpoint() write to the shared folder."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if the session still runs."""
+    jsc = spark.sparkContext._jsc
+    if jsc is not None and not jsc.sc().isStopped():
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
+
+
+def own_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder below the shared one, removed when the process ends."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written once as Parquet in the shared folder and read back: row numbers given by a task stay what they were."""
+    path = own_folder(df.sparkSession, "framelake")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

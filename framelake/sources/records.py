@@ -11,9 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from framelake.sources.text import number_lines, split_lines
+
 #: What a pickled record may be built of: NumPy arrays and numbers; anything else makes the file unreadable.
 ALLOWED = {("numpy", "ndarray"), ("numpy", "dtype"), ("numpy.core.multiarray", "_reconstruct"), ("numpy._core.multiarray", "_reconstruct"),
            ("numpy.core.multiarray", "scalar"), ("numpy._core.multiarray", "scalar"), ("numpy.core.numeric", "_frombuffer"), ("numpy._core.numeric", "_frombuffer")}
@@ -117,15 +119,46 @@ def read_cameras(spark: SparkSession, path: str | list[str], target: float | Non
     return _tokens(spark, path).select(at(0).cast("int").alias("camera_id"), at(1).alias("model"), width.alias("width"), height.alias("height"), *[c.alias(n) for n, c in k.items()])
 
 
+def _image_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, pos, line, points) of the image lines of image lists: an image takes two lines, its pose and its points, and the second may be blank.
+    A blank line or a comment in place of a pose is skipped, so after one a pose follows: poses stand at the even places of a run of other lines.
+    The last blank line or comment before a split, one number a split, is carried over, so a file's splits are worked on apart."""
+    lines = number_lines(split_lines(spark, path)).withColumn("skip", (F.col("line") == "") | F.col("line").startswith("#"))
+    split = Window.partitionBy("file", "block").orderBy("pos")
+    lines = lines.withColumn("last", F.max(F.when(F.col("skip"), F.col("pos"))).over(split.rowsBetween(Window.unboundedPreceding, -1)))
+    lines = lines.withColumn("next", F.lead("line").over(split))
+    splits = lines.groupBy("file", "block").agg(F.max(F.when(F.col("skip"), F.col("pos"))).alias("skipped"), F.max("pos").alias("end"),
+                                                F.min_by("line", "pos").alias("head"))
+    whole = Window.partitionBy("file").orderBy("block")
+    carried = splits.select("file", "block", "end", F.max("skipped").over(whole.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
+                            F.lead("head").over(whole).alias("following"))
+    lines = lines.join(carried, ["file", "block"])
+    place = F.col("pos") - F.coalesce("last", "before", F.lit(-1)) - 1
+    points = F.when(F.col("pos") == F.col("end"), F.col("following")).otherwise(F.col("next"))
+    return lines.where(~F.col("skip") & (place % 2 == 0)).select("file", "pos", "line", F.coalesce(points, F.lit("")).alias("points"))
+
+
 def read_poses(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(image_id, qw, qx, qy, qz, tx, ty, tz, camera_id, name) of an image list. Lines whose first word is no whole number or that have
-    fewer than ten words are the points of the image before and are skipped."""
-    at = lambda i: F.get("t", F.lit(i))
-    rows = _tokens(spark, path).where(at(0).rlike(r"^[+-]?\d+$") & (F.size("t") >= 10))
+    """(image_id, qw, qx, qy, qz, tx, ty, tz, camera_id, name) of image lists, whose every other line is a pose (see _image_lines). A pose of fewer
+    than ten words or whose id is no whole number is skipped, as a broken line; its points go with it."""
+    t, at = F.split("line", r"\s+"), lambda i: F.get("t", F.lit(i))
+    rows = _image_lines(spark, path).select(t.alias("t")).where(at(0).rlike(r"^[+-]?\d+$") & (F.size("t") >= 10))
     numbers = [at(i + 1).cast("double").alias(n) for i, n in enumerate(("qw", "qx", "qy", "qz", "tx", "ty", "tz"))]
     return rows.select(at(0).cast("int").alias("image_id"), *numbers, at(8).cast("int").alias("camera_id"), at(9).alias("name"))
 
 
+def read_points(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(image_id, point_no, x, y, point3d_id) of image lists: the numbers of the line after each pose, three a point; -1 is a point that belongs
+    to no point in space. Images of a blank line have no points."""
+    rows = _image_lines(spark, path).select(F.get(F.split("line", r"\s+"), F.lit(0)).alias("id"), F.split("points", r"\s+").alias("p"))
+    rows = rows.where(F.col("id").rlike(r"^[+-]?\d+$"))
+    many = F.floor(F.size("p") / 3)
+    each = rows.where(F.size("p") >= 3).select("id", "p", F.explode(F.sequence(F.lit(0), many - 1)).alias("k"))
+    at = lambda i: F.get("p", (F.col("k") * 3 + i).cast("int"))
+    return each.select(F.col("id").cast("int").alias("image_id"), F.col("k").cast("int").alias("point_no"), at(0).cast("double").alias("x"),
+                       at(1).cast("double").alias("y"), at(2).cast("long").alias("point3d_id"))
+
+
 def frame_name(name: Column) -> Column:
     """An image's name without folder and ending."""
     return F.regexp_replace(F.substring_index(name, "/", -1), r"(.)\.[^.]*$", "$1")

@@ -2,35 +2,82 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelake.functions.paths import extension, norm_path
 from framelake.operators.gates import detail_plus_mean
+from framelake.shared import stored
+
+
+#: What a line loses at both ends.
+BLANKS = " \t\r\x0b\x0c"
+
+
+def split_lines(spark: SparkSession, path: str | list[str], keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(file, block, at, line): trimmed lines, those for which `keep` holds; `block` is the byte that the line's split of the file begins
+    at, and `at` ascends within the split without gaps. A large file is many splits, each read by a task of its own. Stored, as a second
+    reading could cut the files elsewhere."""
+    line = F.btrim("value", F.lit(BLANKS))
+    lines = spark.read.text(path)
+    lines = lines if keep is None else lines.where(keep(line))
+    return stored(lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                               F.monotonically_increasing_id().alias("at"), line.alias("line")))
+
+
+def number_lines(lines: DataFrame, units: DataFrame | None = None) -> DataFrame:
+    """The rows of `split_lines` with `pos`, their number from 0 in their file. Tasks have numbered the lines of a split; a running sum over the
+    splits' counts, one row a split, gives the number that each split begins with. With `units` (unit, file, ...), a list of several
+    files is numbered through, file after file in order of their names, and the columns of `units` come along."""
+    splits = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    splits = splits.withColumn("unit", F.col("file")) if units is None else splits.join(units, "file")
+    before = Window.partitionBy("unit").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    return lines.join(starts, ["file", "block"]).withColumn("pos", F.col("before") + F.col("at") - F.col("first")).drop("before", "first")
+
+
+def _dialect(keep_blank: bool, comment: str | None) -> Callable[[Column], Column]:
+    def keep(line: Column) -> Column:
+        kept = F.lit(True) if keep_blank else line != ""
+        return kept & ~line.startswith(comment) if comment else kept
+
+    return keep
+
+
+def _unquoted(line: Column) -> Column:
+    return F.btrim(F.btrim(line, F.lit('"')), F.lit("'"))
 
 
 def read_manifest(spark: SparkSession, path: str | list[str], keep_blank: bool = False, strip_quotes: bool = False, comment: str | None = None) -> DataFrame:
-    """(file, pos, line): trimmed lines with their position in the file from 0, blank ones and comments left out unless kept. Positions count
-    the lines that stay. A file is numbered whole by the task that reads it, so a list of one file is one task."""
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r\n|\n|\r")).alias("at", "raw"), F.col("value"))
-    ends = F.col("value").rlike("[\r\n]$") & (F.col("at") == F.size(F.split("value", "\r\n|\n|\r")) - 1)
-    line = F.trim("raw")
-    line = F.regexp_replace(line, "^[\"'](.*)[\"']$", "$1") if strip_quotes else line
-    rows = lines.where(~ends).select("file", "at", line.alias("line"))
-    rows = rows if keep_blank else rows.where("line != ''")
-    rows = rows.where(~F.col("line").startswith(comment)) if comment else rows
-    kept = rows.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("ls"))
-    return kept.select("file", F.posexplode("ls").alias("pos", "l")).select("file", "pos", "l.line")
-
-
-def concat_lists(spark: SparkSession, paths: list[str], **dialect) -> DataFrame:
-    """(list_no, pos, line): the lines of several lists one after the other (see read_manifest); lists that don't exist are left out."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    there = [(i, p) for i, p in enumerate(paths) if hadoop(p).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop(p))]
-    lists = [read_manifest(spark, p, **dialect).select(F.lit(i).alias("list_no"), "pos", "line") for i, p in there]
-    return reduce(DataFrame.unionAll, lists) if lists else spark.createDataFrame([], "list_no int, pos int, line string")
+    """(file, pos, line): trimmed lines with their position in the file from 0; blank lines and comments are left out unless kept, and
+    positions count the lines that stay. Quotes are taken off after that, double ones first, so a line of quotes stays as an empty one. Files are
+    cut into splits as Spark does, so a list of one file is many tasks."""
+    numbered = number_lines(split_lines(spark, path, _dialect(keep_blank, comment)))
+    return numbered.select("file", "pos", (_unquoted(F.col("line")) if strip_quotes else F.col("line")).alias("line"))
+
+
+def concat_lists(spark: SparkSession, paths: list[str], keep_blank: bool = False, strip_quotes: bool = False, comment: str | None = None) -> DataFrame:
+    """(list_no, pos, line): the lines of several lists one after the other (see read_manifest); lists that don't exist are left out, one that
+    is named twice comes twice. A folder is a list too: its files in order of their names. All lists are one scan."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    there = []
+    for i, p in enumerate(paths):
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        system = path.getFileSystem(conf)
+        if system.exists(path):
+            there.append((i, p, system.makeQualified(path).toUri().toString()))
+    if not there:
+        return spark.createDataFrame([], "list_no int, pos long, line string")
+    lines = split_lines(spark, list(dict.fromkeys(p for _, p, _ in there)), _dialect(keep_blank, comment))
+    # One form of a file's name, whichever number of slashes follows the scheme.
+    plain = lambda c: F.regexp_replace(c, "^([^:/]+):/+", "$1:/")
+    named = spark.createDataFrame([(i, u) for i, _, u in there], "unit int, name string").select("unit", plain("name").alias("name"))
+    files = lines.select("file").distinct()
+    held = files.select("file", F.explode(F.array(plain("file"), F.regexp_replace(plain("file"), "/[^/]*$", ""))).alias("name"))
+    numbered = number_lines(lines, held.join(F.broadcast(named), "name").select("file", "unit").distinct())
+    return numbered.select(F.col("unit").alias("list_no"), "pos", (_unquoted(F.col("line")) if strip_quotes else F.col("line")).alias("line"))
 
 
 def discover_files(spark: SparkSession, roots: list[str], exts: list[str]) -> DataFrame:

@@ -1,6 +1,7 @@
 """Records in files that the tests write."""
 
 import pickle
+import random
 
 import numpy as np
 import pytest
@@ -60,3 +61,39 @@ def test_absent_lists_are_left_out(spark, tmp_path):
     got = text.concat_lists(spark, [str(tmp_path / "a"), str(tmp_path / "none"), str(tmp_path / "a")])
     assert sorted(map(tuple, got.collect())) == [(0, 0, "x"), (0, 1, "y"), (2, 0, "x"), (2, 1, "y")]
     assert text.concat_lists(spark, [str(tmp_path / "none")]).count() == 0
+
+
+def plain_images(content):
+    """Poses and their points, read line by line."""
+    lines, at, out = content.split("\n"), 0, []
+    while at < len(lines):
+        if not lines[at].strip() or lines[at].strip().startswith("#"):
+            at += 1
+            continue
+        points = lines[at + 1].split() if at + 1 < len(lines) else []
+        out.append((int(lines[at].split()[0]), lines[at].split()[9], [float(x) for x in points]))
+        at += 2
+    return out
+
+
+@pytest.mark.parametrize("size", ["1k", "700", "128m"])
+def test_poses_and_points_over_many_splits(spark, tmp_path, size):
+    draw, lines = random.Random(size), ["# images"]
+    for i in range(1500):
+        lines += [""] * draw.choice([0, 0, 0, 1, 2]) + ["# note"] * draw.choice([0, 0, 0, 1])
+        lines.append(f"{i} 1 0 0 0 1 2 3 4 a/{i}.png")
+        points = [f"{draw.randrange(100)} {draw.choice([1, 2.5])} {draw.choice([-1, 7])}" for _ in range(draw.choice([0, 1, 4, 9]))]
+        lines.append(draw.choice(["", "#"]) if not points else " ".join(points))
+    content = "\n".join(lines)
+    (tmp_path / "images.txt").write_text(content)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        poses = sorted((r.image_id, r.name) for r in records.read_poses(spark, str(tmp_path / "images.txt")).collect())
+        points = sorted((r.image_id, r.point_no, r.x, r.y, r.point3d_id) for r in records.read_points(spark, str(tmp_path / "images.txt")).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = plain_images(content.replace("\n#\n", "\n\n"))
+    assert poses == sorted((i, n) for i, n, _ in want) and len(poses) == 1500
+    assert points == sorted((i, k, *p[3 * k: 3 * k + 3]) for i, _, p in want for k in range(len(p) // 3))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.operators.nearest import nearest_k
+
 ENDS = ("x1", "y1", "x2", "y2")
 
 
@@ -90,9 +92,7 @@ def coarse_match(a: DataFrame, b: DataFrame, dist: float, angle: float, undirect
 def idw_warp(points: DataFrame, matches: DataFrame, k: int = 4) -> DataFrame:
     """(pair, pt, wx, wy): each point moved by the inverse-distance mean of its k nearest matches' displacement.
     points: (pair, pt, x, y); matches: (pair, m, x0, y0, x1, y1)."""
-    d = F.sqrt((F.col("x") - F.col("x0")) ** 2 + (F.col("y") - F.col("y0")) ** 2)
-    met = points.join(matches, "pair").withColumn("d", d)
-    near = met.withColumn("rn", F.row_number().over(Window.partitionBy("pair", "pt").orderBy("d", "m"))).where(F.col("rn") <= k)
+    near = nearest_k(points, matches.withColumns({"tx": F.col("x0"), "ty": F.col("y0")}), k)
     w = 1 / (F.col("d") + 1e-6)
     return near.groupBy("pair", "pt").agg((F.first("x") + F.sum(w * (F.col("x1") - F.col("x0"))) / F.sum(w)).alias("wx"),
                                           (F.first("y") + F.sum(w * (F.col("y1") - F.col("y0"))) / F.sum(w)).alias("wy"))
@@ -101,9 +101,9 @@ def idw_warp(points: DataFrame, matches: DataFrame, k: int = 4) -> DataFrame:
 def snap_to_junctions(segs: DataFrame, junctions: DataFrame) -> DataFrame:
     """(frame, j1, j2): both ends to their nearest junction, kept if these differ, once per unordered pair. junctions: (frame, j, jx, jy)."""
     ends = segs.select("frame", "k", F.explode(F.array(*[F.struct(F.lit(e).alias("e"), F.col(x).alias("x"), F.col(y).alias("y")) for e, x, y in ((1, "x1", "y1"), (2, "x2", "y2"))])).alias("p"))
-    d = (F.col("p.x") - F.col("jx")) ** 2 + (F.col("p.y") - F.col("jy")) ** 2
-    near = ends.join(junctions, "frame").groupBy("frame", "k", "p.e").agg(F.min(F.struct(d.alias("d"), "j")).alias("n"))
-    both = near.groupBy("frame", "k").agg(F.min("n.j").alias("j1"), F.max("n.j").alias("j2"))
+    spots = junctions.select("frame", "j", F.col("jx").alias("tx"), F.col("jy").alias("ty"))
+    near = nearest_k(ends.select("frame", "k", "p.e", "p.x", "p.y"), spots, 1, "frame", ("k", "e"), "j", squared=True)
+    both = near.groupBy("frame", "k").agg(F.min("j").alias("j1"), F.max("j").alias("j2"))
     return both.where("j1 != j2").select("frame", "j1", "j2").distinct()
 
 

@@ -561,6 +561,31 @@ def snap_junctions(spark, sf_dir):
     return geometry.snap_to_junctions(s, s.where("k % 2 = 0").select("frame", F.col("k").alias("j"), F.col("x1").alias("jx"), F.col("y1").alias("jy")))
 
 
+@query(f"""WITH {X.SEGMENTS}, t AS (SELECT seq_id AS pair, frame * 16 + k AS m, x1 AS x0, y1 AS y0, x2 AS x1, y2 AS y1 FROM segments),
+pts AS (SELECT seq_id AS pair, frame * 16 + k AS pt, x2 AS x, y2 AS y FROM segments WHERE k < 4),
+d AS (SELECT pts.*, t.*, sqrt((x - x0) * (x - x0) + (y - y0) * (y - y0)) AS d FROM pts JOIN t USING (pair)),
+n AS (SELECT *, 1 / (d + 1e-6) AS w FROM d QUALIFY row_number() OVER (PARTITION BY pair, pt ORDER BY d, m) <= 4)
+SELECT pair, pt, round(any_value(x) + sum(w * (x1 - x0)) / sum(w), 5) AS wx, round(any_value(y) + sum(w * (y1 - y0)) / sum(w), 5) AS wy
+FROM n GROUP BY pair, pt""")
+def idw_warp_dense(spark, sf_dir):
+    """All segments of a label as matches of one group, so that points search cells."""
+    s = X.segments(spark, sf_dir).withColumn("id", F.col("frame") * 16 + F.col("k")).withColumnRenamed("seq_id", "pair")
+    m = s.select("pair", F.col("id").alias("m"), F.col("x1").alias("x0"), F.col("y1").alias("y0"), F.col("x2").alias("x1"), F.col("y2").alias("y1"))
+    return rounded(geometry.idw_warp(s.where("k < 4").select("pair", F.col("id").alias("pt"), F.col("x2").alias("x"), F.col("y2").alias("y")), m), 5)
+
+
+@query(f"""WITH {X.SEGMENTS}, j AS (SELECT seq_id AS frame, frame * 16 + k AS j, x1 AS jx, y1 AS jy FROM segments WHERE k % 4 = 0),
+e AS (SELECT seq_id AS frame, frame * 16 + k AS k, 1 AS e, x1 + 0.5 AS x, y1 AS y FROM segments WHERE k % 4 = 1
+  UNION ALL SELECT seq_id, frame * 16 + k, 2, x2, y2 FROM segments WHERE k % 4 = 1),
+n AS (SELECT frame, k, e, arg_min(j, ((x - jx) * (x - jx) + (y - jy) * (y - jy), j)) AS j FROM e JOIN j USING (frame) GROUP BY ALL)
+SELECT DISTINCT frame, j1, j2 FROM (SELECT frame, k, min(j) AS j1, max(j) AS j2 FROM n GROUP BY ALL) WHERE j1 <> j2""")
+def snap_junctions_dense(spark, sf_dir):
+    """All segments of a label in one frame."""
+    s = X.segments(spark, sf_dir).withColumn("id", F.col("frame") * 16 + F.col("k")).drop("frame").withColumnRenamed("seq_id", "frame")
+    ends = s.where("k % 4 = 1").select("frame", F.col("id").alias("k"), (F.col("x1") + 0.5).alias("x1"), "y1", "x2", "y2")
+    return geometry.snap_to_junctions(ends, s.where("k % 4 = 0").select("frame", F.col("id").alias("j"), F.col("x1").alias("jx"), F.col("y1").alias("jy")))
+
+
 H = [0.9, 0.1, 2.0, -0.05, 1.1, 1.0, 0.001, 0.002, 1.0]
 
 

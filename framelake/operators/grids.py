@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framelake.operators.runs import component_runs, pixels_of, runs_of, shrunk, spread
+
 PIXEL = ["frame", "row", "col"]
 
 
@@ -35,27 +37,23 @@ def kernel_radius(height: int, width: int, share: float) -> int:
     return max(0, int(min(height, width) * share) // 2)
 
 
-def offsets(radius: int, shape: str = "square"):
-    return F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r, c in kernel(radius, shape)])
-
-
-def _moved(rows: DataFrame, keep: list[str], radius: int, shape: str) -> DataFrame:
-    at = rows.select(*keep, "row", "col", F.explode(offsets(radius, shape)).alias("o"))
-    return at.select(*keep, (F.col("row") + F.col("o.dr")).alias("row"), (F.col("col") + F.col("o.dc")).alias("col"))
-
-
 def _along(rows: DataFrame, axis: str, radius: int, size: int) -> DataFrame:
     """Every row repeated at the places up to `radius` away along one axis of the canvas."""
     shift = F.explode(F.sequence(F.lit(-radius), F.lit(radius)))
     return rows.withColumn("~s", shift).withColumn(axis, F.col(axis) + F.col("~s")).drop("~s").where(F.col(axis).between(0, size - 1))
 
 
+def reaches(radius: int, shape: str) -> dict[int, int]:
+    """How many columns each row of a kernel reaches to both sides."""
+    return {r: max(c for q, c in kernel(radius, shape) if q == r) for r in range(-radius, radius + 1)}
+
+
 def dilate(mask: DataFrame, radius: int, height: int, width: int, shape: str = "square") -> DataFrame:
-    """A square grows along the rows and then along the columns; other kernels in one step."""
+    """A square grows along the rows and then along the columns; other kernels widen runs of pixels, a kernel row at a time."""
     mask = mask.select(*PIXEL)
     if shape == "square":
         return _along(_along(mask, "row", radius, height).distinct(), "col", radius, width).distinct()
-    return _moved(mask, ["frame"], radius, shape).where(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1)).distinct()
+    return pixels_of(spread(runs_of(mask), reaches(radius, shape), height, width))
 
 
 def erode(mask: DataFrame, radius: int, height: int, width: int, shape: str = "square") -> DataFrame:
@@ -68,10 +66,7 @@ def erode(mask: DataFrame, radius: int, height: int, width: int, shape: str = "s
         rows = F.least(row + radius, F.lit(height - 1)) - F.greatest(row - radius, F.lit(0)) + 1
         cols = F.least(col + radius, F.lit(width - 1)) - F.greatest(col - radius, F.lit(0)) + 1
         return counted.where(F.col("n") == rows * cols).select(*PIXEL)
-    on = lambda r, c: (row + r).between(0, height - 1) & (col + c).between(0, width - 1)
-    room = sum((F.when(on(r, c), 1).otherwise(0) for r, c in kernel(radius, shape)), F.lit(0))
-    counted = _moved(mask, ["frame"], radius, shape).where(on(0, 0)).groupBy(*PIXEL).agg(F.count("*").alias("n"))
-    return counted.where(F.col("n") == room).select(*PIXEL)
+    return pixels_of(shrunk(runs_of(mask), reaches(radius, shape), height, width))
 
 
 def close(mask: DataFrame, radius: int, height: int, width: int, shape: str = "square") -> DataFrame:
@@ -86,25 +81,14 @@ def max_pool(grid: DataFrame, radius: int, height: int, width: int) -> DataFrame
 
 
 def component_labels(mask: DataFrame, width: int) -> DataFrame:
-    """(frame, row, col, component): 8-connected components, each named by its smallest row * width + col.
-    Labels spread to neighbours until none changes; every round is checkpointed."""
-    labels = mask.select(*PIXEL, (F.col("row") * width + F.col("col")).alias("label")).checkpoint()
-    while True:
-        moved = labels.select("frame", "row", "col", "label", F.explode(offsets(1)).alias("o")).select("frame", (F.col("row") + F.col("o.dr")).alias("row"), (F.col("col") + F.col("o.dc")).alias("col"), F.col("label").alias("near"))
-        least = moved.groupBy(*PIXEL).agg(F.min("near").alias("near"))
-        stepped = labels.join(least, PIXEL).select(*PIXEL, "label", "near")
-        # jump to the label of the label's own pixel as well
-        heads = stepped.select("frame", (F.col("row") * width + F.col("col")).alias("near"), F.col("near").alias("head"))
-        stepped = stepped.join(heads, ["frame", "near"]).select(*PIXEL, "label", "head").checkpoint()
-        changed = stepped.where("head != label").limit(1).count()
-        labels = stepped.select(*PIXEL, F.col("head").alias("label"))
-        if not changed:
-            return labels.withColumnRenamed("label", "component")
+    """(frame, row, col, component): 8-connected components, each named by its smallest row * width + col."""
+    return component_runs(mask, width).select("frame", "row", F.explode(F.sequence("c0", "c1")).alias("col"), "component")
 
 
 def component_areas(mask: DataFrame, min_area: int, height: int, width: int) -> DataFrame:
-    """(frame, component, area) of the components of at least `min_area` pixels."""
-    return component_labels(mask, width).groupBy("frame", "component").agg(F.count("*").alias("area")).where(F.col("area") >= min_area)
+    """(frame, component, area) of the components of at least `min_area` pixels, from their runs."""
+    area = F.sum(F.col("c1") - F.col("c0") + 1).alias("area")
+    return component_runs(mask, width).groupBy("frame", "component").agg(area).where(F.col("area") >= min_area)
 
 
 def specular_mask(rgb: DataFrame, height: int, width: int, v_th: float = 0.95, s_th: float = 0.2, radius: int = 5, min_area: int = 500) -> DataFrame:
@@ -112,9 +96,9 @@ def specular_mask(rgb: DataFrame, height: int, width: int, v_th: float = 0.95, s
     `min_area` pixels. Black has no saturation."""
     top, low = F.greatest("r", "g", "b"), F.least("r", "g", "b")
     bright = rgb.where((top > v_th) & (F.coalesce(F.try_divide(top - low, top), F.lit(0.0)) < s_th)).select(*PIXEL)
-    labels = component_labels(close(bright, radius, height, width, "ellipse"), width)
-    large = labels.groupBy("frame", "component").agg(F.count("*").alias("n")).where(F.col("n") >= min_area)
-    return labels.join(large, ["frame", "component"], "left_semi").select(*PIXEL)
+    found = component_runs(close(bright, radius, height, width, "ellipse"), width)
+    area = F.sum(F.col("c1") - F.col("c0") + 1).over(Window.partitionBy("frame", "component"))
+    return pixels_of(found.withColumn("area", area).where(F.col("area") >= min_area))
 
 
 def channel_color(color: str) -> list[int]:

@@ -15,7 +15,7 @@ from framelake.functions import paths as P
 from framelake.operators import gates, geometry, grids, matching, metrics, sequences
 from framelake.plans import fixtures as X
 from framelake.plans.queries import GRIDS, MASK8, grids_of, mask8, query, rounded, sizes_of
-from framelake.shared import ensure_checkpoints, own_folder
+from framelake.shared import own_folder
 from framelake.sources import records, text
 
 
@@ -384,6 +384,5 @@ SELECT frame, row, col FROM l SEMI JOIN big USING (frame, c)"""
 
 @query(RECURSIVE_SPECULAR)
 def specular_areas(spark, sf_dir):
-    ensure_checkpoints(spark)
     rgb = X.grid8(spark, sf_dir).select("frame", "row", "col", F.col("v").alias("r"), (F.col("v") * 0.9).alias("g"), (F.col("v") * 0.85 + 0.05).alias("b"))
     return grids.specular_mask(rgb, 8, 8, v_th=0.55, s_th=0.2, radius=1, min_area=6)

@@ -12,7 +12,6 @@ from framelake.operators import camera
 from framelake.operators import flow as flows
 from framelake.operators import gates, geometry, grids, matching, metrics, sequences
 from framelake.plans import fixtures as X
-from framelake.shared import ensure_checkpoints
 from framelake.sources import text
 from framelake.streaming import pairs as streaming
 
@@ -46,7 +45,7 @@ STATS = stats_sql()
 
 
 def gate_sql(kind: str, bad: str, conf: str = "conf") -> str:
-    return f"""{stats_sql(conf)}, verdicts AS (SELECT seq_id, n, round(mean_lines, 6) AS mean_lines, round(mean_metric, 6) AS mean_metric,
+    return f"""{stats_sql(conf)}, verdicts AS (SELECT seq_id, n, mean_lines, mean_metric,
  CASE WHEN seq_id % 17 = 0 OR seq_id % 23 = 0 THEN 'blacklist' WHEN mean_lines < 48 THEN 'few_lines' WHEN {bad} THEN 'bad_{kind}' END AS
   reason FROM stats)"""
 
@@ -60,7 +59,7 @@ def gated(spark: SparkSession, sf_dir: str, kind: str, th: float, metric: Column
 
 
 def verdict_sql(kind: str, sign: str, th: float) -> str:
-    return f"""SELECT seq_id, n, mean_lines, mean_metric, CASE WHEN reason IS NULL THEN 'keep' ELSE 'reject' END AS verdict, reason,
+    return f"""SELECT seq_id, n, round(mean_lines, 6) AS mean_lines, round(mean_metric, 6) AS mean_metric, CASE WHEN reason IS NULL THEN 'keep' ELSE 'reject' END AS verdict, reason,
   CASE reason WHEN 'blacklist' THEN 'blacklist' WHEN 'few_lines' THEN printf('mean lines %.4f < 48', mean_lines)
   WHEN 'bad_{kind}' THEN printf('mean {kind} %.4f {sign} {th}', mean_metric) END AS detail FROM verdicts"""
 
@@ -947,7 +946,6 @@ def close(spark, sf_dir):
        """ l AS (SELECT frame, row, col, min(root) AS component FROM reach GROUP BY ALL) SELECT frame, component::INT AS component,
   count(*) AS area FROM l GROUP BY ALL HAVING count(*) >= 3""")
 def components(spark, sf_dir):
-    ensure_checkpoints(spark)
     return grids.component_areas(mask8(spark, sf_dir), 3, 8, 8)
 
 
@@ -1113,7 +1111,6 @@ def three_frame_match(spark, sf_dir):
 
 @query()
 def specular_mask(spark, sf_dir):
-    ensure_checkpoints(spark)
     g = X.grid8(spark, sf_dir).select("frame", "row", "col", *[(F.col("v") + d).alias(c) for c, d in (("r", 0.05), ("g", 0.0), ("b", -0.02))])
     return grids.specular_mask(g, 8, 8, 0.6, 0.2, 1, 3)
 

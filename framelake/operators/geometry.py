@@ -59,6 +59,49 @@ def rasterize(segs: DataFrame, frame: str = "frame", width: int = 64, height: in
     return cell.where(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1)).distinct()
 
 
+#: Ends are taken as whole numbers within so many pixels of the origin.
+FARTHEST = 1_000_000
+
+
+def raster_lines(segs: DataFrame, frame: str = "frame", width: int = 64, height: int = 64, scale: float = 1.0, ends: str = "truncated") -> DataFrame:
+    """(frame, row, col): the pixels of segments whose ends are pixels, walked in whole numbers along the longer axis (the column's where both are
+    alike), the other axis rounded half up. `ends`: `truncated` cuts the fraction off scaled ends, and the line is clipped to the canvas by its
+    parameter, so steps beyond it are never made; `clipped` rounds ends half to even and moves them onto the canvas, which may turn the line.
+    Ends beyond FARTHEST count as there; segments with an end that is no number are left out."""
+    if ends not in ("truncated", "clipped"):
+        raise ValueError(ends)
+    size = {"x": width, "y": height}
+    known = segs
+    for c in ENDS:
+        known = known.where(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")))
+    near = lambda c: F.least(F.lit(float(FARTHEST)), F.greatest(F.lit(float(-FARTHEST)), F.col(c).cast("double") * scale))
+    if ends == "truncated":
+        spot = {c: near(c).cast("long") for c in ENDS}
+    else:
+        spot = {c: F.least(F.lit(size[c[0]] - 1), F.greatest(F.lit(0), F.rint(near(c)).cast("long"))).cast("long") for c in ENDS}
+    whole = known.select(frame, *[v.alias(c) for c, v in spot.items()])
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    flat = F.abs(dx) >= F.abs(dy)
+    pick = lambda x, y: F.when(F.col("flat"), x).otherwise(y)
+    walk = whole.withColumn("flat", flat).select(
+        frame, "flat", pick(F.col("x1"), F.col("y1")).alias("a"), pick(F.col("y1"), F.col("x1")).alias("b"), F.greatest(F.abs(dx), F.abs(dy)).alias("n"),
+        F.signum(pick(dx, dy)).cast("long").alias("s"), pick(dy, dx).alias("d"), pick(F.lit(width), F.lit(height)).alias("la"), pick(F.lit(height), F.lit(width)).alias("lb"))
+    # Steps i of 0 to n that stay on the canvas: along the walk by a + s i, across it by b + floor((2 d i + n) / 2n).
+    up = lambda p, q: -F.floor(-p / q)
+    span = F.greatest(F.lit(1), 2 * F.abs(F.col("d")))
+    low = F.when(F.col("s") >= 0, -F.col("a")).otherwise(F.col("a") - F.col("la") + 1)
+    high = F.when(F.col("s") >= 0, F.col("la") - 1 - F.col("a")).otherwise(F.col("a"))
+    n, b, lb = F.col("n"), F.col("b"), F.col("lb")
+    low2 = F.when(F.col("d") > 0, up(-2 * n * b - n, span)).when(F.col("d") < 0, F.floor((n - 2 * n * (lb - b)) / span) + 1).otherwise(0)
+    high2 = F.when(F.col("d") > 0, up(2 * n * (lb - b) - n, span) - 1).when(F.col("d") < 0, F.floor((2 * n * b + n) / span)).otherwise(n)
+    walk = walk.withColumns({"i0": F.greatest(F.lit(0), low, low2), "i1": F.least(n, high, high2)})
+    inside = (F.col("i0") <= F.col("i1")) & F.when(n == 0, F.col("a").between(0, F.col("la") - 1)).otherwise(True) & F.when(F.col("d") == 0, b.between(0, lb - 1)).otherwise(True)
+    steps = walk.where(inside).withColumn("i", F.explode(F.sequence("i0", "i1")))
+    along = F.col("a") + F.col("s") * F.col("i")
+    across = b + F.floor((2 * F.col("d") * F.col("i") + n) / F.greatest(F.lit(1), 2 * n))
+    return steps.select(frame, pick(across, along).cast("int").alias("row"), pick(along, across).cast("int").alias("col")).distinct()
+
+
 def rasterize_aa(segs: DataFrame, frame: str = "frame", width: int = 64, height: int = 64) -> DataFrame:
     """(frame, row, col, v): like rasterize, with the two pixels across the minor axis weighted by coverage; the largest value of all segments stands."""
     x1, y1, x2, y2 = (F.col(c) for c in ENDS)

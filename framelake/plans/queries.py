@@ -522,6 +522,30 @@ def rasterize(spark, sf_dir):
     return geometry.rasterize(X.segments(spark, sf_dir))
 
 
+def line_sql(spot: Callable[[str, int], str], source: str) -> str:
+    """Every step of every segment between whole ends, those on the canvas kept."""
+    return f"""ends AS (SELECT frame, {spot('x1', 64)} AS x1, {spot('y1', 64)} AS y1, {spot('x2', 64)} AS x2, {spot('y2', 64)} AS y2 FROM {source}),
+w AS (SELECT *, x2 - x1 AS dx, y2 - y1 AS dy, greatest(abs(x2 - x1), abs(y2 - y1)) AS n FROM ends),
+p AS (SELECT frame, CASE WHEN abs(dx) >= abs(dy) THEN x1 + sign(dx) * i ELSE x1 + floor(dx::DOUBLE * i / n + 0.5) END AS col,
+  CASE WHEN abs(dx) >= abs(dy) THEN y1 + floor(dy::DOUBLE * i / greatest(n, 1) + 0.5) ELSE y1 + sign(dy) * i END AS row
+  FROM w, LATERAL (SELECT unnest(range(n + 1)) AS i))
+SELECT DISTINCT frame, row::INT AS row, col::INT AS col FROM p WHERE row BETWEEN 0 AND 63 AND col BETWEEN 0 AND 63"""
+
+
+@query(f"WITH {X.SEGMENTS}, far AS (SELECT frame, x1 * 3 - 40 AS x1, y1 * 2 AS y1, x2 * 3 - 40 AS x2, y2 * 2 AS y2 FROM segments),"
+       f" {line_sql(lambda c, n: f'trunc({c} * 0.5)::BIGINT', 'far')}")
+def raster_truncated(spark, sf_dir):
+    """Segments that reach beyond the canvas on all sides, at half scale."""
+    wide = {c: F.col(c) * (3 if c[0] == "x" else 2) - (40 if c[0] == "x" else 0) for c in geometry.ENDS}
+    return geometry.raster_lines(X.segments(spark, sf_dir).withColumns(wide), scale=0.5)
+
+
+@query(f"WITH {X.SEGMENTS}, far AS (SELECT frame, x1 * 2 - 30 AS x1, y1, x2 * 2 - 30 AS x2, y2 FROM segments),"
+       f" {line_sql(lambda c, n: f'least({n - 1}, greatest(0, round_even({c}, 0)))::BIGINT', 'far')}")
+def raster_clipped(spark, sf_dir):
+    return geometry.raster_lines(X.segments(spark, sf_dir).withColumns({c: F.col(c) * 2 - 30 for c in ("x1", "x2")}), ends="clipped")
+
+
 FEATURES = """f AS (SELECT frame, k, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, (x2 - x1) / (sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) + 1e-8)
   AS ux, (y2 - y1) / (sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) + 1e-8) AS uy FROM segments)"""
 

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.operators.consensus import agreeing_matches, consensus
 from framelake.operators.nearest import nearest_k
 
 ENDS = ("x1", "y1", "x2", "y2")
@@ -159,55 +156,12 @@ def warp_homography(points: DataFrame, h: list[float], width: int, height: int)
     return out.where(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1))
 
 
-def fit_homography(matches: DataFrame, thresh: float = 3.0, iters: int = 2_000, seed: int = 0, confidence: float = 0.99) -> DataFrame:
-    """(pair, inliers, h): a matrix by direct linear transform under seeded random sampling, one pair a group; null under four matches.
-    Samples are drawn until one of inliers alone is among them with `confidence`, or `iters` at most.
-    matches: (pair, m, x0, y0, x1, y1)."""
-
-    def solve(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """Matrices of stacks of point sets: p and q have shape (sets, points, 2)."""
-        (x, y), (u, v), one = np.moveaxis(p, -1, 0), np.moveaxis(q, -1, 0), np.ones(p.shape[:-1])
-        zero = 0 * one
-        rows = np.concatenate([np.stack([x, y, one, zero, zero, zero, -u * x, -u * y, -u], -1),
-                               np.stack([zero, zero, zero, x, y, one, -v * x, -v * y, -v], -1)], axis=1)
-        return np.linalg.svd(rows)[2][:, -1].reshape(-1, 3, 3)
-
-    def error(h: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        z = np.c_[p, np.ones(len(p))] @ np.swapaxes(h, 1, 2)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return np.nan_to_num(np.linalg.norm(z[..., :2] / z[..., 2:] - q, axis=-1), nan=np.inf)
-
-    def fit(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("m")
-        p, q, rng = g[["x0", "y0"]].to_numpy(), g[["x1", "y1"]].to_numpy(), np.random.default_rng(seed)
-        best = np.zeros(len(p), dtype=bool)
-        if len(p) >= 4:
-            done, wanted = 0, iters
-            while done < wanted:
-                picks = np.argsort(rng.random((min(200, iters - done), len(p))), axis=1)[:, :4]
-                near = error(solve(p[picks], q[picks]), p, q) <= thresh
-                if near.sum(axis=1).max() > best.sum():
-                    best = near[near.sum(axis=1).argmax()]
-                done += len(picks)
-                good = min(best.mean() ** 4, 1 - 1e-9)
-                wanted = iters if good <= 0 else min(iters, math.log(1 - confidence) / math.log(1 - good))
-        h = solve(p[None, best], q[None, best])[0] if best.sum() >= 4 else None
-        return pd.DataFrame({"pair": [g["pair"].iloc[0]], "inliers": [int(best.sum())], "h": [None if h is None else (h / np.abs(h).max()).ravel().tolist()]})
-
-    return matches.groupBy("pair").applyInPandas(fit, "pair long, inliers int, h array<double>")
-
-
-def inliers(matches: DataFrame, fits: DataFrame, thresh: float = 3.0) -> DataFrame:
-    """The matches that their pair's fitted matrix carries within `thresh` of their aim, of pairs with at least four."""
-    h = [F.get("h", F.lit(i)) for i in range(9)]
-    x, y = F.col("x0"), F.col("y0")
-    u, v, w = (h[3 * i] * x + h[3 * i + 1] * y + h[3 * i + 2] for i in range(3))
-    off = F.sqrt((F.try_divide(u, w) - F.col("x1")) ** 2 + (F.try_divide(v, w) - F.col("y1")) ** 2)
-    near = matches.join(fits.where("h IS NOT NULL").select("pair", "h"), "pair").where(off <= thresh).drop("h")
-    return near.join(near.groupBy("pair").count().where("count >= 4"), "pair", "left_semi")
-
-
-def three_frame_match(triples: DataFrame, segs: DataFrame, dist: float, angle: float, thresh: float = 3.0) -> DataFrame:
+def fit_homography(matches: DataFrame, thresh: float = 3.0, draws: int = 2_000, confidence: float = 0.99) -> DataFrame:
+    """(pair, inliers, h): the matrix fitted to a pair's agreeing matches (see consensus); null under four. matches: (pair, m, x0, y0, x1, y1)."""
+    return consensus(matches, thresh, draws, confidence).select("pair", "inliers", "h")
+
+
+def three_frame_match(triples: DataFrame, segs: DataFrame, dist: float, angle: float, thresh: float = 3.0, draws: int = 2_000) -> DataFrame:
     """(frame, k): the current frame's segments that match those of the next frame which match the previous one's, each once. All segments
     stand where a step has under four inliers, and in first and last frames. triples: (frame, prev, next); segs: (frame, k, x1, y1, x2, y2)."""
     f = segment_features(segs, ["frame", "k"])
@@ -218,7 +172,7 @@ def three_frame_match(triples: DataFrame, segs: DataFrame, dist: float, angle: f
         met = coarse_match(a, b, dist, angle).withColumn("m", F.col("ka").cast("long") * F.lit(2**31) + F.col("kb"))
         ends = [x.select("pair", F.col("k").alias(k), F.col("cx").alias(f"x{i}"), F.col("cy").alias(f"y{i}")) for i, (x, k) in enumerate(((a, "ka"), (b, "kb")))]
         m = met.join(ends[0], ["pair", "ka"]).join(ends[1], ["pair", "kb"])
-        return inliers(m, fit_homography(m.select("pair", "m", "x0", "y0", "x1", "y1"), thresh), thresh)
+        return m.join(agreeing_matches(m.select("pair", "m", "x0", "y0", "x1", "y1"), thresh, draws), ["pair", "m"])
 
     kept = step(side["prev"], side["next"]).select("pair", F.col("kb").alias("k")).distinct()
     found = step(side["next"].join(kept, ["pair", "k"], "left_semi"), side["here"]).select(F.col("pair").alias("frame"), F.col("kb").alias("k")).distinct()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -252,40 +253,113 @@ def frechet_diag(features: DataFrame) -> DataFrame:
     return m.agg(F.sum((F.col("m0") - F.col("m1")) ** 2 + F.col("v0") + F.col("v1") - 2 * F.sqrt(F.col("v0") * F.col("v1"))).alias("distance"))
 
 
+#: Columns of a block of a Gram matrix, and numbers of blocks that one task adds up at most on the first level.
+BLOCK, FAN = 256, 64
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (key, values) as one row a key with the sums of their values, arrays of numbers as bytes; one sum is held at a time."""
+    key, total = None, None
+    for batch in batches:
+        done = []
+        for k, values in zip(batch.column("key").to_pylist(), batch.column("values").to_pylist(), strict=True):
+            if k != key:
+                if key is not None:
+                    done.append((key, total.tobytes()))
+                key, total = k, np.frombuffer(values, "<f8").copy()
+            else:
+                total += np.frombuffer(values, "<f8")
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], pa.string()), pa.array([v for _, v in done], pa.binary())], ["key", "values"])
+    if key is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([total.tobytes()])], ["key", "values"])
+
+
+def _summed(parts: DataFrame) -> DataFrame:
+    """(key, values): sums of arrays of numbers, in two levels: those of up to FAN tasks first, then those sums."""
+    level = lambda df, *by: df.repartition(*by).sortWithinPartitions(*by).select("key", "values").mapInArrow(_added, "key string, values binary")
+    return level(level(parts, "key", "salt"), "key")
+
+
+def gram(features: DataFrame) -> DataFrame:
+    """(set, bi, bj, values) of features (set, embedding): the bytes of the blocks, BLOCK columns wide, of the upper half of each set's matrix of
+    moments: of the vectors, less the mean of both sets, with a one behind them, so that the last row holds sums and the count. A task adds up
+    its own vectors, and sends blocks, which are added in a tree; nowhere do all blocks meet. Vectors with other lengths than the first are an error."""
+    rows = features.where("set IN (0, 1) AND embedding IS NOT NULL").select(F.col("set").cast("int").alias("set"), F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            x = np.array(batch.column("e").to_pylist(), dtype=float).reshape(batch.num_rows, -1)
+            own = np.append(x.sum(axis=0), len(x))
+            total = own if total is None else total + own
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(["all"]), pa.array([total.tobytes()])], ["key", "values"])
+
+    salt = (F.spark_partition_id() / FAN).cast("int").alias("salt")
+    first = _summed(rows.select("e").mapInArrow(sums, "key string, values binary").select("key", "values", salt)).first()  # one vector of d + 1 numbers
+    whole = np.frombuffer(first[1], "<f8") if first else np.ones(1)
+    shift = whole[:-1] / whole[-1]
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            x = np.array(batch.column("e").to_pylist(), dtype=float).reshape(batch.num_rows, -1) - shift
+            x, of = np.c_[x, np.ones(len(x))], batch.column("set").to_numpy()
+            for s in np.unique(of):
+                own = x[of == s].T @ x[of == s]
+                found[int(s)] = found[int(s)] + own if int(s) in found else own
+        for s, m in found.items():
+            for i in range(0, len(m), BLOCK):
+                keys = [f"{s} {i} {j}" for j in range(i, len(m), BLOCK)]
+                values = [np.ascontiguousarray(m[i: i + BLOCK, j: j + BLOCK]).tobytes() for j in range(i, len(m), BLOCK)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(values)], ["key", "values"])
+
+    added = _summed(rows.mapInArrow(blocks, "key string, values binary").select("key", "values", salt))
+    part = F.split("key", " ")
+    return added.select(*[part[i].cast("int").alias(c) for i, c in enumerate(("set", "bi", "bj"))], "values")
+
+
+def frechet_distance(m0: np.ndarray, c0: np.ndarray, m1: np.ndarray, c1: np.ndarray, eps: float = 1e-6) -> float:
+    """The distance of two normal distributions: squared distance of means, and traces of both covariances less twice that of the root of
+    their product. The root's trace is that of the symmetric matrix root(c0) c1 root(c0); where that isn't finite, `eps` is added to both diagonals."""
+    def root_trace(a: np.ndarray, b: np.ndarray) -> float:
+        try:
+            w, v = np.linalg.eigh(a)
+            half = (v * np.sqrt(np.clip(w, 0, None))) @ v.T
+            return float(np.sqrt(np.clip(np.linalg.eigvalsh(half @ b @ half), 0, None)).sum())
+        except np.linalg.LinAlgError:
+            return math.nan
+
+    cross = root_trace(c0, c1)
+    if not math.isfinite(cross):
+        cross = root_trace(c0 + eps * np.eye(len(c0)), c1 + eps * np.eye(len(c1)))
+    return float(((m0 - m1) ** 2).sum() + np.trace(c0) + np.trace(c1) - 2 * cross)
+
+
 def frechet_full(features: DataFrame) -> DataFrame:
-    """Fréchet distance with full covariances: moments are distributed sums, the final square root is of one d x d matrix on the driver."""
+    """Fréchet distance of two sets (set 0, 1; embedding) with full sample covariances: moments are sums of blocks (see `gram`), the root is of one
+    d x d matrix on the driver, which gets two such matrices whatever the number of rows. NaN where a set has fewer than two vectors."""
     spark = features.sparkSession
-
-    def moments(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A set's count, sum and outer products, once a task."""
-        sums: dict[int, list] = {}
-        for f in frames:
-            for s, part in f.groupby("set"):
-                x = np.stack(part["e"].to_numpy())
-                own = sums.setdefault(int(s), [0, np.zeros(x.shape[1]), np.zeros((x.shape[1],) * 2)])
-                own[0], own[1], own[2] = own[0] + len(x), own[1] + x.sum(axis=0), own[2] + x.T @ x
-        if sums:
-            yield pd.DataFrame([{"set": s, "n": n, "s": total.tolist(), "q": outer.ravel().tolist()} for s, (n, total, outer) in sums.items()])
-
-    rows = features.where("set IN (0, 1)").select(F.col("set").cast("int").alias("set"), F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    parts = rows.mapInPandas(moments, "set int, n long, s array<double>, q array<double>")
-    counted = parts.groupBy("set").agg(F.sum("n").alias("n"))
-    added = parts.select("set", F.lit("s").alias("of"), F.posexplode("s").alias("i", "x")).union(parts.select("set", F.lit("q").alias("of"), F.posexplode("q").alias("i", "x")))
-    totals = added.groupBy("set", "of", "i").agg(F.sum("x").alias("x")).toPandas()  # one d x d matrix a set
-    ns = {r.set: r.n for r in counted.collect()}
-    if min(ns.get(0, 0), ns.get(1, 0)) < 2:
-        return spark.createDataFrame([(float("nan"),)], "distance double")
+    moments: dict[int, dict] = {}
+    for r in gram(features).toLocalIterator():  # half of two matrices of (d + 1) x (d + 1)
+        moments.setdefault(r.set, {})[r.bi, r.bj] = np.frombuffer(r["values"], "<f8")
     both = []
     for s in (0, 1):
-        own = totals[totals["set"] == s].sort_values("i")
-        total, outer = (own[own["of"] == c]["x"].to_numpy() for c in "sq")
-        mean = total / ns[s]
-        both.append((mean, (outer.reshape(len(total), -1) - ns[s] * np.outer(mean, mean)) / (ns[s] - 1)))
-    (m0, c0), (m1, c1) = both
-    w, v = np.linalg.eigh(c0)
-    root = (v * np.sqrt(np.clip(w, 0, None))) @ v.T
-    cross = np.sqrt(np.clip(np.linalg.eigvalsh(root @ c1 @ root), 0, None)).sum()
-    return spark.createDataFrame([(float(((m0 - m1) ** 2).sum() + np.trace(c0) + np.trace(c1) - 2 * cross),)], "distance double")
+        own = moments.get(s)
+        if not own:
+            return spark.createDataFrame([(math.nan,)], "distance double")
+        last = max(j for _, j in own)
+        size = last + math.isqrt(len(own[last, last]))
+        m = np.zeros((size, size))
+        for (i, j), values in own.items():
+            block = values.reshape(min(BLOCK, size - i), min(BLOCK, size - j))
+            m[i: i + BLOCK, j: j + BLOCK] = block
+            m[j: j + BLOCK, i: i + BLOCK] = block.T
+        n, mean = m[-1, -1], m[-1, :-1] / m[-1, -1]
+        if n < 2:
+            return spark.createDataFrame([(math.nan,)], "distance double")
+        both += [mean, (m[:-1, :-1] - n * np.outer(mean, mean)) / (n - 1)]
+    return spark.createDataFrame([(frechet_distance(*both),)], "distance double")
 
 
 def endpoint_error(a: DataFrame, b: DataFrame, pixels_a: DataFrame, pixels_b: DataFrame, height: int, width: int) -> DataFrame:

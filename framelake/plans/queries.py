@@ -619,11 +619,55 @@ def homography_warp(spark, sf_dir):
     return geometry.warp_homography(X.segments(spark, sf_dir).select("frame", "k", F.col("x1").alias("x"), F.col("y1").alias("y")), H, 64, 64)
 
 
-@query()
-def homography_fit(spark, sf_dir):
+def consensus_sql(name: str, matches: str, draws: int, thresh: float) -> str:
+    """Tables {name}_e (pair, d, m), the matches that a draw's matrix carries, {name}_b (pair, d, inliers), the best draw, and {name}_c
+    (pair, m), its matches, from a table of matches (pair, m, x0, y0, x1, y1)."""
+    def area(x: str, y: str, a: int, b: int, c: int) -> str:
+        return f"({x}{b} - {x}{a}) * ({y}{c} - {y}{a}) - ({x}{c} - {x}{a}) * ({y}{b} - {y}{a})"
+
+    areas = [(4, 2, 3), (1, 4, 3), (1, 2, 4), (1, 2, 3)]
+    columns = ", ".join(f"{area(x, y, *t)} AS {z}{i}" for z, x, y in (("l", "x", "y"), ("k", "u", "v")) for i, t in enumerate(areas, 1))
+    solid = " AND ".join(f"least({c}) > 1e-3 * greatest({c})" for c in (", ".join(f"abs({z}{i})" for i in range(1, 5)) for z in "lk"))
+    cross = [(f"(y{j} - y{k})", f"(x{k} - x{j})", f"(x{j} * y{k} - x{k} * y{j})") for j, k in ((2, 3), (3, 1), (1, 2))]
+    h = ", ".join(" + ".join(f"k{i} / l{i} * {(f'u{i}', f'v{i}', '1.0::DOUBLE')[s]} * {cross[i - 1][t]}" for i in (1, 2, 3)) + f" AS h{s}{t}" for s in range(3) for t in range(3))
+    u, v, w = (f"(h{s}0 * m.x0 + h{s}1 * m.y0 + h{s}2)" for s in range(3))
+    points = ", ".join(f"l{c}[i{i} + 1] AS {c}{i}" for i in (1, 2, 3, 4) for c in "xyuv")
+    places = ", ".join(f"('0x' || substr(h, {8 * i - 7}, 8))::BIGINT % n AS i{i}" for i in (1, 2, 3, 4))
+    return f"""{name}_l AS MATERIALIZED (SELECT pair, count(*) AS n, list(x0 ORDER BY m) AS lx, list(y0 ORDER BY m) AS ly, list(x1 ORDER BY m) AS lu,
+  list(y1 ORDER BY m) AS lv FROM {matches} GROUP BY pair HAVING count(*) >= 4),
+{name}_d AS (SELECT pair, d, n, md5(pair || '|' || d) AS h FROM {name}_l, (SELECT unnest(range({draws})) AS d)),
+{name}_s AS (SELECT pair, d, {places} FROM {name}_d),
+{name}_p AS (SELECT pair, d, {points} FROM {name}_s JOIN {name}_l USING (pair)
+  WHERE i1 <> i2 AND i1 <> i3 AND i1 <> i4 AND i2 <> i3 AND i2 <> i4 AND i3 <> i4),
+{name}_a AS (SELECT *, {columns} FROM {name}_p),
+{name}_h AS (SELECT pair, d, {h} FROM {name}_a WHERE {solid}),
+{name}_e AS MATERIALIZED (SELECT h.pair, h.d, m.m FROM {name}_h h JOIN {matches} m ON m.pair = h.pair
+  WHERE {w} <> 0 AND sqrt(({u} / {w} - m.x1) * ({u} / {w} - m.x1) + ({v} / {w} - m.y1) * ({v} / {w} - m.y1)) <= {thresh}),
+{name}_b AS MATERIALIZED (SELECT pair, d, count(*) AS inliers FROM {name}_e GROUP BY pair, d QUALIFY row_number() OVER (PARTITION BY pair ORDER BY count(*) DESC, d) = 1),
+{name}_c AS (SELECT e.pair, e.m FROM {name}_b b JOIN {name}_e e ON e.pair = b.pair AND e.d = b.d WHERE inliers >= 4)"""
+
+
+def end_matches(spark, sf_dir):
+    """First ends of segments of one number in consecutive frames."""
     s, p = X.segments(spark, sf_dir), X.pairs(spark, sf_dir)
     m = p.join(s.select(F.col("frame").alias("prev"), "k", F.col("x1").alias("x0"), F.col("y1").alias("y0")), "prev").join(s.select("frame", "k", "x1", "y1"), ["frame", "k"])
-    return geometry.fit_homography(m.select(F.col("frame").alias("pair"), F.col("k").alias("m"), "x0", "y0", "x1", "y1"))
+    return m.select(F.col("frame").alias("pair"), F.col("k").alias("m"), "x0", "y0", "x1", "y1")
+
+
+END_MATCHES = f"""{X.SEGMENTS}, {X.PAIRS}, ms AS (SELECT p.frame AS pair, a.k AS m, a.x1 AS x0, a.y1 AS y0, b.x1 AS x1, b.y1 AS y1
+  FROM pairs p JOIN segments a ON a.frame = p.prev JOIN segments b ON b.frame = p.frame AND b.k = a.k)"""
+
+
+@query(f"""WITH {END_MATCHES}, {consensus_sql('c', 'ms', 200, 3.0)} SELECT pair, coalesce(inliers, 0)::INT AS inliers, coalesce(inliers, 0) >= 4 AS fitted
+FROM (SELECT DISTINCT pair FROM ms) LEFT JOIN c_b USING (pair)""")
+def homography_fit(spark, sf_dir):
+    fit = geometry.fit_homography(end_matches(spark, sf_dir), draws=200)
+    return fit.select("pair", "inliers", F.col("h").isNotNull().alias("fitted"))
+
+
+@query()
+def homography_matrix(spark, sf_dir):
+    return geometry.fit_homography(end_matches(spark, sf_dir), draws=200)
 
 
 @query(f"""WITH {X.SEGMENTS}, s AS (SELECT frame, x1, y1, x2, y2, greatest(1, ceil(greatest(abs(x2 - x1), abs(y2 - y1))))::INT AS n, abs(x2
@@ -856,9 +900,32 @@ def frechet_diag(spark, sf_dir):
     return rounded(metrics.frechet_diag(X.table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 2).alias("set"), "embedding")))
 
 
-@query()
+def frechet_sql(vectors: str) -> str:
+    """The distance from `vectors` (s, e): means and covariances as lists, and the trace of the root of their product by the coupled iteration
+    Y <- Y (3 - Z Y) / 2, Z <- (3 - Z Y) Z / 2, which ends at the root of a matrix whose eigenvalues are between 0 and 1."""
+    product = lambda a, b: f"list_transform({a}, lambda r: list_transform({b}, lambda c: list_dot_product(r, c)))"
+    turned = lambda a: f"list_transform(range(1, len({a}) + 1), lambda j: list_transform({a}, lambda r: r[j]))"
+    return f"""{vectors}, vr AS (SELECT s, e, row_number() OVER () AS row FROM v),
+xs AS (SELECT s, i, row, e[i]::DOUBLE AS x FROM vr, LATERAL unnest(range(1, len(e) + 1)) AS u(i)),
+mean AS (SELECT s, i, avg(x) AS m FROM xs GROUP BY ALL),
+c AS (SELECT xs.s, xs.row, list(x - m ORDER BY xs.i) AS e FROM xs JOIN mean USING (s, i) GROUP BY ALL),
+cv AS (SELECT c.s, i, j, sum(e[i] * e[j]) / (count(*) - 1) AS v FROM c, LATERAL unnest(range(1, len(e) + 1)) AS a(i), LATERAL unnest(range(1, len(e) + 1)) AS b(j) GROUP BY ALL),
+cr AS (SELECT s, i, list(v ORDER BY j) AS r FROM cv GROUP BY ALL), cm AS (SELECT s, list(r ORDER BY i) AS m FROM cr GROUP BY ALL),
+two AS (SELECT (SELECT m FROM cm WHERE s = 0) AS a, (SELECT m FROM cm WHERE s = 1) AS b),
+p0 AS (SELECT {product('a', 'b')} AS p FROM two),
+scaled AS (SELECT sqrt(list_sum(list_transform(p, lambda r: list_dot_product(r, r)))) AS f, p FROM p0),
+step(k, y, z, f) AS (SELECT 0, list_transform(p, lambda r: list_transform(r, lambda x: x / f)),
+   list_transform(range(1, len(p) + 1), lambda i: list_transform(range(1, len(p) + 1), lambda j: (i = j)::INT::DOUBLE)), f FROM scaled
+ UNION ALL SELECT k + 1, {product('y', turned('t'))}, {product('t', turned('z'))}, f FROM (
+   SELECT k, y, z, f, list_transform({product('z', turned('y'))}, lambda r, i: list_transform(r, lambda x, j: ((CASE WHEN i = j THEN 3 ELSE 0 END) - x) / 2)) AS t
+   FROM step WHERE k < 45) q)
+SELECT round((SELECT sum((p.m - q.m) ** 2) FROM mean p JOIN mean q USING (i) WHERE p.s = 0 AND q.s = 1) + (SELECT sum(v) FROM cv WHERE i = j)
+  - 2 * sqrt(f) * list_sum(list_transform(range(1, len(y) + 1), lambda i: y[i][i])), 4) AS distance FROM step WHERE k = 45"""
+
+
+@query(f"WITH RECURSIVE {frechet_sql('v AS (SELECT vec_id % 2 AS s, embedding AS e FROM embeddings)')}")
 def frechet_full(spark, sf_dir):
-    return metrics.frechet_full(X.table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 2).alias("set"), "embedding"))
+    return rounded(metrics.frechet_full(X.table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 2).alias("set"), "embedding")), 4)
 
 
 # --- flow ---
@@ -1121,16 +1188,39 @@ def clip_features(spark, sf_dir):
     return rounded(clips.select("set", "seq_id", "clip", F.posexplode("embedding").alias("i", "x")))
 
 
-@query()
+CLIP_VECTORS = """ef AS (SELECT label % 2 AS s, label AS seq_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS n, embedding FROM embeddings),
+ex AS (SELECT s, seq_id, n, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM ef), ec AS (SELECT DISTINCT seq_id, n // 8 AS clip FROM ef),
+em AS (SELECT s, seq_id, clip, i, avg(x) AS x FROM ec JOIN ex USING (seq_id) WHERE n BETWEEN clip * 8 AND clip * 8 + 15 GROUP BY ALL HAVING count(*) = 16),
+v AS (SELECT s, list(x ORDER BY i) AS e FROM em GROUP BY s, seq_id, clip)"""
+
+
+@query(f"WITH RECURSIVE {frechet_sql(CLIP_VECTORS)}")
 def frechet_clips(spark, sf_dir):
-    return metrics.frechet_clips(clip_inputs(spark, sf_dir))
+    return rounded(metrics.frechet_clips(clip_inputs(spark, sf_dir)), 4)
 
 
-@query()
+def matched_sql(name: str, left: str, right: str) -> str:
+    """Matches (pair, m, ka, kb, x0, y0, x1, y1) of the centres of features `left` and `right` (pair, k, cx, cy, ux, uy) of a pair."""
+    return f"""{name} AS MATERIALIZED (SELECT a.pair, a.k::BIGINT * 2147483648 + b.k AS m, a.k AS ka, b.k AS kb, a.cx AS x0, a.cy AS y0, b.cx AS x1, b.cy AS y1
+  FROM {left} a JOIN {right} b USING (pair) WHERE (a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2 <= 144
+  AND acos(least(1.0, greatest(-1.0, a.ux * b.ux + a.uy * b.uy))) <= 1.0)"""
+
+
+def side_sql(name: str, frame: str) -> str:
+    return f"{name} AS (SELECT t.frame AS pair, f.k, cx, cy, ux, uy FROM triples t JOIN f ON f.frame = t.{frame} WHERE prev IS NOT NULL AND next IS NOT NULL)"
+
+
+@query(f"""WITH {X.SEGMENTS}, {FEATURES}, triples AS (SELECT vec_id AS frame, lag(vec_id) OVER w AS prev, lead(vec_id) OVER w AS next FROM embeddings
+  WINDOW w AS (PARTITION BY label ORDER BY vec_id)),
+{side_sql('sp', 'prev')}, {side_sql('sn', 'next')}, {side_sql('sh', 'frame')}, {matched_sql('m1', 'sp', 'sn')}, {consensus_sql('c1', 'm1', 200, 3.0)},
+kept AS MATERIALIZED (SELECT DISTINCT pair, kb AS k FROM m1 JOIN c1_c USING (pair, m)), sk AS (SELECT sn.* FROM sn JOIN kept USING (pair, k)),
+{matched_sql('m2', 'sk', 'sh')}, {consensus_sql('c2', 'm2', 200, 3.0)},
+found AS MATERIALIZED (SELECT DISTINCT pair AS frame, kb AS k FROM m2 JOIN c2_c USING (pair, m))
+SELECT frame, k FROM found UNION ALL SELECT frame, k FROM segments WHERE frame NOT IN (SELECT frame FROM found)""")
 def three_frame_match(spark, sf_dir):
     w = Window.partitionBy("label").orderBy("vec_id")
     triples = X.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), F.lag("vec_id").over(w).alias("prev"), F.lead("vec_id").over(w).alias("next"))
-    return geometry.three_frame_match(triples, X.segments(spark, sf_dir), 12.0, 1.0)
+    return geometry.three_frame_match(triples, X.segments(spark, sf_dir), 12.0, 1.0, draws=200)
 
 
 @query()

@@ -1,7 +1,7 @@
-"""Counting quotient filters of 64-bit keys: sorted, compact and lossless.
+"""Counting quotient filters of keys of up to 64 bits: sorted, compact and lossless.
 
-A key is permuted invertibly; its top bits, the quotient, name a slot, and the slot's run holds the rest, the full remainder, with a
-counter. As nothing of a key is lost, the filter counts exactly, merges as sorted lists do, and gives its keys back.
+A key of `width` bits is permuted invertibly; its top bits, the quotient, name a slot, and the slot's run holds the rest, the full remainder,
+with a counter. As nothing of a key is lost, the filter counts exactly, merges as sorted lists do, and gives its keys back.
 """
 
 from __future__ import annotations
@@ -10,25 +10,31 @@ import numpy as np
 
 #: Odd numbers below 2**64 that keys are multiplied by.
 FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-#: Quotient bits at least, so that a remainder fits into six bytes.
+#: Quotient bits at least.
 LEAST_BITS = 16
 
 
-def permute(keys: np.ndarray) -> np.ndarray:
-    """A fixed permutation of the 64-bit numbers that deals similar keys out evenly."""
-    x = keys ^ (keys >> np.uint64(32))
+def _mask(width: int) -> np.uint64:
+    return np.uint64((1 << width) - 1)
+
+
+def permute(keys: np.ndarray, width: int = 64) -> np.ndarray:
+    """A fixed permutation of the numbers below 2**width that deals similar keys out evenly."""
+    half = np.uint64((width + 1) // 2)
+    x = keys ^ (keys >> half)
     for factor in FACTORS:
-        x = x * np.uint64(factor)
-        x ^= x >> np.uint64(32)
+        x = (x * np.uint64(factor)) & _mask(width)
+        x ^= x >> half
     return x
 
 
-def restore(permuted: np.ndarray) -> np.ndarray:
+def restore(permuted: np.ndarray, width: int = 64) -> np.ndarray:
     """The keys that `permute` made `permuted` of."""
-    x = permuted ^ (permuted >> np.uint64(32))
+    half = np.uint64((width + 1) // 2)
+    x = permuted ^ (permuted >> half)
     for factor in reversed(FACTORS):
-        x = x * np.uint64(pow(factor, -1, 2**64))
-        x ^= x >> np.uint64(32)
+        x = (x * np.uint64(pow(factor, -1, 2**64))) & _mask(width)
+        x ^= x >> half
     return x
 
 
@@ -37,43 +43,50 @@ def quotient_bits(ranges: int) -> int:
     return max(LEAST_BITS, ranges.bit_length() - 1)
 
 
-def split(permuted: np.ndarray, counts: np.ndarray, ranges: int) -> list[tuple[int, bytes]]:
+def key_width(bits: int, ranges: int) -> int:
+    """The width of keys of `bits` bits: a remainder has one byte at least."""
+    return min(64, max(bits, quotient_bits(ranges) + 8))
+
+
+def split(permuted: np.ndarray, counts: np.ndarray, ranges: int, width: int = 64) -> list[tuple[int, bytes]]:
     """(range, packed filter) of the sorted keys `permuted`, for each range of slots that has some."""
     bits = ranges.bit_length() - 1
     if not len(permuted):
         return []
-    which = (permuted >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(permuted), np.int64)
+    which = (permuted >> np.uint64(width - bits)).astype(np.int64) if bits else np.zeros(len(permuted), np.int64)
     starts = np.flatnonzero(np.diff(which, prepend=-1))
     ends = np.append(starts[1:], len(permuted))
-    return [(int(which[a]), pack(permuted[a:b], counts[a:b], int(which[a]), ranges)) for a, b in zip(starts, ends, strict=True)]
+    return [(int(which[a]), pack(permuted[a:b], counts[a:b], int(which[a]), ranges, width)) for a, b in zip(starts, ends, strict=True)]
 
 
-def pack(permuted: np.ndarray, counts: np.ndarray, number: int, ranges: int) -> bytes:
-    """The filter of range `number`: the length of each slot's run, the remainders in six bytes each, a one-byte counter each, and
-    the counters that one byte can't hold."""
+def pack(permuted: np.ndarray, counts: np.ndarray, number: int, ranges: int, width: int = 64) -> bytes:
+    """The filter of range `number`: the length of each slot's run, the remainders, a one-byte counter each, and the counters that one byte
+    can't hold."""
     bits = quotient_bits(ranges)
-    slots = (1 << bits) // ranges
-    slot = (permuted >> np.uint64(64 - bits)).astype(np.int64) - number * slots
-    runs = np.bincount(slot, minlength=slots).astype("<u4")
-    remainders = (permuted & np.uint64((1 << (64 - bits)) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    slots, size = (1 << bits) // ranges, (width - bits + 7) // 8
+    slot = (permuted >> np.uint64(width - bits)).astype(np.int64) - number * slots
+    runs = np.bincount(slot, minlength=slots)
+    wide = 1 if runs.max(initial=0) < 256 else 4
+    remainders = (permuted & _mask(width - bits)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]
     large = counts[counts >= 255].astype("<u8")
-    head = np.array([len(permuted), len(large)], dtype="<u8")
-    return b"".join([head.tobytes(), runs.tobytes(), np.ascontiguousarray(remainders.T).tobytes(), np.minimum(counts, 255).astype(np.uint8).tobytes(), large.tobytes()])
+    head = np.array([len(permuted), len(large), wide], dtype="<u8")
+    return b"".join([head.tobytes(), runs.astype(f"<u{wide}").tobytes(), np.ascontiguousarray(remainders.T).tobytes(),
+                     np.minimum(counts, 255).astype(np.uint8).tobytes(), large.tobytes()])
 
 
-def unpack(packed: bytes, number: int, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+def unpack(packed: bytes, number: int, ranges: int, width: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """(sorted permuted keys, counts) of a packed filter."""
     bits = quotient_bits(ranges)
-    slots = (1 << bits) // ranges
-    n, extra = np.frombuffer(packed, "<u8", 2).astype(int)
-    runs = np.frombuffer(packed, "<u4", slots, 16)
-    at = 16 + 4 * slots
+    slots, size = (1 << bits) // ranges, (width - bits + 7) // 8
+    n, extra, wide = (int(x) for x in np.frombuffer(packed, "<u8", 3))
+    runs = np.frombuffer(packed, f"<u{wide}", slots, 24)
+    at = 24 + wide * slots
     remainders = np.zeros((n, 8), np.uint8)
-    remainders[:, :6] = np.frombuffer(packed, np.uint8, 6 * n, at).reshape(6, n).T
+    remainders[:, :size] = np.frombuffer(packed, np.uint8, size * n, at).reshape(size, n).T
     slot = np.repeat(np.arange(slots, dtype=np.uint64) + np.uint64(number * slots), runs)
-    counts = np.frombuffer(packed, np.uint8, n, at + 6 * n).astype(np.int64)
-    counts[counts == 255] = np.frombuffer(packed, "<u8", extra, at + 7 * n).astype(np.int64)
-    return (slot << np.uint64(64 - bits)) | remainders.view("<u8").reshape(-1), counts
+    counts = np.frombuffer(packed, np.uint8, n, at + size * n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(packed, "<u8", extra, at + (size + 1) * n).astype(np.int64)
+    return (slot << np.uint64(width - bits)) | remainders.view("<u8").reshape(-1), counts
 
 
 def merge(filters: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

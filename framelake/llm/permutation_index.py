@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from framelake.llm.common import materialize, table
 
-#: Pivots (a bounded sample: the first by hash), how many of them stand for a vector, how many of these a query asks, and
-#: the share of a block's different vectors, nearest by footrule, that is ranked again.
-PIVOTS, PREFIX, ASKED, SHARE = 1_024, 192, 48, 0.06
+#: Pivots (a bounded sample: the first by hash), how many of them stand for a vector, how many of these a query asks, and the share and the least
+#: number of a block's different vectors, nearest by footrule, that are ranked again. A small table's nearest are a larger share of it.
+PIVOTS, PREFIX, ASKED, SHARE, LEAST = 1_024, 192, 48, 0.06, 400
 #: Vectors of an index block, queries that are packed together, and packs that meet a block at a time.
 BLOCK, PACK, PACKS = 8_192, 256, 16
 
@@ -79,7 +79,8 @@ def build_index(rows: DataFrame, pivots: np.ndarray, longest: float, prefix: int
 
 
 def search(df: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding",
-           n_pivots: int = PIVOTS, prefix: int = PREFIX, asked: int = ASKED, share: float = SHARE, block: int = BLOCK) -> DataFrame:
+           n_pivots: int = PIVOTS, prefix: int = PREFIX, asked: int = ASKED, share: float = SHARE, block: int = BLOCK,
+           least: int = LEAST) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): for each vector of `queries` its `k` nearest found among all of `df`,
     without rows of its own id, by the inner product in double precision, ties to the smaller id.
 
@@ -87,7 +88,8 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id",
     part. Repeated ids: each row is a candidate of its own; of queries that share an id the smallest vector asks. Equal
     vectors of a block are compared once and found together. With fewer candidates than `k` all are returned; an empty
     table gives an empty result; other columns aren't read, whatever their names. Pivots: the different ones of the
-    `n_pivots` first vectors by hash. A task holds one block and at most PACK * PACKS queries.
+    `n_pivots` first vectors by hash. A task holds one block and at most PACK * PACKS queries; of each block the `share` nearest by footrule, `least`
+    at least, are ranked again.
     """
     spark = df.sparkSession
     rows = _usable(df, key, vector)
@@ -121,15 +123,22 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id",
             vectors = np.stack(left["v"].to_numpy()[first])
             perms = np.stack([np.frombuffer(p, np.uint16) for p in left["perm"].to_numpy()[first]])
             files = inverted_files(perms, len(pivots))
-            keep = min(len(first), max(4 * k, int(np.ceil(share * len(first)))))
+            keep = max(least, 4 * k, int(np.ceil(share * len(first))))
+            # Vectors that rows of one id alone have are no candidates of that id's query.
+            lone: dict = {}
+            for at, group in enumerate(groups):
+                if all(ids[i] == ids[group[0]] for i in group):
+                    lone.setdefault(ids[group[0]], []).append(at)
             for q_ids, q_vs in zip(right["ids"], right["vs"], strict=True):
                 asking = np.asarray(q_vs, dtype=np.float64).reshape(-1, vectors.shape[1])
                 for q, v, perm in zip(q_ids, asking, permutations(as_query(asking), pivots, asked), strict=True):
                     gain = footrule_gain(files, perm, prefix, len(first))
+                    gain[lone.get(q, [])] = -1
                     near = np.argpartition(-gain, keep - 1)[:keep] if keep < len(first) else np.arange(len(first))
+                    near = near[gain[near] >= 0]
                     score = vectors[near] @ v
-                    # the k best vectors and one more, as one may be the query's own, with all that tie
-                    edge = np.partition(score, len(score) - k - 1)[len(score) - k - 1] if len(score) > k + 1 else -np.inf
+                    # the k best vectors with all that tie; each has a row of another id
+                    edge = np.partition(score, len(score) - k)[len(score) - k] if len(score) > k else -np.inf
                     rows = [(-s, ids[j]) for i, s in zip(near[score >= edge], score[score >= edge], strict=True) for j in groups[i] if ids[j] != q]
                     found += [(q, i, -s) for s, i in sorted(rows)[:k]]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])

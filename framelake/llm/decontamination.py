@@ -63,21 +63,25 @@ def rarest_terms(windows: DataFrame, counts: DataFrame, lists: int = LISTS) -> D
 
 
 def intersect_lists(postings: DataFrame, rarest: DataFrame, window: int) -> DataFrame:
-    """(doc, body, at, window, offset): the places of each window's rarest term that the lists of its next terms allow: each of these
-    stands less than `window` words away, as both matches in proximity and phrases, whose offsets then agree, need. Lists meet by
-    document, term and stretch of positions, so a term that a document repeats very often is no large group."""
+    """(doc, body, at, window, offset, aligned): the places of each window's rarest term that the lists of its next terms allow. `aligned` says that
+    each of these stands at its own offset from the rarest one, as in a phrase: the lists, less their offsets, intersect there. The other
+    places have each of them less than `window` words away, as a match in proximity needs. Lists meet by document, term and stretch of positions,
+    so a term that a document repeats very often is no large group."""
     small = rarest.count() <= BROADCAST_ROWS
     spots = postings.join(F.broadcast(rarest) if small else rarest, "term").select("doc", "body", "at", "window", "offset", "others")
     lone, wanting = spots.where(F.size("others") == 0), spots.where(F.size("others") > 0)
     stretch = lambda at: F.floor(at / window).cast("int")
     asked = wanting.select("doc", "body", "at", "window", "offset", F.size("others").alias("need"), F.explode("others").alias("o"))
-    asked = asked.select("doc", "body", F.col("at").alias("from"), "window", "offset", "need", F.col("o.term").alias("term"),
+    asked = asked.select("doc", "body", F.col("at").alias("from"), "window", "offset", "need", F.col("o.term").alias("term"), F.col("o.shift").alias("shift"),
                          F.explode(F.sequence(stretch(F.col("at") - window + 1), stretch(F.col("at") + window - 1))).alias("stretch"))
     given = postings.select(F.col("doc").alias("doc_"), F.col("body").alias("body_"), F.col("term").alias("term_"), "at", stretch(F.col("at")).alias("stretch_"))
+    apart = F.col("at") - F.col("from")
     met = asked.join(given, F.col("doc").eqNullSafe(F.col("doc_")) & (F.col("body") == F.col("body_")) & (F.col("term") == F.col("term_"))
-                     & (F.col("stretch") == F.col("stretch_")) & (F.abs(F.col("at") - F.col("from")) < window))
-    all_ = met.groupBy("doc", "body", "from", "window", "offset", "need").agg(F.count_distinct("term").alias("n")).where("n = need")
-    return lone.select("doc", "body", "at", "window", "offset").union(all_.select("doc", "body", "from", "window", "offset"))
+                     & (F.col("stretch") == F.col("stretch_")) & (F.abs(apart) < window))
+    placed = F.count_distinct(F.when(apart == F.col("shift"), F.col("term")))
+    all_ = met.groupBy("doc", "body", "from", "window", "offset", "need").agg(F.count_distinct("term").alias("n"), placed.alias("placed")).where("n = need")
+    return lone.select("doc", "body", "at", "window", "offset", F.lit(True).alias("aligned")).union(
+        all_.select("doc", "body", "from", "window", "offset", F.col("placed") == F.col("need")))
 
 
 def find_matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -87,7 +91,8 @@ def find_matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     rarest one, in any order, without the phrase there).
 
     The corpus counts of all benchmark terms tell each window's rarest ones; their postings are stored, and offset-adjusted lists
-    are intersected from the rarest on. What is left, passages and near ones, is compared with the documents' words.
+    are intersected from the rarest on. What is left, passages where offsets agree and near ones, is checked against the few documents' words. Windows
+    go by their number until then; the items that hold them are looked up last.
     """
     windows = materialize(benchmark_windows(items, item_id, item_text, window).withColumn("window", F.md5(F.array_join("terms", " ").cast("binary"))))
     vocabulary = windows.select(F.explode("terms").alias("term")).distinct()
@@ -98,7 +103,7 @@ def find_matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     indexed = rarest.select("term").union(rarest.select(F.explode("others.term"))).distinct()
     left = intersect_lists(index_postings(docs, materialize(indexed), doc_id, text), rarest, window)
     spots = materialize(left.join(windows, "window").groupBy(F.col("doc").alias("doc_"), F.col("body").alias("body_")).agg(
-        F.collect_list(F.struct("at", "offset", "terms", "items")).alias("spots")))
+        F.collect_list(F.struct("at", "offset", "aligned", "terms", "window")).alias("spots")))
     listed = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(F.col(text)).alias("body"), words(F.col(text)).alias("ws"))
     # the few documents first, by their keys alone; only these meet their lists of places
     same = F.col("doc").eqNullSafe(F.col("doc_")) & (F.col("body") == F.col("body_"))
@@ -107,7 +112,7 @@ def find_matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
 
     def phrase(t: Column) -> Column:
         start = t["at"] - t["offset"]
-        return (start >= 0) & (F.transform(F.slice("ws", F.greatest(start, F.lit(0)) + 1, F.size(t["terms"])), ascii_lower) == t["terms"])
+        return t["aligned"] & (start >= 0) & (F.transform(F.slice("ws", F.greatest(start, F.lit(0)) + 1, F.size(t["terms"])), ascii_lower) == t["terms"])
 
     def nearby(t: Column) -> Column:
         first = F.greatest(F.lit(0), t["at"] - (window - 1))
@@ -116,13 +121,15 @@ def find_matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     tested = held.select(
         "doc", "body",
         F.transform(F.filter("spots", phrase), lambda t: F.struct(
-            (t["at"] - t["offset"]).alias("start"), F.size(t["terms"]).alias("length"), t["items"].alias("items"))).alias("hits"),
-        F.array_distinct(F.flatten(F.transform(F.filter("spots", lambda t: ~phrase(t) & nearby(t)), lambda t: t["items"]))).alias("near_items"))
-    tested = tested.where((F.size("hits") > 0) | (F.size("near_items") > 0))
-    hits = tested.select("doc", "body", F.explode("hits").alias("hit")).select("doc", "body", "hit.start", "hit.length", "hit.items", F.array().cast("array<string>").alias("near_items"))
-    near = tested.where(F.size("near_items") > 0).select("doc", "body", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("length"),
-                                                        F.array().cast("array<string>").alias("items"), "near_items")
-    return hits.unionByName(near)
+            (t["at"] - t["offset"]).alias("start"), F.size(t["terms"]).alias("length"), t["window"].alias("window"))).alias("hits"),
+        F.array_distinct(F.transform(F.filter("spots", lambda t: ~phrase(t) & nearby(t)), lambda t: t["window"])).alias("near"))
+    tested = materialize(tested.where((F.size("hits") > 0) | (F.size("near") > 0)))
+    named, none = _small(windows.select("window", "items"), n_windows), F.array().cast("array<string>")
+    hits = tested.select("doc", "body", F.explode("hits").alias("hit")).select("doc", "body", "hit.*").join(named, "window")
+    near = tested.select("doc", "body", F.explode("near").alias("window")).join(named, "window")
+    nowhere = F.lit(None).cast("int")
+    return hits.select("doc", "body", "start", "length", "items", none.alias("near_items")).unionByName(
+        near.select("doc", "body", nowhere.alias("start"), nowhere.alias("length"), none.alias("items"), F.col("items").alias("near_items")))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -141,7 +148,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
               .distinct().groupBy("doc", "body").agg(F.count("*").alias("n_hit")))
     held = (matches.select("doc", "body", F.explode("items").alias("item")).distinct()
             .groupBy("doc", "body").agg(F.array_sort(F.collect_list("item")).alias("held")))
-    near = (matches.select("doc", "body", F.explode("near_items").alias("item")).distinct()
+    near = (matches.where(F.size("near_items") > 0).select("doc", "body", F.explode("near_items").alias("item")).distinct()
             .groupBy("doc", "body").agg(F.collect_list("item").alias("near")))
     parts = (inside.withColumns({"held": F.lit(None).cast("array<string>"), "near": F.lit(None).cast("array<string>")})
              .unionByName(held.withColumns({"n_hit": F.lit(None).cast("long"), "near": F.lit(None).cast("array<string>")}))

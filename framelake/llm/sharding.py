@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framelake.llm.common import table
+from framelake.llm.common import materialize, table
 
 SHARDS_A_RACK, RACKS_A_REGION = 5, 4
 #: Rows that number their slots together; the number of such groups grows with the input.
@@ -67,23 +67,23 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, key: str = "doc_id", te
     Where the further shard opens a rack in a region of its own (as 41 does after 40), rows move into it only; where it joins
     a region, rows also move inside that region, whose weights change. `size` is the text's UTF-8 bytes plus 16 (null
     text: 16, and crc32 of no bytes). `slot` is gapless from 0 within the shard: groups of a shard's rows, cut by a
-    hash of the key, number their rows by (key, crc32, size) after the groups before them. Null keys share one place;
-    repeated rows share a shard and get slots of their own; an empty table gives an empty result; other columns aren't
+    hash of (key, crc32, size), number their rows by these after the groups before them; so the rows of one hot id are many groups, unless
+    they also share their text. Null keys share one place; repeated rows share a shard and get slots of their own; an empty table gives an empty result; other columns aren't
     read.
     """
     own, more = weights or tree(n_shards), tree(n_shards + 1)
     groups = max(1, math.ceil(docs.count() / (n_shards * SLOT_GROUP)))
     name = F.coalesce(F.col(key).cast("string"), F.lit(""))
     body = F.coalesce(F.col(text), F.lit(""))
-    cut = F.conv(F.substring(F.md5(F.concat(F.lit("slot|"), name).cast("binary")), 1, 8), 16, 10).cast("long") % groups
-    counted = with_place(docs.select(name.alias("~k"), cut.alias("cut")), "~k", own, "shard").groupBy("shard", "cut").count()
-    before = Window.partitionBy("shard").orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counted.select("shard", "cut", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
     rows = docs.select(
         F.col(key).alias(key), (F.octet_length(body) + 16).cast("long").alias("size"),
-        F.crc32(body.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"),
-        name.alias("~k"), cut.alias("cut"))
-    rows = with_place(with_place(rows, "~k", own, "shard"), "~k", more, "grown_shard")
+        F.crc32(body.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"), name.alias("~k"))
+    mark = F.concat_ws("|", F.lit("slot"), "~k", F.col("text_crc32").cast("string"), F.col("size").cast("string"))
+    cut = F.conv(F.substring(F.md5(mark.cast("binary")), 1, 8), 16, 10).cast("long") % groups
+    rows = materialize(with_place(with_place(rows.withColumn("cut", cut), "~k", own, "shard"), "~k", more, "grown_shard"))
+    counted = rows.groupBy("shard", "cut").count()
+    before = Window.partitionBy("shard").orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counted.select("shard", "cut", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
     within = Window.partitionBy("shard", "cut").orderBy(F.col(key).asc_nulls_first(), "text_crc32", "size")
     numbered = rows.withColumn("rn", F.row_number().over(within))
     return numbered.join(starts, ["shard", "cut"]).select(
@@ -128,8 +128,8 @@ bytes AS (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, '
 crcs AS (SELECT doc_id, strlen(text) + 16 AS size, xor(list_reduce(list_prepend(4294967295,
    list_transform(range(strlen(text)), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
    lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295) AS text_crc32 FROM bytes, crc_table),
-cuts AS (SELECT doc_id, ('0x' || substr(md5('slot|' || doc_id), 1, 8))::BIGINT
-   % (SELECT greatest(1, ceil(count(*) / 200000.0)::BIGINT) FROM documents) AS cut FROM documents)
+cuts AS (SELECT doc_id, ('0x' || substr(md5('slot|' || doc_id || '|' || text_crc32 || '|' || size), 1, 8))::BIGINT
+   % (SELECT greatest(1, ceil(count(*) / 200000.0)::BIGINT) FROM documents) AS cut FROM crcs)
 SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, now.shard::INT AS shard,
   (row_number() OVER (PARTITION BY now.shard ORDER BY cut, doc_id) - 1)::BIGINT AS slot, grown.shard::INT AS grown_shard
 FROM now JOIN grown USING (doc_id) JOIN crcs USING (doc_id) JOIN cuts USING (doc_id)

@@ -63,6 +63,8 @@ def _unpack(packed: bytes) -> np.ndarray:
 
 
 SHARDS = "shard long, lang string, range int, n long, packed binary, words array<string>, counts binary"
+#: Rows of the words' codes or phrases' ids, which go from length to length, and the rows that are merged.
+KEPT, PARTS = "range = -1 AND merged = false", "merged = true"
 
 
 def _shards(batches: Iterator[pa.RecordBatch], shard_chars: int, parts: int) -> Iterator[pa.RecordBatch]:
@@ -239,11 +241,13 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int =
     """
     rows = stable(docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text")))
     parts = spread(rows, 8)
-    step = materialize(rows.mapInArrow(lambda b: _shards(b, shard_chars, parts), SHARDS))
-    totals = materialize(step.where("range = -1").groupBy("lang").agg(F.sum("n").alias("n")))
+    merging = (F.col("range") >= 0).alias("merged")
+    step = materialize(rows.mapInArrow(lambda b: _shards(b, shard_chars, parts), SHARDS).select("*", merging), by="merged")
+    totals = materialize(step.where(KEPT).groupBy("lang").agg(F.sum("n").alias("n")))
     words = totals.agg(F.sum("n")).first()[0] or 0
     ranges = 1 << max(4, math.ceil(math.log2(max(1, words / range_words))))
-    merged = materialize(step.where("range >= 0").groupBy("range").applyInArrow(_merge_words(parts, min_count), MERGED))
+    merged = materialize(step.where(PARTS).drop("merged").groupBy("range").applyInArrow(_merge_words(parts, min_count), MERGED))
+    discard(step, part="merged=true")
     known = materialize(merged.where("shard = -1").select("words", "langs", "ids", "counts").mapInArrow(_words, "id long, lang string, word string, f long"))
     known = known.select("id", "lang", F.array("word").alias("words"), F.array("f").alias("heads"), F.array("f").alias("tails"))
     lengths, before = [], None
@@ -251,11 +255,13 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int =
         bits = int(known.agg(F.max("id")).first()[0] or 1).bit_length()
         width = quotient_filter.key_width(2 * bits, ranges)
         found = merged.where("shard >= 0").groupBy("shard").agg(F.collect_list(F.struct("range", "keys", "ids")).alias("found"))
-        now = step.where("range = -1").select("shard", F.col("packed").alias("ids")).join(found, "shard")
-        used, step = (step, merged), materialize(now.mapInArrow(_advance(ranges, before, bits, width), "shard long, range int, packed binary"))
+        now = step.where(KEPT).select("shard", F.col("packed").alias("ids")).join(found, "shard")
+        longer = now.mapInArrow(_advance(ranges, before, bits, width), "shard long, range int, packed binary")
+        used, step = (step, merged), materialize(longer.select("*", merging), by="merged")
         discard(*used)
         before = bits, width
-        merged = materialize(step.where("range >= 0").groupBy("range").applyInArrow(_merge(ranges, width, min_count, length == longest), MERGED))
+        merged = materialize(step.where(PARTS).drop("merged").groupBy("range").applyInArrow(_merge(ranges, width, min_count, length == longest), MERGED))
+        discard(step, part="merged=true")
         pairs = materialize(merged.where("shard = -1").select("keys", "ids", "counts").mapInArrow(_phrases(bits, width), "id long, left long, right long, f long"))
         first = known.select(F.col("id").alias("left"), "lang", "words", "heads")
         second = known.select(F.col("id").alias("right"), F.element_at("words", -1).alias("word"), "tails")

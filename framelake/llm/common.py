@@ -25,25 +25,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write `df` once as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
+def materialize(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write `df` once as Parquet in the shared folder and read it back: cuts lineage and survives lost executors. With `by`, the rows of each value
+    of that column lie in a folder of their own, which `discard` can delete alone."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/framelake-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(by).option("compression", "zstd") if by else df.write).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete what `materialize` wrote for these tables; whatever reads them must be written by then."""
+def discard(*tables: DataFrame, part: str = "") -> None:
+    """Delete what `materialize` wrote for these tables, or only the folder `part`, as `column=value`, of one written with `by`; whatever reads
+    it must be written by then."""
     for df in tables:
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            _remove(df.sparkSession, path)
+            if path.endswith(part):
+                _remove(df.sparkSession, path)
 
 
 def stable(df: DataFrame) -> DataFrame:

@@ -180,9 +180,10 @@ def three_frame_match(triples: DataFrame, segs: DataFrame, dist: float, angle: f
     return found.unionByName(rest)
 
 
-def quat_to_rot(q: list[Column]) -> list[Column]:
-    """Nine entries, row by row, of the rotation of a quaternion (w, x, y, z), normalised."""
-    n = F.sqrt(sum((c * c for c in q[1:]), q[0] * q[0]))
+def quat_to_rot(q: list[Column], normalize: bool = True) -> list[Column]:
+    """Nine entries, row by row, of the rotation of a quaternion (w, x, y, z); of one that isn't of length one as it stands, where
+    `normalize` is off."""
+    n = F.sqrt(sum((c * c for c in q[1:]), q[0] * q[0])) if normalize else F.lit(1.0)
     w, x, y, z = (c / n for c in q)
     return [1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w), 2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w),
             2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)]

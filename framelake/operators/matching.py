@@ -14,16 +14,28 @@ def zip_manifests(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right, "pos")
 
 
-def match_pairs(pred: DataFrame, gt: DataFrame) -> DataFrame:
-    """(pred, gt, stage): first equal relative stems, then among the rest equal stems that are unique on both sides. Inputs: (path, rel, stem)."""
+def _sides(pred: DataFrame, gt: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs of equal relative stems, and the rest of both sides."""
     p, g = (d.select(F.col("path").alias(n), F.col("rel").alias(f"rel_{n}"), F.col("stem").alias(f"stem_{n}")) for d, n in ((pred, "pred"), (gt, "gt")))
     first = p.join(g, F.col("rel_pred") == F.col("rel_gt")).select("pred", "gt", F.lit(1).alias("stage"))
-    p, g = p.join(first, "pred", "left_anti"), g.join(first, "gt", "left_anti")
+    return first, p.join(first, "pred", "left_anti"), g.join(first, "gt", "left_anti")
+
+
+def match_pairs(pred: DataFrame, gt: DataFrame) -> DataFrame:
+    """(pred, gt, stage): first equal relative stems, then among the rest equal stems that are unique on both sides. Inputs: (path, rel, stem)."""
+    first, p, g = _sides(pred, gt)
     lone_p, lone_g = (d.groupBy(f"stem_{n}").agg(F.min(n).alias(n), F.count("*").alias("m")).where("m = 1").drop("m") for d, n in ((p, "pred"), (g, "gt")))
     second = lone_p.join(lone_g, F.col("stem_pred") == F.col("stem_gt")).select("pred", "gt", F.lit(2).alias("stage"))
     return first.unionByName(second)
 
 
+def match_ambiguous(pred: DataFrame, gt: DataFrame) -> DataFrame:
+    """(stem, n_pred, n_gt): the stems that match_pairs skips, as both sides have them after the first stage and one of them more than once."""
+    _, p, g = _sides(pred, gt)
+    many = [d.groupBy(F.col(f"stem_{n}").alias("stem")).agg(F.count("*").alias(f"n_{n}")) for d, n in ((p, "pred"), (g, "gt"))]
+    return many[0].join(many[1], "stem").where("n_pred > 1 OR n_gt > 1").select("stem", "n_pred", "n_gt")
+
+
 def match_unmatched(pred: DataFrame, gt: DataFrame) -> DataFrame:
     """(side, path) of what match_pairs leaves."""
     pairs = match_pairs(pred, gt)

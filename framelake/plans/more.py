@@ -205,6 +205,22 @@ def write_metrics(spark, sf_dir):
     return spark.read.csv(at, header=True, schema="key string, v double")
 
 
+@query("""WITH m AS (SELECT n_name AS key, avg(s_acctbal) AS v FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1)
+SELECT key, round(v, 3) AS v FROM m UNION ALL SELECT '__MEAN__', round(avg(v), 3) FROM m""")
+def write_metrics_json(spark, sf_dir):
+    s, n = X.table(spark, sf_dir, "supplier"), X.table(spark, sf_dir, "nation")
+    means = s.join(n, s["s_nationkey"] == n["n_nationkey"]).groupBy(F.col("n_name").alias("key")).agg(F.avg("s_acctbal").alias("v"))
+    at = written(spark, lambda d: text.write_metrics(means, d, "key", ["v"], 3, "json"))
+    return spark.read.schema("key string, v double").json(at)
+
+
+@query("SELECT '/s/' || s_suppkey AS path, 'nation ' || s_nationkey || ' : far' AS reason FROM supplier WHERE s_suppkey % 3 <> 0")
+def failure_lines(spark, sf_dir):
+    """A log of `path : reason` lines, with comments between."""
+    line = F.when(F.col("s_suppkey") % 3 == 0, F.lit("# skipped : not read")).otherwise(F.format_string("/s/%d : nation %d : far", "s_suppkey", "s_nationkey"))
+    return text.read_failure_log(spark, written(spark, lambda d: X.table(spark, sf_dir, "supplier").select(line).write.text(d)))
+
+
 @query("SELECT DISTINCT 's' || (s_suppkey % 3) AS folder, '.txt' AS ending FROM supplier")
 def discover_files(spark, sf_dir):
     s = X.table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey") % 3).alias("g"), "s_name")

@@ -276,7 +276,8 @@ def combine_datasets(spark, sf_dir):
 @query(f"""WITH {X.FRAMES} SELECT seq_id, frame_no::BIGINT AS frame_no, pos, lag(pos) OVER (PARTITION BY seq_id ORDER BY frame_no) AS
   prev_pos, frame_no = 0 AS is_first, false AS late FROM frames""")
 def stream_frame_pairs(spark, sf_dir):
-    return streaming.pairs_of_table(spark, X.frames(spark, sf_dir))
+    e = X.table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), "ts")
+    return streaming.pairs_of_table(spark, X.frames(spark, sf_dir).join(e, "pos"))
 
 
 # --- paths ---
@@ -390,6 +391,13 @@ def match_pairs(spark, sf_dir):
     return matching.match_pairs(*sides(spark, sf_dir))
 
 
+@query(f"""WITH {RECORDS}, {PAIRED}, a AS (SELECT stem, count(*) AS n_pred FROM pred WHERE page_id NOT IN (SELECT pred FROM one) GROUP BY stem),
+b AS (SELECT stem, count(*) AS n_gt FROM gt WHERE page_id NOT IN (SELECT gt FROM one) GROUP BY stem)
+SELECT stem, n_pred, n_gt FROM a JOIN b USING (stem) WHERE n_pred > 1 OR n_gt > 1""")
+def match_ambiguous(spark, sf_dir):
+    return matching.match_ambiguous(*sides(spark, sf_dir))
+
+
 @query(f"""WITH {RECORDS}, {PAIRED} SELECT 'pred' AS side, page_id::VARCHAR AS path FROM pred WHERE page_id NOT IN (SELECT pred FROM
   matched) UNION ALL SELECT 'gt', page_id::VARCHAR FROM gt WHERE page_id NOT IN (SELECT gt FROM matched)""")
 def match_unmatched(spark, sf_dir):
@@ -490,6 +498,18 @@ def assemble_refs(spark, sf_dir):
     return matching.assemble_refs(X.turns(spark, sf_dir))
 
 
+@query(f"""WITH {X.TURNS} SELECT seq_id, frame_no, payload AS current, first(payload) OVER w AS global_ref, 0 AS local_ref, 0 AS local_used
+  FROM turns WINDOW w AS (PARTITION BY seq_id ORDER BY frame_no)""")
+def assemble_refs_none(spark, sf_dir):
+    return matching.assemble_refs(X.turns(spark, sf_dir), local="none")
+
+
+@query(f"""WITH {X.TURNS} SELECT seq_id, frame_no, payload AS current, first(payload) OVER w AS global_ref, coalesce(payload, 0) AS local_ref,
+  (payload IS NOT NULL)::INT AS local_used FROM turns WINDOW w AS (PARTITION BY seq_id ORDER BY frame_no)""")
+def assemble_refs_gt(spark, sf_dir):
+    return matching.assemble_refs(X.turns(spark, sf_dir), local="gt")
+
+
 # --- segments ---
 
 
@@ -546,6 +566,16 @@ def raster_clipped(spark, sf_dir):
     return geometry.raster_lines(X.segments(spark, sf_dir).withColumns({c: F.col(c) * 2 - 30 for c in ("x1", "x2")}), ends="clipped")
 
 
+@query("""WITH q AS (SELECT vec_id, embedding[1]::DOUBLE AS w, embedding[2]::DOUBLE AS x, embedding[3]::DOUBLE AS y, embedding[4]::DOUBLE AS z FROM embeddings)
+SELECT vec_id, round(1 - 2 * y ** 2 - 2 * z ** 2, 9) AS r0, round(2 * x * y - 2 * w * z, 9) AS r1, round(2 * z * x + 2 * w * y, 9) AS r2,
+  round(2 * x * y + 2 * w * z, 9) AS r3, round(1 - 2 * x ** 2 - 2 * z ** 2, 9) AS r4, round(2 * y * z - 2 * w * x, 9) AS r5,
+  round(2 * z * x - 2 * w * y, 9) AS r6, round(2 * y * z + 2 * w * x, 9) AS r7, round(1 - 2 * x ** 2 - 2 * y ** 2, 9) AS r8 FROM q""")
+def quat_raw(spark, sf_dir):
+    """Rotations of quaternions as they stand, whatever their length."""
+    r = geometry.quat_to_rot([F.get("embedding", F.lit(i)).cast("double") for i in range(4)], normalize=False)
+    return rounded(X.table(spark, sf_dir, "embeddings").select("vec_id", *[c.alias(f"r{i}") for i, c in enumerate(r)]), 9)
+
+
 FEATURES = """f AS (SELECT frame, k, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, (x2 - x1) / (sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) + 1e-8)
   AS ux, (y2 - y1) / (sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) + 1e-8) AS uy FROM segments)"""
 
@@ -685,28 +715,32 @@ def raster_aa(spark, sf_dir):
 # --- masks and metrics ---
 
 
-def some_pixels(spark, sf_dir):
-    """The rastered segments, but for frames whose number ends in 0, 1 or 2, whose masks are empty; so some pairs have one empty
-    mask and some two."""
-    return geometry.rasterize(X.segments(spark, sf_dir)).where("frame % 10 > 2")
+def mask_sides(spark, sf_dir):
+    """(pair, pf, gf): the frames whose pixels are a pair's prediction and truth, the previous and the current one. By negative numbers come further
+    pairs with an empty mask on one side or on both."""
+    p = X.pairs(spark, sf_dir)
+    tens, frame = F.col("frame") % 10, F.col("frame")
+    lone = p.where(tens <= 2).select((-1 - frame).alias("pair"), F.when(tens == 0, F.col("prev")).alias("pf"), F.when(tens == 1, frame).alias("gf"))
+    return p.select(frame.alias("pair"), F.col("prev").alias("pf"), frame.alias("gf")).unionByName(lone)
 
 
 def pair_keys(spark, sf_dir):
-    return X.pairs(spark, sf_dir).select(F.col("frame").alias("pair"))
+    return mask_sides(spark, sf_dir).select("pair")
 
 
 def masks(spark, sf_dir):
-    """(prediction, truth): pixels of the previous and of the current frame, by the current frame's number as pair."""
-    px, p = some_pixels(spark, sf_dir), X.pairs(spark, sf_dir)
-    pred = p.join(px.withColumnRenamed("frame", "prev"), "prev").select(F.col("frame").alias("pair"), "row", "col")
-    return pred, p.select("frame").join(px, "frame").select(F.col("frame").alias("pair"), "row", "col")
+    """(prediction, truth): pixels of the pairs' frames."""
+    px, m = geometry.rasterize(X.segments(spark, sf_dir)), mask_sides(spark, sf_dir)
+    return tuple(m.join(px.withColumnRenamed("frame", c), c).select("pair", "row", "col") for c in ("pf", "gf"))
 
 
-MASKS = f"""{X.SEGMENTS}, {X.RASTER}, {X.PAIRS}, pred AS (SELECT p.frame AS pair, row, col FROM pairs p JOIN pixels x ON x.frame = p.prev
-  WHERE x.frame % 10 > 2), gt AS (SELECT p.frame AS pair, row, col FROM pairs p JOIN pixels x ON x.frame = p.frame WHERE x.frame % 10 > 2),
+MASKS = f"""{X.SEGMENTS}, {X.RASTER}, {X.PAIRS},
+mask_sides AS (SELECT frame AS pair, prev AS pf, frame AS gf FROM pairs UNION ALL SELECT -1 - frame, CASE WHEN frame % 10 = 0 THEN prev END,
+  CASE WHEN frame % 10 = 1 THEN frame END FROM pairs WHERE frame % 10 <= 2),
+pred AS (SELECT pair, row, col FROM mask_sides JOIN pixels ON frame = pf), gt AS (SELECT pair, row, col FROM mask_sides JOIN pixels ON frame = gf),
 c AS (SELECT pair, count(*) FILTER (p AND g) AS tp, count(*) FILTER (p AND g IS NULL) AS fp, count(*) FILTER (g AND p IS NULL) AS fn
   FROM (SELECT *, true AS p FROM pred) FULL JOIN (SELECT *, true AS g FROM gt) USING (pair, row, col) GROUP BY pair),
-all_pairs AS (SELECT frame AS pair FROM pairs), counted AS (SELECT pair, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(fn, 0) AS fn
+all_pairs AS (SELECT pair FROM mask_sides), counted AS (SELECT pair, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(fn, 0) AS fn
   FROM all_pairs LEFT JOIN c USING (pair))"""
 
 
@@ -738,14 +772,15 @@ SELECT kind, maps, round(precision, 6) AS precision, round(recall, 6) AS recall,
   NULL, NULL, round(avg(f1), 6) FROM k""")
 def edge_report(spark, sf_dir):
     maps = metrics.edge_accuracy(*masks(spark, sf_dir), pair_keys(spark, sf_dir))
-    kinds = [metrics.edge_accuracy_means(maps.where(F.col("pair") % 2 == i), kind) for i, kind in enumerate(("edge", "line"))]
+    kinds = [metrics.edge_accuracy_means(maps.where(F.abs("pair") % 2 == i), kind) for i, kind in enumerate(("edge", "line"))]
     return rounded(metrics.average_f1(kinds[0].unionByName(kinds[1])))
 
 
-NEAREST = f"""{MASKS}, near AS (SELECT a.pair, a.row, a.col, 'p' AS side, min(sqrt(((a.row - b.row) ** 2 + (a.col - b.col) ** 2)::DOUBLE))
-  AS d FROM pred a JOIN gt b USING (pair) GROUP BY ALL UNION ALL""" \
-          """ SELECT b.pair, b.row, b.col, 'g', min(sqrt(((a.row - b.row) ** 2 + (a.col - b.col) ** 2)::DOUBLE)) FROM pred a JOIN gt b
-  USING (pair) GROUP BY ALL)"""
+# Column by column first: the nearest pixel of a row, then of all rows.
+NEAREST = f"""{MASKS}, near_column AS (SELECT pair, side, r, c, min(abs(c - col)) AS dc FROM (SELECT pair, 'p' AS side, row AS r, col FROM gt
+  UNION ALL SELECT pair, 'g', row, col FROM pred) t, (SELECT unnest(range(64)) AS c) GROUP BY ALL),
+near AS (SELECT s.pair, s.row, s.col, s.side, min(sqrt(((s.row - n.r) ** 2 + n.dc ** 2)::DOUBLE)) AS d FROM (SELECT pair, row, col, 'p' AS side FROM pred
+  UNION ALL SELECT pair, row, col, 'g' FROM gt) s JOIN near_column n ON n.pair = s.pair AND n.side = s.side AND n.c = s.col GROUP BY ALL)"""
 
 
 @query(f"""WITH {NEAREST} SELECT a.pair, a.row, a.col, round(d, 6) AS d FROM pred a LEFT JOIN (SELECT * FROM near WHERE side = 'p') USING
@@ -1123,8 +1158,8 @@ def metric_report(spark, sf_dir):
 # --- alignment, references and clips ---
 
 @query(f"""WITH {NEAREST},
-ends AS (SELECT p.frame AS pair, 'p' AS side, x1, y1, x2, y2 FROM pairs p JOIN segments s ON s.frame = p.prev WHERE s.frame % 10 > 2
-  UNION ALL SELECT p.frame, 'g', x1, y1, x2, y2 FROM pairs p JOIN segments s ON s.frame = p.frame WHERE s.frame % 10 > 2),
+ends AS (SELECT pair, 'p' AS side, x1, y1, x2, y2 FROM mask_sides JOIN segments ON frame = pf
+  UNION ALL SELECT pair, 'g', x1, y1, x2, y2 FROM mask_sides JOIN segments ON frame = gf),
 e AS (SELECT pair, side, least(63, greatest(0, round_even(y1, 0)))::INT AS row, least(63, greatest(0, round_even(x1, 0)))::INT AS col FROM ends
   UNION ALL SELECT pair, side, least(63, greatest(0, round_even(y2, 0)))::INT, least(63, greatest(0, round_even(x2, 0)))::INT FROM ends),
 o AS (SELECT DISTINCT pair, side, row, col FROM e),
@@ -1139,10 +1174,9 @@ z AS (SELECT *, CASE WHEN err IS NULL THEN 0 ELSE 1 / (1 + exp(-(p - 0.5) / 0.1)
 SELECT pair, round(iou, 6) AS iou, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(err, 1e6), 6) AS endpoint_err,
   round(score, 6) AS score, score > 0.05 AS valid FROM z""")
 def pair_alignment(spark, sf_dir):
-    s, p = X.segments(spark, sf_dir).where("frame % 10 > 2"), X.pairs(spark, sf_dir)
-    before = p.join(s.withColumnRenamed("frame", "prev").drop("seq_id"), "prev").withColumnRenamed("frame", "pair")
-    now = p.select("frame").join(s, "frame").withColumnRenamed("frame", "pair")
-    return rounded(metrics.pair_alignment(p.withColumnRenamed("frame", "pair"), before, now, 64, 64))
+    s, m = X.segments(spark, sf_dir).drop("seq_id"), mask_sides(spark, sf_dir)
+    before, now = (m.join(s.withColumnRenamed("frame", c), c) for c in ("pf", "gf"))
+    return rounded(metrics.pair_alignment(m, before, now, 64, 64))
 
 
 REFERENCES = f"""{X.SEGMENTS}, {X.RASTER}, refs AS (SELECT vec_id AS frame, min(vec_id) OVER (PARTITION BY label) AS global, lag(vec_id)

@@ -284,15 +284,16 @@ def learn(toxic: list[str], clean: list[str]) -> Field:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
         per_class: int = SAMPLE_DOCS) -> Field:
     """The field learned from a bounded sample of labelled documents: at most `per_class` of each class, the first by
-    hash, of at most SAMPLE_CHARS characters. A document with several labels is toxic if one says so."""
+    hash, of at most SAMPLE_CHARS characters. A document with several labels is toxic if one says so; rows of one id and text count
+    once, so neither an id of very many rows nor a repeated row brings more than the bound to the driver."""
     marked = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max(label).alias("y"))
     bodies = docs.where(F.length(text).between(1, SAMPLE_CHARS)).select(F.col(key).alias("id"), F.xxhash64(text).alias("h"))
-    ranked = marked.join(bodies, "id").select("y", "id", F.xxhash64("id", "h").alias("r"))
+    ranked = marked.join(bodies, "id").select("y", "id", "h").distinct().withColumn("r", F.xxhash64("id", "h"))
     texts: dict[int, list[str]] = {0: [], 1: []}
     for y in (0, 1):
-        chosen = ranked.where(F.col("y") == y).orderBy("r", "id").limit(per_class).select("id").distinct()
-        found = docs.where(F.length(text).between(1, SAMPLE_CHARS)).select(F.col(key).alias("id"), F.col(text).alias("t"))
-        texts[y] = sorted(r.t for r in found.join(F.broadcast(chosen), "id", "left_semi").toLocalIterator())
+        chosen = ranked.where(F.col("y") == y).orderBy("r", "id").limit(per_class).select("id", "h")
+        found = docs.where(F.length(text).between(1, SAMPLE_CHARS)).select(F.col(key).alias("id"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
+        texts[y] = sorted(r.t for r in found.join(F.broadcast(chosen), ["id", "h"], "left_semi").dropDuplicates(["id", "h"]).toLocalIterator())
     return learn(texts[1], texts[0])
 
 

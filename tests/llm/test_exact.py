@@ -29,6 +29,9 @@ def test_bpe_is_that_of_the_library(spark, chunk, overlap):
     want = sorted((str(i), theirs.encode_ordinary(t or "")) for i, t in rows)
     encoded = bpe.encode(df, ranks, public_tokenizers.PATTERN, chunk=chunk, overlap=overlap)
     assert sorted((str(r.doc_id), list(r.ids)) for r in encoded.collect()) == want
+    shas = sorted((str(i), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows)
+    tripped = bpe.round_trip(df, ranks, public_tokenizers.PATTERN, chunk=chunk, overlap=overlap)
+    assert sorted((str(r.doc_id), r.decoded_sha256) for r in tripped.collect()) == shas
     assert sorted(bytes(r.bytes).decode() for r in bpe.decode(encoded, ranks).collect()) == sorted(t or "" for _, t in rows)
     found = sorted((str(r.doc_id), r.n_tokens, r.ids_sha256) for r in bpe.round_trip(df, ranks, public_tokenizers.PATTERN, chunk=chunk, overlap=overlap).collect())
     assert found == sorted((i, len(x), hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest()) for i, x in want)
@@ -164,3 +167,14 @@ def test_urls(spark):
         both = [("block", "h", "/"), ("allow", "h", "/")]
         assert url_filter.judge_urls(spark.createDataFrame([(1, "http://h/x")], "page_id long, url string"), both).first().verdict == "allow"
     url_filter.BROADCAST_RULES = 1_000_000
+
+
+def test_slots_of_one_hot_id_are_gapless_and_cut(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SLOT_GROUP", 50)
+    rows = [(None, f"text {i % 900}") for i in range(2_000)] + [(i, "same") for i in range(300)] + [(7, None), (7, "")]
+    got = sharding.shard_documents(docs(spark, rows), 4).collect()
+    slots = {}
+    for r in got:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert len(got) == len(rows) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert len({r.shard for r in got if r.doc_id is None}) == 1

@@ -1024,6 +1024,32 @@ def missing_files(spark, sf_dir):
     return text.missing_files(p, p.where("page_id % 3 != 0")).select("page_id", "path")
 
 
+def report_sql(where: str) -> str:
+    return f"""WITH {X.PATHS}, p AS (SELECT page_id % 4 AS list_no, page_id AS pos, path, path NOT IN (SELECT path FROM paths WHERE page_id % 3 <> 0) AS gone FROM paths
+  {where}), r AS (SELECT *, row_number() OVER (PARTITION BY list_no ORDER BY pos) AS rn FROM p WHERE gone)
+SELECT list_no, count(*) AS n, count(*) FILTER (gone) AS n_missing, coalesce((SELECT string_agg(path, ' ' ORDER BY pos) FROM r WHERE r.list_no = p.list_no AND rn <= 5), '')
+  AS examples, greatest(0, count(*) FILTER (gone) - 5) AS more FROM p GROUP BY list_no"""
+
+
+def missing_of(spark, sf_dir, first=None):
+    p = X.paths(spark, sf_dir)
+    lists = p.select((F.col("page_id") % 4).alias("list_no"), F.col("page_id").alias("pos"), "path")
+    report = text.missing_report(lists, p.where("page_id % 3 != 0"), first=first)
+    return report.withColumn("examples", F.array_join("examples", " "))
+
+
+@query(report_sql(""))
+def missing_report(spark, sf_dir):
+    """Four lists, looked at whole."""
+    return missing_of(spark, sf_dir)
+
+
+@query(report_sql("WHERE page_id < 100"))
+def missing_quick(spark, sf_dir):
+    """The quick check of the lists' first positions, which is what this report is."""
+    return missing_of(spark, sf_dir, first=100)
+
+
 # --- grids and reports ---
 
 

@@ -91,6 +91,20 @@ def missing_files(manifest: DataFrame, listed: DataFrame) -> DataFrame:
     return manifest.join(listed.select("path").distinct(), "path", "left_anti")
 
 
+def missing_report(manifest: DataFrame, listed: DataFrame, show: int = 5, first: int | None = None) -> DataFrame:
+    """(list_no, n, n_missing, examples, more) of each list of a manifest (list_no, pos, path): how many paths there are, how many of them aren't
+    listed, the first `show` of those in order, and how many more. With `first`, only the paths of a list at positions below it are looked at, as a
+    quick check. Lists without a path give no row."""
+    rows = manifest if first is None else manifest.where(F.col("pos") < first)
+    met = rows.join(listed.select("path", F.lit(True).alias("there")).distinct(), "path", "left")
+    gone = met.where("there IS NULL").select("list_no", "pos", "path")
+    rank = F.row_number().over(Window.partitionBy("list_no").orderBy("pos"))
+    shown = gone.withColumn("rn", rank).where(F.col("rn") <= show).groupBy("list_no").agg(F.array_sort(F.collect_list(F.struct("pos", "path"))).alias("e"))
+    counted = met.groupBy("list_no").agg(F.count("*").alias("n"), F.count_if(F.col("there").isNull()).alias("n_missing")).join(shown, "list_no", "left")
+    return counted.select("list_no", "n", "n_missing", F.coalesce("e.path", F.array().cast("array<string>")).alias("examples"),
+                          F.greatest(F.lit(0), F.col("n_missing") - show).alias("more"))
+
+
 def existing_files(manifest: DataFrame, listed: DataFrame) -> DataFrame:
     """The manifest's rows whose path is listed: the dialect that skips files which don't exist."""
     return manifest.join(listed.select("path").distinct(), "path", "left_semi")

@@ -105,3 +105,13 @@ def test_folders_are_numbered_through(spark, tmp_path):
     folder, file = str(tmp_path / "m/img"), str(tmp_path / "with space")
     got = sorted(map(tuple, text.concat_lists(spark, [file, folder, folder + "/none", folder]).collect()))
     assert got == [(0, 0, "one"), (0, 1, "two")] + [(n, i, f"x{i}") for n in (1, 3) for i in range(5000)]
+
+
+def test_missing_report(spark):
+    lists = spark.createDataFrame([(n, i, f"p{i}") for n in (0, 1) for i in range(10 * n, 20)] + [(2, 0, "p1")], "list_no int, pos int, path string")
+    listed = spark.createDataFrame([(f"p{i}",) for i in (0, 1, 1, 12, 19)], "path string")
+    got = {r.list_no: (r.n, r.n_missing, list(r.examples), r.more) for r in text.missing_report(lists, listed).collect()}
+    assert got == {0: (20, 16, ["p2", "p3", "p4", "p5", "p6"], 11), 1: (10, 8, ["p10", "p11", "p13", "p14", "p15"], 3), 2: (1, 0, [], 0)}
+    quick = {r.list_no: (r.n, r.n_missing) for r in text.missing_report(lists, listed, first=2).collect()}
+    assert quick == {0: (2, 0), 2: (1, 0)}
+    assert text.missing_report(lists.limit(0), listed).count() == 0

@@ -1,6 +1,7 @@
 """N-gram Jaccard join: documents whose sets of word shingles are alike, by rare-first prefix filtering.
 
-Shingle hashes travel packed by bucket to be counted; a document gets back those that others have too, and keeps the
+Shingle hashes travel packed by bucket to be counted, once a batch of documents with their number there, so a shingle that
+all documents have is one entry a batch; a document gets back those that others have too, and keeps the
 shortest rare-first prefix that any partner must share. Documents without a shared shingle there have no partner. The
 others post their prefix; pairs pass a length, a positional and a suffix filter and are verified once.
 """
@@ -72,58 +73,93 @@ def unpack_hashes(data: bytes, bucket: int, bits: int) -> np.ndarray:
     return (full.view(">u8").ravel().astype(np.uint64) | np.uint64(bucket << (64 - bits))).view(np.int64)
 
 
+SENT_FIELDS = "bucket long, batch long, keys array<string>, h binary, doc binary, n binary"
+SENT_SCHEMA = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("keys", pa.list_(pa.string())),
+                         ("h", pa.binary()), ("doc", pa.binary()), ("n", pa.binary())])
+
+
+def sent_rows(b: Batch, size: int, bits: int) -> list[dict]:
+    """What a batch sends: to itself (bucket below 0) its keys, set sizes and fingerprints, and the places of the shingles that several of its
+    documents have; to the buckets every shingle once, with its document if it has one only, else with the number of them."""
+    doc, h = shingles(b, size)
+    n = np.bincount(doc, minlength=len(b.keys)).astype(np.int64)
+    ends = np.cumsum(n)
+    sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)]) for x in (mix(h * K1), mix(h * K2 + K1))]
+    prints = [(s[ends] - s[ends - n]).astype(np.int64).tobytes() for s in sums]
+    out = [{"bucket": -1 - b.number, "batch": b.number, "keys": b.keys, "h": n.tobytes(), "doc": prints[0], "n": prints[1]}]
+    ranks = np.sort(h)
+    again = np.unique(ranks[1:][ranks[1:] == ranks[:-1]])
+    spot = np.minimum(np.searchsorted(again, h), max(0, len(again) - 1))
+    often = again[spot] == h if len(again) else np.zeros(len(h), dtype=bool)
+    if len(again):
+        times = np.bincount(spot[often]).astype(np.int32)
+        out.append({"bucket": -1 - b.number, "batch": b.number, "doc": steps(doc[often]), "n": spot[often].astype(np.int32).tobytes()})
+        out += [{"bucket": k, "batch": b.number, "h": pack_hashes(again[at]), "n": times[at].tobytes()} for k, at in by_bucket(again, bits)]
+    doc, h = doc[~often], h[~often]
+    return out + [{"bucket": k, "batch": b.number, "h": pack_hashes(h[at]), "doc": steps(doc[at])} for k, at in by_bucket(h, bits)]
+
+
+def count_bucket(group: pd.DataFrame, bits: int) -> pd.DataFrame:
+    """The answers to the batches of one bucket: in how many documents each shingle is that more than one has."""
+    bucket = int(group["bucket"].iloc[0])
+    if bucket < 0:
+        return group[["batch", "keys", "h", "doc", "n"]]
+    t = [unpack_hashes(x, bucket, bits) for x in group["h"]]
+    times = np.concatenate([np.ones(len(x), np.int32) if n is None else np.frombuffer(n, np.int32) for x, n in zip(t, group["n"], strict=True)])
+    t = np.concatenate(t)
+    order = np.argsort(t, kind="stable")
+    first = np.ones(len(t), dtype=bool)
+    first[1:] = t[order][1:] != t[order][:-1]
+    run = np.cumsum(first) - 1
+    df = np.empty(len(t), np.int64)
+    df[order] = np.bincount(run, times[order])[run].astype(np.int64)
+    df = np.minimum(df, 2**31 - 1)
+    out, at = [], 0
+    for batch, sent, packed in zip(group["batch"], group["h"], group["doc"], strict=True):
+        own, at = slice(at, at + len(sent) // SENT), at + len(sent) // SENT
+        many = df[own] > 1
+        if many.any():
+            out.append({"batch": batch, "keys": None, "h": t[own][many].tobytes(), "n": df[own][many].astype(np.int32).tobytes(),
+                        "doc": None if packed is None else steps(unroll(packed)[many])})
+    return pd.DataFrame(out, columns=["batch", "keys", "h", "doc", "n"])
+
+
+def answers(rest: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingle, document, number of documents) of a batch's shingles that several documents have, from its own row and the buckets' answers."""
+    places, got = rest[rest["h"].isna()], rest[rest["h"].notna()]
+    lone = got["doc"].notna()
+
+    def read(rows: pd.Series, kind: type) -> np.ndarray:
+        return np.concatenate([np.zeros(0, kind), *[np.frombuffer(x, kind) for x in rows]])
+
+    t, df = read(got["h"][lone], np.int64), read(got["n"][lone], np.int32)
+    doc = np.concatenate([np.zeros(0, np.int64), *[unroll(x) for x in got["doc"][lone]]])
+    if len(places):
+        kinds, counts = read(got["h"][~lone], np.int64), read(got["n"][~lone], np.int32)
+        order = np.argsort(kinds.view(np.uint64))
+        at = order[np.frombuffer(places["n"].iloc[0], np.int32)]
+        t, df = np.concatenate([t, kinds[at]]), np.concatenate([df, counts[at]])
+        doc = np.concatenate([doc, unroll(places["doc"].iloc[0])])
+    return t, doc, df
+
+
 def shared_shingles(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
     """Rows (node, id, n, f1, f2, own, common, toks, prefix), one for each row of `docs`: a number of its own, its id as text, its number
     of shingles, a fingerprint of their set, how many of them no other document has, in how many documents they are on average, the others in rare-first order
     (packed 64-bit hashes), and how many of these its prefix has. `toks` is null where the prefix holds none."""
     bits = spread(docs, 256).bit_length() - 1
     rows = stable(docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("body")))
-    sent_fields = "bucket long, batch long, keys array<string>, h binary, doc binary, n binary"
-    sent_schema = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("keys", pa.list_(pa.string())),
-                             ("h", pa.binary()), ("doc", pa.binary()), ("n", pa.binary())])
 
     def local(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(frames, "key", "body"):
-            doc, h = shingles(b, size)
-            n = np.bincount(doc, minlength=len(b.keys)).astype(np.int64)
-            ends = np.cumsum(n)
-            sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)]) for x in (mix(h * K1), mix(h * K2 + K1))]
-            prints = [(s[ends] - s[ends - n]).astype(np.int64).tobytes() for s in sums]
-            out = [{"bucket": -1 - b.number, "batch": b.number, "keys": b.keys, "h": n.tobytes(), "doc": prints[0], "n": prints[1]}]
-            out += [{"bucket": k, "batch": b.number, "h": pack_hashes(h[at]), "doc": steps(doc[at])} for k, at in by_bucket(h, bits)]
-            yield pa.RecordBatch.from_pylist(out, sent_schema)
-
-    def count(group: pd.DataFrame) -> pd.DataFrame:
-        bucket = int(group["bucket"].iloc[0])
-        if bucket < 0:
-            return group[["batch", "keys", "h", "doc", "n"]]
-        t = np.concatenate([unpack_hashes(x, bucket, bits) for x in group["h"]])
-        order = np.argsort(t, kind="stable")
-        first = np.ones(len(t), dtype=bool)
-        first[1:] = t[order][1:] != t[order][:-1]
-        run = np.cumsum(first) - 1
-        df = np.empty(len(t), np.int64)
-        df[order] = np.bincount(run)[run]
-        out, at = [], 0
-        for batch, packed in zip(group["batch"], group["doc"], strict=True):
-            doc = unroll(packed)
-            own, at = slice(at, at + len(doc)), at + len(doc)
-            many = df[own] > 1
-            if many.any():
-                out.append({"batch": batch, "keys": None, "h": t[own][many].tobytes(), "doc": steps(doc[many]),
-                            "n": np.minimum(df[own][many], 2**31 - 1).astype(np.int32).tobytes()})
-        return pd.DataFrame(out, columns=["batch", "keys", "h", "doc", "n"])
+            yield pa.RecordBatch.from_pylist(sent_rows(b, size, bits), SENT_SCHEMA)
 
     def prefixes(group: pd.DataFrame) -> pd.DataFrame:
         head, rest = group[group["keys"].notna()].iloc[0], group[group["keys"].isna()]
         n, f1, f2 = (np.frombuffer(head[c], np.int64) for c in ("h", "doc", "n"))
-        if len(rest):
-            t, df = (np.concatenate([np.frombuffer(x, k) for x in rest[c]]) for c, k in (("h", np.int64), ("n", np.int32)))
-            doc = np.concatenate([unroll(x) for x in rest["doc"]])
-            order = np.lexsort((t, df, doc))
-            t, doc, df = t[order], doc[order], df[order]
-        else:
-            t, doc, df = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        t, doc, df = answers(rest)
+        order = np.lexsort((t, df, doc))
+        t, doc, df = t[order], doc[order], df[order]
         have = np.bincount(doc, minlength=len(n))
         ends = np.cumsum(have)
         take = np.clip(prefix_length(n, percent) - (n - have), 0, have)
@@ -133,8 +169,8 @@ def shared_shingles(docs: DataFrame, key: str, text: str, size: int, percent: in
         return pd.DataFrame({"node": node, "id": pd.Series(list(head["keys"]), dtype=object), "n": n, "f1": f1, "f2": f2,
                              "own": n - have, "common": (np.bincount(doc, df, len(n)) + n - have) / np.maximum(n, 1), "toks": pd.Series(toks, dtype=object), "prefix": take.astype(np.int32)})
 
-    sent = rows.mapInArrow(local, sent_fields)
-    counted = sent.groupBy("bucket").applyInPandas(count, "batch long, keys array<string>, h binary, doc binary, n binary")
+    sent = rows.mapInArrow(local, SENT_FIELDS)
+    counted = sent.groupBy("bucket").applyInPandas(lambda group: count_bucket(group, bits), "batch long, keys array<string>, h binary, doc binary, n binary")
     return counted.groupBy("batch").applyInPandas(
         prefixes, "node long, id string, n long, f1 long, f2 long, own long, common double, toks binary, prefix int")
 

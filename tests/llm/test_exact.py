@@ -63,6 +63,38 @@ def shingle_sets(rows):
     return out
 
 
+def test_a_shingle_of_all_documents_is_sent_once_a_batch(spark):
+    import pandas as pd
+    import pyarrow as pa
+
+    from framelake.llm.packing import batches
+
+    n, bits = 3_000, 8
+    texts = [f"all rows hold these words own{i} two{i} three{i} four{i} five{i}" + (f" pair{i // 2} of two rows here" if i % 3 else "") for i in range(n)]
+    sent = []
+    for part in (texts[:2_000], texts[2_000:]):
+        frame = pa.RecordBatch.from_pydict({"key": [str(i) for i in range(len(part))], "body": part})
+        (batch,) = batches(iter([frame]), "key", "body")
+        batch.number = len(sent)
+        sent.append(ngram_join.sent_rows(batch, 5, bits))
+        assert max(len(r["h"]) // ngram_join.SENT for r in sent[-1] if r["bucket"] >= 0) < n // 10
+    rows = pd.DataFrame([{"keys": None, "h": None, "doc": None, "n": None} | r for part in sent for r in part]).astype(object)
+    counted = pd.concat([ngram_join.count_bucket(g, bits) for _, g in rows.groupby("bucket")])
+    got, want = {}, {}
+    for number, group in counted.groupby("batch"):
+        t, doc, df = ngram_join.answers(group[group["keys"].isna()])
+        for d in doc:
+            got[d + 2_000 * number] = got.get(d + 2_000 * number, 0) + 1
+        assert (df == n).sum() == (2_000, 1_000)[number] and set(df) <= {2, n}
+    shingled = [{" ".join(w[i: i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    held = {}
+    for s in shingled:
+        for x in s:
+            held[x] = held.get(x, 0) + 1
+    want = {i: sum(held[x] > 1 for x in s) for i, s in enumerate(shingled)}
+    assert got == want
+
+
 def test_ngram_join(spark):
     base = [f"w{i}" for i in range(60)]
     near = lambda k: " ".join(base[:k] + ["NEW"] + base[k + 1:])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import pkgutil
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -27,6 +28,10 @@ TEMPLATES = {
 #: Every licence is also known by its header line.
 TEMPLATES = {name: [*notices, f"SPDX-License-Identifier: {name}"] for name, notices in TEMPLATES.items()}
 THRESHOLD = 0.8
+#: Licences whose full texts lie in `licence_texts`, one file a SPDX id.
+TEXTS = ["0BSD", "Apache-2.0", "Artistic-1.0-Perl", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GFDL-1.2", "GFDL-1.3",
+         "GPL-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-1.1", "MPL-2.0",
+         "Unlicense", "Zlib"]
 #: Terms that a smaller share of the other files holds weigh as those of this share.
 RARE = 1e-3
 
@@ -40,13 +45,19 @@ def idf(share: float) -> float:
     return 1 - math.log(max(share, RARE))
 
 
+def licence_texts() -> dict[str, str]:
+    """The full licence texts by SPDX id."""
+    return {name: pkgutil.get_data(__package__, f"licence_texts/{name}.txt").decode() for name in TEXTS}
+
+
 class Space:
-    """The templates in TF-IDF; `shares`: what share of the files, but for one, holds each of their terms."""
+    """The templates in TF-IDF; `shares`: what share of the files, but for one, holds each term of theirs, and maybe others."""
 
     def __init__(self, templates: dict[str, list[str]], shares: dict[str, float], threshold: float):
-        self.shares = {t: shares.get(t, 0.0) for notices in templates.values() for n in notices for t in terms(n)}
-        self.templates = [(name, self.vector(terms(n), self.shares)) for name in sorted(templates) for n in templates[name]]
-        self.keys = sorted({k for _, v in self.templates for k in self._needed(v, threshold)})
+        self.shares = shares
+        counted = [(name, terms(n)) for name in sorted(templates) for n in templates[name]]
+        self.templates = [(name, n.total(), self.vector(n, shares)) for name, n in counted]
+        self.keys = sorted({k for _, _, v in self.templates for k in self._needed(v, threshold)})
 
     @staticmethod
     def vector(counts: dict[str, int], shares: dict[str, float]) -> dict[str, float]:
@@ -66,12 +77,15 @@ class Space:
             rest -= x * x
         return out
 
-    def best(self, counts: dict[str, int], shares: dict[str, float]) -> tuple[float, str]:
+    def best(self, counts: Counter, shares: dict[str, float], alike: bool = False) -> tuple[float, str]:
         """The largest cosine of a line's terms, with the shares of those of no template, and its licence; ties go to the
-        first name."""
+        first name. With `alike`, only templates of at least half and at most twice as many terms are compared."""
+        size = counts.total()
+        near = [(name, tv) for name, n, tv in self.templates if not alike or n <= 2 * size <= 4 * n]
+        if not near:
+            return 0.0, ""
         v = self.vector(counts, shares | self.shares)
-        scored = [(sum(x * v.get(t, 0.0) for t, x in tv.items()), name) for name, tv in self.templates]
-        return max(scored, key=lambda s: s[0])
+        return max(((sum(x * v.get(t, 0.0) for t, x in tv.items()), name) for name, tv in near), key=lambda s: s[0])
 
 
 def file_terms(text: str) -> Column:
@@ -104,9 +118,10 @@ def runs(text: str, some: re.Pattern, longest: int) -> Iterator[Counter]:
 
 
 def scan(files: DataFrame, path: str = "path", text: str = "text", templates: dict[str, list[str]] | None = None,
-         threshold: float = THRESHOLD) -> DataFrame:
+         threshold: float = THRESHOLD, texts: dict[str, str] | None = None) -> DataFrame:
     """Rows (path, license, score, basis, source), one for each distinct path: the licence of the file's own notice
-    (`own`: the line, run of lines or short whole text nearest to a template, from `threshold` on), else that of the nearest ancestor
+    (`own`: the line, run of lines or short whole text nearest to a template, from `threshold` on, or the whole text as the
+    nearest of the full licence texts `texts` that have at least half and at most twice its terms), else that of the nearest ancestor
     directory with a licence file (`inherited`; a licence file is named LICENSE, LICENCE or COPYING, with any ending), else
     null (`none`). `source` is the path that the licence comes from.
 
@@ -115,39 +130,48 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", templates: di
     result; other columns aren't read. Directories meet by equi-joins on path, one row an ancestor.
     """
     templates = templates or TEMPLATES
-    vocabulary = {t for notices in templates.values() for n in notices for t in terms(n)}
+    texts = {name: [text] for name, text in (licence_texts() if texts is None else texts).items()}
+    vocabulary = {t for notices in [*templates.values(), *texts.values()] for n in notices for t in terms(n)}
     rows = files.select(F.col(path).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.col("path").isNotNull())
     spark, count = files.sparkSession, rows.count()
     listed = spark.createDataFrame([(t,) for t in sorted(vocabulary)], "t string")
-    space = Space(templates, {r.t: r.share for r in document_shares(rows, F.broadcast(listed), count).collect()}, threshold)
-    shared = spark.sparkContext.broadcast(space)
+    shares = dict.fromkeys(vocabulary, 0.0) | {r.t: r.share for r in document_shares(rows, F.broadcast(listed), count).collect()}
+    space = Space(templates, shares, threshold)
+    shared = spark.sparkContext.broadcast((space, Space(texts, shares, threshold)))
     longest = max((terms(n).total() for notices in templates.values() for n in notices), default=0)
     some = "(?i)" + "|".join(re.escape(k) for k in space.keys) if space.keys else "$^"
 
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        space, key = shared.value, re.compile(some)
+        (notices, wholes), key = shared.value, re.compile(some)
         for b in batches:
             # with the least weight, 1, for other terms a cosine is an upper bound: what stays under the threshold then has no match
-            out = [(p, " ".join(sorted(run.elements()))) for p, t in zip(b["path"], b["text"], strict=True) for run in runs(t, key, longest)
-                   if space.best(run, dict.fromkeys(run, 1.0))[0] >= threshold]
-            yield pd.DataFrame(list(dict.fromkeys(out)), columns=["path", "bag"])
-
-    bags = materialize(rows.where(F.col("text").rlike(some)).mapInPandas(candidates, "path string, bag string"))
+            out: dict = {}
+            for p, t in zip(b["path"], b["text"], strict=True):
+                if key.search(t):
+                    out |= {(p, " ".join(sorted(run.elements())), False): None for run in runs(t, key, longest)
+                            if notices.best(run, dict.fromkeys(run, 1.0))[0] >= threshold}
+                whole = terms(t)
+                if wholes.best(whole, dict.fromkeys(whole, 1.0), alike=True)[0] >= threshold:
+                    out[p, " ".join(sorted(whole.elements())), True] = None
+            yield pd.DataFrame(list(out), columns=["path", "bag", "whole"])
+
+    bags = materialize(rows.mapInPandas(candidates, "path string, bag string, whole boolean"))
     # each distinct bag of terms meets the shares of its terms and is compared once
-    held = bags.select("bag").distinct().select("bag", F.explode(F.array_distinct(F.split("bag", " "))).alias("t"))
+    held = bags.select("bag", "whole").distinct().select("bag", "whole", F.explode(F.array_distinct(F.split("bag", " "))).alias("t"))
     others = materialize(held.where(~F.col("t").isin(sorted(vocabulary))).select("t").distinct())
     few = others.count() <= BROADCAST_KEYS
-    known = held.join(document_shares(rows, F.broadcast(others) if few else others, count), "t", "left").groupBy("bag").agg(
+    known = held.join(document_shares(rows, F.broadcast(others) if few else others, count), "t", "left").groupBy("bag", "whole").agg(
         F.collect_list("t").alias("t"), F.collect_list(F.coalesce("share", F.lit(0.0))).alias("share"))
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        space = shared.value
+        spaces = shared.value
         for b in batches:
-            found = [space.best(Counter(bag.split(" ")), dict(zip(t, x, strict=True))) for bag, t, x in zip(b["bag"], b["t"], b["share"], strict=True)]
+            found = [spaces[whole].best(Counter(bag.split(" ")), dict(zip(t, x, strict=True)), alike=bool(whole))
+                     for bag, whole, t, x in zip(b["bag"], b["whole"], b["t"], b["share"], strict=True)]
             b = b.assign(score=[s for s, _ in found], license=[n for _, n in found])
-            yield b.loc[b["score"] >= threshold, ["bag", "score", "license"]]
+            yield b.loc[b["score"] >= threshold, ["bag", "whole", "score", "license"]]
 
-    hits = bags.join(known.mapInPandas(match, "bag string, score double, license string"), "bag")
+    hits = bags.join(known.mapInPandas(match, "bag string, whole boolean, score double, license string"), ["bag", "whole"])
     # of a path's hits the highest score, then the first name
     best = hits.groupBy("path", "score").agg(F.min("license").alias("license")).groupBy("path").agg(F.max(F.struct("score", "license")).alias("b"))
     own = materialize(best.select("path", "b.score", "b.license"))

@@ -150,6 +150,22 @@ def test_licences(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_full_licence_texts(spark):
+    texts = licenses.licence_texts()
+    assert len(texts) >= 20
+    files = [(f"{name}/COPYING", "Copyright (c) 1999 Some Body\n\n" + " ".join(text.split())) for name, text in texts.items()]
+    files += [(f"{name}/code", "int main") for name in texts] + [("other/LICENSE", "words of no licence " * 80), ("other/b", None), ("other/c", "")]
+    got = {r.path: (r.license, r.basis, r.score) for r in licenses.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    for name in texts:
+        assert got[f"{name}/COPYING"][:2] == (name, "own") and got[f"{name}/code"][:2] == (name, "inherited")
+        assert got[f"{name}/COPYING"][2] > 0.95
+    assert {got[f"other/{x}"] for x in ("LICENSE", "b", "c")} == {(None, "none", None)}
+    # what has less than half or more than twice a licence's terms isn't that licence
+    space = licenses.Space({"MIT": [texts["MIT"]]}, {}, 0.8)
+    half, twice = (licenses.terms(x) for x in (texts["MIT"][: len(texts["MIT"]) // 3], texts["MIT"] * 3))
+    assert space.best(half, {}, alike=True) == space.best(twice, {}, alike=True) == (0.0, "")
+
+
 def test_wrapped_licences(spark):
     bsd = "/*\n * Redistribution and use in source and binary\n * forms, with or without\n *\n * modification, are permitted.\n */\nint main() {}\n"
     gpl = "# This work is licensed under\n# the GNU General\n# Public License,\n# version 3.\nimport os\nprint(os)\n"

@@ -84,7 +84,7 @@ class Space:
         near = [(name, tv) for name, n, tv in self.templates if not alike or n <= 2 * size <= 4 * n]
         if not near:
             return 0.0, ""
-        v = self.vector(counts, shares | self.shares)
+        v = self.vector(counts, {t: self.shares.get(t, shares.get(t, 0.0)) for t in counts})
         return max(((sum(x * v.get(t, 0.0) for t, x in tv.items()), name) for name, tv in near), key=lambda s: s[0])
 
 

@@ -8,6 +8,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +59,9 @@ class Space:
         counted = [(name, terms(n)) for name in sorted(templates) for n in templates[name]]
         self.templates = [(name, n.total(), self.vector(n, shares)) for name, n in counted]
         self.keys = sorted({k for _, _, v in self.templates for k in self._needed(v, threshold)})
+        listed = sorted({t for _, _, v in self.templates for t in v})
+        self.rows = {t: i for i, t in enumerate(listed)}
+        self.squares = np.array([[v.get(t, 0.0) ** 2 for _, _, v in self.templates] for t in listed]).reshape(len(listed), len(self.templates))
 
     @staticmethod
     def vector(counts: dict[str, int], shares: dict[str, float]) -> dict[str, float]:
@@ -77,15 +81,19 @@ class Space:
             rest -= x * x
         return out
 
-    def best(self, counts: Counter, shares: dict[str, float], alike: bool = False) -> tuple[float, str]:
+    def best(self, counts: Counter, shares: dict[str, float], alike: bool = False, least: float = 0.0) -> tuple[float, str]:
         """The largest cosine of a line's terms, with the shares of those of no template, and its licence; ties go to the
-        first name. With `alike`, only templates of at least half and at most twice as many terms are compared."""
+        first name. With `alike`, only templates of at least half and at most twice as many terms are compared. With `least`, only
+        those that can come to it: a cosine is at most the length of the template's part on the line's terms."""
         size = counts.total()
-        near = [(name, tv) for name, n, tv in self.templates if not alike or n <= 2 * size <= 4 * n]
+        near = [(i, name, tv) for i, (name, n, tv) in enumerate(self.templates) if not alike or n <= 2 * size <= 4 * n]
+        if near and least > 0:
+            part = self.squares[[self.rows[t] for t in counts if t in self.rows]].sum(axis=0)
+            near = [x for x in near if part[x[0]] >= least * least * 0.999]
         if not near:
             return 0.0, ""
         v = self.vector(counts, {t: self.shares.get(t, shares.get(t, 0.0)) for t in counts})
-        return max(((sum(x * v.get(t, 0.0) for t, x in tv.items()), name) for name, tv in near), key=lambda s: s[0])
+        return max(((sum(x * v.get(t, 0.0) for t, x in tv.items()), name) for _, name, tv in near), key=lambda s: s[0])
 
 
 def file_terms(text: str) -> Column:
@@ -99,11 +107,11 @@ def document_shares(files: DataFrame, words: DataFrame, count: int) -> DataFrame
     return found.select("t", ((F.col("n") - 1) / max(1, count)).alias("share"))
 
 
-def runs(text: str, some: re.Pattern, longest: int) -> Iterator[Counter]:
+def runs(text: str, keys: set[str], longest: int) -> Iterator[Counter]:
     """The terms of a text's candidates: each line, each run of lines (without terms: skipped) of up to twice the terms of
-    the longest template, as a wrapped notice or header block is, and so the whole text if it is that short. All hold a
-    key term; comment signs are no terms."""
-    lines = [(n, some.search(x) is not None) for x in re.split(r"\r?\n|\r", text) if (n := terms(x))]
+    the longest template, as a wrapped notice or header block is, and so the whole text if it is that short. All hold one of
+    `keys` as a term; comment signs are no terms."""
+    lines = [(n, not keys.isdisjoint(n)) for x in re.split(r"\r?\n|\r", text) if (n := terms(x))]
     for i, (first, keyed) in enumerate(lines):
         if keyed:
             yield first
@@ -139,19 +147,19 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", templates: di
     space = Space(templates, shares, threshold)
     shared = spark.sparkContext.broadcast((space, Space(texts, shares, threshold)))
     longest = max((terms(n).total() for notices in templates.values() for n in notices), default=0)
-    some = "(?i)" + "|".join(re.escape(k) for k in space.keys) if space.keys else "$^"
 
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        (notices, wholes), key = shared.value, re.compile(some)
+        notices, wholes = shared.value
+        keys = set(notices.keys)
         for b in batches:
             # with the least weight, 1, for other terms a cosine is an upper bound: what stays under the threshold then has no match
             out: dict = {}
             for p, t in zip(b["path"], b["text"], strict=True):
-                if key.search(t):
-                    out |= {(p, " ".join(sorted(run.elements())), False): None for run in runs(t, key, longest)
-                            if notices.best(run, dict.fromkeys(run, 1.0))[0] >= threshold}
-                whole = terms(t)
-                if wholes.best(whole, dict.fromkeys(whole, 1.0), alike=True)[0] >= threshold:
+                whole = terms(t)  # a line's terms are among the text's, as no term holds a line end
+                if not keys.isdisjoint(whole):
+                    out |= {(p, " ".join(sorted(run.elements())), False): None for run in runs(t, keys, longest)
+                            if notices.best(run, dict.fromkeys(run, 1.0), least=threshold)[0] >= threshold}
+                if wholes.best(whole, dict.fromkeys(whole, 1.0), alike=True, least=threshold)[0] >= threshold:
                     out[p, " ".join(sorted(whole.elements())), True] = None
             yield pd.DataFrame(list(out), columns=["path", "bag", "whole"])
 

@@ -144,6 +144,11 @@ def tree_words(train: DataFrame, key: str, text: str) -> tuple[dict[bytes, int],
     return {w: i for i, (_, w) in enumerate(found)}, np.array([n for n, _ in found], dtype=np.int64), int(tokens), int(kinds)
 
 
+def number_type(size: int) -> np.dtype:
+    """The narrower type that holds the numbers of `size` words and -1."""
+    return np.dtype(np.int16 if size <= 1 << 15 else np.int32)
+
+
 PACKED = dict(batch=pa.int64(), keys=pa.list_(pa.string())) | dict.fromkeys(["n", "ids", "doc", "times", "h"], pa.binary())
 
 
@@ -160,11 +165,11 @@ def encode(docs: DataFrame, ids: dict[bytes, int], train: str, key: str, text: s
             numbers = word_numbers(b, known)
             rare, width = numbers < 0, max(1, len(b.words))
             code, times = np.unique(b.docs()[rare] * width + b.codes[rare], return_counts=True)
-            yield _send([{"batch": b.number, "keys": b.keys, "n": np.diff(b.starts).astype(np.int64), "ids": numbers.astype(np.int32), "doc": (code // width).astype(np.uint16),
+            yield _send([{"batch": b.number, "keys": b.keys, "n": np.diff(b.starts).astype(np.int64), "ids": numbers.astype(number_type(len(known))), "doc": (code // width).astype(np.uint16),
                           "times": times.astype(np.int32), "h": b.hashes()[code % width] if len(b.words) else np.zeros(0, np.uint64)}], **PACKED)
 
     rows = docs.select(name.alias("key"), F.col(text).alias("body"))
-    return materialize(rows.mapInArrow(local, "batch long, keys array<string>, n binary, ids binary, doc binary, times binary, h binary"))
+    return materialize(rows.mapInArrow(local, "batch long, keys array<string>, n binary, ids binary, doc binary, times binary, h binary"), wide=True)
 
 
 def word_numbers(b: Batch, known: dict[bytes, int]) -> np.ndarray:
@@ -172,10 +177,10 @@ def word_numbers(b: Batch, known: dict[bytes, int]) -> np.ndarray:
     return np.array([known.get(w, -1) for w in b.words], dtype=np.int64)[b.codes] if len(b.words) else np.zeros(0, np.int64)
 
 
-def _training(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, n) of the training documents of packed batches, one batch at a time."""
+def _training(batch: pa.RecordBatch, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, n) of the training documents of packed batches, one batch at a time; `size` words have numbers."""
     for row in (r for at in range(batch.num_rows) for r in batch.slice(at, 1).to_pylist()):
-        n, ids = np.frombuffer(row["n"], np.int64), np.frombuffer(row["ids"], np.int32).astype(np.int64)
+        n, ids = np.frombuffer(row["n"], np.int64), np.frombuffer(row["ids"], number_type(size)).astype(np.int64)
         own = np.array([k[0] == "1" for k in row["keys"]], dtype=bool)
         yield ids[np.repeat(own, n)], n[own]
 
@@ -188,7 +193,7 @@ def count_level(encoded: DataFrame, codes: list[np.ndarray], size: int, tokens:
     def local(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = shared.value
         for frame in frames:
-            for ids, n in _training(frame):
+            for ids, n in _training(frame, size):
                 at = contexts(codes, ids, n, size)[-1]
                 before = back(ids, n, len(codes) + 1)
                 code, times = np.unique(np.concatenate([(at * size + ids)[(at >= 0) & (ids >= 0)], ~(at * size + before)[(at >= 0) & (before >= 0)]]), return_counts=True)
@@ -303,7 +308,7 @@ def score_encoded(encoded: DataFrame, tree: Tree) -> DataFrame:
         tree = shared.value
         for frame in frames:
             for row in (r for at in range(frame.num_rows) for r in frame.slice(at, 1).to_pylist()):
-                n, ids = np.frombuffer(row["n"], np.int64), np.frombuffer(row["ids"], np.int32).astype(np.int64)
+                n, ids = np.frombuffer(row["n"], np.int64), np.frombuffer(row["ids"], number_type(len(tree.ids))).astype(np.int64)
                 train, n_docs = np.array([k[0] == "1" for k in row["keys"]], dtype=bool), len(n)
                 doc, hot = np.repeat(np.arange(n_docs), n), ids >= 0
                 out = [{"bucket": -1 - row["batch"], "batch": row["batch"], "keys": row["keys"], "h": n, "a": np.bincount(doc, tree.logs(ids, n), n_docs),

@@ -7,22 +7,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.llm import bpe, decontamination, language_id, ngram_join, toxicity
-from framelake.llm.common import materialize, remainder, table
+from framelake.llm.common import bound_batches, materialize, remainder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the field, learned from the training labels, doesn't reject."""
+    bound_batches(spark)
     labels = table(spark, sf_dir, "labels")
     return toxicity.drop_toxic(docs, toxicity.fit(docs, labels.where(remainder("doc_id", 3) != 1)))
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters, in a language that the context trees tell with a share of a half or more."""
+    bound_batches(spark)
     return language_id.keep_identified(docs, language_id.fit(docs.where(remainder("doc_id", 4) != 2)))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near duplicates."""
+    bound_batches(spark)
     return ngram_join.keep_one(docs)
 
 
@@ -33,6 +36,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids) of each document."""
+    bound_batches(spark)
     ranks = bpe.read_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
     encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")

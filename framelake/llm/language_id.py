@@ -15,6 +15,8 @@ from framelake.llm.common import BROADCAST_KEYS, map_texts, materialize, remaind
 #: Longest context in bytes, and the bounded sample that the trees are fitted on: documents of each language (the first
 #: by hash among those of up to so many characters; each is taken whole).
 ORDER, SAMPLE_DOCS, SAMPLE_CHARS = 3, 1_500, 16_384
+#: Bytes of texts that are coded together, and as many where the documents themselves pass by in the same worker; coding takes some 50 bytes each.
+CODED, CODED_BESIDE = 2_000_000, 500_000
 #: Bits a byte by which code lengths are compared in the score.
 SHARPNESS = 40.0
 
@@ -184,15 +186,15 @@ def identify(docs: DataFrame, trees: ContextTrees, key: str = "doc_id", text: st
     return map_texts(rows, "body", "lang_pred string, score double", start).withColumnRenamed("key", key)
 
 
-def name_languages(trees: ContextTrees, bodies: list) -> list[tuple[str, float]]:
-    """(lang_pred, score) of each text; null ones are undetermined. Coded some megabytes at a time."""
+def name_languages(trees: ContextTrees, bodies: list, together: int = CODED) -> list[tuple[str, float]]:
+    """(lang_pred, score) of each text; null ones are undetermined. Coded about `together` bytes at a time."""
     out: list[tuple[str, float]] = []
     held, size = [], 0
     for i, body in enumerate(bodies):
         data = body.encode("utf-8", "replace") if body is not None and trees.languages else b""
         held.append(data)
         size += len(data)
-        if size > 2_000_000 or i == len(bodies) - 1:
+        if size > together or i == len(bodies) - 1:
             bits = trees.code_lengths(held)
             share = posteriors(bits, np.array([len(t) for t in held])) if trees.languages else np.zeros((len(held), 1))
             out += [(trees.languages[int(s.argmax())], float(s.max())) if t else ("und", 0.0) for t, s in zip(held, share, strict=True)]
@@ -208,7 +210,7 @@ def keep_identified(docs: DataFrame, trees: ContextTrees, text: str = "text", le
     @F.pandas_udf("lang_pred string, score double")
     def language(bodies: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in bodies:
-            found = name_languages(shared.value, list(batch))
+            found = name_languages(shared.value, list(batch), CODED_BESIDE)
             yield pd.DataFrame(found, columns=["lang_pred", "score"]).astype({"lang_pred": object, "score": float})
 
     found = language(F.when(F.col(text).rlike(r"\p{L}"), F.col(text)))

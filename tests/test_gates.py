@@ -45,3 +45,10 @@ def test_iou_gate_states_ties_as_sql_does(spark, tmp_path):
     assert [r[-1] for r in got] == ["mean iou 40.3852 < 50", "mean iou 37.6638 < 50", "mean lines 47.0312 < 48", "mean lines 47.0938 < 48", "mean iou 34.9572 < 50"]
     assert got[4][3] == 34.957188
     assert got == want
+
+
+def test_line_gate_states_ties_as_sql_does(spark, tmp_path):
+    events(tmp_path, {1: [(50.0, 40)] * 31 + [(50.0, 41)], 2: [(50.0, 40)] * 29 + [(50.0, 41)] * 3, 3: [(42.816562499999996, 60)]})
+    got, want = both(spark, tmp_path, "seq_gate_lines")
+    assert [r[-1] for r in got] == ["mean lines 40.0312 < 48", "mean lines 40.0938 < 48", None] and got[2][3] == 42.816563
+    assert got == want

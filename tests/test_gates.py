@@ -52,3 +52,10 @@ def test_line_gate_states_ties_as_sql_does(spark, tmp_path):
     got, want = both(spark, tmp_path, "seq_gate_lines")
     assert [r[-1] for r in got] == ["mean lines 40.0312 < 48", "mean lines 40.0938 < 48", None] and got[2][3] == 42.816563
     assert got == want
+
+
+def test_quality_gate_states_ties_as_sql_does(spark, tmp_path):
+    events(tmp_path, {1: [(60.15625, 60)], 2: [(52.40615, 60)], 3: [(50.0, 45)] * 31 + [(50.0, 46)], 4: [(42.816562499999996, 60)]})
+    got, want = both(spark, tmp_path, "seq_gate_quality")
+    assert [r[-1] for r in got] == [f"mean chamfer {60.15625:.4f} > 52", f"mean chamfer {52.40615:.4f} > 52", "mean lines 45.0312 < 48", None]
+    assert got == want

@@ -135,9 +135,10 @@ def chamfer(pred: DataFrame, gt: DataFrame, empty_value: float = 1e6, pairs: Dat
 
 def prf_tolerant(pred: DataFrame, gt: DataFrame, tol: float = 2.0, pairs: DataFrame | None = None, region: DataFrame | None = None) -> DataFrame:
     """(pair, precision, recall, f1): pixels within `tol` of the other side. All are 0 where one side is empty, and 1 where both
-    are, which only `pairs` (pair) can tell. `region` (pair, row, col) leaves only its own pixels to both sides."""
+    are, which only `pairs` (pair) can tell. `region` (pair, row, col) leaves only its own pixels to both sides; it may hold whole canvases, of a size
+    that Spark's estimate misses where they are exploded, so it's sorted and merged, never broadcast."""
     if region is not None:
-        pred, gt = (m.join(region.select(*SPOT).distinct(), SPOT, "left_semi") for m in (pred, gt))
+        pred, gt = (m.join(region.select(*SPOT).hint("merge"), SPOT, "left_semi") for m in (pred, gt))
     p, r = F.col("p_hit") / (F.col("p_all") + 1e-6), F.col("g_hit") / (F.col("g_all") + 1e-6)
     found = both_ways(pred, gt, tol).select("pair", p.alias("precision"), r.alias("recall"), (2 * p * r / (p + r + 1e-6)).alias("f1"))
     return found if pairs is None else pairs.select("pair").join(found, "pair", "left").na.fill(1.0, ["precision", "recall", "f1"])

@@ -62,13 +62,14 @@ def sample_nearest(points: DataFrame, depth: DataFrame, target: int, height: int
 def reproject(edges: DataFrame, depth: DataFrame, views: DataFrame, height: int, width: int, least: float = 1e-3) -> DataFrame:
     """(pair, row, col): a reference view's edge pixels (pair, row, col) seen from the current view, once each. Pixels of depth up to `least`,
     behind the camera or off the canvas are dropped. views: pair and, for v in (ref, cur), v_fx, v_fy, v_cx, v_cy, v_qw, v_qx, v_qy, v_qz,
-    v_tx, v_ty, v_tz; a pair without a view has no pixels."""
+    v_tx, v_ty, v_tz; a pair without a view has no pixels. Canvases may be exploded from few rows, which Spark's estimate misses, so tables are
+    sorted and merged, never broadcast."""
     part = lambda v, names: [F.col(f"{v}_{n}") for n in names]
     turn, shift = [f"r{i}" for i in range(9)], ("tx", "ty", "tz")
     # each step is a projection of its own, so that no expression holds the ones before it more than once
     turned = views.select("pair", *[c for v in ("ref", "cur") for c in part(v, K) + part(v, shift)],
                           *[c.alias(f"{v}_{n}") for v in ("ref", "cur") for n, c in zip(turn, quat_to_rot(part(v, ("qw", "qx", "qy", "qz"))))])
-    seen = edges.select(*metrics.SPOT).join(depth.where(F.col("z") > least).select(*metrics.SPOT, "z"), metrics.SPOT).join(turned, "pair")
+    seen = edges.select(*metrics.SPOT).join(depth.where(F.col("z") > least).select(*metrics.SPOT, "z").hint("merge"), metrics.SPOT).join(turned.hint("merge"), "pair")
     own = [c.alias(n) for n, c in zip("XYZ", back_project(F.col("col"), F.col("row"), F.col("z"), part("ref", K)))]
     point, cur = [F.col(n) for n in "XYZ"], part("cur", K) + part("cur", shift) + part("cur", turn)
     world = seen.select("pair", *cur, *part("ref", shift), *part("ref", turn), *own)

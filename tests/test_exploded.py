@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from framelake.operators import metrics
+from framelake.operators import camera, metrics
 
 
 def plan(df):
@@ -22,3 +22,16 @@ def test_a_region_of_whole_canvases_is_not_broadcast(spark):
     found = metrics.prf_tolerant(pred, gt, region=region.union(region))
     assert "Broadcast" not in plan(found)
     assert {r.pair: round(r.f1, 4) for r in found.collect()} == {0: 1.0, 1: 1.0}
+
+
+def views_of(spark, pairs):
+    """(edges, depth, views) of pairs that see the same from both sides."""
+    pixels, pose = canvas(spark, pairs, 8), {"fx": 10.0, "fy": 10.0, "cx": 4.0, "cy": 4.0, "qw": 1.0, "qx": 0.2, "qy": 0.1, "qz": 0.0, "tx": 0.5, "ty": 0.0, "tz": 0.1}
+    views = spark.range(pairs).select(F.col("id").alias("pair"), *[F.lit(x).alias(f"{v}_{n}") for v in ("ref", "cur") for n, x in pose.items()])
+    return pixels.where("(row + col) % 4 = 0"), pixels.withColumn("z", F.when(F.col("row") < 6, 2.0).otherwise(0.0)), views
+
+
+def test_canvases_are_not_broadcast_to_be_reprojected(spark):
+    found = camera.reproject(*views_of(spark, 3), 8, 8)
+    assert "Broadcast" not in plan(found)
+    assert sorted(tuple(r) for r in found.collect()) == [(p, r, c) for p in range(3) for r in range(6) for c in range(8) if (r + c) % 4 == 0]

@@ -35,3 +35,10 @@ def test_canvases_are_not_broadcast_to_be_reprojected(spark):
     found = camera.reproject(*views_of(spark, 3), 8, 8)
     assert "Broadcast" not in plan(found)
     assert sorted(tuple(r) for r in found.collect()) == [(p, r, c) for p in range(3) for r in range(6) for c in range(8) if (r + c) % 4 == 0]
+
+
+def test_reprojected_canvases_are_compared_without_a_broadcast(spark):
+    edges, depth, views = views_of(spark, 3)
+    found = camera.reprojection_prf(edges.where("row < 6"), edges, depth, views, 8, 8)
+    assert "Broadcast" not in plan(found)
+    assert {r.pair: (round(r.precision, 4), round(r.recall, 4)) for r in found.collect()} == {p: (1.0, 1.0) for p in range(3)}

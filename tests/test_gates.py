@@ -32,7 +32,7 @@ def both(spark, folder, name):
 
 
 def test_figures_are_rounded_from_the_exact_value(spark):
-    want = {47.03125: "47.0312", 47.09375: "47.0938", 40.38525: "40.3852", 37.66375: "37.6638", -0.00001: "-0.0000", 1e6: "1000000.0000",
+    want = {47.03125: "47.0312", 47.09375: "47.0938", 40.38525: "40.3852", 37.66375: "37.6638", -0.00001: "-0.0000", 0.00005: "0.0001", -0.00005: "-0.0001", 1e6: "1000000.0000",
             float("nan"): "nan", float("inf"): "inf", float("-inf"): "-inf"}
     df = spark.createDataFrame([(x,) for x in want], "x double")
     assert [r[0] for r in df.select(gates.figure(df.x)).collect()] == list(want.values())
